@@ -180,7 +180,8 @@ def student(teacher_vectors: DataFrame) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(examples, teacher, student), the first two written once."""
     ex = staged_examples(spark, sf_dir)
-    vectors = stage(teacher(spark, sf_dir, ex, distinct_texts(ex)), "teacher")
+    texts = stage(distinct_texts(ex), "texts")
+    vectors = stage(teacher(spark, sf_dir, ex, texts), "teacher")
     return ex, vectors, student(vectors)
 
 

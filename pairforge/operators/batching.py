@@ -7,6 +7,8 @@ from arrays of the example's own row, so no self-join is needed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairforge import constants as K
@@ -54,13 +56,15 @@ def assign_batches(
     )
 
 
-def eligible(examples: DataFrame, embeddings: DataFrame, **salting) -> DataFrame:
+def eligible(
+    examples: DataFrame, embeddings: DataFrame, hot: Sequence[str] | None = None
+) -> DataFrame:
     """Examples with ids on every side and a document vector for every id."""
     named = examples.filter(
         F.col("text_ids").isNotNull() & F.forall("text_ids", lambda t: t.isNotNull())
     )
     sides = named.select(*ORDER_KEY, F.explode("text_ids").alias("text_id"))
-    lacking = without_vector(sides, embeddings, ORDER_KEY, **salting).select(*ORDER_KEY).distinct()
+    lacking = without_vector(sides, embeddings, ORDER_KEY, hot).select(*ORDER_KEY).distinct()
     return named.join(lacking, list(ORDER_KEY), "left_anti")
 
 

@@ -14,8 +14,9 @@ from pairforge.functions.prompts import Prompts
 from pairforge.functions.text import in_language
 from pairforge.functions.vectors import row_dot, to_matrix
 from pairforge.operators.lookup import attach_vectors
-from pairforge.operators.skew import Salting
+from pairforge.operators.skew import hot_keys_of, skew_join
 from pairforge.schemas import ORDER_KEY
+from pairforge.session import stage
 
 # Value ranges a ranking is cut into; each holds about 1/RANK_BUCKETS of the distinct values.
 RANK_BUCKETS = 128
@@ -67,7 +68,9 @@ def texts_to_encode(*rows: tuple[DataFrame, str, str]) -> DataFrame:
     return union.dropDuplicates(["text_id"]).withColumn("kind", F.lit("doc"))
 
 
-def pair_similarity(pairs: DataFrame, embeddings: DataFrame, **salting) -> DataFrame:
+def pair_similarity(
+    pairs: DataFrame, embeddings: DataFrame, hot: Sequence[str] | None = None
+) -> DataFrame:
     """Dot product of the unit vectors of ``a_id`` (query kind) and ``b_id`` (document kind).
 
     Both sides go through one lookup in long form, then meet again by example.
@@ -77,7 +80,7 @@ def pair_similarity(pairs: DataFrame, embeddings: DataFrame, **salting) -> DataF
     refs = pairs.select(*keys, F.explode(F.array(side(0, "a_id"), side(1, "b_id"))).alias("_r")).select(
         *keys, "_r.side", "_r.text_id", (F.col("_r.side") == 0).alias("is_a")
     )
-    found = attach_vectors(refs, {"vec": (embeddings, "is_a")}, [*ORDER_KEY, "side"], **salting)
+    found = attach_vectors(refs, {"vec": (embeddings, "is_a")}, [*ORDER_KEY, "side"], hot)
     on_side = lambda i: F.any_value(F.when(F.col("side") == i, F.col("vec")), F.lit(True))
     both = found.groupBy(*keys).agg(on_side(0).alias("_a"), on_side(1).alias("_b"))
     return (
@@ -120,23 +123,22 @@ def spearman(scored: DataFrame, group: str = "lang", x: str = "sim", y: str = "l
     """Spearman correlation with average ranks: ``(group, n, spearman, low_sample)``.
 
     Null below three pairs and where one side is constant.  Equal pairs are
-    collapsed to counts first; ranks are joined back with hot values salted.
+    collapsed to counts and written once; everything after reads that narrow
+    table.  Ranks are joined back by value with hot values salted.
     """
-    cells = scored.groupBy(group, x, y).agg(F.count(F.lit(1)).alias("c"))
+    cells = stage(scored.groupBy(group, x, y).agg(F.count(F.lit(1)).alias("c")), "rank-cells")
     ranked = cells
     for value, out in ((x, "_rx"), (y, "_ry")):
+        key = F.concat_ws("|", group, F.col(value).cast("string"))
         values = cells.groupBy(group, value).agg(F.sum("c").alias("n"))
-        ranks = average_ranks(values, group, value).select(
-            F.struct(group, value).alias("_key"), F.col("rank").alias(out)
-        )
-        keyed = ranked.withColumn("_key", F.struct(group, value))
-        plan = Salting.of(keyed, "_key")
-        ranked = (
-            plan.left(keyed, [x, y]).join(plan.right(ranks), ["_key", "_salt"]).drop("_key", "_salt")
-        )
-    total = ranked.groupBy(group).agg(F.sum("c").alias("_total"))
+        ranks = average_ranks(values, group, value).select(key.alias("_key"), F.col("rank").alias(out))
+        hot = hot_keys_of(cells.select(key.alias("_key")), "_key")
+        joined = skew_join(ranked.withColumn("_key", key), ranks, "_key", "inner", [x, y], hot)
+        ranked = joined.drop("_key")
+    total = cells.groupBy(group).agg(F.sum("c").alias("_total"))
     centre = (F.col("_total") + 1) / 2
     dx, dy, c = F.col("_rx") - centre, F.col("_ry") - centre, F.col("c")
+    # One row per language asked for: Spark's own size check picks the join.
     moments = (
         ranked.join(total, group)
         .groupBy(group)
@@ -195,12 +197,15 @@ def retrieval_set(
     return top.select("*", (F.row_number().over(W.orderBy(*ORDER_KEY)) - 1).cast("int").alias("i"))
 
 
-def retrieval_vectors(chosen: DataFrame, embeddings: DataFrame, **salting) -> DataFrame:
-    """``(i, lang, q_vec, p_vec)`` for a retrieval set: query vectors for queries, document ones for passages."""
+def retrieval_vectors(chosen: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """``(i, lang, q_vec, p_vec)``: query vectors for queries, document vectors for passages.
+
+    The set is a bounded top-n, so no key can be hot.
+    """
     side = lambda i, c: F.struct(F.lit(i).alias("side"), F.col(c).alias("text_id"))
     refs = chosen.select("i", "lang", F.explode(F.array(side(0, "q_id"), side(1, "p_id"))).alias("_r"))
     refs = refs.select("i", "lang", "_r.side", "_r.text_id", (F.col("_r.side") == 0).alias("is_q"))
-    found = attach_vectors(refs, {"vec": (embeddings, "is_q")}, ["i", "side"], **salting)
+    found = attach_vectors(refs, {"vec": (embeddings, "is_q")}, ["i", "side"], hot=())
     on_side = lambda k: F.any_value(F.when(F.col("side") == k, F.col("vec")), F.lit(True))
     return (
         found.groupBy("i", "lang")
@@ -228,10 +233,10 @@ def own_ranks(vectors: DataFrame, limit: int, block: int = BLOCK, digits: int |
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("pb"),
     )
     passages = vectors.select(
-        "i",
+        F.col("i").alias("j"),
         F.col("p_vec").alias("vec"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qb"),
-        number("i").alias("pb"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("to_qb"),
+        number("i").alias("own_pb"),
     )
 
     def settle(score: np.ndarray) -> np.ndarray:
@@ -241,7 +246,7 @@ def own_ranks(vectors: DataFrame, limit: int, block: int = BLOCK, digits: int |
         i = left.column("i").to_numpy()
         if not left.num_rows or not right.num_rows:
             return pa.table({"i": pa.array(i, pa.int32()), "ahead": pa.array([0] * len(i), pa.int64())})
-        j = right.column("i").to_numpy()
+        j = right.column("j").to_numpy()
         score = settle(to_matrix(left.column("vec")) @ to_matrix(right.column("vec")).T)
         mine = settle(left.column("own").to_numpy())[:, None]
         other = j[None, :] != i[:, None]
@@ -249,7 +254,7 @@ def own_ranks(vectors: DataFrame, limit: int, block: int = BLOCK, digits: int |
         better = other & ((score > mine) | ((score == mine) & (j[None, :] < i[:, None])))
         return pa.table({"i": pa.array(i, pa.int32()), "ahead": pa.array(better.sum(1), pa.int64())})
 
-    counts = queries.groupBy("qb", "pb").cogroup(passages.groupBy("qb", "pb"))
+    counts = queries.groupBy("qb", "pb").cogroup(passages.groupBy("to_qb", "own_pb"))
     return (
         counts.applyInArrow(ahead, "i int, ahead long")
         .groupBy("i")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairforge import constants as K
 from pairforge.functions.text import base_lang, text_id
 from pairforge.operators.ordering import cutoff_key
-from pairforge.operators.skew import skew_join
+from pairforge.operators.skew import hot_keys, skew_join
 from pairforge.schemas import ORDER_KEY
 
 TEXT_ORDER = (*ORDER_KEY, "side")
@@ -77,6 +77,11 @@ def cap_texts(texts: DataFrame, max_unique: int = K.DEFAULT_MAX_UNIQUE_TEXTS) ->
     return texts.filter(cutoff.isNull() | (F.struct(*TEXT_ORDER) <= cutoff))
 
 
+def hot_texts(texts: DataFrame) -> tuple:
+    """Text ids that occur so often that lookups by them need salting."""
+    return hot_keys(texts, "text_id", "n_uses")
+
+
 def cap_examples(
     examples: DataFrame, texts: DataFrame, max_unique: int = K.DEFAULT_MAX_UNIQUE_TEXTS
 ) -> DataFrame:
@@ -86,15 +91,9 @@ def cap_examples(
     to the cutoff are complete by construction.  Only later ones are looked up.
     """
     cutoff = cutoff_key(texts, max_unique, TEXT_ORDER)
-    last_side = F.struct(
-        *ORDER_KEY, (F.size("text_ids") - 1).alias("side")
-    )
+    last_side = F.struct(*ORDER_KEY, (F.size("text_ids") - 1).alias("side"))
     late = examples.filter(cutoff.isNotNull() & (last_side > cutoff))
     sides = late.select(*ORDER_KEY, F.explode("text_ids").alias("text_id"))
     kept = cap_texts(texts.select("text_id", *TEXT_ORDER), max_unique).select("text_id")
-    broken = (
-        skew_join(sides, kept, "text_id", "left_anti", spread=ORDER_KEY)
-        .select(*ORDER_KEY)
-        .distinct()
-    )
-    return examples.join(broken, list(ORDER_KEY), "left_anti")
+    lacking = skew_join(sides, kept, "text_id", "left_anti", ORDER_KEY, hot_texts(texts))
+    return examples.join(lacking.select(*ORDER_KEY).distinct(), list(ORDER_KEY), "left_anti")

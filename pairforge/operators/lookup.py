@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from pairforge.operators.ordering import dense_position
-from pairforge.operators.skew import Salting, skew_join
+from pairforge.operators.skew import Salting, hot_keys_of, skew_join
 
 
 def overlay(embeddings: DataFrame) -> DataFrame:
@@ -55,25 +55,55 @@ def lookup_vectors(
     *,
     use_query: str | None = None,
     out: str = "vec",
-    **salting,
+    hot: Sequence[str] | None = None,
 ) -> DataFrame:
     """Attach to each ref the vector of its ``text_id``; refs without one are dropped.
 
     ``use_query`` names a boolean column that asks for the query vector where there is one.
     """
-    return attach_vectors(refs, {out: (embeddings, use_query)}, spread, **salting)
+    return attach_vectors(refs, {out: (embeddings, use_query)}, spread, hot)
+
+
+def attach_vectors(
+    refs: DataFrame,
+    tables: dict[str, tuple[DataFrame, str | None]],
+    spread: Sequence[str],
+    hot: Sequence[str] | None = None,
+) -> DataFrame:
+    """Attach vectors of several embedding tables at once.
+
+    ``tables`` maps the output column to (embeddings, flag column or None).  All
+    joins share one key and one salting, so refs are shuffled a single time.
+    """
+    plan = Salting("text_id", tuple(hot_keys_of(refs, "text_id") if hot is None else hot))
+    joined, outputs = plan.left(refs, spread), []
 
+    def of_kind(embeddings: DataFrame, kind: str, name: str) -> DataFrame:
+        rows = embeddings.filter(F.col("kind") == kind)
+        return plan.right(rows.select("text_id", F.col("vec").alias(name)))
 
-def with_vector(refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], **salting) -> DataFrame:
+    for name, (embeddings, flag) in tables.items():
+        joined = joined.join(of_kind(embeddings, "doc", f"_d_{name}"), plan.on)
+        vector = F.col(f"_d_{name}")
+        if flag:
+            joined = joined.join(of_kind(embeddings, "query", f"_q_{name}"), plan.on, "left")
+            vector = F.when(F.col(flag), F.coalesce(f"_q_{name}", f"_d_{name}")).otherwise(vector)
+        outputs.append(vector.alias(name))
+    return joined.select(*refs.columns, *outputs)
+
+
+def with_vector(
+    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Sequence[str] | None = None
+) -> DataFrame:
     """Refs whose text id has a document vector."""
-    return skew_join(refs, _known(embeddings), "text_id", "left_semi", spread, **salting)
+    return skew_join(refs, _known(embeddings), "text_id", "left_semi", spread, hot)
 
 
 def without_vector(
-    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], **salting
+    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Sequence[str] | None = None
 ) -> DataFrame:
     """Refs whose text id has no document vector."""
-    return skew_join(refs, _known(embeddings), "text_id", "left_anti", spread, **salting)
+    return skew_join(refs, _known(embeddings), "text_id", "left_anti", spread, hot)
 
 
 def _known(embeddings: DataFrame) -> DataFrame:

@@ -146,17 +146,6 @@ def batch_losses(
         )
         if wanted
     ]
-    if not tagged:
-        tagged = [
-            points.limit(0).select(
-                F.col("step").alias("pair_step"),
-                "rank",
-                F.col("local_idx").alias("i"),
-                F.col("local_idx").alias("j"),
-                F.lit("").alias("kind"),
-            )
-        ]
-    pairs = tagged[0] if len(tagged) == 1 else tagged[0].unionByName(tagged[1])
     wanted = frozenset(parts)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -207,9 +196,21 @@ def batch_losses(
         columns += [[world * max_texts] * k, [n] * k]
         return pa.table(dict(zip(RESULT_NAMES, columns)), RESULT_ARROW)
 
-    return points.groupBy("step").cogroup(pairs.groupBy("pair_step")).applyInArrow(score, RESULT)
+    by_step = points.groupBy("step")
+    if not tagged:
+        return by_step.applyInArrow(lambda table: score(table, NO_PAIRS), RESULT)
+    pairs = tagged[0] if len(tagged) == 1 else tagged[0].unionByName(tagged[1])
+    return by_step.cogroup(pairs.groupBy("pair_step")).applyInArrow(score, RESULT)
 
 
+NO_PAIRS = pa.table(
+    {
+        "rank": pa.array([], pa.int32()),
+        "i": pa.array([], pa.int32()),
+        "j": pa.array([], pa.int32()),
+        "kind": pa.array([], pa.string()),
+    }
+)
 RESULT = (
     "step long, rank int, loss_kl double, loss_focal double, loss_disp double, "
     "loss_sts double, loss double, n long, n_valid long"

@@ -1,11 +1,14 @@
 """Key lookups that stay balanced when one key holds a large share of the rows.
 
-The left side has many rows per key, the right side at most one.  Keys above a
-share of ``1/max_hot`` of all left rows are hot; by counting, there can be fewer
-than ``max_hot`` of them, which bounds the broadcast list.  Left rows of a hot
-key are spread over ``salts`` sub-keys and the right row of a hot key is
+The left side has many rows per key, the right side at most one.  Left rows of
+a hot key are spread over ``salts`` sub-keys and the right row of a hot key is
 repeated once per sub-key; every other row keeps sub-key 0.  Each left row
 still meets exactly its own right row, so results do not change.
+
+Which keys are hot only decides how rows are spread.  The list is the top
+``MAX_HOT`` keys with at least ``MIN_HOT_ROWS`` rows, so its size is fixed; a
+key that misses it has at most 1/``MAX_HOT`` of the rows.  Without hot keys the
+join is a plain join.
 """
 
 from __future__ import annotations
@@ -20,40 +23,44 @@ MIN_HOT_ROWS = 200_000
 SALTS = 64
 
 
+def hot_keys(
+    counts: DataFrame, key: str, n: str = "n", *, max_hot: int = MAX_HOT, min_rows: int = MIN_HOT_ROWS
+) -> tuple:
+    """The hottest keys of a table of key counts, at most ``max_hot``.  Runs one small job."""
+    top = counts.filter(F.col(n) >= min_rows).orderBy(F.desc(n), key).limit(max_hot).select(key)
+    return tuple(row[0] for row in top.collect())
+
+
+def hot_keys_of(rows: DataFrame, key: str, **limits) -> tuple:
+    """Hot keys of a table of rows; counts are combined on the map side."""
+    return hot_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, **limits)
+
+
 @dataclass(frozen=True)
 class Salting:
     key: str
-    hot: DataFrame
-    salts: int
-
-    @classmethod
-    def of(
-        cls,
-        left: DataFrame,
-        key: str,
-        *,
-        max_hot: int = MAX_HOT,
-        min_rows: int = MIN_HOT_ROWS,
-        salts: int = SALTS,
-    ) -> "Salting":
-        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        total = left.agg(F.count(F.lit(1)).alias("_n")).scalar()
-        # count > total / max_hot leaves fewer than max_hot keys, whatever the data.
-        hot = counts.filter((F.col("_n") >= min_rows) & (F.col("_n") * max_hot > total))
-        return cls(key, hot.select(key, F.lit(True).alias("_hot")), salts)
+    hot: tuple
+    salts: int = SALTS
+
+    @property
+    def on(self) -> list[str]:
+        return [self.key, "_salt"] if self.hot else [self.key]
+
+    def _is_hot(self) -> Column:
+        return F.coalesce(F.col(self.key).isin(*self.hot), F.lit(False))
 
     def left(self, df: DataFrame, spread: Sequence[str | Column]) -> DataFrame:
         """Spread the rows of hot keys by a hash of ``spread``, so a retry gives the same salt."""
-        marked = df.join(F.broadcast(self.hot), self.key, "left")
+        if not self.hot:
+            return df
         slot = F.pmod(F.xxhash64(*spread), F.lit(self.salts)).cast("int")
-        return marked.withColumn("_salt", F.when(F.col("_hot"), slot).otherwise(0)).drop("_hot")
+        return df.withColumn("_salt", F.when(self._is_hot(), slot).otherwise(F.lit(0)))
 
     def right(self, df: DataFrame) -> DataFrame:
-        marked = df.join(F.broadcast(self.hot), self.key, "left")
-        copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(
-            F.array(F.lit(0))
-        )
-        return marked.withColumn("_salt", F.explode(copies)).drop("_hot")
+        if not self.hot:
+            return df
+        copies = F.when(self._is_hot(), F.sequence(F.lit(0), F.lit(self.salts - 1)))
+        return df.withColumn("_salt", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
 
 
 def skew_join(
@@ -62,10 +69,16 @@ def skew_join(
     key: str,
     how: str,
     spread: Sequence[str | Column],
-    **salting,
+    hot: Sequence | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """``left.join(right, key, how)`` for inner, left, left_semi and left_anti with salted hot keys."""
+    """``left.join(right, key, how)`` for inner, left, left_semi and left_anti with salted hot keys.
+
+    ``hot`` comes from ``hot_keys`` over counts that exist already; left out, the
+    left side is counted, which reads its key column once more.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    plan = Salting.of(left, key, **salting)
-    return plan.left(left, spread).join(plan.right(right), [key, "_salt"], how).drop("_salt")
+    plan = Salting(key, tuple(hot_keys_of(left, key) if hot is None else hot), salts)
+    joined = plan.left(left, spread).join(plan.right(right), plan.on, how)
+    return joined.drop("_salt")

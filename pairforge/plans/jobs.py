@@ -15,6 +15,7 @@ from pairforge.operators import batching, evaluate, metrics
 from pairforge.operators.encode import EncoderFactory, encode, encode_corpus
 from pairforge.operators.keys import assign_text_ids, cap_examples, cap_texts, distinct_texts
 from pairforge.operators.lookup import attach_vectors
+from pairforge.operators.skew import hot_keys_of
 from pairforge.operators.validate import require_valid
 from pairforge.session import stage
 from pairforge.sources import tables
@@ -76,32 +77,50 @@ def measure_alignment(
     settings: metrics.LossSettings = metrics.LossSettings(),
     parts: Sequence[str] = metrics.PARTS,
     prompts: Prompts | None = None,
+    hot: Sequence[str] | None = None,
 ) -> DataFrame:
     """Losses per step and rank of student vectors against teacher vectors.
 
     ``student`` is a table of vectors by text id, or an encoder for the prompted
     texts.  With a table only ids, roles and labels move until vectors are
-    attached; texts are not read.
+    attached; texts are not read.  ``hot`` lists text ids with very many uses;
+    left out, they are counted.
     """
-    capped = capped_batches(
-        examples, teacher, seed=seed, epoch=epoch, world=world, batch_size=batch_size, max_texts=max_texts
+    by_table = isinstance(student, DataFrame)
+    if hot is None:
+        hot = hot_keys_of(examples.select(F.explode("text_ids").alias("text_id")), "text_id")
+    if by_table:
+        examples = examples.withColumn("texts", F.array_repeat(F.lit(""), F.size("texts")))
+    # Texts, positive and graded pairs all read the batches, so they are written once.
+    capped = stage(
+        capped_batches(
+            examples,
+            teacher,
+            seed=seed,
+            epoch=epoch,
+            world=world,
+            batch_size=batch_size,
+            max_texts=max_texts,
+            hot=hot,
+        ),
+        "batches",
     )
     place = ["step", "rank", "local_idx"]
     texts = batching.batch_texts(capped, prompts)
-    if isinstance(student, DataFrame):
+    if by_table:
         refs = texts.select(*place, "text_id", "use_query")
         tables_by_column = {"t_vec": (teacher, "use_query"), "s_vec": (student, None)}
-        vectors = attach_vectors(refs, tables_by_column, place)
+        vectors = attach_vectors(refs, tables_by_column, place, hot)
     else:
         texts = evaluate.keyed_by_text(texts, student_id="student_text")
-        encoded = encode(
-            evaluate.texts_to_encode((texts, "student_id", "student_text")), student, half=False
-        )
+        unique = evaluate.texts_to_encode((texts, "student_id", "student_text"))
+        encoded = encode(unique, student, half=False)
         refs = texts.select(*place, "text_id", "use_query", "student_id")
-        with_teacher = attach_vectors(refs, {"t_vec": (teacher, "use_query")}, place).drop("text_id")
-        vectors = attach_vectors(
-            with_teacher.withColumnRenamed("student_id", "text_id"), {"s_vec": (encoded, None)}, place
-        )
+        with_teacher = attach_vectors(refs, {"t_vec": (teacher, "use_query")}, place, hot)
+        by_student = with_teacher.drop("text_id").withColumnRenamed("student_id", "text_id")
+        # A hot text is hot under its prompted form as well.
+        hot_students = hot_keys_of(texts.select(F.col("student_id").alias("text_id")), "text_id") if hot else ()
+        vectors = attach_vectors(by_student, {"s_vec": (encoded, None)}, place, hot_students)
     return metrics.batch_losses(
         vectors,
         batching.positive_pairs(capped),
@@ -122,6 +141,7 @@ def capped_batches(
     world: int = 1,
     batch_size: int = K.DEFAULT_BATCH_SIZE,
     max_texts: int = K.DEFAULT_TEXTS_PER_BATCH,
+    hot: Sequence[str] | None = None,
 ) -> DataFrame:
     """Batches after dropping ineligible examples and cutting to the text cap.
 
@@ -130,7 +150,7 @@ def capped_batches(
     dealt = batching.assign_batches(
         examples, seed=seed, epoch=epoch, world=world, batch_size=batch_size
     )
-    return batching.cap_batch_texts(batching.eligible(dealt, embeddings), max_texts)
+    return batching.cap_batch_texts(batching.eligible(dealt, embeddings, hot), max_texts)
 
 
 def evaluate_model(
