@@ -12,7 +12,8 @@ from pairforge.operators import normalize
 from pairforge.operators.encode import query_prompted_texts
 from pairforge.operators.keys import assign_text_ids, distinct_texts
 from pairforge.operators.lookup import row_numbers
-from pairforge.operators.ordering import BUCKET_ROWS, dense_position
+from pairforge.operators import ordering
+from pairforge.operators.ordering import dense_position
 from pairforge.session import stage
 from pairforge.sources.catalogue import union_examples
 
@@ -100,7 +101,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k-th English with the k-th French document."""
     docs = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "fr"))
-    bucket = F.floor(F.col("doc_id") / F.lit(BUCKET_ROWS))
+    bucket = F.floor(F.col("doc_id") / F.lit(ordering.BUCKET_ROWS))
     ranked = dense_position(
         docs.select("doc_id", "lang", "text"), [bucket], ["doc_id"], within=["lang"], out="row_ord"
     )
@@ -177,11 +178,20 @@ def student(teacher_vectors: DataFrame) -> DataFrame:
     )
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(examples, teacher, student), the first two written once."""
-    ex = staged_examples(spark, sf_dir)
-    texts = stage(distinct_texts(ex), "texts")
-    vectors = stage(teacher(spark, sf_dir, ex, texts), "teacher")
+def corpus(
+    spark: SparkSession, sf_dir: str, with_texts: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(examples, teacher, student), the first two written once.
+
+    Queries over ids, pairs and vectors do not carry the texts: they are left
+    blank once the ids are computed.
+    """
+    ex = examples(spark, sf_dir)
+    if not with_texts:
+        ex = ex.withColumn("texts", F.array_repeat(F.lit(""), F.size("text_ids")))
+    ex = stage(ex, "examples")
+    ids = stage(ex.select(F.explode("text_ids").alias("text_id")).distinct(), "ids")
+    vectors = stage(teacher(spark, sf_dir, ex, ids.withColumn("text", F.lit(""))), "teacher")
     return ex, vectors, student(vectors)
 
 
@@ -191,7 +201,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     Positions restart per label; the order key is cut into buckets like any other order.
     """
     vectors = table(spark, sf_dir, "embeddings")
-    bucket = F.floor(F.col("vec_id") / F.lit(BUCKET_ROWS))
+    bucket = F.floor(F.col("vec_id") / F.lit(ordering.BUCKET_ROWS))
     placed = dense_position(vectors, [bucket], ["vec_id"], within=["label"], out="pos")
     return placed.select(
         F.col("label").alias("id"), "pos", (F.col("pos") % 5 != 0).alias("mask"), F.col("embedding").alias("vec")

@@ -296,7 +296,9 @@ CTES: dict[str, str] = {
                CAST(CASE WHEN use_query THEN v.query ELSE v.doc END AS DOUBLE[]) AS t
         FROM batch_rows JOIN both_vec v USING (text_id)""",
     "letter_cosines": """
-        SELECT a.step, a.g AS i, b.g AS j, list_cosine_similarity(a.s, b.s) AS cs, list_cosine_similarity(a.t, b.t) AS ct
+        SELECT a.step, a.g AS i, b.g AS j, list_cosine_similarity(a.t, b.t) AS ct,
+               list_dot_product(a.s, b.s)
+                   / greatest(sqrt(list_dot_product(a.s, a.s)) * sqrt(list_dot_product(b.s, b.s)), 1e-12) AS cs
         FROM letter_points a JOIN letter_points b ON a.step = b.step AND a.g <> b.g""",
 }
 

@@ -514,7 +514,7 @@ def batch_slots(spark, sf_dir):
 @query
 def batches(spark, sf_dir):
     """Texts of every batch after eligibility and the text cap."""
-    ex, teacher, _ = fx.corpus(spark, sf_dir)
+    ex, teacher, _ = fx.corpus(spark, sf_dir, with_texts=True)
     rows = batching.batch_texts(_capped(ex, teacher))
     place = [F.col(c).cast("long").alias(c) for c in ("step", "rank", "local_idx", "side")]
     return long_key(rows, *place, "role", "text_id", digest("student_text").alias("student_md5"), "use_query")
@@ -695,7 +695,7 @@ def eval_job(spark, sf_dir):
 @query
 def encoder_losses(spark, sf_dir):
     """Alignment of an encoder's vectors of prompted texts with the teacher."""
-    ex, teacher, _ = fx.corpus(spark, sf_dir)
+    ex, teacher, _ = fx.corpus(spark, sf_dir, with_texts=True)
     losses = jobs.measure_alignment(ex, teacher, letter_encoder, parts=("disperse", "sts"), **BATCH)
     return losses.select(
         "step", F.col("rank").cast("long").alias("rank"), F.round("loss_disp", 4).alias("loss_disp"), F.round("loss_sts", 4).alias("loss_sts"), "n_valid"

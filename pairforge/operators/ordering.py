@@ -21,9 +21,9 @@ from pairforge.schemas import ORDER_KEY
 BUCKET_ROWS = 1 << 17
 
 
-def source_bucket(width: int = BUCKET_ROWS) -> list[Column]:
+def source_bucket() -> list[Column]:
     """Buckets for the (source_seq, row_ord) order; a big source is many buckets."""
-    return [F.col("source_seq"), F.floor(F.col("row_ord") / F.lit(width))]
+    return [F.col("source_seq"), F.floor(F.col("row_ord") / F.lit(BUCKET_ROWS))]
 
 
 def hash_bucket(hex_column: str, digits: int = 4) -> list[Column]:

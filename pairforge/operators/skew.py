@@ -23,17 +23,15 @@ MIN_HOT_ROWS = 200_000
 SALTS = 64
 
 
-def hot_keys(
-    counts: DataFrame, key: str, n: str = "n", *, max_hot: int = MAX_HOT, min_rows: int = MIN_HOT_ROWS
-) -> tuple:
-    """The hottest keys of a table of key counts, at most ``max_hot``.  Runs one small job."""
-    top = counts.filter(F.col(n) >= min_rows).orderBy(F.desc(n), key).limit(max_hot).select(key)
-    return tuple(row[0] for row in top.collect())
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> tuple:
+    """The hottest keys of a table of key counts, at most ``MAX_HOT``.  Runs one small job."""
+    top = counts.filter(F.col(n) >= MIN_HOT_ROWS).orderBy(F.desc(n), key).limit(MAX_HOT)
+    return tuple(row[0] for row in top.select(key).collect())
 
 
-def hot_keys_of(rows: DataFrame, key: str, **limits) -> tuple:
+def hot_keys_of(rows: DataFrame, key: str) -> tuple:
     """Hot keys of a table of rows; counts are combined on the map side."""
-    return hot_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, **limits)
+    return hot_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
 
 
 @dataclass(frozen=True)

@@ -90,7 +90,7 @@ def measure_alignment(
     if hot is None:
         hot = hot_keys_of(examples.select(F.explode("text_ids").alias("text_id")), "text_id")
     if by_table:
-        examples = examples.withColumn("texts", F.array_repeat(F.lit(""), F.size("texts")))
+        examples = examples.withColumn("texts", F.array_repeat(F.lit(""), F.size("text_ids")))
     # Texts, positive and graded pairs all read the batches, so they are written once.
     capped = stage(
         capped_batches(
