@@ -92,8 +92,10 @@ def cap_examples(
     """
     cutoff = cutoff_key(texts, max_unique, TEXT_ORDER)
     last_side = F.struct(*ORDER_KEY, (F.size("text_ids") - 1).alias("side"))
-    late = examples.filter(cutoff.isNotNull() & (last_side > cutoff))
+    is_late = F.coalesce(last_side > cutoff, F.lit(False))
+    late = examples.filter(is_late)
     sides = late.select(*ORDER_KEY, F.explode("text_ids").alias("text_id"))
     kept = cap_texts(texts.select("text_id", *TEXT_ORDER), max_unique).select("text_id")
     lacking = skew_join(sides, kept, "text_id", "left_anti", ORDER_KEY, hot_texts(texts))
-    return examples.join(lacking.select(*ORDER_KEY).distinct(), list(ORDER_KEY), "left_anti")
+    complete = late.join(lacking.select(*ORDER_KEY).distinct(), list(ORDER_KEY), "left_anti")
+    return examples.filter(~is_late).unionByName(complete.select(*examples.columns))

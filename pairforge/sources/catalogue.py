@@ -19,6 +19,10 @@ from pairforge.operators.normalize import normalize_source
 from pairforge.schemas import EXAMPLE
 
 
+# File lists up to this length (about 200 MB of paths) are broadcast.
+BROADCAST_FILES = 1_000_000
+
+
 @dataclass(frozen=True)
 class Source:
     group: str
@@ -93,13 +97,15 @@ def scan_source(
         counts = dict(df.groupBy(path.alias("p")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator())
         ordered = sorted(counts)
         starts = [0, *accumulate(counts[p] for p in ordered)]
-        wanted = [(p, s) for p, s in zip(ordered, starts) if limit is None or s < limit]
+        wanted = [(p, s) for p, s in zip(ordered, starts) if limit is None or s < max(limit, 1)]
         offsets = spark.createDataFrame(
             wanted, T.StructType().add("_path", "string").add("_start", "long")
         )
         schema = df.schema
         part = spark.read.schema(schema).parquet(*[p for p, _ in wanted])
-        # Joined by Spark's own size check: broadcast only below its threshold.
+        # One short row per file: broadcast while the listing is small, a plain join beyond.
+        if len(wanted) <= BROADCAST_FILES:
+            offsets = F.broadcast(offsets)
         out = (
             part.select("*", path.alias("_path"), row.alias("_row"))
             .join(offsets, "_path")

@@ -17,12 +17,13 @@ def write_shards(
 ) -> None:
     """Split, number and write examples: ``split=<s>/shard=<n>/`` with at most ``per_shard`` rows each.
 
-    One task writes one shard, so every shard is one file; an empty split leaves nothing.
+    Numbering leaves each task with contiguous runs of the order, so shards are
+    written from there; a second shuffle of the texts would only save a few
+    files per shard.  An empty split leaves nothing.
     """
     shards = assign_shards(split_holdout(examples), per_shard)
     (
         shards.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SHARD.fields])
-        .repartition("split", "shard")
         .sortWithinPartitions("split", "shard", "pos")
         .write.mode("overwrite")
         .partitionBy("split", "shard")
@@ -69,16 +70,38 @@ def iter_texts(texts: DataFrame) -> Iterator[Row]:
     return texts.toLocalIterator(prefetchPartitions=False)
 
 
-def write_embeddings(embeddings: DataFrame, path: str, files: int | None = None) -> None:
-    """Write ``(text_id, vec)`` below ``kind=doc`` and ``kind=query``, clustered by text id.
+def _clustered(embeddings: DataFrame, files: int | None) -> DataFrame:
+    """Embeddings hashed by text id and sorted inside each file.
 
-    Sorted files keep narrow id ranges per row group, so lookups of a few ids skip most of them.
+    A range partitioning would run the plan once more to sample it, and that
+    plan holds the encoder.
     """
     shape = [F.col(f.name).cast(f.dataType).alias(f.name) for f in EMBEDDING.fields]
-    out = embeddings.select(*shape)
-    keys = ["kind", "text_id"]
-    out = out.repartitionByRange(files, *keys) if files else out.repartitionByRange(*keys)
-    out.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("kind").parquet(path)
+    keys = [files, "text_id"] if files else ["text_id"]
+    return embeddings.select(*shape).repartition(*keys).sortWithinPartitions("kind", "text_id")
+
+
+def write_embeddings(embeddings: DataFrame, path: str, files: int | None = None) -> None:
+    """Write ``(text_id, vec)`` below ``kind=doc`` and ``kind=query``."""
+    _clustered(embeddings, files).write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def save_embedding_table(embeddings: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The same as a catalogued table bucketed by text id.
+
+    Lookups by text id then read the vectors where they lie: only refs are
+    shuffled, epoch after epoch.
+    """
+    (
+        _clustered(embeddings, buckets)
+        .write.mode("overwrite")
+        .option("path", path)
+        .partitionBy("kind")
+        .bucketBy(buckets, "text_id")
+        .sortBy("text_id")
+        .saveAsTable(table)
+    )
+    return embeddings.sparkSession.table(table)
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
