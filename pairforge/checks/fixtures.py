@@ -20,8 +20,17 @@ from pairforge.sources.catalogue import union_examples
 REPLY_TURNS = 10  # reply slots of a conversation that serve as another one's negatives
 
 
+# Declared, so that opening a table runs no schema-inference job.
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def sts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +41,8 @@ def sts(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("row_ord"), (F.col("quality") * 5 - F.col("toxic") * 2).cast("double").alias("score")
     )
-    return first.join(second, "row_ord").join(labels, "row_ord", "left")
+    # Both sides grow with the corpus and carry texts: never a broadcast.
+    return first.join(second.hint("merge"), "row_ord").join(labels, "row_ord", "left")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +55,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     replied = conv.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
-    return asked.join(replied, ["conv_id", "turn"]).select(
+    return asked.join(replied.hint("merge"), ["conv_id", "turn"]).select(
         "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("row_ord"), "query", "answer"
     )
 
@@ -106,7 +116,7 @@ def bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs.select("doc_id", "lang", "text"), [bucket], ["doc_id"], within=["lang"], out="row_ord"
     )
     side = lambda lang: ranked.filter(F.col("lang") == lang).select("row_ord", F.col("text").alias(lang))
-    return side("en").join(side("fr"), "row_ord")
+    return side("en").join(side("fr").hint("merge"), "row_ord")
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
