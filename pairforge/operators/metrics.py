@@ -46,44 +46,62 @@ class LossSettings:
         return cls(**{ours: float(loss[key]) for ours, key in names.items() if key in loss})
 
 
+def _scaled(cosines: np.ndarray, tau: float) -> np.ndarray:
+    """Logits without the diagonal."""
+    logits = cosines / tau
+    np.fill_diagonal(logits, -np.inf)
+    return logits
+
+
+def _log_sum(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials relative to the row maximum, row maximum, log of the row's sum)."""
+    top = logits.max(1)
+    relative = np.exp(logits - top[:, None])
+    return relative, top, np.log(relative.sum(1)) + top
+
+
 def _softmax_gap(student: np.ndarray, teacher: np.ndarray, tau: float) -> float:
     """Mean row-wise KL from the student's to the teacher's neighbourhood distribution."""
-    n = len(student)
-    if n < 2:
+    if len(student) < 2:
         return 0.0
-    off = ~np.eye(n, dtype=bool)
-    s = (student / tau)[off].reshape(n, n - 1)
-    t = (teacher / tau)[off].reshape(n, n - 1)
-    s_top, t_top = s.max(1, keepdims=True), t.max(1, keepdims=True)
-    t_exp = np.exp(t - t_top)
-    t_sum = t_exp.sum(1)
-    s_log = np.log(np.exp(s - s_top).sum(1)) + s_top[:, 0]
-    t_log = np.log(t_sum) + t_top[:, 0]
-    expected_gap = (t_exp * (t - s)).sum(1) / t_sum
-    return float((expected_gap + s_log - t_log).mean())
+    weight, _, t_log = _log_sum(_scaled(teacher, tau))
+    _, _, s_log = _log_sum(_scaled(student, tau))
+    # The diagonal has weight zero, so the plain cosines can be averaged.
+    difference = np.einsum("ij,ij->i", weight, teacher) - np.einsum("ij,ij->i", weight, student)
+    return float((difference / tau / weight.sum(1) + s_log - t_log).mean())
 
 
 def _focal(
-    student: np.ndarray, teacher: np.ndarray, positive: np.ndarray, tau: float, gamma: float
+    student: np.ndarray,
+    teacher: np.ndarray,
+    anchor: np.ndarray,
+    other: np.ndarray,
+    tau: float,
+    gamma: float,
 ) -> float:
-    """InfoNCE whose negatives are weighted by teacher similarity; mean over positive pairs."""
-    n = len(student)
-    if n < 2 or not positive.any():
+    """InfoNCE whose negatives are weighted by teacher similarity; mean over positive pairs.
+
+    ``anchor`` and ``other`` are the distinct positive pairs off the diagonal.
+    """
+    if len(student) < 2 or not len(anchor):
         return 0.0
-    logits = student / tau
-    negative = ~positive & ~np.eye(n, dtype=bool)
-    weight = np.where(negative, np.clip((teacher + 1.0) / 2.0, 0.0, 1.0) ** gamma, 0.0)
-    weight /= weight.sum(1, keepdims=True) + K.LOSS_EPS
-    top = np.where(negative, logits, -np.inf).max(1)
-    anchor, other = np.nonzero(positive & np.isfinite(top)[:, None])
+    own = student[anchor, other] / tau
+    logits = _scaled(student, tau)
+    logits[anchor, other] = -np.inf
+    top = logits.max(1)
+    usable = np.isfinite(top[anchor])
+    anchor, other, own = anchor[usable], other[usable], own[usable]
     if not len(anchor):
         return 0.0
+    rows = np.unique(anchor)
+    weight = np.clip((teacher[rows] + 1.0) / 2.0, 0.0, 1.0) ** gamma
+    weight[np.isneginf(logits[rows])] = 0.0
     # Sum of weighted negatives relative to the anchor's own top, rescaled per positive.
-    spread = (weight * np.exp(np.where(negative, logits - top[:, None], -np.inf))).sum(1)
-    own = logits[anchor, other]
+    spread = np.einsum("ij,ij->i", weight, np.exp(logits[rows] - top[rows, None]))
+    spread /= weight.sum(1) + K.LOSS_EPS
     peak = np.maximum(own, top[anchor])
     hit = np.exp(own - peak)
-    miss = spread[anchor] * np.exp(top[anchor] - peak)
+    miss = spread[np.searchsorted(rows, anchor)] * np.exp(top[anchor] - peak)
     return float(-np.log(hit / (hit + miss + K.LOSS_EPS)).mean())
 
 
@@ -91,8 +109,9 @@ def _disperse(student: np.ndarray, t: float) -> float:
     n = len(student)
     if n < 2:
         return 0.0
-    off = student[~np.eye(n, dtype=bool)]
-    return float(np.log(np.exp(t * off).mean() + K.LOSS_EPS))
+    powers = np.exp(t * student)
+    np.fill_diagonal(powers, 0.0)
+    return float(np.log(powers.sum() / (n * (n - 1)) + K.LOSS_EPS))
 
 
 def _pair_gap(student: np.ndarray, teacher: np.ndarray, i: np.ndarray, j: np.ndarray) -> float:
@@ -176,9 +195,8 @@ def batch_losses(
         disperse = _disperse(cos_s, settings.disperse_t) if "disperse" in wanted else 0.0
         focal = 0.0
         if "focal" in wanted:
-            mask = np.zeros((n, n), bool)
-            mask[i[is_pos], j[is_pos]] = True
-            focal = _focal(cos_s, cos_t, mask, settings.temperature, settings.gamma)
+            anchor, other = np.divmod(np.unique(i[is_pos] * n + j[is_pos]), n)
+            focal = _focal(cos_s, cos_t, anchor, other, settings.temperature, settings.gamma)
         sts = [
             _pair_gap(cos_s, cos_t, i[is_graded & (pair_rank == r)], j[is_graded & (pair_rank == r)])
             for r in ranks
