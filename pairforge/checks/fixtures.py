@@ -20,6 +20,8 @@ from pairforge.sources.catalogue import union_examples
 REPLY_TURNS = 10  # reply slots of a conversation that serve as another one's negatives
 
 
+MISSING_LABEL = 9
+
 # Declared, so that opening a table runs no schema-inference job.
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -156,13 +158,15 @@ def faulty_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_vectors(ids: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text_id, n, vec): the vector chosen by the row number of the id; none for every eleventh."""
+    """(text_id, n, vec): the vector chosen by the row number of the id.
+
+    Vectors of one label count as not encoded yet, so that some texts lack one.
+    """
     vectors = table(spark, sf_dir, "embeddings")
     count = vectors.agg(F.count(F.lit(1))).scalar()
-    numbered = row_numbers(ids.select("text_id"), "n").filter(F.col("n") % 11 != 0)
-    return numbered.withColumn("vec_id", F.col("n") % count).join(
-        vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id"
-    )
+    encoded = vectors.filter(F.col("label") != MISSING_LABEL)
+    numbered = row_numbers(ids.select("text_id"), "n").withColumn("vec_id", F.col("n") % count)
+    return numbered.join(encoded.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
 
 
 def teacher(spark: SparkSession, sf_dir: str, ex: DataFrame, texts: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ CTES: dict[str, str] = {
     "numbered": "SELECT text_id, row_number() OVER (ORDER BY text_id) - 1 AS n FROM texts",
     "doc_vec": f"""
         SELECT text_id, vec_id, embedding AS vec
-        FROM (SELECT text_id, n % {N_VECTORS} AS vec_id FROM numbered WHERE n % 11 <> 0) JOIN embeddings USING (vec_id)""",
+        FROM (SELECT text_id, n % {N_VECTORS} AS vec_id FROM numbered) JOIN embeddings USING (vec_id) WHERE label <> 9""",
     "query_vec": f"""
         SELECT d.text_id, e.embedding AS vec FROM doc_vec d JOIN prompted USING (text_id)
         JOIN embeddings e ON e.vec_id = (d.vec_id * 7 + 3) % {N_VECTORS}""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -97,14 +98,22 @@ def average_ranks(values: DataFrame, group: str, value: str, buckets: int = RANK
     quantiles only choose where the value range is cut, so that no group or
     value range is handled by one task; ranks are exact for any cut.
     """
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = values.groupBy(group).agg(
-        F.percentile_approx(
-            value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(buckets * 20)
-        ).alias("_cuts")
+        F.percentile_approx(value, shares, F.lit(buckets * 20)).alias("_cuts")
     )
+    # Cuts are counted below the value in two steps: whole chunks, then inside one chunk.
+    chunk = math.isqrt(buckets)
+    ends = F.sequence(F.lit(chunk), F.lit(max(chunk, buckets - 1)), F.lit(chunk))
+    cuts = cuts.withColumn("_ends", F.transform(ends, lambda i: F.get("_cuts", i - 1)))
+    below_value = lambda c: c < F.col(value)
+    inside_chunk = F.slice("_cuts", F.col("_whole") * chunk + 1, F.lit(chunk))
     # Groups are the languages asked for: one short array each, joined under Spark's size check.
-    bucketed = values.join(cuts, group).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    bucketed = (
+        values.join(cuts, group)
+        .withColumn("_whole", F.size(F.filter("_ends", below_value)))
+        .withColumn("_b", F.col("_whole") * chunk + F.size(F.filter(inside_chunk, below_value)))
+        .drop("_cuts", "_ends", "_whole")
     )
     ahead = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sizes = (

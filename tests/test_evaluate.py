@@ -33,11 +33,24 @@ def test_spearman_with_heavy_ties(spark, monkeypatch, hot_rows, parts):
 
 def test_average_ranks(spark):
     df = spark.createDataFrame([("g", 1.0, 2), ("g", 3.0, 1), ("g", 2.0, 4), ("h", 9.0, 3)], "g string, v double, n long")
-    for buckets in (2, 64):
+    for buckets in (2, 3, 10, 64):
         got = {(r.g, r.v): r["rank"] for r in E.average_ranks(df, "g", "v", buckets).collect()}
         assert got == {("g", 1.0): 1.5, ("g", 2.0): 4.5, ("g", 3.0): 7.0, ("h", 9.0): 2.0}
 
 
+@pytest.mark.parametrize("buckets", [2, 7, 128])
+def test_average_ranks_of_many_values(spark, buckets):
+    values = np.unique(np.random.default_rng(3).normal(size=500))
+    rows = [("g", float(v), int(i % 5 + 1)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, v double, n long").repartition(6)
+    got = {r.v: r["rank"] for r in E.average_ranks(df, "g", "v", buckets).collect()}
+    seen, want = 0, {}
+    for _, v, n in rows:
+        want[v] = seen + (n + 1) / 2
+        seen += n
+    assert got == want
+
+
 def test_spearman_guards(spark):
     rows = [("few", 0.1, 1.0), ("few", 0.2, 2.0)] + [("flat", float(i), 1.0) for i in range(5)]
     df = spark.createDataFrame(rows, "lang string, sim double, label double")

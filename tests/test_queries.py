@@ -23,6 +23,12 @@ def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
 
 
+def test_no_query_pairs_everything_with_everything(spark):
+    for name in ("q_loss_bundle", "q_retrieval_ranks", "q_sts_spearman", "q_cap_examples", "q_eval_report", "q_batches"):
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, name):
     if name not in ORACLES:
