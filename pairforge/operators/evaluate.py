@@ -96,7 +96,9 @@ def average_ranks(values: DataFrame, group: str, value: str, buckets: int = RANK
 
     ``values`` has one row per (group, value) with its count ``n``.  Approximate
     quantiles only choose where the value range is cut, so that no group or
-    value range is handled by one task; ranks are exact for any cut.
+    value range is handled by one task; ranks are exact for any cut.  Cuts may
+    differ from run to run, so the bucketed values are written once and every
+    later step reads the same buckets, also after a lost executor.
     """
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = values.groupBy(group).agg(
@@ -115,6 +117,7 @@ def average_ranks(values: DataFrame, group: str, value: str, buckets: int = RANK
         .withColumn("_b", F.col("_whole") * chunk + F.size(F.filter(inside_chunk, below_value)))
         .drop("_cuts", "_ends", "_whole")
     )
+    bucketed = stage(bucketed, "rank-buckets")
     ahead = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sizes = (
         bucketed.groupBy(group, "_b")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -102,7 +103,8 @@ def scan_source(
             wanted, T.StructType().add("_path", "string").add("_start", "long")
         )
         schema = df.schema
-        part = spark.read.schema(schema).parquet(*[p for p, _ in wanted])
+        # The metadata column holds percent-encoded paths.
+        part = spark.read.schema(schema).parquet(*[unquote(p) for p, _ in wanted])
         # One short row per file: broadcast while the listing is small, a plain join beyond.
         if len(wanted) <= BROADCAST_FILES:
             offsets = F.broadcast(offsets)
@@ -186,6 +188,21 @@ def ingest_manifest(spark: SparkSession, root: str, catalogue: Sequence[Source])
     )
 
 
+def manifest_document(
+    manifest: DataFrame, languages: Sequence[str] = K.ACTIVE_LANGUAGES, tasks: Sequence[str] = K.ACTIVE_TASKS
+) -> DataFrame:
+    """The manifest as one nested row for a report file; its entries are the catalogue's."""
+    strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    entries = F.sort_array(F.collect_list(F.struct("source_seq", *[c for c in manifest.columns if c != "source_seq"])))
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return manifest.agg(entries.alias("datasets")).select(
+        stamp.alias("created_at"),
+        strings(languages).alias("languages"),
+        strings(tasks).alias("tasks"),
+        "datasets",
+    )
+
+
 def fallback_examples(spark: SparkSession) -> DataFrame:
     """The small fixed corpus that keeps later steps testable without sources."""
     rows = [(0, i, *row, None) for i, row in enumerate(K.FALLBACK_EXAMPLES)]

@@ -35,7 +35,7 @@ def test_paths_and_catalogue():
 
 @pytest.mark.parametrize("limit", [None, 0, 5, 17, 100])
 def test_scan_of_many_files_keeps_file_order(spark, folder, limit):
-    source = C.Source("sts", "many")
+    source = C.Source("sts", "many files 100%")
     put(spark, folder, source, [(f"a{i}", f"b{i}") for i in range(40)], "sentence1 string, sentence2 string", files=5)
     scanned = C.scan_source(spark, folder, source, limit)
     files = sorted(Path(source.path(folder)).glob("*.parquet"))
@@ -58,6 +58,20 @@ def test_load_examples_skips_missing_and_unknown(spark, folder):
     assert manifest["good"].rows == 3 and manifest["good"].status == "ok" and manifest["odd"].rows == 1
 
 
+def test_manifest_document(spark, folder):
+    good = C.Source("sts", "good", max_examples=1)
+    put(spark, folder, good, [(f"a{i}", "b") for i in range(5)], "text1 string, text2 string")
+    entries = [good, C.Source("bitext", "gone", lang="en-ko")]
+    document = C.manifest_document(C.ingest_manifest(spark, folder, entries), ["en", "ko"], ["sts"])
+    tables.write_report(document, f"{folder}/manifest")
+    got = json.loads(next(Path(f"{folder}/manifest").glob("*.json")).read_text())
+    assert got["languages"] == ["en", "ko"] and got["tasks"] == ["sts"] and got["created_at"].endswith("Z")
+    # Ingest keeps twice the cap.
+    assert [(d["name"], d["rows"], d["status"]) for d in got["datasets"]] == [
+        ("good", 2, "ok"), ("gone", 0, "error: PATH_NOT_FOUND"),
+    ]
+
+
 def test_fallback(spark, folder):
     empty = C.load_examples(spark, folder, [C.Source("sts", "gone")])
     rows = C.with_fallback(empty).orderBy("row_ord").collect()
