@@ -157,32 +157,26 @@ def faulty_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("label", "text_ids")
 
 
-def numbered_vectors(ids: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text_id, n, vec): the vector chosen by the row number of the id.
+def teacher(spark: SparkSession, sf_dir: str, ex: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Teacher vectors, chosen by the row number ``n`` of the text id.
 
-    Vectors of one label count as not encoded yet, so that some texts lack one.
+    Document kind for every id; query kind for the query-prompted ones.  Vectors
+    of one label count as not encoded yet, so that some texts lack one.
     """
-    vectors = table(spark, sf_dir, "embeddings")
-    count = vectors.agg(F.count(F.lit(1))).scalar()
-    encoded = vectors.filter(F.col("label") != MISSING_LABEL)
-    numbered = row_numbers(ids.select("text_id"), "n").withColumn("vec_id", F.col("n") % count)
-    return numbered.join(encoded.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
-
-
-def teacher(spark: SparkSession, sf_dir: str, ex: DataFrame, texts: DataFrame) -> DataFrame:
-    """Teacher vectors: document kind for numbered texts, query kind for query-prompted ones."""
-    vectors = table(spark, sf_dir, "embeddings")
-    count = vectors.agg(F.count(F.lit(1))).scalar()
-    doc = numbered_vectors(texts, spark, sf_dir)
-    prompted = query_prompted_texts(ex, texts).select("text_id")
+    table_ = table(spark, sf_dir, "embeddings")
+    count = table_.agg(F.count(F.lit(1))).scalar()
+    vectors = table_.select("vec_id", F.col("embedding").alias("vec"))
+    encoded = table_.filter(F.col("label") != MISSING_LABEL).select(F.col("vec_id").alias("base"), "embedding")
+    doc = numbered.select("text_id", (F.col("n") % count).alias("base")).join(encoded, "base")
+    prompted = query_prompted_texts(ex, numbered.withColumn("text", F.lit(""))).select("text_id")
     query = (
-        doc.select("text_id", "vec_id")
+        doc.select("text_id", ((F.col("base") * 7 + 3) % count).alias("vec_id"))
         .join(prompted, "text_id")
-        .select("text_id", ((F.col("vec_id") * 7 + 3) % count).alias("vec_id"))
-        .join(vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
+        .join(vectors, "vec_id")
+    )
+    return doc.select("text_id", F.col("embedding").alias("vec"), F.lit("doc").alias("kind")).unionByName(
+        query.select("text_id", "vec", F.lit("query").alias("kind"))
     )
-    kind = lambda df, k: df.select("text_id", "vec", F.lit(k).alias("kind"))
-    return kind(doc, "doc").unionByName(kind(query, "query"))
 
 
 def student(teacher_vectors: DataFrame) -> DataFrame:
@@ -204,8 +198,8 @@ def corpus(
     if not with_texts:
         ex = ex.withColumn("texts", F.array_repeat(F.lit(""), F.size("text_ids")))
     ex = stage(ex, "examples")
-    ids = stage(ex.select(F.explode("text_ids").alias("text_id")).distinct(), "ids")
-    vectors = stage(teacher(spark, sf_dir, ex, ids.withColumn("text", F.lit(""))), "teacher")
+    ids = ex.select(F.explode("text_ids").alias("text_id")).distinct()
+    vectors = stage(teacher(spark, sf_dir, ex, stage(row_numbers(ids, "n"), "ids")), "teacher")
     return ex, vectors, student(vectors)
 
 
