@@ -1,12 +1,13 @@
-"""The registered queries of the subpackage and their SQL counterparts."""
+"""The registered queries of the subpackage."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import bpe, substring_dedup
-from pairforge.llm.inputs import documents
+from pairforge.llm import bpe, decontaminate, substring_dedup
+from pairforge.llm.inputs import documents, table
+from pairforge.llm.oracles import ORACLES  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,6 +18,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests(coded))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = decontaminate.find_benchmark(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *decontaminate.summary())
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a smaller document has in a window of 13."""
     cut = substring_dedup.remove_repeats(documents(spark, sf_dir))
@@ -24,39 +31,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
     "op8_bpe": op8_bpe,
 }
-
-OP10_SQL = r"""
-WITH split AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
-),
-word AS (
-  SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM split
-),
-starts AS (
-  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM split WHERE len(words) >= 13
-),
-windows AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS gram FROM starts),
-firsts AS (SELECT gram, min(doc_id) AS first_id FROM windows GROUP BY gram),
-gone AS (
-  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos
-  FROM windows JOIN firsts USING (gram) WHERE first_id < doc_id
-),
-judged AS (
-  SELECT word.doc_id, word.pos, word.word, gone.pos IS NOT NULL AS cut FROM word LEFT JOIN gone USING (doc_id, pos)
-),
-kept AS (
-  SELECT doc_id, count(*) FILTER (cut) AS n_removed,
-    coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT cut), '') AS kept_text
-  FROM judged GROUP BY doc_id
-)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
-  sha256(coalesce(kept_text, '')) AS kept_sha256
-FROM split LEFT JOIN kept USING (doc_id)
-"""
-
-ORACLES: dict[str, str] = {
-    "op10_substring_dedup": OP10_SQL,
-}
