@@ -1,5 +1,36 @@
 """SQL counterparts of the registered queries, for DuckDB."""
 
+OP1_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS pos FROM split WHERE len(words) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM split
+  UNION
+  SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a
+),
+comp AS (SELECT node AS doc_id, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM comp LEFT JOIN sizes USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
@@ -75,6 +106,7 @@ FROM split LEFT JOIN kept USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
