@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import bpe, decontaminate, langid, minhash_dedup, substring_dedup
+from pairforge.llm import bpe, decontaminate, langid, minhash_dedup, pii, substring_dedup
 from pairforge.llm.inputs import documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
 
@@ -23,6 +23,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_personal_data(documents(spark, sf_dir)).select("doc_id", *pii.digests())
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -43,6 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_pii": op2_pii,
     "op7_language_id": op7_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
