@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import bpe, decontaminate, langid, minhash_dedup, pii, substring_dedup
+from pairforge.llm import bpe, decontaminate, fingerprint, langid, minhash_dedup, pii, substring_dedup
 from pairforge.llm.inputs import documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
 
@@ -28,6 +28,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir)).select("doc_id", *pii.digests())
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text."""
+    return fingerprint.compare_edited(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -49,6 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_pii": op2_pii,
+    "op3_fingerprint": op3_fingerprint,
     "op7_language_id": op7_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
