@@ -25,3 +25,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def ids_and_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Only ``doc_id`` (long) and ``text``; without an alias where none is needed, so equal scans can be shared."""
+    types = dict(df.dtypes)
+    key = F.col(doc_id) if types[doc_id] == "bigint" else F.col(doc_id).cast("long")
+    return df.select(
+        key if doc_id == "doc_id" and types[doc_id] == "bigint" else key.alias("doc_id"),
+        F.col(text) if text == "text" else F.col(text).alias("text"),
+    )

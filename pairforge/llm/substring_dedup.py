@@ -26,20 +26,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from pairforge.llm import spans as S
+from pairforge.llm.inputs import ids_and_texts
+from pairforge.session import stage
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 4
 
-_COUNT_BITS, _START_BITS = 4, 36  # of a mark; the other bits hold a hash of the text
+#: A mark holds, from the low end: windows of the run, its first window in the text, bits of the context's hash
+#: (with ``context`` 48 bits, beside the 64 of the anchor), and bits of the whole text's hash.
+_COUNT_BITS, _START_BITS, _CONTEXT_BITS = 4, 28, 16
+_TAG_AT = np.uint64(_COUNT_BITS + _START_BITS + _CONTEXT_BITS)
 
-RUN_SCHEMA = "anchor long, context long, doc_id long, mark long"
+RUN_SCHEMA = "anchor long, context int, doc_id long, mark long"
 MARKS = "array<long>"
 
 
 def _tag(text_hash: np.ndarray) -> np.ndarray:
-    return (text_hash >> np.uint64(_COUNT_BITS + _START_BITS)) << np.uint64(_COUNT_BITS + _START_BITS)
+    return (text_hash >> _TAG_AT) << _TAG_AT
 
 
 def _text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,9 +75,12 @@ def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = S.winnow(grams, WINDOW - ANCHOR + 1, valid)
             row = np.searchsorted(words.rows, runs.first, "right") - 1
             start = (runs.first - words.rows[row]).astype(np.uint64)
-            mark = _text_tags(part, at)[row] | start << np.uint64(_COUNT_BITS) | runs.count.astype(np.uint64)
             context = hashes.of(runs.first, runs.first + runs.count + WINDOW - 1)
-            columns = [grams[runs.anchor].view(np.int64), context.view(np.int64), ids[a:b][row], mark.view(np.int64)]
+            more = (context >> np.uint64(32)) & np.uint64((1 << _CONTEXT_BITS) - 1)
+            mark = more << np.uint64(_COUNT_BITS + _START_BITS) | start << np.uint64(_COUNT_BITS) | runs.count.astype(np.uint64)
+            mark |= _text_tags(part, at)[row]
+            low = context.astype(np.uint32).view(np.int32)
+            columns = [grams[runs.anchor].view(np.int64), low, ids[a:b][row], mark.view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "doc_id", "mark"])
 
 
@@ -100,7 +109,7 @@ def _rows(texts: pa.Array, marks: pa.Array):
             yield part, words, first, last, start, count, tags[i - a]
 
 
-@F.arrow_udf("array<struct<window: long, mark: long>>")
+@F.arrow_udf(ArrayType(StructType().add("window", LongType()).add("mark", LongType())))
 def open_windows(texts: pa.Array, marks: pa.Array) -> pa.Array:
     """The windows of the marked runs, one by one."""
     hashes, places, sizes, known = [], [], [], (None, None)
@@ -119,7 +128,7 @@ def open_windows(texts: pa.Array, marks: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf("n_words long, n_removed long, kept_text string")
+@F.arrow_udf(StructType().add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType()))
 def cut_words(texts: pa.Array, marks: pa.Array) -> pa.Array:
     """Word counts, and the words that stay, joined by one space."""
     totals, removed, kept = [], [], []
@@ -154,25 +163,36 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     repeats of each other, and each is judged by its own text.  Other columns
     are not read, an empty table gives an empty result.
     """
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = ids_and_texts(documents, doc_id, text)
     known = docs.filter("doc_id IS NOT NULL")
     runs = known.mapInArrow(seed_runs, RUN_SCHEMA)
     of_anchor = W.partitionBy("anchor")
-    of_context = W.partitionBy("anchor", "context").orderBy("doc_id")
-    met = runs.select(
-        "doc_id",
-        "mark",
-        (F.min("context").over(of_anchor) != F.max("context").over(of_anchor)).alias("several"),
-        (F.first("doc_id").over(of_context) < F.col("doc_id")).alias("repeat"),
-    ).filter("repeat OR several")
+    whole = F.struct("context", F.shiftrightunsigned("mark", _COUNT_BITS + _START_BITS).bitwiseAND((1 << _CONTEXT_BITS) - 1))
+    of_context = W.partitionBy("anchor", "whole").orderBy("doc_id")
+    met = stage(
+        runs.select("anchor", "doc_id", "mark", whole.alias("whole"))
+        .select(
+            "doc_id",
+            "mark",
+            (F.first("doc_id").over(of_context) < F.col("doc_id")).alias("repeat"),
+            (F.min("whole").over(of_anchor) != F.max("whole").over(of_anchor)).alias("several"),
+        )
+        .filter("repeat OR several")
+        .select("doc_id", "mark", "repeat"),
+        "repeats",
+    )
     still_open = _by_document(met.filter("NOT repeat").select("doc_id", "mark"))
-    seeds = known.join(still_open, "doc_id").select("doc_id", F.explode(open_windows("text", "marks")).alias("w"))
+    # The texts are shuffled once for both joins; a name of its own keeps the two sides alike.
+    seeds = known.join(still_open, "doc_id").select(
+        F.col("doc_id").alias("owner"), F.explode(open_windows("text", "marks")).alias("w")
+    )
     extended = (
-        seeds.select("doc_id", "w.window", "w.mark")
-        .withColumn("repeat", F.min("doc_id").over(W.partitionBy("window")) < F.col("doc_id"))
+        seeds.select("owner", "w.window", "w.mark")
+        .withColumn("repeat", F.min("owner").over(W.partitionBy("window")) < F.col("owner"))
         .filter("repeat")
+        .select(F.col("owner").alias("doc_id"), "mark")
     )
-    marks = _by_document(met.filter("repeat").select("doc_id", "mark").unionByName(extended.select("doc_id", "mark")))
+    marks = _by_document(met.filter("repeat").select("doc_id", "mark").unionByName(extended))
     judged = known.join(marks, "doc_id", "left").unionByName(
         docs.filter("doc_id IS NULL").withColumn("marks", F.lit(None).cast(MARKS))
     )
