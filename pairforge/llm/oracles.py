@@ -1,5 +1,7 @@
 """SQL counterparts of the registered queries, for DuckDB."""
 
+from pairforge.llm.license_scan import CONTAINED, SHINGLE, TEMPLATES
+
 OP1_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id,
@@ -105,8 +107,37 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS
 FROM split LEFT JOIN kept USING (doc_id)
 """
 
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+OP5_SQL = rf"""
+WITH notices(license, text) AS (VALUES {_NOTICES}),
+doc_words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words
+  FROM documents
+),
+notice_words AS (
+  SELECT license, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM notices
+),
+doc_grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos:pos + {SHINGLE - 1}], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {SHINGLE - 2})) AS pos FROM doc_words WHERE len(words) >= {SHINGLE})
+),
+notice_grams AS (
+  SELECT DISTINCT license, array_to_string(words[pos:pos + {SHINGLE - 1}], ' ') AS gram
+  FROM (SELECT license, words, unnest(range(1, len(words) - {SHINGLE - 2})) AS pos FROM notice_words)
+),
+wanted AS (SELECT license, count(*) AS n FROM notice_grams GROUP BY license),
+shared AS (SELECT doc_id, license, count(*) AS n FROM doc_grams JOIN notice_grams USING (gram) GROUP BY 1, 2),
+found AS (
+  SELECT doc_id, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS licenses
+  FROM shared JOIN wanted USING (license) WHERE 100 * shared.n >= {CONTAINED} * wanted.n GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses
+FROM doc_words LEFT JOIN found USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
+    "op5_license_scan": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
 }

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairforge.llm import bpe, decontaminate, fingerprint, langid, minhash_dedup, pii, substring_dedup
+from pairforge.llm import bpe, decontaminate, fingerprint, langid, license_scan, minhash_dedup, pii, substring_dedup
 from pairforge.llm.inputs import documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
 
@@ -33,6 +33,13 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    found = license_scan.scan(documents(spark, sf_dir))
+    names = F.array_join(F.transform("found", lambda f: f.license), ",")
+    return found.select("doc_id", "n_words", F.size("found").cast("long").alias("n_licenses"), names.alias("licenses"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -55,6 +62,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_pii": op2_pii,
     "op3_fingerprint": op3_fingerprint,
+    "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
