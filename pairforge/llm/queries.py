@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairforge.llm import bpe, decontaminate, fingerprint, langid, license_scan, minhash_dedup, pii, substring_dedup
+from pairforge.llm import bpe, decontaminate, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, substring_dedup
 from pairforge.llm.inputs import documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
 
@@ -33,6 +33,12 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(documents(spark, sf_dir))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every document."""
     found = license_scan.scan(documents(spark, sf_dir))
@@ -62,6 +68,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_pii": op2_pii,
     "op3_fingerprint": op3_fingerprint,
+    "op4_html_extract": op4_html_extract,
     "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
     "op9_decontaminate": op9_decontaminate,
