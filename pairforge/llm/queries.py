@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairforge.llm import bpe, decontaminate, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, substring_dedup
+from pairforge.llm import bpe, byte_dedup, decontaminate, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, substring_dedup
 from pairforge.llm.inputs import documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
 
@@ -46,6 +46,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("found").cast("long").alias("n_licenses"), names.alias("licenses"))
 
 
+def op6_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in strings of 200 bytes that start twice."""
+    cut = byte_dedup.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", byte_dedup.kept_digest())
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -70,6 +76,7 @@ QUERIES = {
     "op3_fingerprint": op3_fingerprint,
     "op4_html_extract": op4_html_extract,
     "op5_license_scan": op5_license_scan,
+    "op6_byte_dedup": op6_byte_dedup,
     "op7_language_id": op7_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
