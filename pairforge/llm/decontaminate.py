@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairforge.llm import spans as S
-from pairforge.llm.inputs import or_empty
+from pairforge.llm.inputs import fresh, or_empty
 
 WINDOW = 10
 GRAM = 5
@@ -155,10 +155,9 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     )
 
 
-def _broadcast_hits(documents: DataFrame, windows: pa.Table) -> DataFrame:
+def _broadcast_hits(documents: DataFrame, windows: pa.Table, text: str, out: str) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(_Index(windows))
 
-    @F.arrow_udf(HITS)
     def find(texts: pa.Array) -> pa.Array:
         index = shared.value
         totals, hits, codes, sizes = [], [], [], []
@@ -180,63 +179,63 @@ def _broadcast_hits(documents: DataFrame, windows: pa.Table) -> DataFrame:
             ["n_words", "n_hit", "items"],
         )
 
-    return documents.withColumn("_found", find("text")).select(
-        "doc_id", "text", "_found.n_words", "_found.n_hit", F.array_sort("_found.items").alias("items")
-    )
+    return documents.withColumn(out, F.arrow_udf(find, HITS)(text))
 
 
-def _joined_hits(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same by joins, for a benchmark of any size; documents are told apart by ``doc_id`` and text."""
+def _joined_hits(documents: DataFrame, windows: DataFrame, text: str, out: str) -> DataFrame:
+    """The same by joins, for a benchmark of any size; texts are told apart by a digest."""
     short = tuple(r[0] for r in windows.filter(F.col("size") < WINDOW).select("size").distinct().collect())
     seeds = F.arrow_udf(lambda texts: _seeds(texts, short), SEEDS)
     count = F.arrow_udf(lambda texts: pa.array([n for _, _, b in _blocks(texts) for n in np.diff(b.words.rows)], pa.int64()), "long")
-    keyed = documents.withColumn("_key", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), or_empty("text")), 256))
+    key = fresh(documents, "_key")
+    keyed = documents.withColumn(key, F.sha2(or_empty(text), 256))
     found = (
-        keyed.select("_key", F.explode(seeds("text")).alias("w"))
+        keyed.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+        .distinct()
+        .select("_key", F.explode(seeds("text")).alias("w"))
         .select("_key", "w.*")
         .join(windows.select("anchor").distinct(), "anchor", "left_semi")
         .join(windows.select("window", "size", "item_id"), ["window", "size"])
     )
     covered = found.select("_key", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
-    n_hit = covered.groupBy("_key").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = found.groupBy("_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return (
-        keyed.withColumn("n_words", count("text"))
-        .join(n_hit, "_key", "left")
-        .join(items, "_key", "left")
-        .select(
-            "doc_id", "text", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        )
+    n_hit = covered.groupBy("_key").agg(F.count(F.lit(1)).alias("_n_hit"))
+    items = found.groupBy("_key").agg(F.collect_set("item_id").alias("_items"))
+    facts = n_hit.join(items, "_key").withColumnRenamed("_key", key)
+    result = F.struct(
+        count(text).alias("n_words"),
+        F.coalesce("_n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
     )
+    return keyed.join(facts, key, "left").withColumn(out, result).drop(key, "_n_hit", "_items")
 
 
 def find_benchmark(
     documents: DataFrame,
     benchmark: DataFrame,
-    doc_id: str = "doc_id",
     text: str = "text",
+    out: str = "found",
     broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """One row for each row of ``documents``: doc_id, text, n_words, n_hit, items (sorted ids as strings).
+    """Add the struct ``out`` of n_words, n_hit and items (ids as strings) to every row of ``documents``.
 
     Null and empty texts have no words.  Items without words are found nowhere;
     items that share an id count as one.  Repeated rows are judged alike, other
-    columns are not read, and an empty table on either side finds nothing.
+    columns are kept, one of the name ``out`` is replaced, and an empty table on
+    either side finds nothing.
     """
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     windows = benchmark_windows(benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()))
     if windows.count() <= broadcast_windows:
-        return _broadcast_hits(docs, windows.toArrow())
-    return _joined_hits(docs, windows)
+        return _broadcast_hits(documents, windows.toArrow(), text, out)
+    return _joined_hits(documents, windows, text, out)
 
 
-def summary() -> list[Column]:
+def summary(found: str = "found") -> list[Column]:
     """Counts, digest and verdict of a row of ``find_benchmark``."""
+    items = F.array_sort(F.col(found)["items"])
     return [
-        F.col("n_words"),
-        F.col("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.col(found).n_words.alias("n_words"),
+        F.col(found).n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.col(found).n_hit > 0).alias("contaminated"),
     ]

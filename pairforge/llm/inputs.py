@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: The vocabulary of the registered queries; operators take any path.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

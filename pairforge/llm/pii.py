@@ -184,20 +184,12 @@ def _of_kind(spans: Column, code: int) -> Column:
     return F.filter(spans, lambda x: x.kind == code)
 
 
-def find_personal_data(documents: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
-    """Add ``base`` (struct of arrays by kind) and ``spans`` (array of kind, start, end: base ones and added ones).
-
-    Null and empty texts have no spans.  Repeated rows get equal spans.  Columns
-    of those names are replaced, others are kept; the rows are written once to
-    the shared folder without ``text``.  In an empty table nothing is learned.
-    """
-    plain = documents.withColumn("_held", F.pmod(F.xxhash64(text), F.lit(4)) == 3)
-    proposed = stage(propose(plain, text, "base", "_candidates").drop(text), "candidates")
-    model, least = fit(proposed, "_candidates", F.col("_held"), precision)
+def _chosen(proposed: DataFrame, candidates: str, model: boosting.Trees, least: list[float]) -> DataFrame:
+    """Add ``spans``: those of ``base`` and the selected candidates."""
     base_all = F.concat(*[F.col(f"base.{k}") for k in BASE_KINDS])
     # Margins are worked out inside the array; a candidate over a base span or an earlier better one gives way.
     scored = F.transform(
-        "_candidates",
+        candidates,
         lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"), model.column(lambda f: x[f]).alias("margin")),
     )
 
@@ -222,7 +214,47 @@ def find_personal_data(documents: DataFrame, text: str = "text", precision: floa
             code = ADDED_KINDS.index(kind)
             parts.append(_named(kind, _of_kind(added, code)))
         by_kind.append(F.array_sort(F.concat(*parts)))
-    return proposed.withColumn("_added", apart).withColumn("spans", F.concat(*by_kind)).drop("_added", "_candidates", "_held")
+    return proposed.withColumn("_added", apart).withColumn("spans", F.concat(*by_kind)).drop("_added")
+
+
+def _in_test(text: str) -> Column:
+    """The quarter of the texts on which thresholds are set."""
+    return F.pmod(F.xxhash64(text), F.lit(4)) == 3
+
+
+def redact(documents: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
+    """Replace every span of ``text`` by its kind in angle brackets; overlapping spans become one, of the first's kind.
+
+    A null text stays null.  All columns are kept.  Nothing is shuffled; the
+    generators run once for fitting and once for replacing.
+    """
+    proposed = propose(documents, text, "base", "_candidates")
+    model, least = fit(proposed, "_candidates", _in_test(text), precision)
+    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    whole = F.col(text)
+    step = lambda acc, s: F.struct(
+        F.greatest(acc.at, s.end).alias("at"),
+        F.when(s.start < acc.at, acc.out)
+        .otherwise(F.concat(acc.out, F.substring(whole, acc.at + 1, s.start - acc.at), F.lit("<"), s.kind, F.lit(">")))
+        .alias("out"),
+    )
+    done = lambda acc: F.concat(acc.out, F.substring(whole, acc.at + 1, F.length(whole) - acc.at))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.when(F.size("spans") > 0, F.aggregate(spans, start, step, done)).otherwise(whole)
+    return _chosen(proposed, "_candidates", model, least).withColumn(text, clean).select(documents.columns)
+
+
+def find_personal_data(documents: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
+    """Add ``base`` (struct of arrays by kind) and ``spans`` (array of kind, start, end: base ones and added ones).
+
+    Null and empty texts have no spans.  Repeated rows get equal spans.  Columns
+    of those names are replaced, others are kept; the rows are written once to
+    the shared folder without ``text``.  In an empty table nothing is learned.
+    """
+    plain = documents.withColumn("_held", _in_test(text))
+    proposed = stage(propose(plain, text, "base", "_candidates").drop(text), "candidates")
+    model, least = fit(proposed, "_candidates", F.col("_held"), precision)
+    return _chosen(proposed, "_candidates", model, least).drop("_candidates", "_held")
 
 
 def _join(spans: Column) -> Column:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairforge.llm import bpe, byte_dedup, decontaminate, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, substring_dedup
-from pairforge.llm.inputs import documents, table
+from pairforge.llm.inputs import VOCABULARY, documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
 
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
