@@ -17,10 +17,8 @@ from pairforge.operators.ordering import dense_position
 from pairforge.session import stage
 from pairforge.sources.catalogue import union_examples
 
-REPLY_TURNS = 10  # reply slots of a conversation that serve as another one's negatives
-
-
 MISSING_LABEL = 9
+CONVERSATIONS = 1 << 14  # of one bucket when turns are numbered
 
 # Declared, so that opening a table runs no schema-inference job.
 SCHEMAS = {
@@ -57,16 +55,16 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     replied = conv.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
-    return asked.join(replied.hint("merge"), ["conv_id", "turn"]).select(
-        "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("row_ord"), "query", "answer"
-    )
+    pairs = asked.join(replied.hint("merge"), ["conv_id", "turn"])
+    block = [F.floor(F.col("conv_id") / F.lit(CONVERSATIONS))]
+    return dense_position(pairs, block, ["conv_id", "turn"], out="row_ord").select("conv_id", "row_ord", "query", "answer")
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with a list of negatives: the replies in the first slots of the next conversation."""
+    """Turns with a list of negatives: the replies of the next conversation."""
     conv = table(spark, sf_dir, "conversations")
     replies = (
-        conv.filter((F.col("role") == "assistant") & (F.col("turn") < REPLY_TURNS))
+        conv.filter(F.col("role") == "assistant")
         .groupBy((F.col("conv_id") - 1).alias("conv_id"))
         .agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_r"))
         .select("conv_id", F.transform("_r", lambda r: r["text"]).alias("_replies"))

@@ -51,12 +51,12 @@ CTES: dict[str, str] = {
         FROM documents d1 JOIN documents d2 ON d2.doc_id = d1.doc_id + 1
         LEFT JOIN labels l ON l.doc_id = d1.doc_id""",
     "fx_turns": """
-        SELECT a.conv_id, a.conv_id * 1000 + a.turn AS row_ord, a.text AS query, b.text AS answer
+        SELECT a.conv_id, row_number() OVER (ORDER BY a.conv_id, a.turn) - 1 AS row_ord, a.text AS query, b.text AS answer
         FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
         WHERE a.role = 'user' AND b.role = 'assistant'""",
     "fx_replies": """
         SELECT conv_id - 1 AS conv_id, list(text ORDER BY turn) AS replies
-        FROM conversations WHERE role = 'assistant' AND turn < 10 GROUP BY 1""",
+        FROM conversations WHERE role = 'assistant' GROUP BY 1""",
     "fx_triples": f"""
         SELECT t.conv_id, row_ord, query, answer AS positive,
                list_concat(CASE WHEN t.conv_id % 3 = 0 THEN [''] ELSE {EMPTY} END,
@@ -156,7 +156,7 @@ CTES: dict[str, str] = {
         SELECT *, p % 2 AS rank, (p // 2) // 8 AS step, (p // 2) % 8 AS slot
         FROM (SELECT *, row_number() OVER (ORDER BY sha1('7:1:' || source_seq || ':' || row_ord)) - 1 AS p FROM ex)""",
     "full_batches": """
-        SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY step, rank) AS size FROM dealt) WHERE size = 8""",
+        SELECT * FROM dealt WHERE step < ((SELECT count(*) FROM ex) // 2) // 8""",
     "lacking": """
         SELECT DISTINCT source_seq, row_ord FROM sides WHERE text_id NOT IN (SELECT text_id FROM doc_vec)""",
     "batch_sides": """

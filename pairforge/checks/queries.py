@@ -30,6 +30,7 @@ SOURCE_CAP = 150
 BATCH = {"seed": 7, "epoch": 1, "world": 2, "batch_size": 8, "max_texts": 24}
 LANGUAGES = ("en", "fr")
 SIM_DIGITS = 9
+RETRIEVAL = 512  # size of the retrieval evaluation, first examples in order
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,22 +641,22 @@ def sts_spearman(spark, sf_dir):
 def retrieval_ranks(spark, sf_dir):
     """Rank of each query's own passage within the evaluation set."""
     ex, teacher, _ = fx.corpus(spark, sf_dir)
-    vectors = evaluate.retrieval_vectors(evaluate.retrieval_set(ex), teacher)
-    ranks = evaluate.own_ranks(vectors, 512, block=64, digits=SIM_DIGITS)
+    vectors = evaluate.retrieval_vectors(evaluate.retrieval_set(ex, RETRIEVAL), teacher)
+    ranks = evaluate.own_ranks(vectors, block=64, digits=SIM_DIGITS)
     return ranks.select(F.col("i").cast("long").alias("i"), "rank")
 
 
 @query
 def retrieval_eval(spark, sf_dir):
     ex, teacher, _ = fx.corpus(spark, sf_dir)
-    vectors = evaluate.retrieval_vectors(evaluate.retrieval_set(ex), teacher)
-    ranks = evaluate.own_ranks(vectors, 512, digits=SIM_DIGITS)
+    vectors = evaluate.retrieval_vectors(evaluate.retrieval_set(ex, RETRIEVAL), teacher)
+    ranks = evaluate.own_ranks(vectors, digits=SIM_DIGITS)
     return evaluate.retrieval_metrics(ranks).select("n", r6("recall_at_1").alias("recall_at_1"), r6("mrr").alias("mrr"))
 
 
 @query
 def eval_lang_counts(spark, sf_dir):
-    return evaluate.lang_counts(evaluate.retrieval_set(fx.examples(spark, sf_dir)))
+    return evaluate.lang_counts(evaluate.retrieval_set(fx.examples(spark, sf_dir), RETRIEVAL))
 
 
 def _flat_report(report: DataFrame) -> DataFrame:
@@ -676,7 +677,7 @@ def eval_report(spark, sf_dir):
     """The nested report over all examples, written as JSON and read back."""
     ex, teacher, _ = fx.corpus(spark, sf_dir)
     report = jobs.report_for(
-        evaluate.sts_pairs(ex, LANGUAGES), evaluate.retrieval_set(ex), teacher, LANGUAGES, 512, "student", digits=SIM_DIGITS
+        evaluate.sts_pairs(ex, LANGUAGES), evaluate.retrieval_set(ex, RETRIEVAL), teacher, LANGUAGES, "student", digits=SIM_DIGITS
     )
     path = scratch(spark, "report")
     tables.write_report(report, path)

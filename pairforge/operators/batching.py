@@ -7,7 +7,7 @@ from arrays of the example's own row, so no self-join is needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -33,7 +33,8 @@ def assign_batches(
     """Shuffle by hash, deal round-robin to ``world`` ranks, cut into full batches.
 
     Adds ``step``, ``rank`` and ``slot`` (position in the batch).  The order hash
-    depends on seed, epoch and example key only.  Incomplete batches are dropped.
+    depends on seed, epoch and example key only.  All ranks get equally many full
+    batches; the rows beyond are dropped.
     """
     mixed = F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *ORDER_KEY)
     hashed = examples.withColumn("_h", F.sha1(mixed))
@@ -41,15 +42,15 @@ def assign_batches(
     world_col = F.lit(world)
     rank = F.pmod("_pos", world_col)
     turn = F.floor(F.col("_pos") / world_col)
-    # Rows dealt to this rank, and so its number of full batches.
-    dealt = F.floor((F.col("_n") - rank + world_col - 1) / world_col)
+    # Every rank gets the number of full batches that the rank with the fewest rows can fill.
+    full = F.floor(F.floor(F.col("_n") / world_col) / F.lit(batch_size))
     return (
         placed.select(
             *examples.columns,
             F.floor(turn / F.lit(batch_size)).alias("step"),
             rank.cast("int").alias("rank"),
             F.pmod(turn, F.lit(batch_size)).cast("int").alias("slot"),
-            F.floor(dealt / F.lit(batch_size)).alias("_full"),
+            full.alias("_full"),
         )
         .filter(F.col("step") < F.col("_full"))
         .drop("_full")
@@ -57,7 +58,7 @@ def assign_batches(
 
 
 def eligible(
-    examples: DataFrame, embeddings: DataFrame, hot: Sequence[str] | None = None
+    examples: DataFrame, embeddings: DataFrame, hot: Mapping | None = None
 ) -> DataFrame:
     """Examples with ids on every side and a document vector for every id."""
     named = examples.filter(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +70,7 @@ def texts_to_encode(*rows: tuple[DataFrame, str, str]) -> DataFrame:
 
 
 def pair_similarity(
-    pairs: DataFrame, embeddings: DataFrame, hot: Sequence[str] | None = None
+    pairs: DataFrame, embeddings: DataFrame, hot: Mapping | None = None
 ) -> DataFrame:
     """Dot product of the unit vectors of ``a_id`` (query kind) and ``b_id`` (document kind).
 
@@ -110,9 +110,9 @@ def average_ranks(values: DataFrame, group: str, value: str, buckets: int = RANK
     cuts = cuts.withColumn("_ends", F.transform(ends, lambda i: F.get("_cuts", i - 1)))
     below_value = lambda c: c < F.col(value)
     inside_chunk = F.slice("_cuts", F.col("_whole") * chunk + 1, F.lit(chunk))
-    # Groups are the languages asked for: one short array each, joined under Spark's size check.
+    # One short array for each language asked for: broadcast, so no task gets a whole language.
     bucketed = (
-        values.join(cuts, group)
+        values.join(F.broadcast(cuts), group)
         .withColumn("_whole", F.size(F.filter("_ends", below_value)))
         .withColumn("_b", F.col("_whole") * chunk + F.size(F.filter(inside_chunk, below_value)))
         .drop("_cuts", "_ends", "_whole")
@@ -150,9 +150,9 @@ def spearman(scored: DataFrame, group: str = "lang", x: str = "sim", y: str = "l
     total = cells.groupBy(group).agg(F.sum("c").alias("_total"))
     centre = (F.col("_total") + 1) / 2
     dx, dy, c = F.col("_rx") - centre, F.col("_ry") - centre, F.col("c")
-    # One row per language asked for: Spark's own size check picks the join.
+    # One row per language asked for: broadcast, so no task gets a whole language.
     moments = (
-        ranked.join(total, group)
+        ranked.join(F.broadcast(total), group)
         .groupBy(group)
         .agg(
             F.sum("c").alias("n"),
@@ -183,7 +183,7 @@ def sts_report(scored: DataFrame, languages: Sequence[str]) -> DataFrame:
 
 
 def retrieval_set(
-    examples: DataFrame, limit: int = K.DEFAULT_RETRIEVAL_LIMIT, prompts: Prompts | None = None
+    examples: DataFrame, limit: int, prompts: Prompts | None = None
 ) -> DataFrame:
     """The first ``limit`` retrieval examples with a query and a positive, numbered ``i``.
 
@@ -217,7 +217,7 @@ def retrieval_vectors(chosen: DataFrame, embeddings: DataFrame) -> DataFrame:
     side = lambda i, c: F.struct(F.lit(i).alias("side"), F.col(c).alias("text_id"))
     refs = chosen.select("i", "lang", F.explode(F.array(side(0, "q_id"), side(1, "p_id"))).alias("_r"))
     refs = refs.select("i", "lang", "_r.side", "_r.text_id", (F.col("_r.side") == 0).alias("is_q"))
-    found = attach_vectors(refs, {"vec": (embeddings, "is_q")}, ["i", "side"], hot=())
+    found = attach_vectors(refs, {"vec": (embeddings, "is_q")}, ["i", "side"], hot={})
     on_side = lambda k: F.any_value(F.when(F.col("side") == k, F.col("vec")), F.lit(True))
     return (
         found.groupBy("i", "lang")
@@ -226,15 +226,16 @@ def retrieval_vectors(chosen: DataFrame, embeddings: DataFrame) -> DataFrame:
     )
 
 
-def own_ranks(vectors: DataFrame, limit: int, block: int = BLOCK, digits: int | None = None) -> DataFrame:
+def own_ranks(vectors: DataFrame, block: int = BLOCK, digits: int | None = None) -> DataFrame:
     """Rank of each query's own passage by descending score: ``(i, rank)``.
 
     The score matrix is computed block by block: query blocks meet passage
     blocks by equality on the block number, each task multiplies two blocks and
-    returns one count per query.  Ties go to the smaller index.  ``digits``
-    rounds scores before comparing.
+    returns one count per query.  The number of blocks comes from the largest
+    index ``i`` there is.  Ties go to the smaller index.  ``digits`` rounds scores
+    before comparing.
     """
-    n_blocks = -(-limit // block)
+    last_block = F.floor(vectors.agg(F.max("i").alias("i")).scalar() / F.lit(block)).cast("int")
     number = lambda c: F.floor(F.col(c) / F.lit(block)).cast("int")
     own = row_dot("q_vec", "p_vec")
     queries = vectors.select(
@@ -242,12 +243,12 @@ def own_ranks(vectors: DataFrame, limit: int, block: int = BLOCK, digits: int |
         F.col("q_vec").alias("vec"),
         own.alias("own"),
         number("i").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("pb"),
+        F.explode(F.sequence(F.lit(0), last_block)).alias("pb"),
     )
     passages = vectors.select(
         F.col("i").alias("j"),
         F.col("p_vec").alias("vec"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("to_qb"),
+        F.explode(F.sequence(F.lit(0), last_block)).alias("to_qb"),
         number("i").alias("own_pb"),
     )
 

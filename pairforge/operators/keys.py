@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge import constants as K
 from pairforge.functions.text import base_lang, text_id
 from pairforge.operators.ordering import cutoff_key
 from pairforge.operators.skew import hot_keys, skew_join
@@ -71,20 +70,18 @@ def distinct_texts(examples: DataFrame) -> DataFrame:
     )
 
 
-def cap_texts(texts: DataFrame, max_unique: int = K.DEFAULT_MAX_UNIQUE_TEXTS) -> DataFrame:
+def cap_texts(texts: DataFrame, max_unique: int) -> DataFrame:
     """The first ``max_unique`` texts in order of first appearance."""
     cutoff = cutoff_key(texts, max_unique, TEXT_ORDER)
     return texts.filter(cutoff.isNull() | (F.struct(*TEXT_ORDER) <= cutoff))
 
 
-def hot_texts(texts: DataFrame) -> tuple:
+def hot_texts(texts: DataFrame) -> dict:
     """Text ids that occur so often that lookups by them need salting."""
     return hot_keys(texts, "text_id", "n_uses")
 
 
-def cap_examples(
-    examples: DataFrame, texts: DataFrame, max_unique: int = K.DEFAULT_MAX_UNIQUE_TEXTS
-) -> DataFrame:
+def cap_examples(examples: DataFrame, texts: DataFrame, max_unique: int) -> DataFrame:
     """Examples whose every text is among the kept ones.
 
     A text first appears no later than any example that uses it, so examples up

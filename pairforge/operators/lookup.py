@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,35 +19,6 @@ def overlay(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def attach_vectors(
-    refs: DataFrame,
-    tables: dict[str, tuple[DataFrame, str | None]],
-    spread: Sequence[str],
-    **salting,
-) -> DataFrame:
-    """Attach vectors of several embedding tables at once.
-
-    ``tables`` maps the output column to (embeddings, flag column or None).  All
-    joins share one salting, so refs are shuffled a single time.
-    """
-    plan = Salting.of(refs, "text_id", **salting)
-    on = ["text_id", "_salt"]
-    joined, outputs = plan.left(refs, spread), []
-    for name, (embeddings, flag) in tables.items():
-        kinds = embeddings.select("text_id", "kind", "vec")
-        doc = kinds.filter(F.col("kind") == "doc").select("text_id", F.col("vec").alias(f"_d_{name}"))
-        joined = joined.join(plan.right(doc), on)
-        vector = F.col(f"_d_{name}")
-        if flag:
-            query = kinds.filter(F.col("kind") == "query").select(
-                "text_id", F.col("vec").alias(f"_q_{name}")
-            )
-            joined = joined.join(plan.right(query), on, "left")
-            vector = F.when(F.col(flag), F.coalesce(f"_q_{name}", f"_d_{name}")).otherwise(vector)
-        outputs.append(vector.alias(name))
-    return joined.select(*refs.columns, *outputs)
-
-
 def lookup_vectors(
     refs: DataFrame,
     embeddings: DataFrame,
@@ -55,7 +26,7 @@ def lookup_vectors(
     *,
     use_query: str | None = None,
     out: str = "vec",
-    hot: Sequence[str] | None = None,
+    hot: Mapping | None = None,
 ) -> DataFrame:
     """Attach to each ref the vector of its ``text_id``; refs without one are dropped.
 
@@ -68,14 +39,14 @@ def attach_vectors(
     refs: DataFrame,
     tables: dict[str, tuple[DataFrame, str | None]],
     spread: Sequence[str],
-    hot: Sequence[str] | None = None,
+    hot: Mapping | None = None,
 ) -> DataFrame:
     """Attach vectors of several embedding tables at once.
 
     ``tables`` maps the output column to (embeddings, flag column or None).  All
     joins share one key and one salting, so refs are shuffled a single time.
     """
-    plan = Salting("text_id", tuple(hot_keys_of(refs, "text_id") if hot is None else hot))
+    plan = Salting("text_id", hot_keys_of(refs, "text_id") if hot is None else dict(hot))
     joined, outputs = plan.left(refs, spread), []
 
     def of_kind(embeddings: DataFrame, kind: str, name: str) -> DataFrame:
@@ -93,14 +64,14 @@ def attach_vectors(
 
 
 def with_vector(
-    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Sequence[str] | None = None
+    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Mapping | None = None
 ) -> DataFrame:
     """Refs whose text id has a document vector."""
     return skew_join(refs, _known(embeddings), "text_id", "left_semi", spread, hot)
 
 
 def without_vector(
-    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Sequence[str] | None = None
+    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Mapping | None = None
 ) -> DataFrame:
     """Refs whose text id has no document vector."""
     return skew_join(refs, _known(embeddings), "text_id", "left_anti", spread, hot)

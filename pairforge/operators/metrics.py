@@ -123,7 +123,9 @@ def _pair_gap(student: np.ndarray, teacher: np.ndarray, i: np.ndarray, j: np.nda
 
 
 def _bounded(df: DataFrame, world: int, max_texts: int, *indices: str) -> DataFrame:
-    ok = (F.col("rank") >= 0) & (F.col("rank") < world)
+    """Rows whose indices lie inside the batch; a rank outside the world is an error, not a row less."""
+    wrong = F.raise_error(F.concat(F.lit(f"rank outside 0..{world - 1}: "), F.coalesce(F.col("rank").cast("string"), F.lit("null"))))
+    ok = F.when((F.col("rank") >= 0) & (F.col("rank") < world), F.lit(True)).otherwise(wrong.cast("boolean"))
     for name in indices:
         ok = ok & (F.col(name) >= 0) & (F.col(name) < max_texts)
     return df.filter(ok)
@@ -134,7 +136,7 @@ def batch_losses(
     positives: DataFrame,
     graded: DataFrame,
     *,
-    world: int = 1,
+    world: int,
     max_texts: int = K.DEFAULT_TEXTS_PER_BATCH,
     settings: LossSettings = LossSettings(),
     parts: Sequence[str] = PARTS,

@@ -29,6 +29,12 @@ def mean_pool(tokens: DataFrame, key: str = "id") -> DataFrame:
 
 
 def last_pool(tokens: DataFrame, key: str = "id") -> DataFrame:
-    """The vector at the last unmasked position per key; the same under left and right padding."""
-    kept = tokens.filter(F.col("mask").cast("int") == 1)
-    return kept.groupBy(key).agg(F.max_by("vec", "pos").alias("vec"))
+    """The vector at the last unmasked position per key; the same under left and right padding.
+
+    A key without an unmasked position gives the zero vector, as in ``mean_pool``.
+    """
+    kept = F.coalesce(F.col("mask").cast("int"), F.lit(0)) == 1
+    zeros = F.transform(F.any_value("vec"), lambda x: x * 0)
+    # A null order is passed over by max_by.
+    last = F.max_by("vec", F.when(kept, F.col("pos")))
+    return tokens.groupBy(key).agg(F.coalesce(last, zeros).alias("vec"))

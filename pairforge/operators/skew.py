@@ -1,35 +1,35 @@
-"""Key lookups that stay balanced when one key holds a large share of the rows.
+"""Key lookups that stay balanced when keys hold a large share of the rows.
 
-The left side has many rows per key, the right side at most one.  Left rows of
-a hot key are spread over ``salts`` sub-keys and the right row of a hot key is
-repeated once per sub-key; every other row keeps sub-key 0.  Each left row
-still meets exactly its own right row, so results do not change.
+The left side has many rows per key, the right side at most one.  A key with
+more than ``TARGET_ROWS`` rows is hot: its left rows are spread over as many
+sub-keys as it needs to stay below that, and its right row is repeated once per
+sub-key; every other row keeps sub-key 0.  Each left row still meets exactly
+its own right row, so results do not change.
 
-Which keys are hot only decides how rows are spread.  The list is the top
-``MAX_HOT`` keys with at least ``MIN_HOT_ROWS`` rows, so its size is fixed; a
-key that misses it has at most 1/``MAX_HOT`` of the rows.  Without hot keys the
-join is a plain join.
+There are at most rows / ``TARGET_ROWS`` hot keys, none is left out.  They are
+joined from a small table, broadcast up to ``BROADCAST_KEYS`` keys and under
+Spark's own choice beyond.  Without hot keys the join is a plain join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_HOT = 512
-MIN_HOT_ROWS = 200_000
-SALTS = 64
+TARGET_ROWS = 200_000
+BROADCAST_KEYS = 1_000_000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n") -> tuple:
-    """The hottest keys of a table of key counts, at most ``MAX_HOT``.  Runs one small job."""
-    top = counts.filter(F.col(n) >= MIN_HOT_ROWS).orderBy(F.desc(n), key).limit(MAX_HOT)
-    return tuple(row[0] for row in top.select(key).collect())
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> dict:
+    """Hot keys of a table of key counts with their number of sub-keys.  Runs one small job."""
+    parts = F.ceil(F.col(n) / F.lit(TARGET_ROWS)).cast("int")
+    hot = counts.filter((F.col(n) > TARGET_ROWS) & F.col(key).isNotNull()).select(key, parts.alias("parts"))
+    return {row[0]: row[1] for row in hot.toLocalIterator()}
 
 
-def hot_keys_of(rows: DataFrame, key: str) -> tuple:
+def hot_keys_of(rows: DataFrame, key: str) -> dict:
     """Hot keys of a table of rows; counts are combined on the map side."""
     return hot_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
 
@@ -37,28 +37,31 @@ def hot_keys_of(rows: DataFrame, key: str) -> tuple:
 @dataclass(frozen=True)
 class Salting:
     key: str
-    hot: tuple
-    salts: int = SALTS
+    hot: Mapping = field(default_factory=dict)
 
     @property
     def on(self) -> list[str]:
         return [self.key, "_salt"] if self.hot else [self.key]
 
-    def _is_hot(self) -> Column:
-        return F.coalesce(F.col(self.key).isin(*self.hot), F.lit(False))
+    def _with_parts(self, df: DataFrame) -> DataFrame:
+        kind = dict(df.dtypes)[self.key]
+        table = df.sparkSession.createDataFrame(list(self.hot.items()), f"`{self.key}` {kind}, _parts int")
+        if len(self.hot) <= BROADCAST_KEYS:
+            table = F.broadcast(table)
+        return df.join(table, self.key, "left")
 
     def left(self, df: DataFrame, spread: Sequence[str | Column]) -> DataFrame:
-        """Spread the rows of hot keys by a hash of ``spread``, so a retry gives the same salt."""
+        """Spread the rows of hot keys by a hash of ``spread``, so a retry gives the same sub-key."""
         if not self.hot:
             return df
-        slot = F.pmod(F.xxhash64(*spread), F.lit(self.salts)).cast("int")
-        return df.withColumn("_salt", F.when(self._is_hot(), slot).otherwise(F.lit(0)))
+        slot = F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")
+        return self._with_parts(df).select(*df.columns, F.coalesce(slot, F.lit(0)).alias("_salt"))
 
     def right(self, df: DataFrame) -> DataFrame:
         if not self.hot:
             return df
-        copies = F.when(self._is_hot(), F.sequence(F.lit(0), F.lit(self.salts - 1)))
-        return df.withColumn("_salt", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
+        copies = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+        return self._with_parts(df).select(*df.columns, F.explode(copies).alias("_salt"))
 
 
 def skew_join(
@@ -67,8 +70,7 @@ def skew_join(
     key: str,
     how: str,
     spread: Sequence[str | Column],
-    hot: Sequence | None = None,
-    salts: int = SALTS,
+    hot: Mapping | None = None,
 ) -> DataFrame:
     """``left.join(right, key, how)`` for inner, left, left_semi and left_anti with salted hot keys.
 
@@ -77,6 +79,6 @@ def skew_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    plan = Salting(key, tuple(hot_keys_of(left, key) if hot is None else hot), salts)
+    plan = Salting(key, hot_keys_of(left, key) if hot is None else dict(hot))
     joined = plan.left(left, spread).join(plan.right(right), plan.on, how)
     return joined.drop("_salt")

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,18 +28,24 @@ def build_corpus(
     catalogue: Sequence[Source],
     out: str,
     *,
-    max_unique: int = K.DEFAULT_MAX_UNIQUE_TEXTS,
+    max_unique: int | None = None,
     per_shard: int = K.DEFAULT_EXAMPLES_PER_SHARD,
 ) -> DataFrame:
     """Sources to example shards and unique texts; returns the summary row.
 
     Normalised examples are written once because counting, capping and
-    splitting each read them again.
+    splitting each read them again.  All unique texts are kept unless
+    ``max_unique`` says how many.
     """
     loaded = with_fallback(load_examples(spark, root, catalogue))
     examples = stage(assign_text_ids(require_valid(loaded)), "examples")
     texts = stage(distinct_texts(examples), "texts")
-    kept_texts, kept = cap_texts(texts, max_unique), cap_examples(examples, texts, max_unique)
+    if max_unique is None:
+        kept_texts, kept = texts, examples
+    else:
+        # Counting positions and writing shards both read the kept examples.
+        kept_texts = cap_texts(texts, max_unique)
+        kept = stage(cap_examples(examples, texts, max_unique), "kept")
     tables.write_texts(kept_texts, f"{out}/texts")
     tables.write_shards(kept, f"{out}/examples", per_shard)
     summary = tables.build_summary(
@@ -77,7 +83,7 @@ def measure_alignment(
     settings: metrics.LossSettings = metrics.LossSettings(),
     parts: Sequence[str] = metrics.PARTS,
     prompts: Prompts | None = None,
-    hot: Sequence[str] | None = None,
+    hot: Mapping | None = None,
 ) -> DataFrame:
     """Losses per step and rank of student vectors against teacher vectors.
 
@@ -119,7 +125,7 @@ def measure_alignment(
         with_teacher = attach_vectors(refs, {"t_vec": (teacher, "use_query")}, place, hot)
         by_student = with_teacher.drop("text_id").withColumnRenamed("student_id", "text_id")
         # A hot text is hot under its prompted form as well.
-        hot_students = hot_keys_of(texts.select(F.col("student_id").alias("text_id")), "text_id") if hot else ()
+        hot_students = hot_keys_of(texts.select(F.col("student_id").alias("text_id")), "text_id") if hot else {}
         vectors = attach_vectors(by_student, {"s_vec": (encoded, None)}, place, hot_students)
     return metrics.batch_losses(
         vectors,
@@ -141,7 +147,7 @@ def capped_batches(
     world: int = 1,
     batch_size: int = K.DEFAULT_BATCH_SIZE,
     max_texts: int = K.DEFAULT_TEXTS_PER_BATCH,
-    hot: Sequence[str] | None = None,
+    hot: Mapping | None = None,
 ) -> DataFrame:
     """Batches after dropping ineligible examples and cutting to the text cap.
 
@@ -182,7 +188,7 @@ def evaluate_model(
         (chosen, "p_id", "p_text"),
     )
     vectors = stage(encode(texts, factory, half=False), "eval-vectors")
-    report = report_for(pairs, chosen, vectors, languages, limit, model, fell_back)
+    report = report_for(pairs, chosen, vectors, languages, model, fell_back)
     tables.write_report(report, out)
     return report
 
@@ -192,7 +198,6 @@ def report_for(
     chosen: DataFrame,
     embeddings: DataFrame,
     languages: Sequence[str],
-    limit: int,
     model: str,
     fell_back: bool = False,
     digits: int | None = None,
@@ -202,7 +207,7 @@ def report_for(
     if digits is not None:
         scored = scored.withColumn("sim", F.round("sim", digits))
     vectors = evaluate.retrieval_vectors(chosen, embeddings)
-    ranks = evaluate.own_ranks(vectors, limit, digits=digits)
+    ranks = evaluate.own_ranks(vectors, digits=digits)
     return evaluate.eval_report(
         evaluate.sts_report(scored, languages),
         evaluate.retrieval_metrics(ranks),

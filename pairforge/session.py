@@ -7,6 +7,7 @@ statistics, and safe against lost executors.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,9 +34,15 @@ def local_session(cores: str = "*", app: str = "pairforge", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh one only where none is set."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is set, a fresh folder serves in local mode; on a cluster that is
+    an error, as executors would each write to their own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="pairforge-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -6,24 +6,19 @@ which may be one file or a folder of part files.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import accumulate
-from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from pairforge import constants as K
 from pairforge.operators.normalize import normalize_source
 from pairforge.schemas import EXAMPLE
 
 
-# File lists up to this length (about 200 MB of paths) are broadcast.
-BROADCAST_FILES = 1_000_000
-
-
 @dataclass(frozen=True)
 class Source:
     group: str
@@ -67,50 +62,57 @@ def catalogue_from_config(config: dict) -> list[Source]:
     ]
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Open a path whose name may hold characters that readers take for a pattern."""
+    return spark.read.parquet(re.sub(r"([\\\[\]{}*?])", r"\\\1", path))
+
+
 def _scan(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return _read(spark, path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
+def _file_offsets(df: DataFrame) -> DataFrame:
+    """_path and _start, the number of rows in the files before it in order of their paths.
+
+    A row per file, kept as a table; folders are ordered first, then the files
+    of one folder, so no task orders all files.
+    """
+    path = F.col("_metadata.file_path")
+    counts = df.groupBy(path.alias("_path")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_folder", F.regexp_replace("_path", "/[^/]*$", ""))
+    folders = counts.groupBy("_folder").agg(F.sum("_n").alias("_total"))
+    earlier = W.orderBy("_folder").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_folder").orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
+    before = folders.select("_folder", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    start = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    return counts.join(before, "_folder").select("_path", start.alias("_start"))
+
+
 def scan_source(
     spark: SparkSession, root: str, source: Source, limit: int | None = None
 ) -> DataFrame | None:
     """Scan with ``row_ord``, the row's position in the source; ``None`` when the path is missing.
 
     Positions come from the file order and the row index Parquet readers expose,
-    so they are stable across retries.  Of a source with several files only
-    those that start before ``limit`` are read.  The per-file counts come from
-    file footers; their number is the file listing Spark holds anyway.
+    so they are stable across retries.  Partition columns are kept.  File names
+    and counts stay in a table that is joined to the rows; the rows' side is
+    split by Spark where one file holds many.
     """
     df = _scan(spark, source.path(root))
     if df is None:
         return None
-    files = df.inputFiles()
     row = F.col("_metadata.row_index")
-    if len(files) <= 1:
+    if len(df.inputFiles()) <= 1:
         out = df.select("*", row.alias("row_ord"))
     else:
-        path = F.col("_metadata.file_path")
-        counts = dict(df.groupBy(path.alias("p")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator())
-        ordered = sorted(counts)
-        starts = [0, *accumulate(counts[p] for p in ordered)]
-        wanted = [(p, s) for p, s in zip(ordered, starts) if limit is None or s < max(limit, 1)]
-        offsets = spark.createDataFrame(
-            wanted, T.StructType().add("_path", "string").add("_start", "long")
-        )
-        schema = df.schema
-        # The metadata column holds percent-encoded paths.
-        part = spark.read.schema(schema).parquet(*[unquote(p) for p, _ in wanted])
-        # One short row per file: broadcast while the listing is small, a plain join beyond.
-        if len(wanted) <= BROADCAST_FILES:
-            offsets = F.broadcast(offsets)
+        rows = df.select("*", F.col("_metadata.file_path").alias("_path"), row.alias("_row"))
         out = (
-            part.select("*", path.alias("_path"), row.alias("_row"))
-            .join(offsets, "_path")
+            rows.join(_file_offsets(df), "_path")
             .withColumn("row_ord", F.col("_start") + F.col("_row"))
             .drop("_path", "_start", "_row")
         )
@@ -149,43 +151,36 @@ MANIFEST = T.StructType(
         T.StructField("lang", T.StringType()),
         T.StructField("path", T.StringType()),
         T.StructField("status", T.StringType()),
+        T.StructField("rows", T.LongType()),
     ]
 )
 
 
+def _status(error: Exception) -> str:
+    condition = error.getCondition() if isinstance(error, PySparkException) else None
+    return f"error: {condition or type(error).__name__}"
+
+
 def ingest_manifest(spark: SparkSession, root: str, catalogue: Sequence[Source]) -> DataFrame:
     """One row per source with its row count and status; one bad source does not stop the others.
 
+    Each source is opened and counted on its own, so a missing path, a file that
+    is no Parquet and any other failure becomes the status of that source.
     Ingest keeps twice the later cap as headroom.
     """
-    entries, scans = [], []
+    entries = []
     for seq, source in enumerate(catalogue):
-        path, status = source.path(root), "ok"
+        path, status, rows = source.path(root), "ok", 0
         try:
-            df = spark.read.parquet(path)
-            scans.append(
-                df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(seq).alias("source_seq"), "rows")
-            )
-        except AnalysisException as error:
-            path, status = None, f"error: {error.getCondition()}"
+            rows = _read(spark, path).count()
+        except Exception as error:  # noqa: BLE001  whatever stops one source must not stop the rest
+            path, status = None, _status(error)
+        if source.max_examples is not None:
+            rows = min(rows, 2 * source.max_examples)
         entries.append(
-            (seq, source.group, source.name, source.config, source.split, source.lang, path, status)
+            (seq, source.group, source.name, source.config, source.split, source.lang, path, status, rows)
         )
-    manifest = spark.createDataFrame(entries, MANIFEST)
-    headroom = spark.createDataFrame(
-        [(i, None if s.max_examples is None else 2 * s.max_examples) for i, s in enumerate(catalogue)],
-        "source_seq int, cap long",
-    )
-    if scans:
-        counts = reduce(DataFrame.unionByName, scans)
-    else:
-        counts = spark.createDataFrame([], "source_seq int, rows long")
-    return (
-        manifest.join(headroom, "source_seq")
-        .join(counts, "source_seq", "left")
-        .withColumn("rows", F.least(F.coalesce("rows", F.lit(0)), F.col("cap")))
-        .drop("cap")
-    )
+    return spark.createDataFrame(entries, MANIFEST)
 
 
 def manifest_document(

@@ -72,7 +72,7 @@ def test_batches_against_a_plain_loop(spark, world, size):
     want = []
     for rank in range(world):
         mine = rows[rank::world]
-        for step in range(len(mine) // size):
+        for step in range(len(rows) // world // size):
             want += [(*k, step, rank, slot) for slot, k in enumerate(mine[step * size : (step + 1) * size])]
     for parts in (1, 13):
         got = B.assign_batches(ex.repartition(parts), seed=5, epoch=2, world=world, batch_size=size)
@@ -134,6 +134,7 @@ def points(rng, n, s_dim, t_dim, valid=None, rank=0):
 
 def run(spark, rows, positive, graded, **kw):
     pair = lambda ps: spark.createDataFrame([(0, 0, i, j) for i, j in ps], PAIRS)
+    kw.setdefault("world", 1)
     out = M.batch_losses(
         spark.createDataFrame(rows, POINTS).repartition(3), pair(positive), pair(graded), **kw
     ).orderBy("rank").collect()
@@ -196,6 +197,23 @@ def test_ranks_share_matrices_but_not_graded_pairs(spark):
     assert got[0].n == 16 and got[0].n_valid == 7
 
 
+def test_losses_need_the_world_and_refuse_other_ranks(spark):
+    rng = np.random.default_rng(6)
+    rows = [r for rank in range(3) for r in points(rng, 4, 4, 4, rank=rank)[0]]
+    vectors_, pairs = spark.createDataFrame(rows, POINTS), spark.createDataFrame([(0, 0, 0, 1)], PAIRS)
+    with pytest.raises(TypeError):
+        M.batch_losses(vectors_, pairs, pairs)
+    with pytest.raises(Exception, match="rank outside 0..1: 2"):
+        M.batch_losses(vectors_, pairs, pairs, world=2, max_texts=8).collect()
+    assert M.batch_losses(vectors_, pairs, pairs, world=3, max_texts=8).filter("n_valid = 12").count() == 3
+
+
+def test_ranks_get_equally_many_batches(spark):
+    ex = random_examples(spark, 15)
+    got = B.assign_batches(ex, world=2, batch_size=8)
+    assert got.count() == 0 and B.assign_batches(ex, world=2, batch_size=7).groupBy("rank").count().count() == 2
+
+
 def test_measure_alignment_end_to_end(spark):
     ex = random_examples(spark, 60)
     ids = sorted({i for r in ex.collect() for i in r.text_ids})

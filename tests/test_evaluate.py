@@ -15,7 +15,7 @@ def spearman(x, y):
 @pytest.mark.parametrize("hot_rows", [2, 10**9])
 @pytest.mark.parametrize("parts", [1, 7])
 def test_spearman_with_heavy_ties(spark, monkeypatch, hot_rows, parts):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", hot_rows)
+    monkeypatch.setattr(skew, "TARGET_ROWS", hot_rows)
     rng = np.random.default_rng(0)
     n = 900
     lang = np.where(rng.random(n) < 0.6, "en", "fr")
@@ -94,18 +94,29 @@ def test_retrieval_against_a_loop(spark, block):
     ids = {r.q_id for r in picked} | {r.p_id for r in picked}
     vec = {i: rng.integers(-3, 4, size=5).tolist() for i in sorted(ids)}
     found = E.retrieval_vectors(chosen, vectors(spark, vec))
-    got = {r.i: r["rank"] for r in E.own_ranks(found, limit, block=block).collect()}
+    got = {r.i: r["rank"] for r in E.own_ranks(found, block=block).collect()}
     q = np.array([vec[r.q_id] for r in picked], float)
     p = np.array([vec[r.p_id] for r in picked], float)
     s = q @ p.T
     want = {i: 1 + sum(1 for j in range(limit) if j != i and (s[i, j] > s[i, i] or (s[i, j] == s[i, i] and j < i))) for i in range(limit)}
     assert got == want
-    m = E.retrieval_metrics(E.own_ranks(found, limit, block=block)).first()
+    m = E.retrieval_metrics(E.own_ranks(found, block=block)).first()
     assert m.n == limit and m.recall_at_1 == pytest.approx(np.mean([r == 1 for r in want.values()]))
     assert m.mrr == pytest.approx(np.mean([1 / r for r in want.values()]))
     assert [(r.lang, r.n) for r in E.lang_counts(chosen).collect()] == [("en", 7), ("ko", 4)]
 
 
+def test_ranks_reach_to_the_last_row(spark):
+    """Row k scores its own passage below those of the k rows before it."""
+    n = 8
+    q = np.tril(np.ones((n, n))) - np.eye(n) * 0.5
+    rows = [(i, q[i].tolist(), np.eye(n)[i].tolist()) for i in range(n)]
+    found = spark.createDataFrame(rows, "i int, q_vec array<float>, p_vec array<float>")
+    for block in (1, 3, 100):
+        assert {r.i: r["rank"] for r in E.own_ranks(found, block=block).collect()} == {i: i + 1 for i in range(n)}
+    assert E.own_ranks(found.limit(0)).count() == 0
+
+
 def test_retrieval_guard(spark):
     ranks = spark.createDataFrame([(0, 1)], "i int, rank long")
     assert E.retrieval_metrics(ranks).first().asDict() == {"n": 1, "recall_at_1": None, "mrr": None}

@@ -48,7 +48,7 @@ def test_distinct_texts_first_appearance(spark):
 
 @pytest.mark.parametrize("cap", [1, 7, 20, 10_000])
 def test_caps(spark, width, cap, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 5)
+    monkeypatch.setattr(skew, "TARGET_ROWS", 5)
     ex = random_examples(spark, 120, seed=cap)
     order = list(dict.fromkeys(i for r in ordered(ex) for i in r.text_ids))
     keep = set(order[:cap])
@@ -84,27 +84,31 @@ def test_row_numbers(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skew_join_equals_plain_join(spark, monkeypatch, how):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 10)
+    monkeypatch.setattr(skew, "TARGET_ROWS", 10)
     left = spark.range(300).select(
         F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
     ).unionByName(spark.createDataFrame([(900, None)], "row long, k string"))
     right = left.select("k").distinct().filter("k is null or k != 'k7'").withColumn("v", F.length("k"))
-    assert skew.hot_keys_of(left, "k") == ("hot",)
+    assert skew.hot_keys_of(left, "k") == {"hot": 10}
     want = left.join(right, "k", how)
-    got = skew.skew_join(left, right, "k", how, ["row"], salts=5)
+    got = skew.skew_join(left, right, "k", how, ["row"])
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_hot_rows_are_spread(spark):
-    plan = skew.Salting("k", ("hot",), 8)
+    plan = skew.Salting("k", {"hot": 8})
     left = plan.left(spark.range(800).withColumn("k", F.lit("hot")), ["id"])
     sizes = [r["count"] for r in left.groupBy("_salt").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 200
     assert plan.right(spark.createDataFrame([("hot",), ("x",)], "k string")).count() == 9
 
 
-def test_hot_list_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 1)
-    monkeypatch.setattr(skew, "MAX_HOT", 4)
-    assert len(skew.hot_keys_of(spark.range(100), "id")) == 4
+def test_every_hot_key_is_split_by_its_size(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TARGET_ROWS", 10)
+    rows = spark.range(2000 * 30).select((F.col("id") % 2000).alias("k"), F.col("id").alias("row"))
+    rows = rows.unionByName(spark.range(400).select(F.lit(7).cast("long").alias("k"), (F.col("id") + 10**6).alias("row")))
+    hot = skew.hot_keys_of(rows, "k")
+    assert len(hot) == 2000 and hot[7] == 43 and hot[8] == 3
+    largest = skew.Salting("k", hot).left(rows, ["row"]).groupBy("k", "_salt").count().agg(F.max("count")).first()[0]
+    assert largest <= 30

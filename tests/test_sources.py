@@ -12,6 +12,7 @@ from pairforge import constants as K
 from pairforge.operators import lookup, registry
 from pairforge.plans import jobs
 from pairforge.sources import catalogue as C
+from pairforge.session import shared_dir
 from pairforge.sources import tables
 
 
@@ -58,6 +59,45 @@ def test_load_examples_skips_missing_and_unknown(spark, folder):
     assert manifest["good"].rows == 3 and manifest["good"].status == "ok" and manifest["odd"].rows == 1
 
 
+def test_partition_columns_and_odd_names_are_kept(spark, folder):
+    source = C.Source("sts", "by score [x] {y}")
+    rows = [(f"a{i}", f"b{i}", i % 3) for i in range(20)]
+    spark.createDataFrame(rows, "sentence1 string, sentence2 string, score int").repartition(2).write.partitionBy("score").parquet(source.path(folder))
+    got = C.scan_source(spark, folder, source).collect()
+    assert sorted((r.sentence1, r.score) for r in got) == sorted((a, s) for a, _, s in rows)
+    assert sorted(r.row_ord for r in got) == list(range(20))
+    assert {r.label for r in C.load_examples(spark, folder, [source]).collect()} == {0.0, 1.0, 2.0}
+
+
+def test_an_unreadable_source_becomes_a_status(spark, folder):
+    good, bad, late = C.Source("sts", "good"), C.Source("sts", "bad"), C.Source("sts", "late")
+    for source in (good, late):
+        put(spark, folder, source, [("a", "b")], "text1 string, text2 string", files=1)
+    Path(bad.path(folder)).parent.mkdir(parents=True)
+    Path(bad.path(folder)).write_bytes(b"no parquet at all")
+    next(Path(late.path(folder)).glob("*.parquet")).write_bytes(b"PAR1 broken PAR1")
+    got = {r.name: (r.rows, r.status) for r in C.ingest_manifest(spark, folder, [bad, late, good]).collect()}
+    assert got["good"] == (1, "ok") and got["bad"][0] == got["late"][0] == 0
+    assert got["bad"][1].startswith("error: ") and got["late"][1].startswith("error: ")
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_manifest_document(spark, folder):
     good = C.Source("sts", "good", max_examples=1)
     put(spark, folder, good, [(f"a{i}", "b") for i in range(5)], "text1 string, text2 string")
@@ -119,7 +159,7 @@ def test_bucketed_vectors_are_not_shuffled(spark, folder):
     refs = spark.createDataFrame([(i, f"k{i % 50}") for i in range(100)], "row int, text_id string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = lookup.lookup_vectors(refs, table, ["row"], hot=())
+        found = lookup.lookup_vectors(refs, table, ["row"], hot={})
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
         assert found.count() == 80

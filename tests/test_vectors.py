@@ -36,7 +36,7 @@ def test_pooling(spark):
     tokens = spark.createDataFrame(rows, "id string, pos int, mask int, vec array<float>").repartition(4)
     mean = {r.id: r.vec for r in pooling.mean_pool(tokens).collect()}
     assert mean == {"a": [2.0, 4.0], "left": [5.0, 4.0], "none": [0.0, 0.0]}
-    assert {r.id: r.vec for r in pooling.last_pool(tokens).collect()} == {"a": [3.0, 6.0], "left": [5.0, 4.0]}
+    assert {r.id: r.vec for r in pooling.last_pool(tokens).collect()} == {"a": [3.0, 6.0], "left": [5.0, 4.0], "none": [0.0, 0.0]}
 
 
 def _encoder():
@@ -71,7 +71,7 @@ def test_encode_corpus_uses_last_prompt(spark):
 
 @pytest.mark.parametrize("hot_rows", [1, 10**9])
 def test_lookup_overlay_and_membership(spark, monkeypatch, hot_rows):
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", hot_rows)
+    monkeypatch.setattr(skew, "TARGET_ROWS", hot_rows)
     emb = vectors(spark, {"a": [1, 0], "b": [2, 0], "h": [5, 5]}).unionByName(vectors(spark, {"a": [9, 9]}, "query"))
     rows = [(i, t, q) for i, (t, q) in enumerate([("a", True), ("a", False), ("b", True), ("z", True)] + [("h", False)] * 40)]
     refs = spark.createDataFrame(rows, "row int, text_id string, q boolean")
