@@ -92,7 +92,7 @@ def edit(text: Column, other: Column) -> Column:
 def _bucket_width(docs: DataFrame) -> int:
     """Ids of one bucket, so that it holds about ``BUCKET_ROWS`` documents. Reads only the ids."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    return max(1, (high - low + 1) * BUCKET_ROWS // n) if n else 1
+    return min(max(1, (high - low + 1) * BUCKET_ROWS // n), 1 << 62) if n else 1
 
 
 def _next_bucket(docs: DataFrame) -> DataFrame:

@@ -130,7 +130,8 @@ class Model:
 
     ``rows[k]`` finds a gram of k + 1 bytes, ``bits[k]`` its lengths by
     language.  A gram that no language has seen costs ``escape[k]`` of its
-    context, and then the length of the gram without its first byte.
+    context, and then the length of the gram without its first byte; after
+    ``escape[0]`` all 256 bytes are alike.
     """
 
     langs: list[str]
@@ -168,7 +169,7 @@ class Model:
                 known = context >= 0
                 cost[todo[known]] += self.escape[k][context[known]]
             else:
-                cost[todo] += 8.0
+                cost[todo] += self.escape[0] + 8.0
         return cost
 
 
@@ -185,7 +186,8 @@ def _build(langs: list[str], lang: np.ndarray, size: np.ndarray, gram: np.ndarra
             whole = np.maximum(total + kinds, 1)
             out = np.log2(whole / np.maximum(kinds, 1))
             with np.errstate(divide="ignore"):
-                length = np.where(seen > 0, np.log2(whole / np.maximum(seen, 1)), out + 8.0)
+                escape[0] = out.astype(np.float32)
+            length = np.where(seen > 0, np.log2(whole / np.maximum(seen, 1)), out + 8.0)
         else:
             context, where = np.unique(grams >> np.uint32(8), return_inverse=True)
             total, kinds = np.zeros((len(context), count)), np.zeros((len(context), count))

@@ -12,16 +12,19 @@ miss all tables with probability 8e-8, closer ones with less.
 1. Equal sets collapse to their smallest document by a 128-bit digest.
 2. Collections that only one set has are dropped, so a text that resembles
    nothing makes no table keys.  The others are paired into keys.
-3. In every bucket each set meets the bucket's smallest set.  Signatures drop
-   hopeless candidates (at the threshold 1 in 10^6 falls below ``LEAST_EQUAL``
-   equal MinHashes), the rest are compared on full shingle sets.
-4. Links make components.  Buckets of three or more sets that still hold
-   several components are searched for the candidates that step 3 left out:
-   pairs of different components, by signature, inside tasks and in blocks.
-   Buckets over ``WIDE`` sets are split by one more collection first.
-
-So no bucket ever emits all its pairs: a group of thousands of copies costs one
-comparison a copy and bucket.
+3. In every bucket each set meets the bucket's smallest set.
+4. Candidates whose sketch rules out a link are dropped (see ``likely``), the
+   rest are compared on full shingle sets.  Links make components.
+5. Buckets of three or more sets that still hold several components are
+   searched for what step 3 left out: pairs of different components, inside
+   tasks and in blocks, by sketch.  A pair leaves a task only if its sketch
+   allows a link and only from the first of the tables that it shares.  These
+   pairs are compared on full sets, too, and the components are made anew.
+
+So no bucket emits all its pairs: a group of thousands of copies costs one
+comparison a copy and bucket.  Sketches take one value of each of ``BINS``
+ranges of the hash space; up to some hundred shingles that is nearly the whole
+set, so they tell similarities of 0.65 and 0.75 apart.
 """
 
 from __future__ import annotations
@@ -31,18 +34,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType
 
 from pairforge.llm import spans as S
 from pairforge.llm.components import components
+from pairforge.llm.inputs import ids_and_texts
 from pairforge.session import stage
 
 WORDS = 5
 SIMILAR = 75
 HALVES, HASHES = 24, 2
-LEAST_EQUAL = 20
-WIDE = 2000
+#: Ranges of the hash space in a sketch, four bits each.
+BINS = 512
+#: Standard errors that a sketch may lie below the threshold.
+SIGMAS = 5.0
 
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
+SIGNATURE_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bins binary"
 _N = HALVES * HASHES
 _FLIP = S._RNG.integers(0, 1 << 64, _N, dtype=np.uint64)
 _TURN = S._RNG.integers(0, 1 << 64, _N, dtype=np.uint64) | np.uint64(1)
@@ -81,28 +88,61 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     signature[full, k] = (S.mix(least) >> np.uint64(32)).astype(np.uint32)
                 for k in range(2):
                     digest[k, full] = np.add.reduceat(S.mix(values ^ _TURN[k]), at)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _N), b - a, [None, pa.py_buffer(signature.tobytes())])
+            nibbles = np.zeros((b - a, BINS), np.uint8)
+            row = np.repeat(np.arange(b - a), np.diff(ends))
+            # Values ascend, so written backwards the least value of a range is the last one written.
+            place = row * BINS + (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+            nibbles.reshape(-1)[place[::-1]] = (1 + (values & np.uint64(0xFFFF)) % np.uint64(15)).astype(np.uint8)[::-1]
+            bins = nibbles[:, ::2] << 4 | nibbles[:, 1::2]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
                     pa.array(np.diff(ends)),
                     pa.array(digest[0].view(np.int64)),
                     pa.array(digest[1].view(np.int64)),
-                    packed.cast(pa.binary()),
+                    _packed(signature.view(np.uint8)),
+                    _packed(bins),
                 ],
-                ["doc_id", "n_shingles", "d1", "d2", "signature"],
+                ["doc_id", "n_shingles", "d1", "d2", "signature", "bins"],
             )
 
 
-def _matrix(signatures: pa.Array) -> np.ndarray:
-    data, _ = S.text_bytes(signatures)
-    return np.frombuffer(data.tobytes(), np.uint32).reshape(-1, _N)
+def _packed(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of bytes."""
+    flat = pa.py_buffer(np.ascontiguousarray(rows).tobytes())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, flat]).cast(pa.binary())
 
 
-@F.arrow_udf("array<long>")
+def _bytes(values: pa.Array) -> np.ndarray:
+    """Equally long binary values as rows of bytes."""
+    data, _ = S.text_bytes(values)
+    return data.reshape(len(values), -1) if len(values) else data.reshape(0, 1)
+
+
+def likely(bins: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sketches allow a link between sets of ``n`` and ``m`` shingles.
+
+    The sketch of a union is a sample without replacement of about one value a
+    range.  At the threshold the equal ones are ``SIGMAS`` standard errors below
+    their mean in fewer than one of a million cases; equal values by chance only
+    let more pairs through.
+    """
+    equal = np.zeros(len(bins), np.int64)
+    used = np.zeros(len(bins), np.int64)
+    for mask in (0xF0, 0x0F):
+        x, y = bins & mask, other & mask
+        equal += ((x == y) & (x != 0)).sum(1)
+        used += ((x | y) != 0).sum(1)
+    p = SIMILAR / 100
+    union = np.maximum((n + m) / (1 + p), used)
+    error = np.sqrt(used * p * (1 - p) * np.maximum((union - used) / np.maximum(union - 1, 1), 0.02))
+    return (equal >= p * used - SIGMAS * error - 1) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
+
+
+@F.arrow_udf(ArrayType(LongType()))
 def half_keys(signatures: pa.Array) -> pa.Array:
     """The hash collections of a signature, one 64-bit key each."""
-    halves = _matrix(signatures).reshape(-1, HALVES, HASHES).astype(np.uint64)
+    halves = _bytes(signatures).view(np.uint32).reshape(-1, HALVES, HASHES).astype(np.uint64)
     keys = np.full(halves.shape[:2], 0, np.uint64) + np.arange(HALVES, dtype=np.uint64)
     for k in range(HASHES):
         keys = S.mix(keys * np.uint64(S.BASE) + halves[:, :, k])
@@ -111,12 +151,20 @@ def half_keys(signatures: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf("int")
-def equal_hashes(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array((_matrix(a) == _matrix(b)).sum(1).astype(np.int32))
+@F.arrow_udf(BooleanType())
+def possible(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
+    """``likely`` for two columns of sketches and set sizes."""
+    return pa.array(likely(_bytes(a), np.asarray(n), _bytes(b), np.asarray(m)))
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BinaryType())
+def sketch(signatures: pa.Array, bins: pa.Array) -> pa.Array:
+    """16 bits of each MinHash, then the ranges."""
+    low = np.ascontiguousarray(_bytes(signatures).view(np.uint32).astype(np.uint16))
+    return _packed(np.concatenate([low.view(np.uint8), _bytes(bins)], axis=1))
+
+
+@F.arrow_udf(BooleanType())
 def similar(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether the full shingle sets of two texts are linked."""
     out, (x, at_x), (y, at_y) = [], S.text_bytes(a), S.text_bytes(b)
@@ -128,11 +176,6 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def _close(n: str, other: str):
-    """Sizes that allow a link."""
-    return 100 * F.least(n, other) >= SIMILAR * F.greatest(n, other)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are linked."""
     of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
@@ -140,72 +183,69 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates inside buckets: rows sorted by bucket with rep, component and signature.
+    """Possible links inside buckets, rows sorted by bucket: bucket, i, j, rep, component, n_shingles, sketch.
 
-    Sets of a bucket's largest component are not compared with each other, nor
-    are those of any one component.
+    Sets of one component are not compared with each other.
     """
-    names = ["bucket", "rep", "component", "signature"]
 
     def within(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, rep, comp = (np.asarray(table.column(c)) for c in names[:3])
-        signs = _matrix(table.column(3).combine_chunks())
+        bucket, i, j, rep, comp, n = (np.asarray(table.column(c)) for c in range(6))
+        raw = _bytes(table.column(6).combine_chunks())
+        halves = np.ascontiguousarray(raw[:, : 2 * _N]).view(np.uint32)  # HASHES of 16 bits are one number
+        bins = raw[:, 2 * _N :]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        left, right = [], []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
-            kinds, code, size = np.unique(comp[a:b], return_inverse=True, return_counts=True)
-            rows = np.flatnonzero(code != size.argmax())
-            for at in range(0, len(rows), 64):
-                part = rows[at : at + 64]
-                equal = np.stack([(signs[a:b] == signs[a + i]).sum(1) for i in part.tolist()])
-                i, j = np.nonzero((equal >= LEAST_EQUAL) & (code[part][:, None] != code[None, :]))
-                left.append(rep[a + part[i]])
-                right.append(rep[a + j])
-        if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    held = None
+            _, code, size = np.unique(comp[a:b], return_inverse=True, return_counts=True)
+            largest = code == size.argmax()
+            left, right = [], []
+            for row in np.flatnonzero(~largest).tolist():
+                # Every pair once: with all of the largest component, and with later rows of the others.
+                other = np.flatnonzero((code != code[row]) & (largest | (np.arange(b - a) > row)))
+                shared = halves[a + other] == halves[a + row]
+                earlier = shared[:, : j[a]].sum(1) - shared[:, i[a]]
+                other = other[(earlier == 0) & shared[:, i[a]] & shared[:, j[a]]]
+                same = np.broadcast_to(bins[a + row], (len(other), bins.shape[1]))
+                other = other[likely(bins[a + other], n[a + other], same, n[a + row])]
+                left.append(np.full(len(other), rep[a + row]))
+                right.append(rep[a + other])
+            if left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch]).select(names)
-        table = table if held is None else pa.concat_tables([held, table])
-        bucket = np.asarray(table.column(0))
-        start = int(np.searchsorted(bucket != bucket[-1], False)) if not len(bucket) else int(np.flatnonzero(bucket != bucket[-1])[-1] + 1 if (bucket != bucket[-1]).any() else 0)
-        held = table.slice(start)
-        if start:
-            yield from within(table.slice(0, start))
-    if held is not None and len(held):
-        yield from within(held)
-
-
-def _left_out(buckets: DataFrame, shared: DataFrame, reps: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+        bucket = np.asarray(batch.column(0))
+        if not len(bucket):
+            continue
+        start = int(np.searchsorted(bucket, bucket[-1]))
+        if start or (held and held[-1].column(0)[-1].as_py() != bucket[0]):
+            yield from within(pa.Table.from_batches([*held, batch.slice(0, start)]))
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield from within(pa.Table.from_batches(held))
+
+
+def _left_out(buckets: DataFrame, reps: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
     """Candidates of different components that never met: both in a bucket, neither its smallest set."""
     rows = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = (
         rows.groupBy("bucket")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
         .filter("n > 2 AND low < high")
-        .select("bucket", "n")
-    )
-    rows = rows.join(mixed, "bucket")
-    narrow = rows.filter(F.col("n") <= WIDE).select("bucket", "rep", "component")
-    wide = (
-        rows.filter(F.col("n") > WIDE)
-        .join(shared.select("rep", F.explode("halves").alias("half")), "rep")
-        .select(F.xxhash64("bucket", "half").alias("bucket"), "rep", "component")
+        .select("bucket")
     )
-    signed = narrow.unionByName(wide).join(reps.select("rep", "signature"), "rep")
+    sketches = reps.select("rep", "n_shingles", sketch("signature", "bins").alias("sketch"))
     pairs = (
-        signed.select("bucket", "rep", "component", "signature")
+        rows.join(mixed, "bucket")
+        .join(sketches, "rep")
+        .select("bucket", "i", "j", "rep", "component", "n_shingles", "sketch")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_bucket_pairs, "a long, b long")
         .distinct()
     )
-    sizes = reps.select("rep", "n_shingles")
-    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(_close("n_a", "n_b"))
-    return sized.select("a", "b").join(tried, ["a", "b"], "left_anti")
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,35 +256,40 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     Repeated rows are equal sets and so one component; of rows that share an id
     but not the text each is judged by its own.  Other columns are not read.
     """
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = ids_and_texts(documents, doc_id, text)
     signed = stage(docs.mapInArrow(sign, SIGNATURE_SCHEMA), "signatures")
     usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     sets = ["n_shingles", "d1", "d2"]
-    reps = stage(usable.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "sets")
+    reps = stage(usable.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bins").alias("bins")), "sets")
 
-    halves = reps.select("rep", F.explode(half_keys("signature")).alias("half"))
+    halves = reps.select("rep", F.posexplode(half_keys("signature")).alias("i", "half"))
     common = halves.groupBy("half").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("half")
-    shared = stage(halves.join(common, "half").groupBy("rep").agg(F.array_sort(F.collect_list("half")).alias("halves")), "halves")
-    tables = shared.select("rep", F.posexplode("halves").alias("i", "first"), "halves").select(
-        "rep", "first", F.explode(F.slice("halves", F.col("i") + 2, HALVES)).alias("second")
+    shared = halves.join(common, "half").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("i", "half"))).alias("halves"))
+    tables = shared.select("rep", F.posexplode("halves").alias("at", "first"), "halves").select(
+        "rep", "first", F.explode(F.slice("halves", F.col("at") + 2, HALVES)).alias("second")
+    )
+    keyed = tables.select(
+        F.xxhash64("first.half", "second.half").alias("bucket"),
+        F.col("first.i").cast("byte").alias("i"),
+        F.col("second.i").cast("byte").alias("j"),
+        "rep",
     )
-    keyed = tables.select(F.xxhash64("first", "second").alias("bucket"), "rep")
     pivots = keyed.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("high")).filter("pivot < high").select("bucket", "pivot")
     buckets = stage(keyed.join(pivots, "bucket"), "buckets")
 
     met = buckets.filter("rep > pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    facts = reps.select("rep", "n_shingles", "signature")
+    facts = reps.select("rep", "n_shingles", "bins")
     tried = stage(
         met.join(facts.toDF("a", "n_a", "s_a"), "a")
         .join(facts.toDF("b", "n_b", "s_b"), "b")
-        .filter(_close("n_a", "n_b") & (equal_hashes("s_a", "s_b") >= LEAST_EQUAL))
+        .filter(possible("s_a", "n_a", "s_b", "n_b"))
         .select("a", "b"),
         "candidates",
     )
     texts = docs.filter("doc_id IS NOT NULL")
     links = stage(_verified(tried, texts), "links")
     found = components(links)
-    more = stage(_left_out(buckets.select("bucket", "rep"), shared, reps, found, tried), "candidates")
+    more = stage(_left_out(buckets.drop("pivot"), reps, found, tried), "candidates")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, texts))
         found = components(links)

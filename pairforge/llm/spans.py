@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd-length code for every byte value, so that words over few letters hash apart.
@@ -47,10 +47,10 @@ _POWERS: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` modulo 2^64 for i below ``n``; the largest table so far is kept."""
     if base not in _POWERS or len(_POWERS[base]) < n:
-        size = max(n, 2 * len(_POWERS.get(base, ())))
+        size = max(n, 2 * len(_POWERS.get(base, ())), 1024)
         table = np.full(size, base, np.uint64)
         table[0] = 1
-        if n > 8 * BLOCK_BYTES:
+        if n > 16 * BLOCK_BYTES:
             return np.cumprod(table)[:n]
         _POWERS[base] = np.cumprod(table)
     return _POWERS[base][:n]
