@@ -463,7 +463,7 @@ ORACLES: dict[str, str] = {
     "q_vector_present": """
         SELECT task, lang, count(*) AS n FROM sides WHERE text_id IN (SELECT text_id FROM doc_vec) GROUP BY ALL""",
     "q_embedding_roundtrip": """
-        SELECT (SELECT count(*) FROM doc_vec) AS n, CAST(64 AS BIGINT) AS dim, 'float16' AS dtype,
+        SELECT (SELECT count(*) FROM doc_vec) AS n, CAST(64 AS BIGINT) AS dim, 'float32' AS dtype,
                (SELECT count(*) FROM query_vec) AS n_query""",
     "q_batch_slots": f"SELECT {KEY}, step, rank, slot FROM full_batches",
     "q_batches": f"""

@@ -61,13 +61,19 @@ def embed_corpus(
     out: str,
     factory: EncoderFactory,
     prompts: Prompts | None = None,
+    names: Mapping[str, str] | None = None,
     **options,
 ) -> DataFrame:
-    """Encode every unique text once, query-like ones a second time with their prompt."""
+    """Encode every unique text once, query-like ones a second time with their prompt.
+
+    Returns the metadata row, which is also kept beside the vectors together with ``names`` (of the model, say).
+    """
     train, _ = tables.read_shards(spark, f"{corpus}/examples", "train")
     texts = tables.read_texts(spark, f"{corpus}/texts")
     tables.write_embeddings(encode_corpus(texts, train, factory, prompts, **options), out)
-    return tables.embedding_meta(tables.read_embeddings(spark, out))
+    meta = tables.embedding_meta(tables.read_embeddings(spark, out))
+    tables.write_embedding_meta(meta, out, **(names or {}))
+    return meta
 
 
 def measure_alignment(

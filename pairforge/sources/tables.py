@@ -8,8 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from pairforge import constants as K
+from pairforge.functions.vectors import round_to_half
 from pairforge.operators.ordering import assign_shards, split_holdout
-from pairforge.schemas import EMBEDDING, EXAMPLE, SHARD, TEXT
+from pairforge.schemas import EMBEDDING, SHARD, TEXT
 
 
 def write_shards(
@@ -115,17 +116,30 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EMBEDDING).parquet(path)
 
 
-def embedding_meta(embeddings: DataFrame, dtype: str = "float16") -> DataFrame:
-    """One row: number of texts, dimension, storage type and whether query vectors exist."""
+def embedding_meta(embeddings: DataFrame) -> DataFrame:
+    """One row: number of texts, dimension, precision of the values and number of query vectors.
+
+    The precision is read off the values: ``float16`` if half precision holds all of them.
+    """
     is_doc = F.col("kind") == "doc"
+    is_half = F.coalesce(F.every(round_to_half("vec") == F.col("vec")), F.lit(True))
     return embeddings.agg(
         F.count_if(is_doc).alias("n"),
         F.max(F.size("vec")).cast("long").alias("dim"),
-        F.lit(dtype).alias("dtype"),
+        F.when(is_half, F.lit("float16")).otherwise(F.lit("float32")).alias("dtype"),
         F.count_if(~is_doc).alias("n_query"),
     )
 
 
+def write_embedding_meta(meta: DataFrame, path: str, **names: str) -> None:
+    """Keep the metadata beside the vectors, with names such as the model's, where readers of vectors pass it over."""
+    write_report(meta.select("*", *[F.lit(v).alias(k) for k, v in names.items()]), f"{path}/_meta")
+
+
+def read_embedding_meta(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(f"{path}/_meta/*.json")
+
+
 def build_summary(examples: DataFrame, texts: DataFrame) -> DataFrame:
     """One row: counts and the sorted distinct languages and tasks.
 
@@ -153,7 +167,3 @@ def file_checksums(spark: SparkSession, path: str, pattern: str = "*.parquet") -
         .load(path)
         .select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     )
-
-
-def empty_examples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], EXAMPLE)

@@ -149,6 +149,11 @@ def test_embeddings_roundtrip(spark, folder):
     back = tables.read_embeddings(spark, f"{folder}/e")
     assert sorted((r.kind, r.text_id, r.vec) for r in back.collect()) == [("doc", "a", [1, 2]), ("doc", "b", [3, 4]), ("query", "a", [5, 6])]
     assert tables.embedding_meta(back).first().asDict() == {"n": 2, "dim": 2, "dtype": "float16", "n_query": 1}
+    fine = vectors(spark, {"a": [1, 0.1]})
+    assert tables.embedding_meta(fine).first().dtype == "float32"
+    tables.write_embedding_meta(tables.embedding_meta(back), f"{folder}/e", model="m")
+    assert tables.read_embedding_meta(spark, f"{folder}/e").first().asDict() == {"n": 2, "dim": 2, "dtype": "float16", "n_query": 1, "model": "m"}
+    assert tables.read_embeddings(spark, f"{folder}/e").count() == 3
     with pytest.raises(FileNotFoundError):
         tables.read_embeddings(spark, f"{folder}/none")
 
@@ -179,6 +184,11 @@ def test_registries(spark):
     assert got == {0: ("sts", "document"), 2: ("bitext", "bitext_query"), 3: ("sts", "document")}
     assert [r.row_ord for r in registry.outside_languages(ex).collect()] == [3]
     assert sorted(r.row_ord for r in registry.outside_languages(ex, active=["ko"]).collect()) == [0, 2, 3]
+    own = {"sts": {"student_prompt": "s", "teacher_prompt_doc": "d"}, "bitext": {"enabled": False}, "reranking": {}}
+    got = {r.row_ord: (r.student_prompt, r.teacher_prompt_doc) for r in registry.with_task_settings(ex, own).collect()}
+    assert got == {0: ("s", "d"), 1: (None, None), 3: ("s", "d")}
+    assert {r.row_ord for r in registry.with_task_settings(ex, own, active=["sts"]).collect()} == {0, 3}
+    assert [r.row_ord for r in registry.outside_languages(ex, languages={"fr": {"name": "French"}, "en": {"enabled": False}}).collect()] == [0, 1, 2]
 
 
 def _encoder():
