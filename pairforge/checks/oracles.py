@@ -342,7 +342,14 @@ FLAT = """SELECT CAST(source_seq AS BIGINT) AS source_seq, row_ord, example_id,
     md5(array_to_string(texts, '|')) AS texts_md5, array_to_string(roles, ',') AS roles,
     array_to_string(tp, ',') AS teacher, array_to_string(sp, ',') AS student, label FROM """
 KEY = "CAST(source_seq AS BIGINT) AS source_seq, row_ord"
-PROBE = """CAST(len(vec) AS BIGINT) AS dim, round(CAST(vec[1] AS DOUBLE), 6) AS v0,
+
+
+def weighted(vec: str) -> str:
+    """A sum over all components, each with a weight of its own."""
+    return f"round(list_sum(list_transform({vec}, lambda x, i: CAST(x AS DOUBLE) * i)), 4)"
+
+
+PROBE = f"""CAST(len(vec) AS BIGINT) AS dim, {weighted('vec')} AS weighted, round(CAST(vec[1] AS DOUBLE), 6) AS v0,
     round(CAST(vec[5] AS DOUBLE), 6) AS v4, round(CAST(vec[20] AS DOUBLE), 6) AS v19"""
 OWN_STUDENT = {**K.STUDENT_PROMPTS, "ret": "find: "}
 MEAN = """SELECT CAST(id AS BIGINT) AS id, dim, round(CAST(CAST(avg(CAST(vec[dim + 1] AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS value
@@ -444,7 +451,7 @@ ORACLES: dict[str, str] = {
                (SELECT count(DISTINCT t) FROM (SELECT a AS t FROM job_split WHERE NOT in_val
                 UNION ALL SELECT b FROM job_split WHERE NOT in_val)) AS n_query""",
     "q_normalize_vectors": f"""
-        SELECT vec_id, {PROBE} FROM (SELECT vec_id, {unit('CAST(embedding[1:32] AS DOUBLE[])')} AS vec FROM embeddings)""",
+        SELECT vec_id, {PROBE} FROM (SELECT vec_id, {unit('CAST(list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * 3 AS FLOAT)) AS DOUBLE[])')} AS vec FROM embeddings)""",
     "q_half_precision": f"""
         SELECT vec_id, {PROBE} FROM (SELECT vec_id, list_transform(embedding, lambda x: {half('x')}) AS vec FROM embeddings)""",
     "q_mean_pool": MEAN,
@@ -456,8 +463,8 @@ ORACLES: dict[str, str] = {
         SELECT {KEY}, side, text_id, use_query, {PROBE}
         FROM (SELECT *, CASE WHEN use_query THEN query ELSE doc END AS vec
               FROM (SELECT *, {USE_QUERY} AS use_query FROM sides) JOIN both_vec USING (text_id))""",
-    "q_overlay": """
-        SELECT text_id, round(CAST(doc[1] AS DOUBLE), 6) AS doc0, round(CAST(query[1] AS DOUBLE), 6) AS query0,
+    "q_overlay": f"""
+        SELECT text_id, {weighted('doc')} AS doc_weighted, {weighted('query')} AS query_weighted, round(CAST(doc[1] AS DOUBLE), 6) AS doc0, round(CAST(query[1] AS DOUBLE), 6) AS query0,
                round(CAST(query[64] AS DOUBLE), 6) AS query63 FROM both_vec""",
     "q_vector_missing": f"SELECT {KEY}, side, text_id FROM sides WHERE text_id NOT IN (SELECT text_id FROM doc_vec)",
     "q_vector_present": """
@@ -492,8 +499,8 @@ ORACLES: dict[str, str] = {
     "q_pairwise_cosine": """
         SELECT a.step, a.idx, count(*) AS n, round(sum(list_cosine_similarity(a.v, b.v)), 6) AS total,
                round(min(list_cosine_similarity(a.v, b.v)), 6) AS lowest
-        FROM (SELECT vec_id // 64 AS step, vec_id % 64 AS idx, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings) a
-        JOIN (SELECT vec_id // 64 AS step, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings) b USING (step)
+        FROM (SELECT vec_id // 64 AS step, vec_id % 64 AS idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a
+        JOIN (SELECT vec_id // 64 AS step, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b USING (step)
         GROUP BY a.step, a.idx""",
     "q_sts_similarity": f"SELECT {KEY}, lang, label, round(sim, 6) AS sim FROM sims",
     "q_sts_spearman": """

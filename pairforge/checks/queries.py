@@ -396,9 +396,15 @@ def letter_encoder():
     return run
 
 
+def _weighted(vec: str) -> Column:
+    """A sum over all components, each with a weight of its own."""
+    parts = F.transform(vec, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x), 4)
+
+
 def _vector_probe(df: DataFrame, *keep: str) -> DataFrame:
     at = lambda i: r6(F.get("vec", F.lit(i)).cast("double"))
-    return df.select(*keep, F.size("vec").cast("long").alias("dim"), at(0).alias("v0"), at(4).alias("v4"), at(19).alias("v19"))
+    return df.select(*keep, F.size("vec").cast("long").alias("dim"), _weighted("vec").alias("weighted"), at(0).alias("v0"), at(4).alias("v4"), at(19).alias("v19"))
 
 
 @query
@@ -420,8 +426,9 @@ def embed_job(spark, sf_dir):
 
 @query
 def normalize_vectors(spark, sf_dir):
-    half = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("vec"))
-    return _vector_probe(half.withColumn("vec", l2_normalize("vec")), "vec_id")
+    longer = F.transform("embedding", lambda x: (x.cast("double") * 3).cast("float"))
+    vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", longer.alias("vec"))
+    return _vector_probe(vectors.withColumn("vec", l2_normalize("vec")), "vec_id")
 
 
 @query
@@ -468,7 +475,7 @@ def overlay(spark, sf_dir):
     _, teacher, _ = fx.corpus(spark, sf_dir)
     at = lambda c, i: r6(F.get(c, F.lit(i)).cast("double"))
     return lookup.overlay(teacher).select(
-        "text_id", at("doc_vec", 0).alias("doc0"), at("query_vec", 0).alias("query0"), at("query_vec", 63).alias("query63")
+        "text_id", _weighted("doc_vec").alias("doc_weighted"), _weighted("query_vec").alias("query_weighted"), at("doc_vec", 0).alias("doc0"), at("query_vec", 0).alias("query0"), at("query_vec", 63).alias("query63")
     )
 
 
@@ -607,7 +614,7 @@ def step_report(spark, sf_dir):
 def pairwise_cosine(spark, sf_dir):
     """Cosine matrix of vectors in groups of 64, summarised per row."""
     vectors = fx.table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 64).alias("step"), (F.col("vec_id") % 64).alias("idx"), F.slice("embedding", 1, 32).alias("vec")
+        F.floor(F.col("vec_id") / 64).alias("step"), (F.col("vec_id") % 64).alias("idx"), F.col("embedding").alias("vec")
     )
     rows = metrics.pairwise_cosine(vectors, max_rows=64)
     total = F.aggregate("cosines", F.lit(0.0), lambda a, x: a + x)
