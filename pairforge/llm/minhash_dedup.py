@@ -291,8 +291,9 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     found = components(links)
     more = stage(_left_out(buckets.drop("pivot"), reps, found, tried), "candidates")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts))
-        found = components(links)
+        # The components so far are stars already; only new links have to be taken in.
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(stars.unionByName(_verified(more, texts)))
 
     of_set = reps.select(*sets, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = usable.select("doc_id", *sets).join(of_set.select(*sets, F.coalesce("component", "rep").alias("component_id")), sets)
