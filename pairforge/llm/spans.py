@@ -172,6 +172,17 @@ def winnow(grams: np.ndarray, width: int, valid: np.ndarray) -> Runs:
     return Runs(windows[at], np.diff(np.append(at, len(windows))), anchor[at])
 
 
+def combine(row: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts equal (row, keys) together, and where each group begins (one more entry than groups)."""
+    order = np.lexsort((*keys, row))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = row[order][1:] != row[order][:-1]
+        for key in keys:
+            new[1:] |= key[order][1:] != key[order][:-1]
+    return order, np.append(np.flatnonzero(new), len(order))
+
+
 def cover(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """Flags of the places that lie in any ``[start, end)``."""
     steps = np.zeros(size + 1, np.int64)

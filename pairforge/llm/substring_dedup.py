@@ -15,8 +15,9 @@ run is the seed with the largest context that its windows can give it.
 3. Neighbouring repeats merge; the words they cover are removed.
 
 Nothing is paired: each row only learns the smallest document of its group.
-Shuffled are one row for each run (about a quarter of the words), the texts
-once, and the repeats.
+Equal contexts of one document are combined before anything is shuffled, so an
+anchor has at most one row for each document and context.  Shuffled are one row
+for each context (about a sixth of the words), the texts once, and the repeats.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ ANCHOR = 4
 _COUNT_BITS, _START_BITS, _CONTEXT_BITS = 4, 28, 16
 _TAG_AT = np.uint64(_COUNT_BITS + _START_BITS + _CONTEXT_BITS)
 
-RUN_SCHEMA = "anchor long, context int, doc_id long, mark long"
+RUN_SCHEMA = "anchor long, context int, doc_id long, marks array<long>"
 MARKS = "array<long>"
 
 
@@ -61,7 +62,11 @@ def _windows(words: S.Words) -> tuple[np.ndarray, S.RunHash]:
 
 
 def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each run of windows of (doc_id, text) batches."""
+    """One row for each context of (doc_id, text) batches, with the marks of all its runs.
+
+    Equal contexts of one text are combined, so text that repeats itself over
+    and over makes one row for each of its anchors.
+    """
     for batch in batches:
         data, offsets = S.text_bytes(batch.column(1))
         ids = np.asarray(batch.column(0))
@@ -79,9 +84,12 @@ def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more = (context >> np.uint64(32)) & np.uint64((1 << _CONTEXT_BITS) - 1)
             mark = more << np.uint64(_COUNT_BITS + _START_BITS) | start << np.uint64(_COUNT_BITS) | runs.count.astype(np.uint64)
             mark |= _text_tags(part, at)[row]
-            low = context.astype(np.uint32).view(np.int32)
-            columns = [grams[runs.anchor].view(np.int64), low, ids[a:b][row], mark.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "doc_id", "mark"])
+            anchor = grams[runs.anchor]
+            order, first = S.combine(row, anchor, context)
+            one = order[first[:-1]]
+            columns = [anchor[one].view(np.int64), context[one].astype(np.uint32).view(np.int32), ids[a:b][row[one]]]
+            marks = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(mark[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], ["anchor", "context", "doc_id", "marks"])
 
 
 def _unpack(marks: np.ndarray, tag: np.uint64, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +160,7 @@ def cut_words(texts: pa.Array, marks: pa.Array) -> pa.Array:
 
 def _by_document(marks: DataFrame) -> DataFrame:
     """All marks of a document in one row; there are fewer than the document has words."""
-    return marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    return marks.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,21 +175,21 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     known = docs.filter("doc_id IS NOT NULL")
     runs = known.mapInArrow(seed_runs, RUN_SCHEMA)
     of_anchor = W.partitionBy("anchor")
-    whole = F.struct("context", F.shiftrightunsigned("mark", _COUNT_BITS + _START_BITS).bitwiseAND((1 << _CONTEXT_BITS) - 1))
+    whole = F.struct("context", F.shiftrightunsigned(F.get("marks", F.lit(0)), _COUNT_BITS + _START_BITS).bitwiseAND((1 << _CONTEXT_BITS) - 1))
     of_context = W.partitionBy("anchor", "whole").orderBy("doc_id")
     met = stage(
-        runs.select("anchor", "doc_id", "mark", whole.alias("whole"))
+        runs.select("anchor", "doc_id", "marks", whole.alias("whole"))
         .select(
             "doc_id",
-            "mark",
+            "marks",
             (F.first("doc_id").over(of_context) < F.col("doc_id")).alias("repeat"),
             (F.min("whole").over(of_anchor) != F.max("whole").over(of_anchor)).alias("several"),
         )
         .filter("repeat OR several")
-        .select("doc_id", "mark", "repeat"),
+        .select("doc_id", "marks", "repeat"),
         "repeats",
     )
-    still_open = _by_document(met.filter("NOT repeat").select("doc_id", "mark"))
+    still_open = _by_document(met.filter("NOT repeat").select("doc_id", "marks"))
     # The texts are shuffled once for both joins; a name of its own keeps the two sides alike.
     seeds = known.join(still_open, "doc_id").select(
         F.col("doc_id").alias("owner"), F.explode(open_windows("text", "marks")).alias("w")
@@ -190,9 +198,9 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         seeds.select("owner", "w.window", "w.mark")
         .withColumn("repeat", F.min("owner").over(W.partitionBy("window")) < F.col("owner"))
         .filter("repeat")
-        .select(F.col("owner").alias("doc_id"), "mark")
+        .select(F.col("owner").alias("doc_id"), F.array("mark").alias("marks"))
     )
-    marks = _by_document(met.filter("repeat").select("doc_id", "mark").unionByName(extended))
+    marks = _by_document(met.filter("repeat").select("doc_id", "marks").unionByName(extended))
     judged = known.join(marks, "doc_id", "left").unionByName(
         docs.filter("doc_id IS NULL").withColumn("marks", F.lit(None).cast(MARKS))
     )
