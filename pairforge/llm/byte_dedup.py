@@ -14,8 +14,9 @@ strings always meet among the contexts of one anchor.
    statistics of at least ``WINDOW`` mark what another context has as well.
 3. Marked strings of a document merge; their bytes are removed.
 
-Shuffled are one row for each run (about one for 50 bytes), the texts once,
-open contexts and marks.
+Equal contexts of one document are combined before anything is shuffled, so an
+anchor has at most one row for each document and context.  Shuffled are one row
+for each context (about one for 50 bytes), the texts once, open contexts and marks.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ INDEX_BYTES = 1 << 19
 _COUNT_BITS, _START_BITS = 8, 40
 _TAG_AT = np.uint64(_COUNT_BITS + _START_BITS)
 
-RUN_SCHEMA = "anchor long, context long, doc_id long, mark long"
+RUN_SCHEMA = "anchor long, context long, doc_id long, marks array<long>"
 MARKS = "array<long>"
 
 
@@ -51,7 +52,7 @@ def _text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each run of windows of (doc_id, text) batches."""
+    """One row for each context of (doc_id, text) batches, with the marks of all its runs."""
     for batch in batches:
         data, offsets = S.text_bytes(batch.column(1))
         ids = np.asarray(batch.column(0))
@@ -66,8 +67,12 @@ def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = (runs.first - at[row]).astype(np.uint64)
             mark = _text_tags(part, at)[row] | start << np.uint64(_COUNT_BITS) | runs.count.astype(np.uint64)
             context = hashes.of(runs.first, runs.first + runs.count + WINDOW - 1)
-            columns = [grams[runs.anchor].view(np.int64), context.view(np.int64), ids[a:b][row], mark.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "doc_id", "mark"])
+            anchor = grams[runs.anchor]
+            order, first = S.combine(row, anchor, context)
+            one = order[first[:-1]]
+            columns = [anchor[one].view(np.int64), context[one].view(np.int64), ids[a:b][row[one]]]
+            marks = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(mark[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], ["anchor", "context", "doc_id", "marks"])
 
 
 def _start_count(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +182,14 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     docs = ids_and_texts(documents, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     of_anchor = W.partitionBy("anchor")
-    in_order = of_anchor.orderBy("context", "doc_id", "mark")
+    in_order = of_anchor.orderBy("context", "doc_id")
     same = lambda other: F.coalesce(other == F.col("context"), F.lit(False))
     met = stage(
         docs.mapInArrow(seed_runs, RUN_SCHEMA)
         .select(
             "anchor",
             "doc_id",
-            "mark",
+            "marks",
             same(F.lag("context").over(in_order)).alias("_before"),
             same(F.lead("context").over(in_order)).alias("_after"),
             (F.min("context").over(of_anchor) != F.max("context").over(of_anchor)).alias("several"),
@@ -192,8 +197,8 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         .select(
             "anchor",
             "doc_id",
-            "mark",
-            (F.col("_before") | F.col("_after")).alias("repeated"),
+            "marks",
+            (F.col("_before") | F.col("_after") | (F.size("marks") > 1)).alias("repeated"),
             # One copy of each context, where the anchor has others.
             (F.col("several") & ~F.col("_before")).alias("indexed"),
         )
@@ -203,7 +208,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     wanted = (
         met.filter("indexed")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("anchor", "mark", (~F.col("repeated")).alias("single"))).alias("runs"))
+        .agg(F.collect_list(F.struct("anchor", F.get("marks", F.lit(0)).alias("mark"), (~F.col("repeated")).alias("single"))).alias("runs"))
     )
     pieces = (
         docs.join(wanted, "doc_id")
@@ -215,7 +220,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     found = (
         pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index_open, "doc_id long, mark long")
     )
-    marks = met.filter("repeated").select("doc_id", "mark").unionByName(found).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    marks = met.filter("repeated").select("doc_id", "marks").unionByName(found.select("doc_id", F.array("mark").alias("marks"))).groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     cut = docs.join(marks, "doc_id", "left").select("doc_id", cut_bytes("text", F.coalesce("marks", F.array().cast(MARKS))).alias("c"))
     return cut.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "c.n_bytes", "c.n_removed", "c.n_spans", "c.kept")
 
