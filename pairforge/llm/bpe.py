@@ -37,9 +37,11 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from pairforge.llm.inputs import fresh
 
 #: Words that a task remembers; the table is emptied when it is full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Ids that are decoded at once.
 DECODE_BLOCK = 1 << 16
+#: Rows of a batch that are worked on at once, which bounds what a task holds beside its results.
+ROWS = 256
 NEVER = 1 << 60
 #: A character outside these blocks may be newer than the Unicode tables of one library and not of the other;
 #: such texts are split by the tokenizer library's own normaliser and splitter.
@@ -236,9 +238,15 @@ class Bpe:
             ids = encode(texts)
             return pa.StructArray.from_arrays([ids, decode(ids)], ["ids", "decoded"])
 
-        self._encode = F.arrow_udf(encode, ArrayType(IntegerType()))
-        self._decode = F.arrow_udf(decode, StringType())
-        self._both = F.arrow_udf(both, "ids array<int>, decoded string")
+        def in_parts(work):
+            def run(rows: pa.Array) -> pa.Array:
+                return pa.concat_arrays([work(rows.slice(at, ROWS)) for at in range(0, max(len(rows), 1), ROWS)])
+
+            return run
+
+        self._encode = F.arrow_udf(in_parts(encode), ArrayType(IntegerType()))
+        self._decode = F.arrow_udf(in_parts(decode), StringType())
+        self._both = F.arrow_udf(in_parts(both), "ids array<int>, decoded string")
 
     def ids(self, text: str | Column) -> Column:
         """``array<int>``; null counts as empty text and gives an empty array."""
