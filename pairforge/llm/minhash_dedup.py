@@ -16,15 +16,18 @@ miss all tables with probability 8e-8, closer ones with less.
 4. Candidates whose sketch rules out a link are dropped (see ``likely``), the
    rest are compared on full shingle sets.  Links make components.
 5. Buckets of three or more sets that still hold several components are
-   searched for what step 3 left out: pairs of different components, inside
-   tasks and in blocks, by sketch.  A pair leaves a task only if its sketch
-   allows a link and only from the first of the tables that it shares.  These
-   pairs are compared on full sets, too, and the components are made anew.
+   searched for what step 3 left out: pairs of different components, by sketch.
+   Rows are dealt by (bucket, block, block): a bucket's sets are cut into blocks
+   of about ``BLOCK_SETS``, the largest component into blocks of its own, and
+   every two blocks meet, except two of the largest component.  So no task holds
+   a bucket.  A pair leaves a task only if its sketch allows a link and only
+   from the first of the tables that it shares.  These pairs are compared on
+   full sets, too, and the components are made anew.
 
 So no bucket emits all its pairs: a group of thousands of copies costs one
-comparison a copy and bucket.  Sketches take one value of each of ``BINS``
-ranges of the hash space; up to some hundred shingles that is nearly the whole
-set, so they tell similarities of 0.65 and 0.75 apart.
+comparison a copy and bucket.  Sketches take one value of each range of the
+hash space, and have two to four ranges (``BINS`` to ``MOST_BINS`` in all) for
+each shingle, so large sets of similarity 0.70 are told from those of 0.75.
 """
 
 from __future__ import annotations
@@ -44,8 +47,10 @@ from pairforge.session import stage
 WORDS = 5
 SIMILAR = 75
 HALVES, HASHES = 24, 2
-#: Ranges of the hash space in a sketch, four bits each.
-BINS = 512
+#: Ranges of the hash space in a sketch, four bits each: the next power of two above twice the set's size, between these.
+BINS, MOST_BINS = 512, 4096
+#: Sets of one block of a bucket, in expectation.
+BLOCK_SETS = 2048
 #: Standard errors that a sketch may lie below the threshold.
 SIGMAS = 5.0
 
@@ -88,12 +93,15 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     signature[full, k] = (S.mix(least) >> np.uint64(32)).astype(np.uint32)
                 for k in range(2):
                     digest[k, full] = np.add.reduceat(S.mix(values ^ _TURN[k]), at)
-            nibbles = np.zeros((b - a, BINS), np.uint8)
+            ranges = _ranges(np.diff(ends))
+            first = np.concatenate([[0], np.cumsum(ranges)])
+            nibbles = np.zeros(first[-1], np.uint8)
             row = np.repeat(np.arange(b - a), np.diff(ends))
+            shift = (64 - np.log2(ranges).astype(np.int64)).astype(np.uint64)
             # Values ascend, so written backwards the least value of a range is the last one written.
-            place = row * BINS + (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-            nibbles.reshape(-1)[place[::-1]] = (1 + (values & np.uint64(0xFFFF)) % np.uint64(15)).astype(np.uint8)[::-1]
-            bins = nibbles[:, ::2] << 4 | nibbles[:, 1::2]
+            place = first[row] + (values >> shift[row]).astype(np.int64)
+            nibbles[place[::-1]] = (1 + (values & np.uint64(0xFFFF)) % np.uint64(15)).astype(np.uint8)[::-1]
+            bins = pa.py_buffer((nibbles[::2] << 4 | nibbles[1::2]).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
@@ -101,12 +109,17 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(digest[0].view(np.int64)),
                     pa.array(digest[1].view(np.int64)),
                     _packed(signature.view(np.uint8)),
-                    _packed(bins),
+                    pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((first // 2).astype(np.int32)), bins]),
                 ],
                 ["doc_id", "n_shingles", "d1", "d2", "signature", "bins"],
             )
 
 
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """Ranges of the sketches of sets of these sizes."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), BINS, MOST_BINS)
+
+
 def _packed(rows: np.ndarray) -> pa.Array:
     """A binary value for each row of bytes."""
     flat = pa.py_buffer(np.ascontiguousarray(rows).tobytes())
@@ -119,24 +132,49 @@ def _bytes(values: pa.Array) -> np.ndarray:
     return data.reshape(len(values), -1) if len(values) else data.reshape(0, 1)
 
 
+def _levels(bins: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Bytes of each sketch, and for each such size all sketches of at least that size, brought to it."""
+    data, starts = S.text_bytes(bins)
+    width = np.diff(starts)
+    sizes = np.unique(width)
+    levels = {int(w): np.zeros((len(width), w), np.uint8) for w in sizes}
+    for w in sizes.tolist():
+        of_size = np.flatnonzero(width == w)
+        for k in range(0, len(of_size), 256):
+            rows = of_size[k : k + 256]
+            at = data[starts[rows][:, None] + np.arange(w)]
+            levels[w][rows] = at
+            while at.shape[1] > sizes[0]:
+                # Two ranges become one: the value of the first of them that has one.
+                at = np.where(at & 0xF0, at >> 4, at & 0x0F)
+                at = at[:, ::2] << 4 | at[:, 1::2]
+                if at.shape[1] in levels:
+                    levels[at.shape[1]][rows] = at
+    return width, levels
+
+
 def likely(bins: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether sketches allow a link between sets of ``n`` and ``m`` shingles.
 
     The sketch of a union is a sample without replacement of about one value a
     range.  At the threshold the equal ones are ``SIGMAS`` standard errors below
-    their mean in fewer than one of a million cases; equal values by chance only
-    let more pairs through.
+    their mean in fewer than one of a million cases.  Of different values in one
+    range 1 of 15 are equal by chance: the others tell how many these are.
     """
     equal = np.zeros(len(bins), np.int64)
     used = np.zeros(len(bins), np.int64)
+    differ = np.zeros(len(bins), np.int64)
     for mask in (0xF0, 0x0F):
         x, y = bins & mask, other & mask
         equal += ((x == y) & (x != 0)).sum(1)
         used += ((x | y) != 0).sum(1)
+        differ += ((x != y) & (x != 0) & (y != 0)).sum(1)
     p = SIMILAR / 100
     union = np.maximum((n + m) / (1 + p), used)
     error = np.sqrt(used * p * (1 - p) * np.maximum((union - used) / np.maximum(union - 1, 1), 0.02))
-    return (equal >= p * used - SIGMAS * error - 1) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
+    chance = differ / 14
+    error = np.sqrt(error**2 + chance * 15 / 14)
+    return (equal - chance >= p * used - SIGMAS * error - 1) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
 
 
 @F.arrow_udf(ArrayType(LongType()))
@@ -154,14 +192,22 @@ def half_keys(signatures: pa.Array) -> pa.Array:
 @F.arrow_udf(BooleanType())
 def possible(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
     """``likely`` for two columns of sketches and set sizes."""
-    return pa.array(likely(_bytes(a), np.asarray(n), _bytes(b), np.asarray(m)))
+    n, m, out = np.asarray(n), np.asarray(m), np.zeros(len(a), bool)
+    for at in range(0, len(a), 512):
+        part = slice(at, at + 512)
+        width, levels = _levels(pa.concat_arrays([a[part], b[part]]))
+        half = len(width) // 2
+        least = np.minimum(width[:half], width[half:])
+        for w in np.unique(least).tolist():
+            rows = np.flatnonzero(least == w)
+            out[at + rows] = likely(levels[w][rows], n[at + rows], levels[w][half + rows], m[at + rows])
+    return pa.array(out)
 
 
 @F.arrow_udf(BinaryType())
-def sketch(signatures: pa.Array, bins: pa.Array) -> pa.Array:
-    """16 bits of each MinHash, then the ranges."""
-    low = np.ascontiguousarray(_bytes(signatures).view(np.uint32).astype(np.uint16))
-    return _packed(np.concatenate([low.view(np.uint8), _bytes(bins)], axis=1))
+def sketch(signatures: pa.Array) -> pa.Array:
+    """16 bits of each MinHash."""
+    return _packed(np.ascontiguousarray(_bytes(signatures).view(np.uint32).astype(np.uint16)).view(np.uint8))
 
 
 @F.arrow_udf(BooleanType())
@@ -183,42 +229,50 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible links inside buckets, rows sorted by bucket: bucket, i, j, rep, component, n_shingles, sketch.
+    """Possible links of rows sorted by bucket, x, y: bucket, x, y, own, i, j, rep, component, n_shingles, sketch, bins.
 
-    Sets of one component are not compared with each other.
+    Where ``x`` is ``y`` all sets of the block meet, else those of block ``x``
+    those of block ``y``.  Sets of one component are not compared with each other.
     """
 
     def within(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, i, j, rep, comp, n = (np.asarray(table.column(c)) for c in range(6))
-        raw = _bytes(table.column(6).combine_chunks())
-        halves = np.ascontiguousarray(raw[:, : 2 * _N]).view(np.uint32)  # HASHES of 16 bits are one number
-        bins = raw[:, 2 * _N :]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        bucket, x, y, own, i, j, rep, comp, n = (np.asarray(table.column(c)) for c in range(9))
+        halves = np.ascontiguousarray(_bytes(table.column(9).combine_chunks())).view(np.uint32)  # HASHES of 16 bits are one number
+        bins = table.column(10).combine_chunks()
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
             _, code, size = np.unique(comp[a:b], return_inverse=True, return_counts=True)
-            largest = code == size.argmax()
-            left, right = [], []
-            for row in np.flatnonzero(~largest).tolist():
-                # Every pair once: with all of the largest component, and with later rows of the others.
-                other = np.flatnonzero((code != code[row]) & (largest | (np.arange(b - a) > row)))
+            inside = x[a] == y[a]
+            # Every pair once: inside a block with all of the largest component, and with later rows of the others.
+            far = code == size.argmax() if inside else own[a:b] == y[a]
+            sketches, left, right = None, [], []
+            for row in np.flatnonzero(~far).tolist():
+                other = np.flatnonzero((code != code[row]) & (far | (np.arange(b - a) > row) if inside else far))
                 shared = halves[a + other] == halves[a + row]
-                earlier = shared[:, : j[a]].sum(1) - shared[:, i[a]]
-                other = other[(earlier == 0) & shared[:, i[a]] & shared[:, j[a]]]
-                same = np.broadcast_to(bins[a + row], (len(other), bins.shape[1]))
-                other = other[likely(bins[a + other], n[a + other], same, n[a + row])]
-                left.append(np.full(len(other), rep[a + row]))
-                right.append(rep[a + other])
+                earlier = shared[:, : j[a + row]].sum(1) - shared[:, i[a + row]]
+                other = other[(earlier == 0) & shared[:, i[a + row]] & shared[:, j[a + row]]]
+                if not len(other):
+                    continue
+                width, levels = sketches = sketches or _levels(bins.slice(a, b - a))
+                least = np.minimum(width[other], width[row])
+                for w in np.unique(least).tolist():
+                    those = other[least == w]
+                    same = np.broadcast_to(levels[w][row], (len(those), w))
+                    those = those[likely(levels[w][those], n[a + those], same, n[a + row])]
+                    left.append(np.full(len(those), rep[a + row]))
+                    right.append(rep[a + those])
             if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+                p, q = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
+    key = lambda batch, row: tuple(batch.column(c)[row].as_py() for c in range(3))
     for batch in batches:
-        bucket = np.asarray(batch.column(0))
-        if not len(bucket):
+        if not len(batch):
             continue
-        start = int(np.searchsorted(bucket, bucket[-1]))
-        if start or (held and held[-1].column(0)[-1].as_py() != bucket[0]):
+        same = [np.asarray(batch.column(c)) == batch.column(c)[-1].as_py() for c in range(3)]
+        start = int(np.logical_and.reduce(same).argmax())
+        if start or (held and key(held[-1], -1) != key(batch, 0)):
             yield from within(pa.Table.from_batches([*held, batch.slice(0, start)]))
             held = []
         held.append(batch.slice(start))
@@ -226,22 +280,44 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from within(pa.Table.from_batches(held))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, rep, component, ...) of buckets with several components: own block, and x and y of every meeting."""
+    counted = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        counted.groupBy("bucket")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"))
+        .filter("n > 2 AND main.n < n")
+        .select(
+            "bucket",
+            F.col("main.component").alias("main"),
+            # Blocks of other sets and, behind them, of the largest component; a small bucket is one block.
+            F.greatest(F.ceil((F.col("n") - F.col("main.n")) / BLOCK_SETS), F.lit(1)).cast("int").alias("others"),
+            F.when(F.col("n") > BLOCK_SETS, F.ceil(F.col("main.n") / BLOCK_SETS)).otherwise(0).cast("int").alias("mains"),
+        )
+    )
+    in_main = (F.col("component") == F.col("main")) & (F.col("mains") > 0)
+    block = lambda count: F.pmod(F.xxhash64("rep"), count).cast("int")
+    own = F.when(in_main, F.col("others") + block(F.greatest("mains", F.lit(1)))).otherwise(block(F.col("others")))
+    met = F.sequence(F.lit(0), F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    return (
+        rows.join(mixed, "bucket")
+        .withColumn("own", own)
+        .withColumn("met", F.explode(met))
+        .withColumns({"x": F.least("own", "met"), "y": F.greatest("own", "met")})
+        .drop("main", "others", "mains", "met")
+    )
+
+
 def _left_out(buckets: DataFrame, reps: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
     """Candidates of different components that never met: both in a bucket, neither its smallest set."""
     rows = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = (
-        rows.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 2 AND low < high")
-        .select("bucket")
-    )
-    sketches = reps.select("rep", "n_shingles", sketch("signature", "bins").alias("sketch"))
+    sketches = reps.select("rep", "n_shingles", sketch("signature").alias("sketch"), "bins")
     pairs = (
-        rows.join(mixed, "bucket")
+        _dealt(rows)
         .join(sketches, "rep")
-        .select("bucket", "i", "j", "rep", "component", "n_shingles", "sketch")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
+        .select("bucket", "x", "y", "own", "i", "j", "rep", "component", "n_shingles", "sketch", "bins")
+        .repartition("bucket", "x", "y")
+        .sortWithinPartitions("bucket", "x", "y")
         .mapInArrow(_bucket_pairs, "a long, b long")
         .distinct()
     )

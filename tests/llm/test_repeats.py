@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,48 @@ def test_components(spark):
     got = dict(tuple(r) for r in components(links).collect())
     assert got == {5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 1: 1, 3: 1, 10: 1}
     assert components(links.filter(F.lit(False))).count() == 0
+
+
+def family(n, common, own, seed=5):
+    """Texts whose shingle sets share about ``common`` and have ``own`` more each."""
+    rng = random.Random(seed)
+    base = [f"c{rng.randrange(10**9)}" for _ in range(common)]
+    return [(i, " ".join(base + [f"d{i}x{rng.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
+
+
+def test_large_sets_below_the_threshold_are_told_apart_by_sketch():
+    """Pairwise similarity 0.70 of 3,400 shingles is no candidate, 0.76 is."""
+    passed = []
+    for own in (600, 440):
+        docs = family(40, 2800, own)
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+        signed = pa.Table.from_batches(list(minhash_dedup.sign(iter([batch])))).combine_chunks()
+        sizes, bins = np.asarray(signed["n_shingles"]), signed["bins"].combine_chunks()
+        width, levels = minhash_dedup._levels(bins)
+        a, b = np.triu_indices(len(docs), 1)
+        w = int(width[0])
+        passed.append(minhash_dedup.likely(levels[w][a], sizes[a], levels[w][b], sizes[b]).mean())
+    assert passed[0] < 0.05 and passed[1] == 1
+
+
+def test_no_task_holds_a_large_bucket(spark):
+    """One set beside a large component, and a bucket of loose sets: meetings of two blocks at most."""
+    n = 3 * minhash_dedup.BLOCK_SETS
+    ids = spark.range(n).select(F.col("id").alias("rep"))
+    near = ids.select(F.lit(1).alias("bucket"), "rep", F.when(F.col("rep") == 7, 7).otherwise(0).alias("component"))
+    loose = ids.select(F.lit(2).alias("bucket"), "rep", F.col("rep").alias("component"))
+    sizes = minhash_dedup._dealt(near.unionByName(loose)).groupBy("bucket", "x", "y").count().collect()
+    assert len(sizes) == 4 + 9 and max(r["count"] for r in sizes) < 2.2 * minhash_dedup.BLOCK_SETS
+
+
+def test_blocks_of_a_bucket_find_what_one_block_finds(spark, monkeypatch):
+    """Blocks of three sets give the groups of brute force."""
+    rng, docs = random.Random(11), family(1, 60, 0)
+    for i in range(1, 40):
+        words = rng.choice(docs)[1].split()
+        for _ in range(rng.choice((2, 3, 5))):
+            words[rng.randrange(len(words))] = f"y{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", 3)
+    assert groups_of(df) == brute_groups(docs)
