@@ -12,6 +12,9 @@ strings always meet among the contexts of one anchor.
    with one copy of each repeated context, are dealt out by anchor and go into
    run-length indexes (``run_index``) of about ``INDEX_BYTES``; matching
    statistics of at least ``WINDOW`` mark what another context has as well.
+   Anchors whose open contexts exceed ``INDEX_BYTES`` are split by a second key
+   that equal windows share, the hash of the window: windows that meet there are
+   repeats, so no task builds an index over a hot anchor.
 3. Marked strings of a document merge; their bytes are removed.
 
 Equal contexts of one document are combined before anything is shuffled, so an
@@ -158,6 +161,57 @@ def index_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from indexed(pa.Table.from_batches(held))
 
 
+def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each window of contexts: anchor, hash of the window, doc_id, mark of the window, single.
+
+    Columns as those of ``index_open``.
+    """
+    for batch in batches:
+        data, starts = S.text_bytes(batch.column(4))
+        marks = np.asarray(batch.column(2)).view(np.uint64)
+        for a, b in S.blocks(starts):
+            part, at = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+            size = np.maximum(np.diff(at) - WINDOW + 1, 0)
+            row = np.repeat(np.arange(b - a), size)
+            shift = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            begin = at[row] + shift
+            window = S.RunHash(S.BYTE_CODES[part], S.BASE).of(begin, begin + WINDOW)
+            mark = marks[a:b][row]
+            start, _ = _start_count(mark)
+            mark = (mark >> _TAG_AT) << _TAG_AT | (start + shift).astype(np.uint64) << np.uint64(_COUNT_BITS) | np.uint64(1)
+            take = lambda c: batch.column(c).slice(a, b - a).take(pa.array(row))  # noqa: B023, E731
+            columns = [take(0), pa.array(window.view(np.int64)), take(1), pa.array(mark.view(np.int64)), take(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "window", "doc_id", "mark", "single"])
+
+
+def hot_anchors(met: DataFrame) -> DataFrame:
+    """Anchors whose open contexts are more than ``INDEX_BYTES``: at most one for so many bytes."""
+    size = F.get("marks", F.lit(0)).bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)) + WINDOW - 1
+    return met.filter("indexed").groupBy("anchor").agg(F.sum(size).alias("size")).filter(F.col("size") > INDEX_BYTES).select("anchor")
+
+
+def _pieces(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """anchor, owner, mark, single and bytes of the contexts of ``runs``."""
+    wanted = runs.groupBy("doc_id").agg(
+        F.collect_list(F.struct("anchor", F.get("marks", F.lit(0)).alias("mark"), (~F.col("repeated")).alias("single"))).alias("runs")
+    )
+    return (
+        docs.join(wanted, "doc_id")
+        .select(F.col("doc_id").alias("owner"), F.arrays_zip("runs", contexts("text", F.col("runs.mark")).alias("bytes")).alias("z"))
+        .select("owner", F.explode("z").alias("z"))
+        .select("z.runs.anchor", "owner", "z.runs.mark", "z.runs.single", "z.bytes")
+        .filter("bytes IS NOT NULL")
+    )
+
+
+def _found_in_hot(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id and mark of the windows of single contexts that another context of a hot anchor has."""
+    pieces = stage(_pieces(docs, runs), "hot_contexts")
+    windows = pieces.mapInArrow(open_windows, "anchor long, window long, doc_id long, mark long, single boolean")
+    repeated = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return windows.filter("single").join(repeated, ["anchor", "window"], "left_semi").select("doc_id", "mark")
+
+
 @F.arrow_udf(StructType().add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType()).add("kept", BinaryType()))
 def cut_bytes(texts: pa.Array, marks: pa.Array) -> pa.Array:
     """Byte counts, removed runs, and the bytes that stay."""
@@ -205,21 +259,16 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         .filter("repeated OR indexed"),
         "repeats",
     )
-    wanted = (
-        met.filter("indexed")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("anchor", F.get("marks", F.lit(0)).alias("mark"), (~F.col("repeated")).alias("single"))).alias("runs"))
-    )
-    pieces = (
-        docs.join(wanted, "doc_id")
-        .select(F.col("doc_id").alias("owner"), F.arrays_zip("runs", contexts("text", F.col("runs.mark")).alias("bytes")).alias("z"))
-        .select("owner", F.explode("z").alias("z"))
-        .select("z.runs.anchor", "owner", "z.runs.mark", "z.runs.single", "z.bytes")
-        .filter("bytes IS NOT NULL")
-    )
+    hot = stage(hot_anchors(met), "hot")
+    runs = met.filter("indexed")
     found = (
-        pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index_open, "doc_id long, mark long")
+        _pieces(docs, runs.join(F.broadcast(hot), "anchor", "left_anti"))
+        .repartition("anchor")
+        .sortWithinPartitions("anchor")
+        .mapInArrow(index_open, "doc_id long, mark long")
     )
+    if not hot.isEmpty():
+        found = found.unionByName(_found_in_hot(docs, runs.join(F.broadcast(hot), "anchor", "left_semi")))
     marks = met.filter("repeated").select("doc_id", "marks").unionByName(found.select("doc_id", F.array("mark").alias("marks"))).groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     cut = docs.join(marks, "doc_id", "left").select("doc_id", cut_bytes("text", F.coalesce("marks", F.array().cast(MARKS))).alias("c"))
     return cut.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "c.n_bytes", "c.n_removed", "c.n_spans", "c.kept")

@@ -79,6 +79,32 @@ def test_bytes_of_the_table(spark, texts):
     assert sorted(tuple(r) for r in got.collect()) == cut_bytes([(i, t.encode()) for i, t in texts])
 
 
+def test_hot_anchors_are_split_by_windows(spark, monkeypatch):
+    """A passage of 150 bytes in all documents, some with equal surroundings: brute force with and without a split."""
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, near = line(150), [line(70) for _ in range(4)]
+    docs = []
+    for i in range(60):
+        before = line(60) + rng.choice(near) if i % 3 == 0 else line(130)
+        after = rng.choice(near) + line(60) if i % 5 == 0 else line(130)
+        docs.append((i, before + passage + after))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = cut_bytes([(i, t.encode()) for i, t in docs])
+    assert sum(r[2] for r in want) > 0
+    for size in (1 << 19, 2000):
+        monkeypatch.setattr(byte_dedup, "INDEX_BYTES", size)
+        got = byte_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", byte_dedup.kept_digest())
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_hot_anchors_are_those_beyond_an_index(spark):
+    mark = 1 << byte_dedup._COUNT_BITS | 101  # contexts of 300 bytes
+    n = byte_dedup.INDEX_BYTES // 300
+    met = spark.range(2 * n + 1).select(F.when(F.col("id") < n, 1).otherwise(2).alias("anchor"), F.array(F.lit(mark)).alias("marks"), F.lit(True).alias("indexed"))
+    assert [r.anchor for r in byte_dedup.hot_anchors(met).collect()] == [2]
+
+
 def test_odd_rows_of_substrings(odd, nothing):
     got = Counter(tuple(r) for r in substring_dedup.remove_repeats(odd).select("doc_id", "n_words", "n_removed").collect())
     assert got[1, 15, 0] == 2 and got[2, 15, 15] == 1 and got[None, 15, 0] == 1
