@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from pairforge.llm import spans as S
 from pairforge.llm.components import components
@@ -204,12 +204,6 @@ def possible(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-@F.arrow_udf(BinaryType())
-def sketch(signatures: pa.Array) -> pa.Array:
-    """16 bits of each MinHash."""
-    return _packed(np.ascontiguousarray(_bytes(signatures).view(np.uint32).astype(np.uint16)).view(np.uint8))
-
-
 @F.arrow_udf(BooleanType())
 def similar(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether the full shingle sets of two texts are linked."""
@@ -229,7 +223,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible links of rows sorted by bucket, x, y: bucket, x, y, own, i, j, rep, component, n_shingles, sketch, bins.
+    """Possible links of rows sorted by bucket, x, y: bucket, x, y, own, i, j, rep, component, n_shingles, signature, bins.
 
     Where ``x`` is ``y`` all sets of the block meet, else those of block ``x``
     those of block ``y``.  Sets of one component are not compared with each other.
@@ -237,7 +231,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def within(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, x, y, own, i, j, rep, comp, n = (np.asarray(table.column(c)) for c in range(9))
-        halves = np.ascontiguousarray(_bytes(table.column(9).combine_chunks())).view(np.uint32)  # HASHES of 16 bits are one number
+        halves = np.ascontiguousarray(_bytes(table.column(9).combine_chunks())).view(np.uint64)  # HASHES of 32 bits are one number
         bins = table.column(10).combine_chunks()
         cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
@@ -311,11 +305,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def _left_out(buckets: DataFrame, reps: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
     """Candidates of different components that never met: both in a bucket, neither its smallest set."""
     rows = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sketches = reps.select("rep", "n_shingles", sketch("signature").alias("sketch"), "bins")
+    sketches = reps.select("rep", "n_shingles", "signature", "bins")
     pairs = (
         _dealt(rows)
         .join(sketches, "rep")
-        .select("bucket", "x", "y", "own", "i", "j", "rep", "component", "n_shingles", "sketch", "bins")
+        .select("bucket", "x", "y", "own", "i", "j", "rep", "component", "n_shingles", "signature", "bins")
         .repartition("bucket", "x", "y")
         .sortWithinPartitions("bucket", "x", "y")
         .mapInArrow(_bucket_pairs, "a long, b long")

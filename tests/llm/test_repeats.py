@@ -238,3 +238,15 @@ def test_blocks_of_a_bucket_find_what_one_block_finds(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", 3)
     assert groups_of(df) == brute_groups(docs)
+
+
+def test_first_shared_table_is_told_by_whole_hashes():
+    """Collection 0 agrees in the low halves of its hashes only: the table of 1 and 2 is the first one shared."""
+    one = np.arange(minhash_dedup._N, dtype=np.uint32)
+    two = one.copy()
+    two[: minhash_dedup.HASHES] += np.uint32(1 << 16)
+    bins = bytes([0x11]) * (minhash_dedup.BINS // 2)
+    names = ["bucket", "x", "y", "own", "i", "j", "rep", "component", "n_shingles", "signature", "bins"]
+    columns = [[5, 5], [0, 0], [0, 0], [0, 0], [1, 1], [2, 2], [3, 4], [3, 4], [600, 600], [one.tobytes(), two.tobytes()], [bins, bins]]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns)], names)
+    assert [b.to_pylist() for b in minhash_dedup._bucket_pairs(iter([batch]))] == [[{"a": 4, "b": 3}]]
