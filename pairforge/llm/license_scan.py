@@ -76,17 +76,10 @@ def _shingles(words: Column) -> Column:
     )
 
 
-def _turn(band: int) -> int:
-    """A fixed 64-bit number for each band: hashes are ordered after an exclusive or with it."""
-    x = (band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    x = (x ^ x >> 31) * 0x7FB5D329728EA185 & (1 << 64) - 1
-    x ^= x >> 27
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _least(shingles: Column, band: int) -> Column:
-    turn = F.lit(_turn(band))
-    return F.array_min(F.transform(shingles, lambda h: h.bitwiseXOR(turn)))
+    """The shingle whose hash with the band's number is least."""
+    ordered = F.transform(shingles, lambda h: F.struct(F.xxhash64(h, F.lit(band)).alias("order"), h.alias("shingle")))
+    return F.array_min(ordered).getField("shingle")
 
 
 def _bands(shingles: Column) -> Column:
@@ -147,8 +140,7 @@ def scan(documents: DataFrame, templates: Mapping[str, str] | None = None, doc_i
         F.explode(F.when(tiny, _keys(F.array("shingles"), 0)).otherwise(_keys(_pieces(F.col("shingles")), 1))).alias("key"),
     ).select("license", "shingles", "key.*")
     # The shingles themselves that are least in some piece: BANDS for each piece at most.
-    turns = F.array(*[F.lit(_turn(k)) for k in range(BANDS)])
-    least = [r[0] for r in sketch.select(F.col("least").bitwiseXOR(F.get(turns, F.col("band")))).distinct().collect()]
+    least = [r[0] for r in sketch.select("least").distinct().collect()]
     docs = ids_and_texts(documents, doc_id, text)
     known = F.array(*[F.lit(x) for x in least]).cast("array<bigint>")
     shingled = docs.select(

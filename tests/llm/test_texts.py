@@ -258,3 +258,12 @@ def test_pages_of_the_table(spark):
             assert word in r.text
         assert "<p>" not in r.text and "track(" not in r.text and r.n_chars == len(r.text)
     assert html_extract.extract_pages(table(spark, SF, "pages").limit(0)).count() == 0
+
+
+def test_bands_order_shingles_independently(spark):
+    """Of two shingles that part in the leading bit, which one is least differs from pair to pair."""
+    rows = [(i * 7919 + 1, -(i * 104729 + 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    bands = df.select("a", license_scan._bands(F.array("a", "b")).alias("least")).collect()
+    first = {tuple(x == r.least[0] for x in r.least) for r in bands}
+    assert len(first) > 30 and all(set(r.least) <= {x for row in rows for x in row} for r in bands)
