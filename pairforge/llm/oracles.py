@@ -135,9 +135,77 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_licenses, 0) AS
 FROM doc_words LEFT JOIN found USING (doc_id)
 """
 
+_ANY_CASE = "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key")
+)
+_SECRET_PATTERNS = {
+    "assign": rf"(?:{_ANY_CASE})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "github": "gh[pousr]_[A-Za-z0-9]{36}",
+    "npm": "npm_[A-Za-z0-9]{36}",
+    "nostr": "nsec1[ac-hj-np-z02-9]{58}",
+    "age": "AGE-SECRET-KEY-1[AC-HJ-NP-Z02-9]{58}",
+}
+_SECRET_HITS = " UNION ALL ".join(
+    rf"""
+  SELECT doc, {code} AS code, '{kind}' AS kind, hits[i] AS hit,
+    CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
+      + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS start
+  FROM (
+    SELECT doc, gaps, hits, unnest(range(1, len(hits) + 1)) AS i
+    FROM (SELECT doc, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM docs)
+  )"""
+    for code, (kind, pattern) in enumerate(_SECRET_PATTERNS.items())
+)
+# Checksums: CRC-32 byte by byte from its table, six digits of base 62; the code of BIP 173 symbol by symbol.
+OP11_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8),
+    lambda acc, step: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END)) AS entries
+),
+hits AS ({_SECRET_HITS}
+),
+judged AS (
+  SELECT hits.*, CASE
+    WHEN kind = 'assign' THEN length(regexp_extract(hit, '{_SECRET_PATTERNS["assign"]}', 1)) >= 8
+    WHEN kind = 'access' THEN length(hit) >= 16
+    WHEN kind = 'hex' THEN length(hit) >= 32
+    WHEN kind IN ('github', 'npm') THEN hit[-6:] = array_to_string(list_transform([5, 4, 3, 2, 1, 0],
+      lambda place: '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'[
+        CAST(xor(list_reduce([4294967295] || list_transform(string_split(hit[-36:-7], ''), lambda c: CAST(ascii(c) AS BIGINT)),
+          lambda acc, b: xor(acc >> 8, entries[(xor(acc, b) & 255) + 1])), 4294967295)
+        // CAST(pow(62, place) AS BIGINT) % 62 AS INT) + 1]), '')
+    ELSE 1 = list_reduce([1::BIGINT]
+        || list_transform(string_split(lower(hit)[:-60], ''), lambda c: CAST(ascii(c) >> 5 AS BIGINT)) || [0::BIGINT]
+        || list_transform(string_split(lower(hit)[:-60], ''), lambda c: CAST(ascii(c) & 31 AS BIGINT))
+        || list_transform(string_split(lower(hit)[-58:], ''), lambda c: CAST(position(c IN 'qpzry9x8gf2tvdw0s3jn54khce6mua7l') - 1 AS BIGINT)),
+      lambda acc, v: xor(xor(xor(xor(xor(xor((acc & 33554431) << 5, v),
+        996825010 * (acc >> 25 & 1)), 642813549 * (acc >> 26 & 1)), 513874426 * (acc >> 27 & 1)),
+        1027748829 * (acc >> 28 & 1)), 705979059 * (acc >> 29 & 1)))
+    END AS good
+  FROM hits, crc
+),
+spans AS (
+  SELECT doc, code, start, kind, kind || ':' || start || ':' || (start + length(hit)) AS span FROM judged WHERE good
+),
+found AS (
+  SELECT doc, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY start, code) FILTER (code < 3) AS base,
+    string_agg(span, ',' ORDER BY start, code) AS spans
+  FROM spans GROUP BY doc
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN found USING (doc)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op5_license_scan": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_secret_scan": OP11_SQL,
 }

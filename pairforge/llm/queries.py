@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairforge.llm import bpe, byte_dedup, decontaminate, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, substring_dedup
+from pairforge.llm import bpe, byte_dedup, decontaminate, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, secret_scan, substring_dedup
 from pairforge.llm.inputs import VOCABULARY, documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
 
@@ -67,6 +67,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", substring_dedup.kept_digest())
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.find_secrets(documents(spark, sf_dir)).select("doc_id", *secret_scan.digests())
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_pii": op2_pii,
@@ -78,4 +83,5 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
     "op8_bpe": op8_bpe,
+    "op11_secret_scan": op11_secret_scan,
 }
