@@ -48,9 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and return the frame read back."""
+def stage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the frame read back; ``options`` go to the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
