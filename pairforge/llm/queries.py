@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairforge.llm import bpe, byte_dedup, decontaminate, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, secret_scan, substring_dedup
+from pairforge.llm import (
+    bpe, byte_dedup, decontaminate, filter_audit, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, secret_scan,
+    substring_dedup,
+)
 from pairforge.llm.inputs import VOCABULARY, documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
 
@@ -72,6 +75,11 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(documents(spark, sf_dir)).select("doc_id", *secret_scan.digests())
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interaction of five filters over every document, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_pii": op2_pii,
@@ -84,4 +92,5 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op8_bpe": op8_bpe,
     "op11_secret_scan": op11_secret_scan,
+    "op12_filter_audit": op12_filter_audit,
 }
