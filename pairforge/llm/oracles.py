@@ -255,6 +255,64 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM audit
 """
 
+# CRC-32 by its table, as in the query before; a node is told by the digest of its turns' digests.
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8),
+    lambda acc, step: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END)) AS entries
+),
+turns AS (
+  SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos
+  FROM (
+    SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+),
+sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+grafts AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda acc, b: xor(acc >> 8, entries[(xor(acc, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM sizes, crc
+),
+rebuilt AS (
+  SELECT conv_id, digest, size, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth
+  FROM (
+    SELECT g.conv_id, t.digest, t.size, t.pos, false AS own FROM grafts g JOIN turns t ON t.conv_id = g.base AND t.pos < g.h
+    UNION ALL
+    SELECT g.conv_id, t.digest, t.size, t.pos, true FROM grafts g JOIN turns t ON t.conv_id = g.conv_id AND t.pos >= g.h
+  )
+),
+places AS (
+  SELECT conv_id, depth, size, sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM sizes
+),
+ends AS (
+  SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM places GROUP BY conv_id) GROUP BY node
+),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n, any_value(size) AS size FROM places GROUP BY node
+),
+linked AS (
+  SELECT nodes.*, above.node AS parent, up.conv_id AS parent_conv_id
+  FROM nodes
+  LEFT JOIN places above ON above.conv_id = nodes.conv_id AND above.depth = nodes.depth - 1
+  LEFT JOIN nodes up ON up.node = above.node
+),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT top.node, CAST(count(*) FILTER (kids.node IS NULL) AS BIGINT) AS n_leaves, CAST(sum((nodes.n - 1) * nodes.size) AS BIGINT) AS saved_tokens
+  FROM nodes JOIN places top ON top.conv_id = nodes.conv_id AND top.depth <= nodes.depth LEFT JOIN kids ON kids.node = nodes.node
+  GROUP BY top.node
+)
+SELECT conv_id, depth, parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM linked JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op5_license_scan": OP5_SQL,
@@ -262,4 +320,5 @@ ORACLES: dict[str, str] = {
     "op10_substring_dedup": OP10_SQL,
     "op11_secret_scan": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairforge.llm import (
-    bpe, byte_dedup, decontaminate, filter_audit, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, secret_scan,
-    substring_dedup,
+    bpe, byte_dedup, decontaminate, filter_audit, fingerprint, html_extract, langid, license_scan, minhash_dedup, pii, prefix_trie,
+    secret_scan, substring_dedup,
 )
 from pairforge.llm.inputs import VOCABULARY, documents, table
 from pairforge.llm.oracles import ORACLES  # noqa: F401
@@ -80,6 +80,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of every rebuilt conversation."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_pii": op2_pii,
@@ -93,4 +98,5 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op11_secret_scan": op11_secret_scan,
     "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
