@@ -1,11 +1,11 @@
-"""Content keys, distinct texts and the cap on unique texts."""
+"""Content keys, distinct texts (late materialised) and the cap on unique texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from pairforge.functions.text import base_lang, text_id
-from pairforge.operators.ordering import cutoff_key
+from pairforge.operators.ordering import cutoff_key, packed_order, unpacked_order
 from pairforge.operators.skew import hot_keys, skew_join
 from pairforge.schemas import ORDER_KEY
 
@@ -48,30 +48,48 @@ def explode_sides(examples: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def distinct_texts(examples: DataFrame) -> DataFrame:
-    """One row per text id with its text, language and first appearance.
+def text_uses(examples: DataFrame) -> DataFrame:
+    """One row per text id without its text: first appearance, last use and number of uses.
 
-    Combines on the map side, so a text that fills a third of the corpus still
-    reaches the shuffle once per task.  Where two texts share an id the last
-    one written wins, as it does for a keyed store.
+    Uses are order values of fixed width, so they combine in a hash aggregate on
+    the map side and no text is sorted or shuffled; a text that fills a third of
+    the corpus reaches the shuffle as one narrow row per task.
     """
-    sides = explode_sides(
-        examples.select(*ORDER_KEY, "lang", "texts", "text_ids"), "text_id", "text"
+    sides = explode_sides(examples.select(*ORDER_KEY, "text_ids"), "text_id")
+    place = packed_order()
+    uses = sides.select("text_id", place.alias("_place")).groupBy("text_id").agg(
+        F.min("_place").alias("_first"), F.max("_place").alias("last_use"), F.count(F.lit(1)).alias("n_uses")
     )
-    order = F.struct(*TEXT_ORDER)
-    return (
-        sides.groupBy("text_id")
-        .agg(
-            F.max_by(F.struct("text", base_lang(F.col("lang")).alias("lang")), order).alias("_t"),
-            F.min(order).alias("_first"),
-            F.count(F.lit(1)).alias("n_uses"),
-        )
-        .select("text_id", "_t.text", "_t.lang", "_first.*", "n_uses")
+    return uses.select("text_id", *unpacked_order("_first"), "last_use", "n_uses")
+
+
+def fetch_texts(uses: DataFrame, examples: DataFrame) -> DataFrame:
+    """Add text and language of each id's last use.
+
+    Where two texts share an id the last one written wins, as it does for a keyed
+    store.  Each text is fetched from the example that holds it, by the order
+    key, which is unique: rows meet one to one, whatever ids are hot.
+    """
+    seq, row, side = unpacked_order("last_use")
+    wanted = uses.withColumns({"_seq": seq, "_row": row, "_side": side})
+    rows = examples.select(F.col("source_seq").alias("_seq"), F.col("row_ord").alias("_row"), "lang", "texts")
+    # Both sides grow with the corpus and one carries texts: never a broadcast.
+    found = wanted.join(rows.hint("merge"), ["_seq", "_row"])
+    return found.select(
+        "text_id", F.get("texts", F.col("_side")).alias("text"), base_lang(F.col("lang")).alias("lang"), *TEXT_ORDER, "n_uses"
     )
 
 
+def distinct_texts(examples: DataFrame) -> DataFrame:
+    """One row per text id with its text, language, first appearance and number of uses.
+
+    Ids are combined without texts, then one text per id is fetched.
+    """
+    return fetch_texts(text_uses(examples), examples)
+
+
 def cap_texts(texts: DataFrame, max_unique: int) -> DataFrame:
-    """The first ``max_unique`` texts in order of first appearance."""
+    """The first ``max_unique`` texts in order of first appearance; ``texts`` may be ``text_uses``."""
     cutoff = cutoff_key(texts, max_unique, TEXT_ORDER)
     return texts.filter(cutoff.isNull() | (F.struct(*TEXT_ORDER) <= cutoff))
 

@@ -20,6 +20,33 @@ from pairforge.schemas import ORDER_KEY
 # Rows of one source per bucket.  10^11 rows make about 760,000 bucket rows.
 BUCKET_ROWS = 1 << 17
 
+#: Bits of each part of a packed order value: 2,048 sources, 2 * 10^12 rows a source, 2,048 sides a row.
+ORDER_BITS = {"source_seq": 11, "row_ord": 41, "side": 11}
+
+
+def packed_order() -> Column:
+    """The order (source_seq, row_ord, side) as one long that sorts alike.
+
+    A value of fixed width can be the buffer of a hash aggregate, a struct
+    cannot.  A part beyond its bits is an error, never a wrong order.
+    """
+    fits, value = F.lit(True), F.lit(0).cast("long")
+    for name, bits in ORDER_BITS.items():
+        fits = fits & (F.col(name) >= 0) & (F.col(name) < 1 << bits)
+        value = F.shiftleft(value, bits).bitwiseOR(F.col(name).cast("long"))
+    return F.when(fits, value).otherwise(F.raise_error(F.lit(f"an order part is null or beyond its bits: {ORDER_BITS}")).cast("long"))
+
+
+def unpacked_order(value: str | Column) -> list[Column]:
+    """source_seq, row_ord and side of a packed order value."""
+    left, kinds, out = F.col(value) if isinstance(value, str) else value, {"row_ord": "long"}, []
+    below = sum(ORDER_BITS.values())
+    for name, bits in ORDER_BITS.items():
+        below -= bits
+        part = F.shiftright(left, below).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        out.append(part.cast(kinds.get(name, "int")).alias(name))
+    return out
+
 
 def source_bucket() -> list[Column]:
     """Buckets for the (source_seq, row_ord) order; a big source is many buckets."""

@@ -13,7 +13,7 @@ from pairforge import constants as K
 from pairforge.functions.prompts import Prompts
 from pairforge.operators import batching, evaluate, metrics
 from pairforge.operators.encode import EncoderFactory, encode, encode_corpus
-from pairforge.operators.keys import assign_text_ids, cap_examples, cap_texts, distinct_texts
+from pairforge.operators.keys import assign_text_ids, cap_examples, cap_texts, fetch_texts, text_uses
 from pairforge.operators.lookup import attach_vectors
 from pairforge.operators.skew import hot_keys_of
 from pairforge.operators.validate import require_valid
@@ -39,14 +39,14 @@ def build_corpus(
     """
     loaded = with_fallback(load_examples(spark, root, catalogue))
     examples = stage(assign_text_ids(require_valid(loaded)), "examples")
-    texts = stage(distinct_texts(examples), "texts")
     if max_unique is None:
-        kept_texts, kept = texts, examples
+        kept_uses, kept = text_uses(examples), examples
     else:
-        # Counting positions and writing shards both read the kept examples.
-        kept_texts = cap_texts(texts, max_unique)
-        kept = stage(cap_examples(examples, texts, max_unique), "kept")
-    tables.write_texts(kept_texts, f"{out}/texts")
+        # Counting positions and writing shards both read the kept examples; only kept texts are fetched.
+        uses = stage(text_uses(examples), "uses")
+        kept_uses = cap_texts(uses, max_unique)
+        kept = stage(cap_examples(examples, uses, max_unique), "kept")
+    tables.write_texts(fetch_texts(kept_uses, examples), f"{out}/texts")
     tables.write_shards(kept, f"{out}/examples", per_shard)
     summary = tables.build_summary(
         spark.read.parquet(f"{out}/examples"), tables.read_texts(spark, f"{out}/texts")

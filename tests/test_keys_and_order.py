@@ -46,6 +46,28 @@ def test_distinct_texts_first_appearance(spark):
     assert {r.text_id: r.n_uses for r in got} == uses
 
 
+def test_texts_are_fetched_late(spark):
+    """Ids combine in hash aggregates that hold no text; nothing is aggregated by sorting."""
+    plan = keys.distinct_texts(random_examples(spark, 40))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    for line in plan.splitlines():
+        assert "Aggregate" not in line or "texts" not in line
+
+
+def test_last_text_of_a_shared_id_wins(spark):
+    rows = [example(s, r, "sts", [f"old {s}{r}", f"new {s}{r}"], ["sentence_a", "sentence_b"]) for s in (0, 3) for r in (5, 2**40, 7)]
+    same = frame(spark, rows).withColumn("text_ids", F.transform("texts", lambda t: F.lit("x")))
+    got = keys.distinct_texts(same).collect()
+    assert [tuple(r) for r in got] == [("x", f"new 3{2**40}", "en", 0, 5, 0, 12)]
+
+
+@pytest.mark.parametrize("part, value", [("source_seq", 1 << 11), ("row_ord", 1 << 41), ("row_ord", -1), ("row_ord", None)])
+def test_order_parts_beyond_their_bits_are_an_error(spark, part, value):
+    ex = random_examples(spark, 3).withColumn(part, F.lit(value).cast("int" if part == "source_seq" else "long"))
+    with pytest.raises(Exception, match="beyond its bits"):
+        keys.text_uses(ex).collect()
+
+
 @pytest.mark.parametrize("cap", [1, 7, 20, 10_000])
 def test_caps(spark, width, cap, monkeypatch):
     monkeypatch.setattr(skew, "TARGET_ROWS", 5)
