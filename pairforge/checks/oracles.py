@@ -37,6 +37,15 @@ def effective_prompt(role: str, name: str) -> str:
     )
 
 
+def spelled(x: str) -> str:
+    return f"coalesce(length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def spelled_list(x: str) -> str:
+    return f"coalesce('[' || array_to_string(list_transform({x}, lambda t: {spelled('t')}), '') || ']', '-')"
+
+
+SPELLED = " || ".join([spelled("row_ord"), spelled("task"), spelled_list("texts"), spelled_list("roles"), spelled_list("ids")])
 USE_QUERY = (
     "(role = 'query' OR (task = 'sts' AND role = 'sentence_a') OR (task = 'bitext' AND side = 0))"
 )
@@ -409,6 +418,10 @@ ORACLES: dict[str, str] = {
                count(label) AS n_labels
         FROM shards JOIN (VALUES ('train', false), ('val', false), ('test', true)) a(asked, fb) ON fb OR split = asked
         GROUP BY ALL""",
+    "q_checksums": f"""
+        SELECT split, shard, count(*) AS n, CAST(sum(CAST('0x' || substr(md5({SPELLED}), 1, 15) AS HUGEINT)) AS VARCHAR) AS digest,
+               true AS whole
+        FROM shards GROUP BY split, shard""",
     "q_example_at": f"""
         SELECT {KEY}, pos, example_id FROM split_ex WHERE split = 'train'
           AND (pos = 4 OR pos = (SELECT max(pos) FROM split_ex WHERE split = 'train'))""",

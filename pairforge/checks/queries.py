@@ -217,7 +217,7 @@ def accepted(spark, sf_dir):
 
 @query
 def unique_texts(spark, sf_dir):
-    texts = keys.distinct_texts(fx.examples(spark, sf_dir))
+    texts = keys.distinct_texts(fx.staged_examples(spark, sf_dir))
     return texts.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_texts"),
         F.sum("n_uses").alias("n_uses"),
@@ -227,7 +227,7 @@ def unique_texts(spark, sf_dir):
 
 @query
 def distinct_texts(spark, sf_dir):
-    texts = keys.distinct_texts(fx.examples(spark, sf_dir))
+    texts = keys.distinct_texts(fx.staged_examples(spark, sf_dir))
     return long_key(
         texts, F.col("side").cast("long").alias("side"), "text_id", "lang", digest("text").alias("text_md5"), "n_uses"
     )
@@ -240,15 +240,16 @@ def text_ids(spark, sf_dir):
 
 @query
 def cap_texts(spark, sf_dir):
-    texts = keys.distinct_texts(fx.staged_examples(spark, sf_dir))
-    return keys.cap_texts(texts, MAX_UNIQUE).select("text_id", "lang")
+    ex = fx.staged_examples(spark, sf_dir)
+    uses = fx.stage(keys.text_uses(ex), "uses")
+    return keys.fetch_texts(keys.cap_texts(uses, MAX_UNIQUE), ex).select("text_id", "lang")
 
 
 @query
 def cap_examples(spark, sf_dir):
     ex = fx.staged_examples(spark, sf_dir)
-    texts = fx.stage(keys.distinct_texts(ex), "texts")
-    return long_key(keys.cap_examples(ex, texts, MAX_UNIQUE), "example_id")
+    uses = fx.stage(keys.text_uses(ex), "uses")
+    return long_key(keys.cap_examples(ex, uses, MAX_UNIQUE), "example_id")
 
 
 @query
@@ -260,14 +261,14 @@ def split_shard(spark, sf_dir):
 @query
 def summary(spark, sf_dir):
     ex = fx.staged_examples(spark, sf_dir)
-    return _joined_summary(tables.build_summary(ex, keys.distinct_texts(ex)))
+    return _joined_summary(tables.build_summary(ex, keys.text_uses(ex)))
 
 
 @query
 def shard_roundtrip(spark, sf_dir):
     """Shards written and read back, per split; an unknown split falls back to all."""
     path = scratch(spark, "shards")
-    tables.write_shards(fx.examples(spark, sf_dir), path, PER_SHARD)
+    tables.write_shards(fx.staged_examples(spark, sf_dir), path, PER_SHARD)
     parts = []
     for asked in ("train", "val", "test"):
         shards, fell_back = tables.read_shards(spark, path, asked)
@@ -288,7 +289,7 @@ def shard_roundtrip(spark, sf_dir):
 def example_at(spark, sf_dir):
     """Random access by position: the fifth and the last training example."""
     path = scratch(spark, "shards")
-    tables.write_shards(fx.examples(spark, sf_dir), path, PER_SHARD)
+    tables.write_shards(fx.staged_examples(spark, sf_dir), path, PER_SHARD)
     train, _ = tables.read_shards(spark, path, "train")
     last = train.agg(F.max("pos")).scalar()
     return long_key(train.filter(F.col("pos") == last).unionByName(tables.example_at(train, 4)), "pos", "example_id")
@@ -297,16 +298,24 @@ def example_at(spark, sf_dir):
 @query
 def texts_roundtrip(spark, sf_dir):
     path = scratch(spark, "texts")
-    tables.write_texts(keys.distinct_texts(fx.examples(spark, sf_dir)), path)
+    tables.write_texts(keys.distinct_texts(fx.staged_examples(spark, sf_dir)), path)
     return tables.read_texts(spark, path).select("text_id", "lang", digest("text").alias("text_md5"))
 
 
 @query
 def checksums(spark, sf_dir):
-    """Digest of every shard file of a written corpus."""
+    """Content digest of every shard of a written corpus, and whether its file holds together by its pieces."""
     path = scratch(spark, "shards")
-    tables.write_shards(fx.examples(spark, sf_dir), path, PER_SHARD)
-    return tables.file_checksums(spark, path).select("bytes", "sha256")
+    tables.write_shards(fx.staged_examples(spark, sf_dir), path, PER_SHARD)
+    content = tables.content_digests(tables.read_shards(spark, path, "all")[0], ["split", "shard"], ["row_ord", "task", "texts", "roles", "text_ids"])
+    files = tables.file_checksums(spark, path, piece_bytes=1 << 12)
+    place = lambda pattern: F.regexp_extract("path", pattern, 1)
+    named = files.select(
+        place("split=([a-z]+)/").alias("split"),
+        place("/part-([0-9]+)").cast("long").alias("shard"),
+        ((F.ceil(F.col("bytes") / F.lit(1 << 12)) == F.col("pieces")) & (F.length("sha256") == 64)).alias("whole"),
+    )
+    return content.join(named, ["split", "shard"])
 
 
 @query
@@ -455,7 +464,7 @@ def last_pool(spark, sf_dir):
 
 @query
 def row_numbers(spark, sf_dir):
-    texts = fx.stage(keys.distinct_texts(fx.examples(spark, sf_dir)).select("text_id"), "ids")
+    texts = fx.stage(keys.text_uses(fx.examples(spark, sf_dir)).select("text_id"), "ids")
     return lookup.row_numbers(texts)
 
 
@@ -695,7 +704,7 @@ def eval_report(spark, sf_dir):
 def eval_job(spark, sf_dir):
     """The evaluation job on the held-out split with an encoder."""
     corpus = scratch(spark, "corpus")
-    tables.write_shards(fx.examples(spark, sf_dir), f"{corpus}/examples")
+    tables.write_shards(fx.staged_examples(spark, sf_dir), f"{corpus}/examples")
     report = jobs.evaluate_model(spark, corpus, letter_encoder, scratch(spark, "report"), languages=LANGUAGES)
     return _flat_report(report)
 

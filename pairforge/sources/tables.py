@@ -2,34 +2,105 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import quote
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from pairforge import constants as K
 from pairforge.functions.vectors import round_to_half
 from pairforge.operators.ordering import assign_shards, split_holdout
-from pairforge.schemas import EMBEDDING, SHARD, TEXT
+from pairforge.schemas import EMBEDDING, EXAMPLE, ORDER_KEY, SHARD, TEXT
+
+
+# In the order of their rows.
+SPLITS = ("val", "train")
+# Most tasks of one write; beyond it a task writes several shards in a row.
+WRITERS = 10_000
+
+
+def shard_bounds(examples: DataFrame, per_shard: int = K.DEFAULT_EXAMPLES_PER_SHARD) -> dict[str, pa.Table]:
+    """For each split that has rows the first order key of every shard, in order: ``shard, source_seq, row_ord``.
+
+    Positions are worked out on order keys alone.  One row per shard reaches the
+    driver: 24 bytes for ``per_shard`` examples.
+    """
+    placed = assign_shards(split_holdout(examples.select(*ORDER_KEY)), per_shard)
+    first = placed.filter(F.col("pos") % per_shard == 0).select("split", "shard", *ORDER_KEY).toArrow()
+    bounds = {}
+    for split in SPLITS:
+        own = first.filter(pc.equal(first["split"], split)).drop_columns("split").sort_by("shard")
+        if len(own):
+            bounds[split] = own
+    return bounds
+
+
+def _shard_of(spark: SparkSession, bounds: pa.Table) -> Callable[..., Column]:
+    """Column function from an order key to its shard: the last one that begins at or before it."""
+    starts = [bounds[c].to_numpy() for c in ORDER_KEY]
+    shared = spark.sparkContext.broadcast([np.asarray(x, np.int64) for x in starts])
+
+    def find(source: pa.Array, row: pa.Array) -> pa.Array:
+        seqs, rows = shared.value
+        source, row = np.asarray(source, np.int64), np.asarray(row, np.int64)
+        out = np.zeros(len(source), np.int64)
+        for seq in np.unique(source):
+            # Bounds of one source stand together; a key before the first of them belongs to the shard before.
+            low, high = np.searchsorted(seqs, seq), np.searchsorted(seqs, seq, "right")
+            mine = source == seq
+            out[mine] = low + np.searchsorted(rows[low:high], row[mine], "right") - 1
+        return pa.array(out)
+
+    return F.arrow_udf(find, "long")
 
 
 def write_shards(
-    examples: DataFrame, path: str, per_shard: int = K.DEFAULT_EXAMPLES_PER_SHARD
+    examples: DataFrame, path: str, per_shard: int = K.DEFAULT_EXAMPLES_PER_SHARD, writers: int | None = None
 ) -> None:
-    """Split, number and write examples: ``split=<s>/shard=<n>/`` with at most ``per_shard`` rows each.
+    """Split, number and write examples: ``split=<s>/part-<n>-...`` with at most ``per_shard`` rows a file.
 
-    Numbering leaves each task with contiguous runs of the order, so shards are
-    written from there; a second shuffle of the texts would only save a few
-    files per shard.  An empty split leaves nothing.
+    The n-th file of a split is its n-th shard; all shards of a split lie in one
+    folder.  Bounds of shards come from the order keys, so rows are shuffled once,
+    straight to the task of their shard, and every task writes its rows in order.
+    With more shards than ``writers`` a task has several in a row and its files
+    count on (``.c000``, ``.c001``).  An empty split leaves nothing.
     """
-    shards = assign_shards(split_holdout(examples), per_shard)
-    (
-        shards.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SHARD.fields])
-        .sortWithinPartitions("split", "shard", "pos")
-        .write.mode("overwrite")
-        .partitionBy("split", "shard")
-        .parquet(path)
-    )
+    bounds = shard_bounds(examples, per_shard)
+    rows = examples.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EXAMPLE.fields])
+    if not bounds:
+        nothing = rows.limit(0).withColumns({"pos": F.lit(0).cast("long"), "shard": F.lit(0).cast("long"), "split": F.lit("")})
+        nothing.write.mode("overwrite").partitionBy("split").parquet(path)
+    train = bounds.get("train")
+    for split, mode in zip(bounds, ("overwrite", "append")):
+        own = bounds[split]
+        if train is not None and "val" in bounds:
+            # The held-out rows come first, so the first training key parts the splits; the scan can skip by it.
+            seq, row = (train[c][0].as_py() for c in ORDER_KEY)
+            early = (F.col("source_seq") < seq) | ((F.col("source_seq") == seq) & (F.col("row_ord") < row))
+            mine = rows.filter(early if split == "val" else ~early)
+        else:
+            mine = rows
+        run = -(-len(own) // (writers or WRITERS))
+        task = F.floor(_shard_of(rows.sparkSession, own)(*ORDER_KEY) / F.lit(run)).cast("int")
+        # The folder column leads the sort, as the writer would sort by it otherwise.
+        keyed = mine.withColumn("_task", task).withColumn("split", F.when(F.col("_task") >= 0, split))
+        placed = keyed.repartitionById(-(-len(own) // run), F.col("_task")).sortWithinPartitions("split", *ORDER_KEY)
+        # The low bits of the row id count the rows of a task, which begins at a shard's first row.
+        ahead = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        numbered = placed.withColumn("pos", F.col("_task").cast("long") * run * per_shard + ahead)
+        (
+            numbered.select(*rows.columns, "pos", F.floor(F.col("pos") / F.lit(per_shard)).alias("shard"), "split")
+            .write.mode(mode)
+            .option("maxRecordsPerFile", per_shard)
+            .partitionBy("split")
+            .parquet(path)
+        )
 
 
 def read_shards(spark: SparkSession, path: str, split: str = "train") -> tuple[DataFrame, bool]:
@@ -158,12 +229,92 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def file_checksums(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """SHA-256 and size of every file below ``path``."""
-    return (
+# Bytes of a piece that one task digests, and that are read at once.
+PIECE_BYTES, READ_BYTES = 1 << 28, 1 << 23
+
+
+def _opened(path: str):
+    """A readable file at a Hadoop path that Arrow's file systems know (local, HDFS, object stores)."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + (rest if colon else scheme).lstrip("/"))
+    system, inside = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    return system.open_input_file(inside)
+
+
+def _piece_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path, start, size in zip(*(batch[c].to_pylist() for c in ("path", "start", "bytes"))):
+            state, left = hashlib.sha256(), size
+            with _opened(path) as file:
+                file.seek(start)
+                while left and (data := file.read(min(left, READ_BYTES))):
+                    state.update(data)
+                    left -= len(data)
+            if left:
+                raise OSError(f"{path} is shorter than it was listed")
+            digests.append(state.hexdigest())
+        yield batch.append_column("sha256", pa.array(digests, pa.string()))
+
+
+def piece_checksums(spark: SparkSession, path: str, pattern: str = "*.parquet", piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """``path, piece, start, bytes, sha256`` of every piece of every file below ``path``.
+
+    Files are listed without their content; each piece is a byte range that a
+    task of its own reads in small steps, so neither a file nor a piece is ever
+    held and one large file is spread over many tasks.  Empty files have no
+    piece: Spark does not list them.
+    """
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(path)
-        .select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        .select("path", "length")
     )
+    last = F.ceil(F.col("length") / F.lit(piece_bytes)) - 1
+    pieces = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    start = F.col("piece") * piece_bytes
+    size = F.least(F.col("length") - start, F.lit(piece_bytes).cast("long"))
+    ranges = pieces.select("path", "piece", start.alias("start"), size.alias("bytes")).repartition("path", "piece")
+    return ranges.mapInArrow(_piece_digests, "path string, piece long, start long, bytes long, sha256 string")
+
+
+def file_checksums(spark: SparkSession, path: str, pattern: str = "*.parquet", piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """``path, bytes, pieces, sha256`` of every file below ``path``.
+
+    A file of one piece has its plain SHA-256, a longer one the SHA-256 of its
+    pieces' digests in order; both depend on the bytes and ``piece_bytes`` alone.
+    """
+    pieces = piece_checksums(spark, path, pattern, piece_bytes)
+    # One row of 64 characters for each piece of a file.
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "sha256"))), lambda p: p["sha256"]), "")
+    files = pieces.groupBy("path").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("pieces"), ordered.alias("_all"))
+    root = F.when(F.col("pieces") == 1, F.col("_all")).otherwise(F.sha2(F.unhex("_all"), 256))
+    return files.select("path", "bytes", "pieces", root.alias("sha256"))
+
+
+def _spelled(value: Column, kind: T.DataType) -> Column:
+    """A value as text that no other value of its type shares."""
+    if isinstance(kind, T.ArrayType):
+        parts = F.transform(value, lambda x: _spelled(x, kind.elementType))
+        text = F.concat(F.lit("["), F.array_join(parts, ""), F.lit("]"))
+    else:
+        plain = value.cast("string")
+        text = F.concat(F.length(plain).cast("string"), F.lit(":"), plain)
+    return F.coalesce(text, F.lit("-"))
+
+
+def content_digests(rows: DataFrame, by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """``by``, the number of rows and a digest of their content that no order, file layout or codec changes.
+
+    The digest is the sum of 60 bits of each row's MD5, so it combines before the
+    shuffle; a row lost, repeated or altered changes it.  ``columns`` are of simple
+    types or lists of them; left out, all that are not in ``by``.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    names = [c for c in kinds if c not in by] if columns is None else columns
+    text = F.concat(*[_spelled(F.col(c), kinds[c]) for c in names])
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(number).cast("string").alias("digest"))

@@ -4,6 +4,7 @@ import tempfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,48 @@ def test_shards_roundtrip(spark, folder):
         tables.read_shards(spark, f"{folder}/none")
 
 
+def files_of(folder, split):
+    """Shard number in the name, and its file, of every shard of a split."""
+    return {int(f.name.split("-")[1]): f for f in Path(f"{folder}/split={split}").glob("*.parquet")}
+
+
+def test_shard_files_are_numbered_and_in_order(spark, folder):
+    ex = random_examples(spark, 230)
+    want = [(r.source_seq, r.row_ord) for r in ex.orderBy("source_seq", "row_ord").collect()]
+    tables.write_shards(ex.repartition(7), f"{folder}/n", 60)
+    for split, rows in (("val", want[:2]), ("train", want[2:])):
+        files = files_of(f"{folder}/n", split)
+        assert sorted(files) == list(range(-(-len(rows) // 60)))
+        for n, file in files.items():
+            got = pq.ParquetFile(file).read()
+            assert list(zip(got["source_seq"].to_pylist(), got["row_ord"].to_pylist())) == rows[60 * n : 60 * n + 60]
+            assert got["pos"].to_pylist() == list(range(60 * n, 60 * n + len(got))) and set(got["shard"].to_pylist()) == {n}
+    # Written again with fewer rows, nothing of the first remains; an empty frame leaves no shard.
+    tables.write_shards(ex.limit(50), f"{folder}/n", 60)
+    assert sorted(p.name for p in Path(f"{folder}/n").iterdir() if p.is_dir()) == ["split=train"]
+    assert tables.read_shards(spark, f"{folder}/n", "val")[0].count() == 50
+    tables.write_shards(ex.limit(0), f"{folder}/n", 60)
+    assert not list(Path(f"{folder}/n").rglob("*.parquet"))
+
+
+def test_ten_thousand_shards_in_one_folder(spark, folder):
+    """Few writers, several shards each, named by writer and count; texts are shuffled once."""
+    ex = spark.range(20_200, numPartitions=8).selectExpr(
+        "CAST(id % 3 AS INT) AS source_seq", "id AS row_ord", "CAST(id AS STRING) AS example_id", "'sts' AS task", "'en' AS lang",
+        "array('a', 'b') AS texts", "array('sentence_a', 'sentence_b') AS roles", "array('d', 'd') AS teacher_prompt_names",
+        "array('d', 'd') AS student_prompt_names", "CAST(NULL AS DOUBLE) AS label", "array('i', 'j') AS text_ids",
+    )
+    tables.write_shards(ex, f"{folder}/many", 2, writers=64)
+    files = list(Path(f"{folder}/many/split=train").glob("*.parquet"))
+    assert len(files) == 9_999 and {p.name for p in Path(f"{folder}/many").iterdir() if p.is_dir()} == {"split=train", "split=val"}
+    train, _ = tables.read_shards(spark, f"{folder}/many", "train")
+    n, sizes = train.groupBy("shard").count().agg(F.count("*"), F.max("count")).first()
+    assert (n, sizes) == (9_999, 2)
+    key = lambda f: (int(f.name.split("-")[1]), int(f.name.split(".c")[1].split(".")[0]))
+    numbers = [pq.ParquetFile(f).read(columns=["shard"])["shard"][0].as_py() for f in sorted(files, key=key)]
+    assert numbers == list(range(9_999))
+
+
 def test_checksums(spark, folder):
     tables.write_texts(spark.createDataFrame([("i", "t", "en")], "text_id string, text string, lang string"), f"{folder}/t")
     assert [r.text for r in tables.iter_texts(tables.read_texts(spark, f"{folder}/t"))] == ["t"]
@@ -143,6 +186,51 @@ def test_checksums(spark, folder):
     assert got == want
 
 
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_checksums_by_pieces(spark, folder):
+    """Ordered pieces of many files, empty ones and odd names among them."""
+    data = {"a.bin": b"", "b c%20[1].bin": b"xyz", "é.bin": bytes(range(256)) * 10, "d.bin": b"0123456789" * 100}
+    for name, content in data.items():
+        Path(f"{folder}/{name}").write_bytes(content)
+    Path(f"{folder}/other.txt").write_text("not asked for")
+    cut = {name: [c[i : i + 1000] for i in range(0, len(c), 1000)] for name, c in data.items() if c}
+    pieces = tables.piece_checksums(spark, folder, "*.bin", piece_bytes=1000).collect()
+    got = {(r.path.rsplit("/", 1)[1], r.piece): (r.start, r.bytes, r.sha256) for r in pieces}
+    assert got == {(n, i): (1000 * i, len(p), sha(p)) for n, ps in cut.items() for i, p in enumerate(ps)}
+    files = {r.path.rsplit("/", 1)[1]: (r.bytes, r.pieces, r.sha256) for r in tables.file_checksums(spark, folder, "*.bin", 1000).collect()}
+    root = {n: sha(ps[0]) if len(ps) == 1 else sha(b"".join(hashlib.sha256(p).digest() for p in ps)) for n, ps in cut.items()}
+    assert files == {n: (len(data[n]), len(cut[n]), root[n]) for n in cut}
+    assert tables.file_checksums(spark, folder, "*.none").count() == 0
+
+
+def test_checksums_of_a_file_above_two_gigabytes(spark, folder):
+    """A sparse file of 2.5 GB: more than one cell can hold."""
+    size, piece = (5 << 29) + 3, 1 << 28
+    with open(f"{folder}/big.bin", "wb") as file:
+        file.truncate(size)
+    row = tables.file_checksums(spark, folder, "*.bin", piece).first()
+    whole, rest = hashlib.sha256(bytes(piece)).digest(), hashlib.sha256(bytes(3)).digest()
+    assert (row.bytes, row.pieces, row.sha256) == (size, 11, sha(whole * 10 + rest))
+
+
+def test_content_digests_ignore_order_and_files(spark):
+    rows = [(1, "a", 0.5, ["x", None]), (1, "b", None, []), (1, "b", None, []), (2, None, 1.0, None), (2, "", 1.0, [""])]
+    schema = "g int, t string, v double, l array<string>"
+
+    def digest(rows, parts=3):
+        return sorted(tuple(r) for r in tables.content_digests(spark.createDataFrame(rows, schema).repartition(parts), ["g"], ["t", "v", "l"]).collect())
+
+    assert digest(rows) == digest(rows[::-1], 1)
+    for changed in (rows[:-1], rows + rows[1:2], [*rows[:-1], (2, "", 1.0, [])], [*rows[:-2], (2, "", 1.0, None), (2, "", 1.0, [""])]):
+        assert digest(changed) != digest(rows)
+    assert digest([(1, "a|b", None, ["c"])]) != digest([(1, "a", None, ["b|c"])])
+    assert digest([(1, "a", None, ["b", "c"])]) != digest([(1, "a", None, ["b,c"])])
+    assert tables.content_digests(spark.createDataFrame(rows, schema).limit(0), ["g"]).count() == 0
+
+
 def test_embeddings_roundtrip(spark, folder):
     emb = vectors(spark, {"a": [1, 2], "b": [3, 4]}).unionByName(vectors(spark, {"a": [5, 6]}, "query"))
     tables.write_embeddings(emb, f"{folder}/e", files=2)
