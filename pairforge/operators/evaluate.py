@@ -19,8 +19,8 @@ from pairforge.operators.skew import hot_keys_of, skew_join
 from pairforge.schemas import ORDER_KEY
 from pairforge.session import stage
 
-# Value ranges a ranking is cut into; each holds about 1/RANK_BUCKETS of the distinct values.
-RANK_BUCKETS = 128
+# Distinct values that one task ranks; ranges a sketch is cut into at once; size of a quantile sketch (rank error 0.1 %).
+RANGE_ROWS, FAN, SKETCH = 1 << 16, 256, 4096
 # Vectors per block of the retrieval score matrix.
 BLOCK = 256
 
@@ -91,42 +91,62 @@ def pair_similarity(
     )
 
 
-def average_ranks(values: DataFrame, group: str, value: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+def _below(cuts: str, value: str) -> Column:
+    """How many of the sorted ``cuts`` are below ``value``: whole chunks first, then inside one chunk."""
+    chunk = math.isqrt(FAN)
+    is_below = lambda c: c < F.col(value)
+    ends = F.transform(F.sequence(F.lit(chunk), F.lit(FAN - 1), F.lit(chunk)), lambda i: F.get(cuts, i - 1))
+    whole = F.size(F.filter(ends, is_below)) * chunk
+    return whole + F.size(F.filter(F.slice(cuts, whole + 1, F.lit(chunk)), is_below))
+
+
+def value_ranges(values: DataFrame, group: str, value: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``_range``, a long that grows with ``value`` inside ``group``; no range has more than ``rows`` rows.
+
+    ``values`` has one row per (group, value).  A quantile sketch of each range
+    that is too large cuts it into up to ``FAN``, as often as its rows call for, so
+    the number of ranges follows the number of rows and a task's share stays the
+    same.  Sketches merge on the map side.  Their cuts may differ from run to run,
+    so each level's are written once; a group that is small enough has none.
+    """
+    quantiles = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
+    ranged, level = values.withColumn("_range", F.lit(0).cast("long")), 0
+    while (ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) > rows:
+        sketched = ranged.groupBy(group, "_range").agg(
+            F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH).alias("_sketch")
+        )
+        cuts = sketched.filter(F.col("_n") > rows).select(
+            group, "_range", F.least(F.ceil(2 * F.col("_n") / F.lit(rows)), F.lit(FAN)).alias("_parts"),
+            F.kll_sketch_get_quantile_double("_sketch", quantiles).alias("_q"),
+        )
+        # Of FAN - 1 quantiles those are kept that part the range into as many as it needs, in even steps.
+        picked = F.transform("_q", lambda q, i: F.when(F.floor((i + 1) * F.col("_parts") / F.lit(FAN)) > F.floor(i * F.col("_parts") / F.lit(FAN)), q))
+        cuts = stage(cuts.select(group, "_range", F.array_compact(picked).alias("_cuts")), "rank-cuts")
+        # First one row for each language asked for, then up to FAN of 2 KB: broadcast, so no task gets a whole language.
+        small = F.broadcast(cuts) if level < 2 else cuts
+        child = F.coalesce(_below("_cuts", value), F.lit(0))
+        ranged = ranged.join(small, [group, "_range"], "left").withColumn("_range", F.col("_range") * FAN + child).select(*values.columns, "_range")
+        level += 1
+    return ranged
+
+
+def average_ranks(values: DataFrame, group: str, value: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Average rank of each distinct value per group, ties sharing theirs.
 
-    ``values`` has one row per (group, value) with its count ``n``.  Approximate
-    quantiles only choose where the value range is cut, so that no group or
-    value range is handled by one task; ranks are exact for any cut.  Cuts may
-    differ from run to run, so the bucketed values are written once and every
-    later step reads the same buckets, also after a lost executor.
+    ``values`` has one row per (group, value) with its count ``n``.  Values are
+    ranked inside bounded ranges (``value_ranges``), ranges by a running sum of
+    their counts; ranks are exact for any ranges.
     """
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = values.groupBy(group).agg(
-        F.percentile_approx(value, shares, F.lit(buckets * 20)).alias("_cuts")
-    )
-    # Cuts are counted below the value in two steps: whole chunks, then inside one chunk.
-    chunk = math.isqrt(buckets)
-    ends = F.sequence(F.lit(chunk), F.lit(max(chunk, buckets - 1)), F.lit(chunk))
-    cuts = cuts.withColumn("_ends", F.transform(ends, lambda i: F.get("_cuts", i - 1)))
-    below_value = lambda c: c < F.col(value)
-    inside_chunk = F.slice("_cuts", F.col("_whole") * chunk + 1, F.lit(chunk))
-    # One short array for each language asked for: broadcast, so no task gets a whole language.
-    bucketed = (
-        values.join(F.broadcast(cuts), group)
-        .withColumn("_whole", F.size(F.filter("_ends", below_value)))
-        .withColumn("_b", F.col("_whole") * chunk + F.size(F.filter(inside_chunk, below_value)))
-        .drop("_cuts", "_ends", "_whole")
-    )
-    bucketed = stage(bucketed, "rank-buckets")
-    ahead = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    ranged = value_ranges(values, group, value, rows)
+    ahead = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sizes = (
-        bucketed.groupBy(group, "_b")
+        ranged.groupBy(group, "_range")
         .agg(F.sum("n").alias("_n"))
-        .select(group, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        .select(group, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     )
-    inside = W.partitionBy(group, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(group, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     below = F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return bucketed.join(sizes, [group, "_b"]).select(
+    return ranged.join(sizes, [group, "_range"]).select(
         group, value, "n", (below + (F.col("n") + 1) / 2).cast("double").alias("rank")
     )
 

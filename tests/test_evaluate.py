@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import example, frame, vectors
 from pairforge.operators import evaluate as E
@@ -33,24 +34,36 @@ def test_spearman_with_heavy_ties(spark, monkeypatch, hot_rows, parts):
 
 def test_average_ranks(spark):
     df = spark.createDataFrame([("g", 1.0, 2), ("g", 3.0, 1), ("g", 2.0, 4), ("h", 9.0, 3)], "g string, v double, n long")
-    for buckets in (2, 3, 10, 64):
-        got = {(r.g, r.v): r["rank"] for r in E.average_ranks(df, "g", "v", buckets).collect()}
+    for rows in (1, 2, 64):
+        got = {(r.g, r.v): r["rank"] for r in E.average_ranks(df, "g", "v", rows).collect()}
         assert got == {("g", 1.0): 1.5, ("g", 2.0): 4.5, ("g", 3.0): 7.0, ("h", 9.0): 2.0}
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 128])
-def test_average_ranks_of_many_values(spark, buckets):
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_average_ranks_of_many_values(spark, rows):
     values = np.unique(np.random.default_rng(3).normal(size=500))
-    rows = [("g", float(v), int(i % 5 + 1)) for i, v in enumerate(values)]
-    df = spark.createDataFrame(rows, "g string, v double, n long").repartition(6)
-    got = {r.v: r["rank"] for r in E.average_ranks(df, "g", "v", buckets).collect()}
+    counted = [("g", float(v), int(i % 5 + 1)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(counted, "g string, v double, n long").repartition(6)
+    got = {r.v: r["rank"] for r in E.average_ranks(df, "g", "v", rows).collect()}
     seen, want = 0, {}
-    for _, v, n in rows:
+    for _, v, n in counted:
         want[v] = seen + (n + 1) / 2
         seen += n
     assert got == want
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000, 2_000_000])
+def test_a_tasks_share_does_not_grow_with_the_rows(spark, n):
+    """Two groups of very uneven values, one with nine tenths of the rows; ranges stay monotone and bounded."""
+    x = F.rand(5)
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("g"), (x * x * x * x * 1e9).alias("v"), F.lit(1).cast("long").alias("n"))
+    df = df.dropDuplicates(["g", "v"])
+    ranged = E.value_ranges(df, "g", "v", rows=2_000)
+    sizes = ranged.groupBy("g", "_range").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("g", "_range").collect()
+    assert max(r.n for r in sizes) <= 2_000 and n / 2_000 <= len(sizes) <= 4 * n / 1_000
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]) if a.g == b.g)
+
+
 def test_spearman_guards(spark):
     rows = [("few", 0.1, 1.0), ("few", 0.2, 2.0)] + [("flat", float(i), 1.0) for i in range(5)]
     df = spark.createDataFrame(rows, "lang string, sim double, label double")
