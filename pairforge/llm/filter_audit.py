@@ -1,11 +1,12 @@
 """How five document filters interact, from a sparse document-term matrix.
 
-1. Texts are split into words and dictionary-encoded shard by shard (some MB of
-   text): a shard holds its rows' word counts in compressed sparse rows over its
-   own words, and the facts of each row that need no words.
-2. All shards' words become one dictionary with dense global numbers; each shard
-   receives the numbers of its words (a word meets a shard once, so no word is
-   hot) and its column indices are rewritten.  ``document_term_matrix`` ends here.
+1. Texts are split into words and dictionary-encoded segment by segment (tens of
+   MB of text).  A segment's shards hold their rows' word counts in compressed
+   sparse rows over the segment's words, and the facts of each row that need no words.
+2. The words of all segments meet by word, once, sorted: equal ones get one
+   number, numbers are made dense, and each segment receives the numbers of its
+   words (a word meets a segment once, so no word is hot) and rewrites the column
+   indices of its shards.  ``document_term_matrix`` ends here.
 3. A row's sum is its number of words, its number of nonzeros that of distinct
    words: they decide filters A and B.  C and D come with the row, E from the
    least id among equal texts.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 from itertools import permutations
 
 import numpy as np
@@ -35,150 +38,226 @@ FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 200, 50, 3
 #: Fixed set of filter D.
 SYMBOLS = b"#$%&*|"
-#: Text bytes of a shard; one longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
+#: Text bytes of a shard (one longer text is a shard of its own), and of the shards that share a dictionary.
+SHARD_BYTES, SEGMENT_BYTES = 2 << 20, 24 << 20
+#: Segments of a task, and words of a segment, are below these powers of two; both go into one long (``place``).
+SEGMENT_BITS, WORD_BITS = 12, 31
 #: Bytes of a Parquet row group of shards, so that a reader holds few shards at once.
 GROUP_BYTES = 16 << 20
 
-UPPER = np.zeros(256, bool)
-UPPER[0x41:0x5B] = True
-SYMBOL = np.zeros(256, bool)
-SYMBOL[list(SYMBOLS)] = True
+UPPER = bytes(range(0x41, 0x5B))
 
 _ROWS = "doc_ids array<bigint>, parts array<string>, marks array<int>, digests array<binary>"
-LOCAL = f"shard bigint, {_ROWS}, indptr array<int>, indices array<int>, counts array<int>, words array<string>"
-MATRIX = f"shard bigint, {_ROWS}, indptr array<int>, indices array<bigint>, counts array<int>"
+#: Shards as they are written first (arrays as bytes), or with ``words`` alone the dictionary of a segment.
+LOCAL = f"segment bigint, {_ROWS}, indptr binary, indices binary, counts binary, words array<string>"
+MATRIX = f"segment bigint, {_ROWS}, indptr array<int>, indices array<bigint>, counts array<int>"
 _MARK_C, _MARK_D = 1 << 2, 1 << 3
 
 
-def _ranges(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _ranges(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + SHARD_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
         last = min(max(last, first + 1), n)
         yield first, last
         first = last
 
 
-def _marks(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of the filters C and D of each row."""
+def _facts(texts: pa.Array, data: bytes, at: np.ndarray) -> list[pa.Array]:
+    """Bits of the filters C and D of each row, and the digests of the texts."""
+    points = np.asarray(pc.utf8_length(texts))
+    marks, digests = [], []
+    for n, a, b in zip(points.tolist(), at[:-1].tolist(), at[1:].tolist()):
+        text = data[a:b]
+        upper, plain = len(text) - len(text.translate(None, UPPER)), len(text.translate(None, SYMBOLS))
+        marks.append((100 * upper > UPPER_PERCENT * n) * _MARK_C + (plain < len(text)) * _MARK_D)
+        digests.append(hashlib.sha256(text).digest())
+    return [pa.array(marks, pa.int32()), pa.array(digests, pa.binary())]
 
-    def count(flags: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
 
-    upper, points = count(UPPER[raw]), count((raw & 0xC0) != 0x80)
-    return (100 * upper > UPPER_PERCENT * points) * _MARK_C + (count(SYMBOL[raw]) > 0) * _MARK_D
-
-
-def _compressed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Row pointers, column indices, counts and the words that the columns stand for."""
+def _compress(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row pointers, column numbers and counts of the words of ``texts``, and the words."""
     split = pc.ascii_split_whitespace(texts)
     rows = np.repeat(np.arange(len(texts)), np.asarray(split.value_lengths()))
     flat = split.flatten()
     # Space at the ends of a text leaves empty pieces.
     real = pc.not_equal(flat, "")
     encoded = flat.filter(real).dictionary_encode()
-    columns = np.asarray(encoded.indices).astype(np.int64)
-    cells, counts = np.unique(rows[np.asarray(real)] * len(encoded.dictionary) + columns, return_counts=True)
-    row, column = np.divmod(cells, max(len(encoded.dictionary), 1))
-    indptr = np.searchsorted(row, np.arange(len(texts) + 1))
-    return indptr.astype(np.int32), column.astype(np.int32), counts.astype(np.int32), encoded.dictionary
+    cells, counts = np.unique((rows[np.asarray(real)] << 32) + np.asarray(encoded.indices), return_counts=True)
+    indptr = np.searchsorted(cells >> 32, np.arange(len(texts) + 1))
+    return indptr.astype(np.int32), (cells & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32), encoded.dictionary
+
+
+_WIDTHS = (np.uint8, np.uint16, np.uint32)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Values as bytes of the least width that holds them, after the number of that width."""
+    width = next(w for w, kind in enumerate(_WIDTHS) if not len(values) or values.max() <= np.iinfo(kind).max)
+    return bytes([width]) + values.astype(_WIDTHS[width]).tobytes()
+
+
+def _wide(value: pa.Scalar) -> np.ndarray:
+    data = value.as_buffer()
+    return np.frombuffer(data[1:], _WIDTHS[data[0]])
+
+
+class _Segment:
+    """Consecutive shards that wait for their common dictionary."""
+
+    def __init__(self):
+        self.bytes, self.facts, self.rows, self.words = 0, [], [], []
+
+    def add(self, size: int, facts: list[pa.Array], texts: pa.Array) -> None:
+        *rows, words = _compress(texts)
+        self.bytes += size
+        self.facts.append(facts)
+        self.rows.append(rows)
+        self.words.append(words)
+
+    def written(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The shards with numbers of the common dictionary, then that."""
+        common = pa.concat_arrays(self.words).dictionary_encode()
+        numbers, first = np.asarray(common.indices), 0
+        key = pa.array([number], pa.int64())
+        for facts, (indptr, indices, counts), words in zip(self.facts, self.rows, self.words):
+            rows = (indptr, numbers[first : first + len(words)][indices], counts)
+            first += len(words)
+            packed = [pa.array([_narrow(x)], pa.binary()) for x in rows]
+            yield pa.RecordBatch.from_arrays([key, *map(_one, facts), *packed, pa.nulls(1, pa.list_(pa.string()))], _NAMES)
+        lists = [pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.string(), pa.int32(), pa.binary())]
+        blobs = [pa.nulls(1, pa.binary())] * 3
+        yield pa.RecordBatch.from_arrays([key, *lists, *blobs, _one(common.dictionary)], _NAMES)
+
+
+_NAMES = ["segment", "doc_ids", "parts", "marks", "digests", "indptr", "indices", "counts", "words"]
 
 
 def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _local_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, part, text) to shards; a shard's number is unique among the attempts that count."""
-    number = TaskContext.get().partitionId() << 33
+def _local_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, segment_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, part, text) to shards and dictionaries; a segment's number is unique among the attempts that count."""
+    number, segment = TaskContext.get().partitionId() << SEGMENT_BITS, _Segment()
     for batch in batches:
         ids, parts, texts = batch.columns
         raw, offsets = text_bytes(texts)
-        for first, last in _ranges(offsets):
-            n = last - first
-            own = raw[offsets[first] : offsets[last]]
-            at = offsets[first : last + 1] - offsets[first]
-            data = own.tobytes()
-            digests = [hashlib.sha256(data[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            indptr, indices, counts, words = _compressed(texts.slice(first, n).fill_null("").cast(pa.string()))
-            columns = [
-                ids.slice(first, n), parts.slice(first, n), pa.array(_marks(own, at).astype(np.int32)), pa.array(digests, pa.binary()),
-                pa.array(indptr), pa.array(indices), pa.array(counts), words,
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), *map(_one, columns)],
-                ["shard", "doc_ids", "parts", "marks", "digests", "indptr", "indices", "counts", "words"],
-            )
-            number += 1
-
-
-def _dense(words: DataFrame) -> DataFrame:
-    """Distinct words with dense numbers 0, 1, ...: their place in the written partitions, after those before."""
-    numbered = stage(words.distinct().select("word", F.monotonically_increasing_id().alias("raw")), "dictionary")
-    task, place = F.shiftright("raw", 33), F.col("raw").bitwiseAND((1 << 33) - 1)
+        for first, last in _ranges(offsets, shard_bytes):
+            size = int(offsets[last] - offsets[first])
+            if segment.bytes and segment.bytes + size > segment_bytes:
+                yield from segment.written(number)
+                number, segment = number + 1, _Segment()
+            own = texts.slice(first, last - first).cast(pa.string())
+            data, at = raw[offsets[first] : offsets[last]].tobytes(), offsets[first : last + 1] - offsets[first]
+            facts = [ids.slice(first, last - first), parts.slice(first, last - first), *_facts(own, data, at)]
+            segment.add(size, facts, own)
+    if segment.rows:
+        yield from segment.written(number)
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (place, word) in order of words: equal words get one number; the word stays with its first row."""
+    before, number = None, (TaskContext.get().partitionId() << 33) - 1
+    for batch in batches:
+        places, words = batch.columns
+        if not len(words):
+            continue
+        new = np.ones(len(words), bool)
+        new[0] = words[0].as_py() != before
+        new[1:] = np.asarray(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)))
+        numbers = number + np.cumsum(new)
+        before, number = words[len(words) - 1].as_py(), int(numbers[-1])
+        named = pc.if_else(pa.array(new), words, pa.scalar(None, words.type))
+        yield pa.RecordBatch.from_arrays([places, pa.array(numbers), named], ["place", "raw", "word"])
+
+
+def _numbered(used: DataFrame) -> DataFrame:
+    """Add dense numbers 0, 1, ... of the words: their place in a partition, after the words of those before."""
+    ordered = used.repartition("word").sortWithinPartitions("word")
+    numbers = stage(ordered.mapInArrow(_number, "place bigint, raw bigint, word string"), "numbers", compression="zstd")
+    task, rank = F.shiftright("raw", 33), F.col("raw").bitwiseAND((1 << 33) - 1)
     # One row for each partition that was written.
-    sizes = numbered.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = numbers.groupBy(task.alias("task")).agg((F.max(rank) + 1).alias("n"))
     ahead = F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = F.broadcast(sizes.select("task", ahead.alias("before")))
-    return numbered.withColumn("task", task).join(before, "task").select("word", (F.col("before") + place).alias("word_id"))
+    return numbers.withColumn("task", task).join(before, "task").select("place", (F.col("before") + rank).alias("word_id"), "word")
 
 
-def _renumber(numbers: pa.Table, shard: pa.Table) -> pa.Table:
-    """One shard with global column indices, ascending in each row."""
-    local = np.asarray(numbers["local"])
+def _renumber(numbers: pa.Table, shards: pa.Table) -> pa.Table:
+    """The shards of one segment with global column indices."""
+    local = np.asarray(numbers["place"]) & ((1 << WORD_BITS) - 1)
     of = np.zeros(len(local), np.int64)
     of[local] = np.asarray(numbers["word_id"])
-    indptr = np.asarray(shard["indptr"].combine_chunks().flatten())
-    indices = of[np.asarray(shard["indices"].combine_chunks().flatten())]
-    counts = np.asarray(shard["counts"].combine_chunks().flatten())
-    order = np.lexsort((indices, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-    kept = [shard[c].combine_chunks() for c in ("of", "doc_ids", "parts", "marks", "digests", "indptr")]
-    names = ["shard", "doc_ids", "parts", "marks", "digests", "indptr", "indices", "counts"]
-    return pa.Table.from_arrays([*kept, _one(pa.array(indices[order])), _one(pa.array(counts[order]))], names)
-
-
-def document_term_matrix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """CSR shards of word counts, and the dictionary (``word``, ``word_id`` from 0 on) of their columns.
-
-    A shard row holds, for its documents in order, ``doc_ids``, ``parts`` (null as
-    empty), ``marks`` (bits of C and D) and ``digests`` of the texts, and the matrix
-    as ``indptr``, ``indices`` and ``counts``.  Null texts are empty rows; every row
-    of the table, repeated or without id, is a row of the matrix.
+    out = []
+    for shard in range(len(shards)):
+        row = shards.slice(shard, 1)
+        indptr, indices, counts = (_wide(row[c][0]) for c in ("indptr", "indices", "counts"))
+        kept = [row[c].combine_chunks() for c in ("of", "doc_ids", "parts", "marks", "digests")]
+        arrays = (indptr.astype(np.int32), of[indices], counts.astype(np.int32))
+        out.append(pa.Table.from_arrays([*kept, *[_one(pa.array(x)) for x in arrays]], _NAMES[:-1]))
+    return pa.concat_tables(out)
+
+
+def _row_sums(matrix: pa.Table) -> pa.Table:
+    """For each row of the matrix its document, the sum of the row and the number of its nonzeros."""
+    facts = [matrix[c].combine_chunks().flatten() for c in ("doc_ids", "parts", "marks", "digests")]
+    sums, nonzeros = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for pointers, values in zip(matrix["indptr"], matrix["counts"]):
+        at = np.asarray(pointers.values)
+        sums.append(np.diff(np.concatenate([[0], np.cumsum(np.asarray(values.values), dtype=np.int64)])[at]))
+        nonzeros.append(np.diff(at).astype(np.int64))
+    pa.default_memory_pool().release_unused()
+    numbers = [pa.array(np.concatenate(x)) for x in (sums, nonzeros)]
+    return pa.Table.from_arrays([*facts, *numbers], ["doc_id", "part", "mark", "digest", "n_words", "n_distinct"])
+
+
+@dataclass(frozen=True)
+class Matrix:
+    """Document-term matrix in shards, and the numbers of its words."""
+
+    numbers: DataFrame
+    shards: DataFrame
+
+    def dictionary(self) -> DataFrame:
+        """``word`` and ``word_id``, from 0 on."""
+        return self.numbers.filter("word IS NOT NULL").select("word", "word_id")
+
+    def _with_numbers(self, work, schema: str) -> DataFrame:
+        numbers = self.numbers.select("place", "word_id")
+        return numbers.groupBy(F.shiftright("place", WORD_BITS).alias("segment")).cogroup(self.shards.groupBy("of")).applyInArrow(work, schema)
+
+    def csr(self) -> DataFrame:
+        """Shards with, for their documents in order, ``doc_ids``, ``parts``, ``marks`` (bits of C and D) and
+        ``digests`` of the texts, and the matrix as ``indptr``, ``indices`` (global) and ``counts``."""
+        return self._with_numbers(lambda numbers, shards: _renumber(numbers, shards), MATRIX)
+
+    def row_statistics(self) -> DataFrame:
+        """``doc_id, part, mark, digest`` of each row with ``n_words`` (its sum) and ``n_distinct`` (its nonzeros)."""
+        schema = "doc_id bigint, part string, mark int, digest binary, n_words bigint, n_distinct bigint"
+        return self._with_numbers(lambda numbers, shards: _row_sums(_renumber(numbers, shards)), schema)
+
+
+def document_term_matrix(
+    documents: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    part: str = "lang",
+    shard_bytes: int = SHARD_BYTES,
+    segment_bytes: int = SEGMENT_BYTES,
+) -> Matrix:
+    """Word counts of every row of ``documents`` over one dictionary of all words.
+
+    Null texts are empty rows, a null part is the empty string; every row of the
+    table, repeated or without id, is a row of the matrix.  Shards and numbers are
+    written to the shared folder.
     """
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), or_empty(F.col(part).cast("string")).alias("part"), or_empty(text).alias("text"))
-    shards = stage(rows.mapInArrow(_local_shards, LOCAL), "shards", **{"parquet.block.size": str(GROUP_BYTES)})
-    used = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    dictionary = _dense(used.select("word"))
-    numbers = used.join(dictionary, "word").select("shard", "local", "word_id")
-    rest = shards.drop("words").withColumnRenamed("shard", "of")
-    return numbers.groupBy("shard").cogroup(rest.groupBy("of")).applyInArrow(_renumber, MATRIX), dictionary
-
-
-def _sums(indptr: pa.Array, counts: pa.Array) -> pa.Array:
-    """For each shard the sum and the number of nonzeros of every row."""
-    out = []
-    for pointers, values in zip(indptr, counts):
-        at, total = np.asarray(pointers.values), np.concatenate([[0], np.cumsum(np.asarray(values.values), dtype=np.int64)])
-        out.append(pa.StructArray.from_arrays([pa.array(np.diff(total[at])), pa.array(np.diff(at).astype(np.int64))], ["n_words", "n_distinct"]))
-    kind = pa.struct([("n_words", pa.int64()), ("n_distinct", pa.int64())])
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(out) if out else pa.array([], kind))
-
-
-def row_statistics(matrix: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, part, marks, digest, n_words, n_distinct``."""
-    sums = F.arrow_udf(_sums, "array<struct<n_words: bigint, n_distinct: bigint>>")
-    zipped = F.arrays_zip("doc_ids", "parts", "marks", "digests", sums("indptr", "counts").alias("sums"))
-    row = matrix.select(F.explode(zipped).alias("row"))
-    return row.select(
-        F.col("row.doc_ids").alias("doc_id"),
-        F.col("row.parts").alias("part"),
-        F.col("row.marks").alias("marks"),
-        F.col("row.digests").alias("digest"),
-        F.col("row.sums.n_words").alias("n_words"),
-        F.col("row.sums.n_distinct").alias("n_distinct"),
-    )
+    build = partial(_local_shards, shard_bytes=shard_bytes, segment_bytes=segment_bytes)
+    local = stage(rows.mapInArrow(lambda batches: build(batches), LOCAL), "shards", **{"parquet.block.size": str(GROUP_BYTES), "compression": "zstd"})
+    words = local.filter("words IS NOT NULL").select("segment", F.posexplode("words").alias("local", "word"))
+    words = words.select(F.shiftleft("segment", WORD_BITS).bitwiseOR(F.col("local").cast("long")).alias("place"), "word")
+    return Matrix(_numbered(words), local.filter("words IS NULL").drop("words").withColumnRenamed("segment", "of"))
 
 
 def failed(statistics: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,7 +268,7 @@ def failed(statistics: DataFrame, labels: DataFrame) -> DataFrame:
     """
     few = (F.col("n_words") < MIN_WORDS).cast("int")
     same = (100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")).cast("int")
-    bits = F.col("marks") + few + 2 * same
+    bits = F.col("mark") + few + 2 * same
     rows = statistics.groupBy("doc_id", "digest", "part", bits.alias("fails")).agg(F.count(F.lit(1)).alias("n"))
     # A key of its own kind spreads rows without id, which match nothing.
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-#"), F.hex("digest")))
@@ -261,5 +340,5 @@ def audit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     count as often as they occur, further columns are ignored, and an empty table
     has no parts.
     """
-    matrix, _ = document_term_matrix(documents, doc_id, text, part)
-    return interactions(failed(row_statistics(matrix), labels))
+    matrix = document_term_matrix(documents, doc_id, text, part)
+    return interactions(failed(matrix.row_statistics(), labels))
