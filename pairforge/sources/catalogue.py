@@ -10,6 +10,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from pairforge import constants as K
 from pairforge.operators.normalize import normalize_source
 from pairforge.schemas import EXAMPLE
+from pairforge.session import stage
+from pairforge.sources.files import qualified, reachable, source_rows
 
 
 @dataclass(frozen=True)
@@ -62,9 +65,13 @@ def catalogue_from_config(config: dict) -> list[Source]:
     ]
 
 
+def _plain(path: str) -> str:
+    """A path whose name may hold characters that readers take for a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    """Open a path whose name may hold characters that readers take for a pattern."""
-    return spark.read.parquet(re.sub(r"([\\\[\]{}*?])", r"\\\1", path))
+    return spark.read.parquet(_plain(path))
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame | None:
@@ -76,11 +83,16 @@ def _scan(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+# Files up to which their row offsets (16 bytes each) are broadcast.
+BROADCAST_FILES = 4_000_000
+
+
 def _file_offsets(df: DataFrame) -> DataFrame:
-    """_path and _start, the number of rows in the files before it in order of their paths.
+    """_path, _file (a 64-bit hash of it) and _start, the number of rows in the files before it in order of their paths.
 
-    A row per file, kept as a table; folders are ordered first, then the files
-    of one folder, so no task orders all files.
+    A row per file, counted without reading a column; folders are ordered first,
+    then the files of one folder, so no task orders all files.  Two paths of one
+    hash are an error.
     """
     path = F.col("_metadata.file_path")
     counts = df.groupBy(path.alias("_path")).agg(F.count(F.lit(1)).alias("_n"))
@@ -90,7 +102,20 @@ def _file_offsets(df: DataFrame) -> DataFrame:
     inside = W.partitionBy("_folder").orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
     before = folders.select("_folder", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     start = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    return counts.join(before, "_folder").select("_path", start.alias("_start"))
+    return counts.join(before, "_folder").select("_path", F.xxhash64("_path").alias("_file"), start.alias("_start"))
+
+
+def _unlike(offsets: DataFrame) -> DataFrame:
+    """One row per _file; a hash of two files would give rows a wrong place."""
+    one = F.when(F.count(F.lit(1)) == 1, F.max("_start")).otherwise(F.raise_error(F.lit("two file paths share a hash")).cast("long"))
+    return offsets.groupBy("_file").agg(one.alias("_start"))
+
+
+def _first_files(spark: SparkSession, df: DataFrame, path: str, offsets: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The scan and the offsets of the files that hold the first ``limit`` rows; at most ``limit`` of them have rows."""
+    near = stage(offsets.filter(F.col("_start") < limit), "first-files")
+    files = [unquote(urlsplit(row["_path"]).path) if row["_path"].startswith("file:") else unquote(row["_path"]) for row in near.select("_path").collect()]
+    return spark.read.schema(df.schema).option("basePath", path).parquet(*[_plain(f) for f in files]), near
 
 
 def scan_source(
@@ -99,22 +124,29 @@ def scan_source(
     """Scan with ``row_ord``, the row's position in the source; ``None`` when the path is missing.
 
     Positions come from the file order and the row index Parquet readers expose,
-    so they are stable across retries.  Partition columns are kept.  File names
-    and counts stay in a table that is joined to the rows; the rows' side is
-    split by Spark where one file holds many.
+    so they are stable across retries.  Partition columns are kept.  Rows find
+    the offset of their file in a broadcast table of 16 bytes a file, so none is
+    shuffled to reach its position; beyond ``BROADCAST_FILES`` files Spark joins as
+    it sees fit.  With a ``limit`` only the files that hold the first rows are read.
     """
-    df = _scan(spark, source.path(root))
+    path = source.path(root)
+    df = _scan(spark, path)
     if df is None:
         return None
     row = F.col("_metadata.row_index")
-    if len(df.inputFiles()) <= 1:
+    n_files = len(df.inputFiles())
+    if n_files <= 1:
         out = df.select("*", row.alias("row_ord"))
     else:
-        rows = df.select("*", F.col("_metadata.file_path").alias("_path"), row.alias("_row"))
+        offsets = _file_offsets(df)
+        if limit is not None:
+            df, offsets = _first_files(spark, df, path, offsets, limit)
+        starts = _unlike(offsets)
+        rows = df.select("*", F.xxhash64("_metadata.file_path").alias("_file"), row.alias("_row"))
         out = (
-            rows.join(_file_offsets(df), "_path")
+            rows.join(F.broadcast(starts) if n_files <= BROADCAST_FILES else starts, "_file")
             .withColumn("row_ord", F.col("_start") + F.col("_row"))
-            .drop("_path", "_start", "_row")
+            .drop("_file", "_start", "_row")
         )
     return out if limit is None else out.filter(F.col("row_ord") < limit)
 
@@ -156,31 +188,43 @@ MANIFEST = T.StructType(
 )
 
 
-def _status(error: Exception) -> str:
-    condition = error.getCondition() if isinstance(error, PySparkException) else None
-    return f"error: {condition or type(error).__name__}"
-
-
 def ingest_manifest(spark: SparkSession, root: str, catalogue: Sequence[Source]) -> DataFrame:
     """One row per source with its row count and status; one bad source does not stop the others.
 
-    Each source is opened and counted on its own, so a missing path, a file that
-    is no Parquet and any other failure becomes the status of that source.
-    Ingest keeps twice the later cap as headroom.
+    Row counts come from Parquet footers, read by tasks: one job for all sources
+    and files.  A missing path, a file that is no Parquet and any other failure
+    becomes the status of its source.  Sources on storage that tasks cannot open by
+    themselves are counted one by one with Spark.  Ingest keeps twice the later cap
+    as headroom.
     """
-    entries = []
-    for seq, source in enumerate(catalogue):
-        path, status, rows = source.path(root), "ok", 0
-        try:
-            rows = _read(spark, path).count()
-        except Exception as error:  # noqa: BLE001  whatever stops one source must not stop the rest
-            path, status = None, _status(error)
-        if source.max_examples is not None:
-            rows = min(rows, 2 * source.max_examples)
-        entries.append(
-            (seq, source.group, source.name, source.config, source.split, source.lang, path, status, rows)
-        )
-    return spark.createDataFrame(entries, MANIFEST)
+    paths = {seq: qualified(spark, source.path(root)) for seq, source in enumerate(catalogue)}
+    within = {seq: path for seq, path in paths.items() if reachable(path)}
+    counts = source_rows(spark, within).select("source_seq", "rows", "error")
+    others = [(seq, *_counted_alone(spark, path)) for seq, path in paths.items() if seq not in within]
+    if others:
+        counts = counts.unionByName(spark.createDataFrame(others, "source_seq int, rows long, error string"))
+    entries = [(seq, s.group, s.name, s.config, s.split, s.lang, s.path(root), s.max_examples) for seq, s in enumerate(catalogue)]
+    listed = spark.createDataFrame(
+        entries, "source_seq int, `group` string, name string, config string, split string, lang string, path string, most long"
+    )
+    good = F.col("error").isNull()
+    kept = F.least("rows", F.coalesce(2 * F.col("most"), F.col("rows")))
+    told = listed.join(counts, "source_seq").withColumns(
+        {
+            "path": F.when(good, F.col("path")),
+            "status": F.when(good, F.lit("ok")).otherwise(F.concat(F.lit("error: "), F.col("error"))),
+            "rows": F.when(good, kept).otherwise(0),
+        }
+    )
+    return told.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in MANIFEST.fields])
+
+
+def _counted_alone(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    try:
+        return _read(spark, path).count(), None
+    except Exception as error:  # noqa: BLE001  whatever stops one source must not stop the rest
+        condition = error.getCondition() if isinstance(error, PySparkException) else None
+        return 0, condition or type(error).__name__
 
 
 def manifest_document(

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
@@ -17,6 +15,7 @@ from pairforge import constants as K
 from pairforge.functions.vectors import round_to_half
 from pairforge.operators.ordering import assign_shards, split_holdout
 from pairforge.schemas import EMBEDDING, EXAMPLE, ORDER_KEY, SHARD, TEXT
+from pairforge.sources.files import opened
 
 
 # In the order of their rows.
@@ -233,21 +232,12 @@ def write_report(report: DataFrame, path: str) -> None:
 PIECE_BYTES, READ_BYTES = 1 << 28, 1 << 23
 
 
-def _opened(path: str):
-    """A readable file at a Hadoop path that Arrow's file systems know (local, HDFS, object stores)."""
-    scheme, colon, rest = path.partition(":")
-    if not colon or scheme == "file":
-        return fs.LocalFileSystem().open_input_file("/" + (rest if colon else scheme).lstrip("/"))
-    system, inside = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
-    return system.open_input_file(inside)
-
-
 def _piece_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests = []
         for path, start, size in zip(*(batch[c].to_pylist() for c in ("path", "start", "bytes"))):
             state, left = hashlib.sha256(), size
-            with _opened(path) as file:
+            with opened(path) as file:
                 file.seek(start)
                 while left and (data := file.read(min(left, READ_BYTES))):
                     state.update(data)

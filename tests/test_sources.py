@@ -70,6 +70,54 @@ def test_partition_columns_and_odd_names_are_kept(spark, folder):
     assert {r.label for r in C.load_examples(spark, folder, [source]).collect()} == {0.0, 1.0, 2.0}
 
 
+def test_rows_are_not_shuffled_to_reach_their_position(spark, folder):
+    """Many files, with automatic broadcasts off: only file counts are exchanged."""
+    source = C.Source("sts", "many files [x]")
+    put(spark, folder, source, [(f"a{i}", f"b{i}") for i in range(300)], "sentence1 string, sentence2 string", files=23)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = C.scan_source(spark, folder, source)
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin [_file" not in plan
+        assert not any("Exchange" in line and "sentence1" in line for line in plan.splitlines())
+        order = [r.sentence1 for r in whole.orderBy("row_ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(order) == sorted(f"a{i}" for i in range(300))
+    for limit in (0, 1, 40, 299, 1000):
+        first = C.scan_source(spark, folder, source, limit)
+        assert [r.sentence1 for r in first.orderBy("row_ord").collect()] == order[:limit]
+    assert len(C.scan_source(spark, folder, source, 20).inputFiles()) <= 3
+
+
+def test_a_cap_keeps_partition_columns(spark, folder):
+    source = C.Source("sts", "by part {y}")
+    rows = [(f"a{i}", i % 3, f"k/{i % 2} %[z]") for i in range(30)]
+    spark.createDataFrame(rows, "t string, score int, kind string").repartition(2).write.partitionBy("kind", "score").parquet(source.path(folder))
+    whole = C.scan_source(spark, folder, source).orderBy("row_ord").collect()
+    assert sorted((r.t, r.score, r.kind) for r in whole) == sorted(rows)
+    assert C.scan_source(spark, folder, source, 11).orderBy("row_ord").collect() == whole[:11]
+
+
+def test_manifest_counts_all_sources_in_one_job(spark, folder):
+    sources = [C.Source("sts", f"s{i}") for i in range(6)] + [C.Source("sts", "gone")]
+    for i, source in enumerate(sources[:-1]):
+        put(spark, folder, source, [("a", "b")] * (i + 1), "text1 string, text2 string", files=2)
+    def counted(some, group):
+        spark.sparkContext.setJobGroup(group, "")
+        try:
+            rows = sorted(C.ingest_manifest(spark, folder, some).collect())
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    rows, jobs_of_seven = counted(sources, "seven")
+    assert [(r.rows, r.status) for r in rows] == [(i + 1, "ok") for i in range(6)] + [(0, "error: PATH_NOT_FOUND")]
+    # One query; adaptive execution runs its exchanges as jobs, as many for two sources as for seven.
+    assert jobs_of_seven == counted(sources[:2], "two")[1]
+
+
 def test_an_unreadable_source_becomes_a_status(spark, folder):
     good, bad, late = C.Source("sts", "good"), C.Source("sts", "bad"), C.Source("sts", "late")
     for source in (good, late):
