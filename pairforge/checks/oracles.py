@@ -511,9 +511,10 @@ ORACLES: dict[str, str] = {
         FROM losses WHERE rank = 0 AND step % 5 = 0""",
     "q_pairwise_cosine": """
         SELECT a.step, a.idx, count(*) AS n, round(sum(list_cosine_similarity(a.v, b.v)), 6) AS total,
-               round(min(list_cosine_similarity(a.v, b.v)), 6) AS lowest
+               round(min(list_cosine_similarity(a.v, b.v)), 6) AS lowest,
+               round(max(list_cosine_similarity(a.v, b.v)) FILTER (a.idx <> b.idx), 6) AS highest
         FROM (SELECT vec_id // 64 AS step, vec_id % 64 AS idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a
-        JOIN (SELECT vec_id // 64 AS step, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b USING (step)
+        JOIN (SELECT vec_id // 64 AS step, vec_id % 64 AS idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b USING (step)
         GROUP BY a.step, a.idx""",
     "q_sts_similarity": f"SELECT {KEY}, lang, label, round(sim, 6) AS sim FROM sims",
     "q_sts_spearman": """

@@ -621,15 +621,12 @@ def step_report(spark, sf_dir):
 
 @query
 def pairwise_cosine(spark, sf_dir):
-    """Cosine matrix of vectors in groups of 64, summarised per row."""
+    """Cosine matrix of vectors in groups of 64, reduced per row in tiles of 32."""
     vectors = fx.table(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 64).alias("step"), (F.col("vec_id") % 64).alias("idx"), F.col("embedding").alias("vec")
     )
-    rows = metrics.pairwise_cosine(vectors, max_rows=64)
-    total = F.aggregate("cosines", F.lit(0.0), lambda a, x: a + x)
-    return rows.select(
-        "step", "idx", F.size("cosines").cast("long").alias("n"), r6(total).alias("total"), r6(F.array_min("cosines")).alias("lowest")
-    )
+    rows = metrics.pairwise_cosine(vectors, max_rows=64, tile_rows=32)
+    return rows.select("step", "idx", "n", r6("total").alias("total"), r6("lowest").alias("lowest"), r6("highest").alias("highest"))
 
 
 # ----------------------------------------------------------------- evaluation

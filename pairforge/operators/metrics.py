@@ -1,22 +1,26 @@
 """Pairwise alignment metrics per global batch.
 
-All pairs of a batch are one matrix product inside a task; pair rows are never
-emitted.  A batch is bounded before it is grouped: indices outside
-``[0, max_texts)`` and ranks outside ``[0, world)`` are cut, which leaves at
-most ``world * max_texts`` rows per step.
+All pairs of a batch of up to ``tile_rows`` rows are one matrix product inside a
+task; a larger batch is cut into tiles whose row sums merge (``tiles``).  Pair
+rows are never emitted.  A step has at most ``world * max_texts`` rows: texts
+beyond ``max_texts`` of a rank are no part of the batch, as its definition says,
+and are counted (``n_cut``); a rank outside the world is an error.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pairforge import constants as K
 from pairforge.functions.vectors import to_matrix, unit_rows
+from pairforge.operators import tiles
+from pairforge.session import stage
 
 PARTS = ("kl", "focal", "disperse", "sts")
 
@@ -123,7 +127,7 @@ def _pair_gap(student: np.ndarray, teacher: np.ndarray, i: np.ndarray, j: np.nda
 
 
 def _bounded(df: DataFrame, world: int, max_texts: int, *indices: str) -> DataFrame:
-    """Rows whose indices lie inside the batch; a rank outside the world is an error, not a row less."""
+    """Rows whose indices lie inside the batch (truncation to its fixed size); a rank outside the world is an error."""
     wrong = F.raise_error(F.concat(F.lit(f"rank outside 0..{world - 1}: "), F.coalesce(F.col("rank").cast("string"), F.lit("null"))))
     ok = F.when((F.col("rank") >= 0) & (F.col("rank") < world), F.lit(True)).otherwise(wrong.cast("boolean"))
     for name in indices:
@@ -137,16 +141,19 @@ def batch_losses(
     graded: DataFrame,
     *,
     world: int,
-    max_texts: int = K.DEFAULT_TEXTS_PER_BATCH,
+    max_texts: int,
     settings: LossSettings = LossSettings(),
     parts: Sequence[str] = PARTS,
+    tile_rows: int = tiles.TILE_ROWS,
 ) -> DataFrame:
     """Loss parts per ``(step, rank)``.
 
     ``vectors``: step, rank, local_idx, s_vec, t_vec and optionally ``valid``;
     ``positives`` and ``graded``: step, rank, i, j.  The matrix losses see the
     whole step (all ranks, positives inside their own rank); the graded-pair
-    loss of a rank sees that rank's pairs only.  Parts not asked for are 0.
+    loss of a rank sees that rank's pairs only.  Parts not asked for are 0.  Each
+    rank keeps its texts below ``max_texts`` (the batch's fixed size); ``cut_points``
+    counts the others.  A batch above ``tile_rows`` is worked on in pairs of tiles.
     """
     valid = F.coalesce("valid", F.lit(False)) if "valid" in vectors.columns else F.lit(True)
     rows = _bounded(vectors, world, max_texts, "local_idx").filter(valid)
@@ -168,6 +175,8 @@ def batch_losses(
         if wanted
     ]
     wanted = frozenset(parts)
+    if world * max_texts > tile_rows:
+        return _tiled_losses(points, tagged, world, max_texts, settings, wanted, tile_rows)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows
@@ -223,6 +232,59 @@ def batch_losses(
     return by_step.cogroup(pairs.groupBy("pair_step")).applyInArrow(score, RESULT)
 
 
+def _tiled_losses(
+    points: DataFrame, tagged: Sequence[DataFrame], world: int, max_texts: int, settings: LossSettings, wanted: frozenset, tile_rows: int
+) -> DataFrame:
+    """The same losses from sums over pairs of tiles, merged row by row and then per step."""
+    place = lambda c: (F.col("rank").cast("long") * max_texts + F.col(c)).alias
+    rows = points.select("step", place("local_idx")("place"), "s_vec", "t_vec")
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = rows.withColumns({"to": none("long"), "kind": none("string"), "rank": none("int")})
+    for pairs in tagged:
+        ends = pairs.select(F.col("pair_step").alias("step"), place("i")("place"), place("j")("to"), "kind", "rank")
+        columns = columns.unionByName(ends, allowMissingColumns=True)
+    sums = stage(tiles.tile_pairs(rows, columns, world * max_texts, tile_rows, tiles.loss_sums(settings), tiles.LOSS_SUMS), "tile-sums")
+
+    merged = tiles.merged_rows(sums)
+    tau, eps = settings.temperature, K.LOSS_EPS
+    row_kl = (
+        (F.col("t_teacher") - F.col("t_student")) / tau / F.col("t_sum")
+        + F.ln("s_sum") + F.col("s_top") - F.ln("t_sum") - F.col("t_top")
+    )
+    per_step = merged.filter("t_sum > 0").groupBy("step").agg(F.avg(row_kl).alias("kl"), F.sum("d_sum").alias("d_sum"))
+    # Each positive pair lies in one tile and meets the merged negatives of its anchor.  The logarithm of zero is null here.
+    own = sums.filter("kind = 'positive'").select("step", "place", F.col("value").alias("own"))
+    usable = own.join(merged.filter(F.col("n_top") > float("-inf")), ["step", "place"])
+    peak = F.greatest("own", "n_top")
+    hit = F.exp(F.col("own") - peak)
+    miss = F.col("n_sum") / (F.col("n_weight") + eps) * F.exp(F.col("n_top") - peak)
+    focal = usable.groupBy("step").agg(F.avg(F.coalesce(-F.ln(hit / (hit + miss + eps)), F.lit(math.inf))).alias("focal"))
+    sts = sums.filter("kind = 'graded'").groupBy("step", "rank").agg(F.avg("value").alias("sts"))
+
+    # One row per step and rank.
+    ranks = points.groupBy("step", "rank").agg(F.count(F.lit(1)).alias("_n"))
+    n_valid = F.sum("_n").over(W.partitionBy("step"))
+    all_of = ranks.withColumn("n_valid", n_valid).join(per_step, "step", "left").join(focal, "step", "left").join(sts, ["step", "rank"], "left")
+    zero = F.lit(0.0)
+    n = F.col("n_valid").cast("double")
+    part = {
+        "loss_kl": F.coalesce("kl", zero) if "kl" in wanted else zero,
+        "loss_focal": F.coalesce("focal", zero) if "focal" in wanted else zero,
+        "loss_disp": F.when(n >= 2, F.ln(F.coalesce("d_sum", zero) / F.greatest(n * (n - 1), F.lit(1.0)) + eps)).otherwise(zero) if "disperse" in wanted else zero,
+        "loss_sts": F.coalesce("sts", zero) if "sts" in wanted else zero,
+    }
+    weights = {"loss_kl": settings.lambda_kl, "loss_focal": settings.lambda_focal, "loss_disp": settings.lambda_disperse, "loss_sts": settings.lambda_sts}
+    total = sum((part[c] * w for c, w in weights.items()), zero)
+    return all_of.select(F.col("step").cast("long").alias("step"), "rank", *[c.alias(k) for k, c in part.items()], total.alias("loss"), F.lit(world * max_texts).cast("long").alias("n"), "n_valid")
+
+
+def cut_points(vectors: DataFrame, max_texts: int) -> DataFrame:
+    """``step, rank, n_cut``: valid rows beyond the batch's fixed size, where there are any."""
+    valid = F.coalesce("valid", F.lit(False)) if "valid" in vectors.columns else F.lit(True)
+    beyond = vectors.filter(valid & ((F.col("local_idx") < 0) | (F.col("local_idx") >= max_texts)))
+    return beyond.groupBy("step", "rank").agg(F.count(F.lit(1)).alias("n_cut"))
+
+
 NO_PAIRS = pa.table(
     {
         "rank": pa.array([], pa.int32()),
@@ -253,30 +315,20 @@ def step_report(losses: DataFrame, every: int = K.DEFAULT_LOG_EVERY, rank: int =
 
 
 def pairwise_cosine(
-    vectors: DataFrame, *, vec: str = "vec", group: str = "step", index: str = "idx", max_rows: int
+    vectors: DataFrame, *, vec: str = "vec", group: str = "step", index: str = "idx", max_rows: int, nearest: int = 1, tile_rows: int = tiles.TILE_ROWS
 ) -> DataFrame:
-    """The cosine matrix of a bounded group as one array per row: ``(group, index, cosines)``.
+    """The cosine matrix of each group, reduced row by row inside the tiles.
 
-    ``max_rows`` is the size the batches were cut to; a larger group is an error
-    instead of a silently truncated one.
+    One row per vector: ``n`` columns, their ``total`` and ``lowest`` cosine, and over
+    the others the ``highest`` and the ``nearest`` (cosine and index, best first).
+    ``index`` numbers the rows of a group below ``max_rows``; one beyond is an error.
+    The matrix is never emitted, and a group may be larger than one task holds.
     """
-    points = vectors.select(F.col(group).alias("g"), F.col(index).alias("i"), F.col(vec).alias("v"))
-
-    def matrix(table: pa.Table) -> pa.Table:
-        if table.num_rows > max_rows:
-            raise ValueError(f"group of {table.num_rows} rows exceeds {max_rows}")
-        table = table.sort_by("i")
-        unit = unit_rows(to_matrix(table.column("v")))
-        return pa.table(
-            {
-                "g": table.column("g"),
-                "i": table.column("i"),
-                "cosines": pa.array(list(unit @ unit.T), pa.list_(pa.float64())),
-            }
-        )
-
-    kinds = dict(vectors.dtypes)
-    schema = f"g {kinds[group]}, i {kinds[index]}, cosines array<double>"
-    return points.groupBy("g").applyInArrow(matrix, schema).select(
-        F.col("g").alias(group), F.col("i").alias(index), "cosines"
+    place = F.col(index).cast("long")
+    beyond = F.raise_error(F.concat(F.lit(f"index exceeds 0..{max_rows - 1}: "), F.coalesce(place.cast("string"), F.lit("null")))).cast("long")
+    points = vectors.select(
+        F.col(group).cast("long").alias("step"), F.when((place >= 0) & (place < max_rows), place).otherwise(beyond).alias("place"), F.col(vec).alias("vec")
     )
+    kinds = dict(vectors.dtypes)
+    rows = tiles.cosine_rows(points, max_rows, nearest, tile_rows)
+    return rows.select(F.col("step").cast(kinds[group]).alias(group), F.col("place").cast(kinds[index]).alias(index), "n", "total", "lowest", "highest", "near")

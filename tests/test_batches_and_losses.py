@@ -135,6 +135,7 @@ def points(rng, n, s_dim, t_dim, valid=None, rank=0):
 def run(spark, rows, positive, graded, **kw):
     pair = lambda ps: spark.createDataFrame([(0, 0, i, j) for i, j in ps], PAIRS)
     kw.setdefault("world", 1)
+    kw.setdefault("max_texts", 256)
     out = M.batch_losses(
         spark.createDataFrame(rows, POINTS).repartition(3), pair(positive), pair(graded), **kw
     ).orderBy("rank").collect()
@@ -228,12 +229,58 @@ def test_measure_alignment_end_to_end(spark):
     assert sorted(r.step for r in report) == [0, 2, 4]
 
 
-def test_pairwise_cosine(spark):
+@pytest.mark.parametrize("dims", [(12, 20), (8, 8)])
+def test_losses_are_equal_for_any_number_of_tiles(spark, dims):
+    """One task against 4 and 256 pairs of tiles; ranks, repeated and absent pairs, gaps in the indices."""
+    rng = np.random.default_rng(8)
+    rows, pos, graded = [], [], []
+    for step in range(3):
+        for rank in range(2):
+            n = [30, 9, 1][step]
+            for i in sorted(rng.choice(32, n, replace=False).tolist()):
+                rows.append((step, rank, i, rng.normal(size=dims[0]).tolist(), rng.normal(size=dims[1]).tolist(), bool(rng.random() < 0.9)))
+            pos += [(step, rank, int(a), int(b)) for a, b in rng.integers(0, 34, (25, 2))] + [(step, rank, 3, 4)] * 2
+            graded += [(step, rank, int(a), int(b)) for a, b in rng.integers(0, 34, (25, 2))] + [(step, rank, 5, 6)] * 2
+    frames = spark.createDataFrame(rows, POINTS), spark.createDataFrame(pos, PAIRS), spark.createDataFrame(graded, PAIRS)
+    settings = M.LossSettings(temperature=0.002)
+    for kw in ({}, {"parts": ("kl", "disperse")}, {"settings": settings}):
+        one, *others = [
+            [tuple(r) for r in M.batch_losses(*frames, world=2, max_texts=32, tile_rows=t, **kw).orderBy("step", "rank").collect()] for t in (64, 32, 4)
+        ]
+        assert len(one) >= 5
+        for many in others:
+            assert [r[:2] + r[-2:] for r in many] == [r[:2] + r[-2:] for r in one]
+            assert np.allclose([r[2:7] for r in many], [r[2:7] for r in one], rtol=1e-9, atol=1e-11)
+
+
+def test_tiled_losses_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows, s, t = points(rng, 11, 12, 20)
+    positive, graded = [(0, 1), (1, 0), (2, 9), (9, 2), (4, 4)], [(0, 1), (2, 10), (2, 10), (5, 5)]
+    got = run(spark, rows, positive, graded, max_texts=12, tile_rows=4)[0]
+    assert np.allclose(parts(got), brute(s, t, positive, graded), atol=1e-9)
+
+
+def test_cut_points_are_counted(spark):
+    rng = np.random.default_rng(10)
+    rows, *_ = points(rng, 10, 4, 4, valid=[True] * 9 + [False])
+    got = M.cut_points(spark.createDataFrame(rows, POINTS), 4).collect()
+    assert [tuple(r) for r in got] == [(0, 0, 5)]
+
+
+@pytest.mark.parametrize("tile_rows", [2, 3, 2048])
+def test_pairwise_cosine(spark, tile_rows):
     rng = np.random.default_rng(7)
     m = rng.normal(size=(5, 3))
-    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(m)], "step int, idx int, vec array<float>")
-    got = {r.idx: r.cosines for r in M.pairwise_cosine(df, max_rows=5).collect()}
+    rows = [(0, i, v.tolist()) for i, v in enumerate(m)] + [(1, 3, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "step int, idx int, vec array<float>")
+    got = {(r.step, r.idx): r for r in M.pairwise_cosine(df, max_rows=5, nearest=3, tile_rows=tile_rows).collect()}
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
-    assert np.allclose([got[i] for i in range(5)], u @ u.T, atol=1e-6)
+    cos = u @ u.T
+    for i in range(5):
+        r, others = got[0, i], sorted(((-cos[i, j], j) for j in range(5) if j != i))
+        assert r.n == 5 and np.allclose([r.total, r.lowest, r.highest], [cos[i].sum(), cos[i].min(), -others[0][0]], atol=1e-6)
+        assert [x.place for x in r.near] == [j for _, j in others[:3]]
+    assert got[1, 3].n == 1 and got[1, 3].highest is None and got[1, 3].near == []
     with pytest.raises(Exception, match="exceeds"):
         M.pairwise_cosine(df, max_rows=4).collect()
