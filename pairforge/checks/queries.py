@@ -420,7 +420,7 @@ def _vector_probe(df: DataFrame, *keep: str) -> DataFrame:
 def encode_texts(spark, sf_dir):
     """Document and query vectors of every unique text, in half precision."""
     ex = fx.staged_examples(spark, sf_dir)
-    vectors = encode.encode_corpus(fx.stage(keys.distinct_texts(ex), "texts"), ex, letter_encoder)
+    vectors = encode.encode_corpus(fx.stage(keys.distinct_texts(ex), "texts"), ex, letter_encoder, budget=1 << 16)
     return _vector_probe(vectors, "text_id", "kind")
 
 
@@ -430,7 +430,7 @@ def embed_job(spark, sf_dir):
     root, docs = table_source(sf_dir, "documents", "bitext", lang="en-ko")
     corpus = scratch(spark, "corpus")
     jobs.build_corpus(spark, root, [docs], corpus)
-    return jobs.embed_corpus(spark, corpus, scratch(spark, "embeddings"), letter_encoder)
+    return jobs.embed_corpus(spark, corpus, scratch(spark, "embeddings"), letter_encoder, parts=2)
 
 
 @query

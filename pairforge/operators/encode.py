@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairforge import constants as K
 from pairforge.functions.prompts import Prompts, is_query_prompted
@@ -45,36 +45,117 @@ def query_prompted_texts(
     )
 
 
+# Texts that are ordered by length at a time, and their characters at most; one longer text is a pool of its own.
+POOL_TEXTS, POOL_CHARS = 1 << 14, 1 << 25
+
+
+def packed(lengths: np.ndarray, batch_size: int, budget: int | None) -> list[np.ndarray]:
+    """Places of the texts of each batch, short with short.
+
+    A batch has at most ``batch_size`` texts, and its texts times the length of its
+    longest stay within ``budget``; a text beyond that is a batch of its own.
+    """
+    order = np.argsort(lengths, kind="stable")
+    batches, first = [], 0
+    while first < len(order):
+        last = min(first + batch_size, len(order))
+        if budget is not None:
+            sizes = lengths[order[first:last]] * np.arange(1, last - first + 1)
+            last = first + max(int(np.searchsorted(sizes, budget, "right")), 1)
+        batches.append(order[first:last])
+        first = last
+    return batches
+
+
+def _pools(batches: Iterator[pa.RecordBatch], length: Callable[[str], int]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """Consecutive rows that are packed together, with their texts and lengths."""
+    for batch in batches:
+        first, texts, lengths, held = 0, [], [], 0
+        for place, text in enumerate(batch.column("text")):
+            value = text.as_py()
+            if texts and (len(texts) >= POOL_TEXTS or held + len(value) > POOL_CHARS):
+                yield batch.slice(first, len(texts)), texts, np.asarray(lengths, np.int64)
+                first, texts, lengths, held = place, [], [], 0
+            texts.append(value)
+            lengths.append(length(value))
+            held += len(value)
+        if texts:
+            yield batch.slice(first, len(texts)), texts, np.asarray(lengths, np.int64)
+
+
 def encode(
     texts: DataFrame,
     factory: EncoderFactory,
     *,
     batch_size: int = K.DEFAULT_ENCODE_BATCH,
+    budget: int | None = None,
+    length: Callable[[str], int] = len,
+    max_length: int | None = None,
+    tasks: int | None = None,
     normalize: bool = True,
     half: bool = True,
+    report: bool = False,
 ) -> DataFrame:
     """Encode ``(text_id, kind, text)`` to ``(text_id, vec, kind)`` in Arrow batches.
 
-    The encoder is built once per task and sees whole texts.  Vectors are scaled
-    to unit length and rounded to half precision unless told otherwise.
+    The encoder is built once per task and sees whole texts.  Texts of similar
+    length share a batch, as a model pads to the longest: ``length`` measures them
+    (characters, or tokens of the model's tokenizer), ``max_length`` is where the
+    model itself cuts, and ``budget`` bounds texts times longest length of a batch.
+    Rows come out in the order they came in.  ``tasks`` deals the texts to so many
+    tasks.  Vectors are scaled to unit length and rounded to half precision unless
+    told otherwise.  ``report`` adds ``length`` and ``padded``, the length in its batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = factory()
-        for batch in batches:
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                matrix = np.asarray(encoder(part.column("text").to_pylist()), dtype=np.float64)
+        for rows, values, lengths in _pools(batches, length):
+            lengths = lengths if max_length is None else np.minimum(lengths, max_length)
+            out, padded = None, np.zeros(len(values), np.int64)
+            for places in packed(lengths, batch_size, budget):
+                matrix = np.asarray(encoder([values[p] for p in places]), dtype=np.float64)
                 if normalize:
                     matrix = unit_rows(matrix)
                 if half:
                     matrix = matrix.astype(np.float32).astype(np.float16)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("text_id"), to_lists(matrix), part.column("kind")],
-                    names=["text_id", "vec", "kind"],
-                )
+                if out is None:
+                    out = np.zeros((len(values), matrix.shape[1]), np.float32)
+                out[places] = matrix
+                padded[places] = lengths[places].max()
+            for start in range(0, len(values), batch_size):
+                part = rows.slice(start, batch_size)
+                columns = [part.column("text_id"), to_lists(out[start : start + batch_size]), part.column("kind")]
+                if report:
+                    columns += [pa.array(x[start : start + batch_size]) for x in (lengths, padded)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType(EMBEDDING.fields + [T.StructField(c, T.LongType()) for c in ("length", "padded")]) if report else EMBEDDING
+    names = schema.names
+    chosen = texts.select("text_id", "text", "kind")
+    if tasks is not None:
+        chosen = chosen.repartition(tasks, "text_id", "kind")
+    return chosen.mapInArrow(run, schema)
+
+
+def padding_share(encoded: DataFrame) -> DataFrame:
+    """One row: texts and the share of padding in all their batches, from ``encode(..., report=True)``."""
+    return encoded.agg(
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("padded") - F.col("length")), F.sum("padded")).alias("padding")
+    )
 
-    return texts.select("text_id", "text", "kind").mapInArrow(run, EMBEDDING)
+
+def in_part(parts: int) -> Column:
+    """Number of the part that a text belongs to, by its id."""
+    return F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int")
+
+
+def corpus_texts(texts: DataFrame, train: DataFrame, prompts: Prompts | None = None) -> DataFrame:
+    """``(text_id, text, kind)`` to encode: all texts, and the query-prompted ones a second time."""
+    docs = texts.select("text_id", "text", F.lit("doc").alias("kind"))
+    queries = query_prompted_texts(train, texts, prompts).select(
+        "text_id", "text", F.lit("query").alias("kind")
+    )
+    return docs.unionByName(queries)
 
 
 def encode_corpus(
@@ -85,8 +166,4 @@ def encode_corpus(
     **options,
 ) -> DataFrame:
     """Document vectors of all texts plus query vectors of the query-prompted ones."""
-    docs = texts.select("text_id", "text", F.lit("doc").alias("kind"))
-    queries = query_prompted_texts(train, texts, prompts).select(
-        "text_id", "text", F.lit("query").alias("kind")
-    )
-    return encode(docs.unionByName(queries), factory, **options)
+    return encode(corpus_texts(texts, train, prompts), factory, **options)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairforge import constants as K
 from pairforge.functions.prompts import Prompts
 from pairforge.operators import batching, evaluate, metrics
-from pairforge.operators.encode import EncoderFactory, encode, encode_corpus
+from pairforge.operators.encode import EncoderFactory, corpus_texts, encode, encode_corpus
 from pairforge.operators.keys import assign_text_ids, cap_examples, cap_texts, fetch_texts, text_uses
 from pairforge.operators.lookup import attach_vectors
 from pairforge.operators.skew import hot_keys_of
@@ -62,15 +62,23 @@ def embed_corpus(
     factory: EncoderFactory,
     prompts: Prompts | None = None,
     names: Mapping[str, str] | None = None,
+    parts: int | None = None,
     **options,
 ) -> DataFrame:
     """Encode every unique text once, query-like ones a second time with their prompt.
 
-    Returns the metadata row, which is also kept beside the vectors together with ``names`` (of the model, say).
+    With ``parts`` the texts are encoded and written part by part, and a job that
+    is run again goes on with the parts that are not finished.  ``options`` go to
+    ``encode``.  Returns the metadata row, which is also kept beside the vectors
+    together with ``names`` (of the model, say).
     """
     train, _ = tables.read_shards(spark, f"{corpus}/examples", "train")
     texts = tables.read_texts(spark, f"{corpus}/texts")
-    tables.write_embeddings(encode_corpus(texts, train, factory, prompts, **options), out)
+    if parts is None:
+        tables.write_embeddings(encode_corpus(texts, train, factory, prompts, **options), out)
+    else:
+        chosen = corpus_texts(texts, train, prompts)
+        tables.write_embedding_parts(chosen, out, parts, lambda some: encode(some, factory, **options))
     meta = tables.embedding_meta(tables.read_embeddings(spark, out))
     tables.write_embedding_meta(meta, out, **(names or {}))
     return meta

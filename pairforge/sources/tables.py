@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 
 from pairforge import constants as K
 from pairforge.functions.vectors import round_to_half
+from pairforge.operators.encode import in_part
 from pairforge.operators.ordering import assign_shards, split_holdout
 from pairforge.schemas import EMBEDDING, EXAMPLE, ORDER_KEY, SHARD, TEXT
 from pairforge.sources.files import opened
@@ -157,6 +158,41 @@ def write_embeddings(embeddings: DataFrame, path: str, files: int | None = None)
     _clustered(embeddings, files).write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
+def write_embedding_parts(texts: DataFrame, path: str, parts: int, encoder: Callable[[DataFrame], DataFrame], files: int | None = None) -> list[int]:
+    """Encode and write ``(text_id, text, kind)`` part by part below ``kind=<k>/part=<n>``; returns the parts written.
+
+    A part is a hash range of text ids.  A finished one leaves a mark and is passed
+    over when the job is run again; an unfinished one is written anew, over
+    whatever it left.
+    """
+    spark = texts.sparkSession
+    done = {row["part"] for row in _marks_of_parts(spark, path, parts)}
+    todo = [part for part in range(parts) if part not in done]
+    for part in todo:
+        vectors = _clustered(encoder(texts.filter(in_part(parts) == part)), files).withColumn("part", F.lit(part))
+        (
+            vectors.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("kind", "part")
+            .parquet(path)
+        )
+        mark = spark.createDataFrame([(part, parts)], "part int, of int")
+        mark.coalesce(1).write.mode("overwrite").json(f"{path}/_done/{part}-of-{parts}")
+    return todo
+
+
+def _marks_of_parts(spark: SparkSession, path: str, parts: int) -> list[Row]:
+    try:
+        marks = spark.read.schema("part int, of int").json(f"{path}/_done/*/*.json").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    if {row["of"] for row in marks} - {parts}:
+        raise ValueError(f"{path} was begun with another number of parts")
+    return marks
+
+
 def save_embedding_table(embeddings: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """The same as a catalogued table bucketed by text id.
 
@@ -183,7 +219,7 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no document embeddings under {path}") from error
         raise
-    return spark.read.schema(EMBEDDING).parquet(path)
+    return spark.read.schema(EMBEDDING).parquet(path).select(*EMBEDDING.names)
 
 
 def embedding_meta(embeddings: DataFrame) -> DataFrame:

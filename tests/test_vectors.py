@@ -1,3 +1,7 @@
+import os
+import tempfile
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +9,7 @@ from pyspark.sql import functions as F
 from helpers import example, frame, pairs_of, vectors
 from pairforge.functions.vectors import l2_normalize, round_to_half, row_dot
 from pairforge.operators import encode, keys, lookup, ordering, pooling, skew
+from pairforge.sources import tables
 
 
 def test_normalize_half_and_dot_against_numpy(spark):
@@ -69,6 +74,75 @@ def test_encode_corpus_uses_last_prompt(spark):
     assert by[(same, "doc")] == want.tolist() and by[(same, "query")] != by[(same, "doc")]
 
 
+def test_packed_batches():
+    rng = np.random.default_rng(0)
+    for budget in (None, 50, 1000):
+        lengths = rng.integers(0, 100, 300)
+        batches = encode.packed(lengths, 16, budget)
+        assert sorted(np.concatenate(batches).tolist()) == list(range(300))
+        for places in batches:
+            assert 1 <= len(places) <= 16
+            assert budget is None or len(places) == 1 or len(places) * lengths[places].max() <= budget
+        longest = [lengths[places].max() for places in batches]
+        assert longest == sorted(longest)
+
+
+@pytest.mark.parametrize("options", [{"budget": 200}, {"budget": 1, "batch_size": 3}, {"tasks": 3}, {"max_length": 40, "budget": 400}])
+def test_packing_changes_no_vector_and_no_order(spark, options):
+    rng = np.random.default_rng(1)
+    rows = [(f"t{i}", "x" * int(rng.integers(0, 120)) + "Q" * (i % 3), "doc") for i in range(500)]
+    texts = spark.createDataFrame(rows, "text_id string, text string, kind string").coalesce(1)
+    plain = encode.encode(texts, _encoder()).collect()
+    packed = encode.encode(texts, _encoder(), **options).collect()
+    assert (sorted(packed) == sorted(plain)) if "tasks" in options else (packed == plain)
+
+
+def test_padding_is_reported_and_falls(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"t{i}", "x" * int(n), "doc") for i, n in enumerate(rng.integers(1, 1000, 2000))]
+    texts = spark.createDataFrame(rows, "text_id string, text string, kind string").coalesce(2)
+    packed = encode.encode(texts, _encoder(), batch_size=32, report=True)
+    n, padding = encode.padding_share(packed).first()
+    in_order = np.array([len(t) for _, t, _ in rows][: 32 * 62]).reshape(-1, 32)
+    as_they_come = 1 - in_order.sum() / (in_order.max(1) * 32).sum()
+    assert n == 2000 and padding < 0.05 < 0.4 < as_they_come
+    assert packed.filter("padded < length").count() == 0
+    assert encode.padding_share(packed.limit(0)).first().padding is None
+
+
+def test_a_broken_job_goes_on_with_its_unfinished_parts(spark):
+    out, log = (tempfile.mkdtemp(prefix="pairforge-test-") for _ in range(2))
+    rows = [(f"t{i}", f"text {i}", kind) for i in range(40) for kind in ("doc", "query")[: 1 + i % 2]]
+    texts = spark.createDataFrame(rows, "text_id string, text string, kind string").repartition(3)
+    broken = texts.filter(encode.in_part(4) == 2).first().text
+
+    def factory(fails):
+        def build():
+            def run(some):
+                if fails and broken in some:
+                    raise ValueError("lost")
+                for t in some:
+                    open(f"{log}/{t}-{uuid.uuid4().hex}", "w").close()
+                return np.array([[len(t), 1.0] for t in some])
+
+            return run
+
+        return build
+
+    write = lambda fails: tables.write_embedding_parts(texts, f"{out}/e", 4, lambda some: encode.encode(some, factory(fails), batch_size=4))
+    with pytest.raises(Exception, match="lost"):
+        write(True)
+    before = len(os.listdir(log))
+    assert write(False) == [2, 3]
+    finished = texts.filter(encode.in_part(4) < 2).count()
+    assert before >= finished and len(os.listdir(log)) - before == texts.count() - finished
+    got = tables.read_embeddings(spark, f"{out}/e")
+    assert got.columns == ["text_id", "vec", "kind"] and pairs_of(got, "text_id", "kind") == sorted((t, k) for t, _, k in rows)
+    assert write(False) == []
+    with pytest.raises(ValueError, match="another number"):
+        tables.write_embedding_parts(texts, f"{out}/e", 5, lambda some: some)
+
+
 @pytest.mark.parametrize("hot_rows", [1, 10**9])
 def test_lookup_overlay_and_membership(spark, monkeypatch, hot_rows):
     monkeypatch.setattr(skew, "TARGET_ROWS", hot_rows)
