@@ -492,7 +492,7 @@ def overlay(spark, sf_dir):
 def vector_missing(spark, sf_dir):
     ex, teacher, _ = fx.corpus(spark, sf_dir)
     refs = keys.explode_sides(ex, "text_id")
-    gone = lookup.without_vector(refs, teacher, [*ORDER_KEY, "side"])
+    gone = lookup.without_vector(refs, teacher, [*ORDER_KEY, "side"], members=lookup.known_ids(teacher))
     return long_key(gone, F.col("side").cast("long").alias("side"), "text_id")
 
 
@@ -500,7 +500,8 @@ def vector_missing(spark, sf_dir):
 def vector_present(spark, sf_dir):
     ex, teacher, _ = fx.corpus(spark, sf_dir)
     refs = keys.explode_sides(ex, "text_id")
-    return count_by(lookup.with_vector(refs, teacher, [*ORDER_KEY, "side"]), "task", "lang")
+    members = lookup.known_ids(teacher)
+    return count_by(lookup.with_vector(refs, teacher, [*ORDER_KEY, "side"], members=members), "task", "lang")
 
 
 @query
@@ -550,7 +551,8 @@ def positive_pairs(spark, sf_dir):
 @query
 def sts_pairs(spark, sf_dir):
     ex, teacher, _ = fx.corpus(spark, sf_dir)
-    return _pair_columns(batching.graded_pairs(_capped(ex, teacher)), "step", "rank", "i", "j")
+    capped = jobs.capped_batches(ex, teacher, members=lookup.known_ids(teacher), **BATCH)
+    return _pair_columns(batching.graded_pairs(capped), "step", "rank", "i", "j")
 
 
 @query

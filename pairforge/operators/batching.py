@@ -18,6 +18,7 @@ from pairforge.functions.prompts import (
     wants_query_vector,
 )
 from pairforge.operators.lookup import without_vector
+from pairforge.operators.membership import Membership
 from pairforge.operators.ordering import dense_position, hash_bucket
 from pairforge.schemas import ORDER_KEY
 
@@ -58,14 +59,17 @@ def assign_batches(
 
 
 def eligible(
-    examples: DataFrame, embeddings: DataFrame, hot: Mapping | None = None
+    examples: DataFrame, embeddings: DataFrame, hot: Mapping | None = None, members: Membership | None = None
 ) -> DataFrame:
-    """Examples with ids on every side and a document vector for every id."""
+    """Examples with ids on every side and a document vector for every id.
+
+    With ``members`` ids that surely lack one are not shuffled to find that out.
+    """
     named = examples.filter(
         F.col("text_ids").isNotNull() & F.forall("text_ids", lambda t: t.isNotNull())
     )
     sides = named.select(*ORDER_KEY, F.explode("text_ids").alias("text_id"))
-    lacking = without_vector(sides, embeddings, ORDER_KEY, hot).select(*ORDER_KEY).distinct()
+    lacking = without_vector(sides, embeddings, ORDER_KEY, hot, members).select(*ORDER_KEY).distinct()
     return named.join(lacking, list(ORDER_KEY), "left_anti")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairforge.operators.membership import Membership
 from pairforge.operators.ordering import dense_position
 from pairforge.operators.skew import Salting, hot_keys_of, skew_join
 
@@ -63,18 +64,28 @@ def attach_vectors(
     return joined.select(*refs.columns, *outputs)
 
 
+def known_ids(embeddings: DataFrame, **options) -> Membership | None:
+    """A filter of the text ids that have a document vector, for lookups in which many refs have none."""
+    return Membership.of(_known(embeddings), "text_id", **options)
+
+
 def with_vector(
-    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Mapping | None = None
+    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Mapping | None = None, members: Membership | None = None
 ) -> DataFrame:
-    """Refs whose text id has a document vector."""
-    return skew_join(refs, _known(embeddings), "text_id", "left_semi", spread, hot)
+    """Refs whose text id has a document vector.  Refs that ``members`` denies are dropped before the shuffle."""
+    asked = refs if members is None else refs.filter(members.may_hold("text_id"))
+    return skew_join(asked, _known(embeddings), "text_id", "left_semi", spread, hot)
 
 
 def without_vector(
-    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Mapping | None = None
+    refs: DataFrame, embeddings: DataFrame, spread: Sequence[str], hot: Mapping | None = None, members: Membership | None = None
 ) -> DataFrame:
-    """Refs whose text id has no document vector."""
-    return skew_join(refs, _known(embeddings), "text_id", "left_anti", spread, hot)
+    """Refs whose text id has no document vector.  Refs that ``members`` denies are taken without a shuffle."""
+    if members is None:
+        return skew_join(refs, _known(embeddings), "text_id", "left_anti", spread, hot)
+    may = members.may_hold("text_id")
+    lacking = skew_join(refs.filter(may), _known(embeddings), "text_id", "left_anti", spread, hot)
+    return refs.filter(~may).unionByName(lacking)
 
 
 def _known(embeddings: DataFrame) -> DataFrame:

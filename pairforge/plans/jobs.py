@@ -15,6 +15,7 @@ from pairforge.operators import batching, evaluate, metrics
 from pairforge.operators.encode import EncoderFactory, corpus_texts, encode, encode_corpus
 from pairforge.operators.keys import assign_text_ids, cap_examples, cap_texts, fetch_texts, text_uses
 from pairforge.operators.lookup import attach_vectors
+from pairforge.operators.membership import Membership
 from pairforge.operators.skew import hot_keys_of
 from pairforge.operators.validate import require_valid
 from pairforge.session import stage
@@ -162,15 +163,17 @@ def capped_batches(
     batch_size: int = K.DEFAULT_BATCH_SIZE,
     max_texts: int = K.DEFAULT_TEXTS_PER_BATCH,
     hot: Mapping | None = None,
+    members: Membership | None = None,
 ) -> DataFrame:
     """Batches after dropping ineligible examples and cutting to the text cap.
 
-    Batches are formed first, so dropped examples leave smaller batches.
+    Batches are formed first, so dropped examples leave smaller batches.  ``members``
+    (``lookup.known_ids``) pays where many ids have no vector yet.
     """
     dealt = batching.assign_batches(
         examples, seed=seed, epoch=epoch, world=world, batch_size=batch_size
     )
-    return batching.cap_batch_texts(batching.eligible(dealt, embeddings, hot), max_texts)
+    return batching.cap_batch_texts(batching.eligible(dealt, embeddings, hot, members), max_texts)
 
 
 def evaluate_model(

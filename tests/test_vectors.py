@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import example, frame, pairs_of, vectors
 from pairforge.functions.vectors import l2_normalize, round_to_half, row_dot
-from pairforge.operators import encode, keys, lookup, ordering, pooling, skew
+from pairforge.operators import encode, keys, lookup, membership, ordering, pooling, skew
 from pairforge.sources import tables
 
 
@@ -143,6 +143,32 @@ def test_a_broken_job_goes_on_with_its_unfinished_parts(spark):
         tables.write_embedding_parts(texts, f"{out}/e", 5, lambda some: some)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_a_filter_denies_no_known_id(spark, n):
+    ids = spark.range(n).selectExpr("concat('en_', sha1(CAST(id AS STRING))) AS text_id")
+    members = membership.Membership.of(ids)
+    assert ids.filter(members.may_hold()).count() == n
+    others = spark.range(10_000, 30_000).selectExpr("concat('en_', sha1(CAST(id AS STRING))) AS text_id")
+    assert others.filter(members.may_hold()).count() < 0.03 * 20_000
+    assert spark.createDataFrame([(None,)], "text_id string").filter(members.may_hold()).count() == 0
+    assert membership.Membership.of(ids, most_bits=32) is None
+
+
+def test_absent_ids_are_not_shuffled(spark):
+    """Of refs to 50 known and 5,000 absent ids hardly an absent one reaches an exchange; the join behind is exact."""
+    emb = vectors(spark, {f"k{i}": [1, 0] for i in range(50)})
+    refs = spark.range(10_000).selectExpr("id AS row", "if(id % 2 = 0, concat('k', id % 100 div 2), concat('absent', id)) AS text_id")
+    members = lookup.known_ids(emb)
+    plain = [sorted(r.row for r in f(refs, emb, ["row"], {}).collect()) for f in (lookup.with_vector, lookup.without_vector)]
+    for find, want in zip((lookup.with_vector, lookup.without_vector), plain):
+        found = find(refs, emb, ["row"], {}, members)
+        assert sorted(r.row for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "BloomFilter" not in plan
+    denied = refs.filter(~members.may_hold()).count()
+    assert 0.95 * 5_000 < denied <= 5_000
+
+
 @pytest.mark.parametrize("hot_rows", [1, 10**9])
 def test_lookup_overlay_and_membership(spark, monkeypatch, hot_rows):
     monkeypatch.setattr(skew, "TARGET_ROWS", hot_rows)
