@@ -287,12 +287,26 @@ CTES: dict[str, str] = {
     "job_split": """
         SELECT *, p < CASE WHEN n >= 100 THEN greatest(1, n // 100) ELSE 0 END AS in_val
         FROM (SELECT *, row_number() OVER (ORDER BY o) - 1 AS p, count(*) OVER () AS n FROM job_rows)""",
+    "job_val": """
+        SELECT * FROM (SELECT *, row_number() OVER (ORDER BY row_ord * 3 + source_seq) - 1 AS p, count(*) OVER () AS n FROM ex)
+        WHERE p < CASE WHEN n >= 100 THEN greatest(1, n // 100) ELSE 0 END""",
     "job_pairs": f"""
         SELECT p.lang, label, {quoted(K.STUDENT_PROMPTS['sts'])} || texts[1] AS a, texts[2] AS b
-        FROM split_ex e JOIN (VALUES ('en'), ('fr')) p(lang) ON starts_with(e.lang, p.lang)
-        WHERE split = 'val' AND task = 'sts' AND label IS NOT NULL""",
+        FROM job_val e JOIN (VALUES ('en'), ('fr')) p(lang) ON starts_with(e.lang, p.lang)
+        WHERE task = 'sts' AND label IS NOT NULL""",
+    "job_ret": f"""
+        SELECT row_number() OVER (ORDER BY p) - 1 AS i, lang, {quoted(K.STUDENT_PROMPTS['ret'])} || texts[1] AS a, texts[2] AS b
+        FROM job_val WHERE task = 'retrieval'""",
+    "job_ret_vec": "SELECT i, CAST(LETTERS(a) AS DOUBLE[]) AS q, CAST(LETTERS(b) AS DOUBLE[]) AS v FROM job_ret",
+    "job_scores": """
+        SELECT a.i, b.i AS j, round(list_dot_product(a.q, b.v), 9) AS s, round(list_dot_product(a.q, a.v), 9) AS own
+        FROM job_ret_vec a CROSS JOIN job_ret_vec b""",
+    "job_metrics": """
+        SELECT count(*) AS n, CASE WHEN count(*) >= 2 THEN avg(CAST(rank = 1 AS DOUBLE)) END AS recall_at_1,
+               CASE WHEN count(*) >= 2 THEN avg(1.0 / rank) END AS mrr
+        FROM (SELECT i, 1 + count(*) FILTER (WHERE j <> i AND (s > own OR (s = own AND j < i))) AS rank FROM job_scores GROUP BY i)""",
     "job_sims": """
-        SELECT lang, label, list_dot_product(CAST(va AS DOUBLE[]), CAST(vb AS DOUBLE[])) AS sim
+        SELECT lang, label, round(list_dot_product(CAST(va AS DOUBLE[]), CAST(vb AS DOUBLE[])), 9) AS sim
         FROM (SELECT *, LETTERS(a) AS va, LETTERS(b) AS vb FROM job_pairs)""",
     "job_ranks": """
         SELECT lang, rank() OVER (PARTITION BY lang ORDER BY sim)
@@ -305,7 +319,7 @@ CTES: dict[str, str] = {
                CAST(CASE WHEN use_query THEN v.query ELSE v.doc END AS DOUBLE[]) AS t
         FROM batch_rows JOIN both_vec v USING (text_id)""",
     "letter_cosines": """
-        SELECT a.step, a.g AS i, b.g AS j, list_cosine_similarity(a.t, b.t) AS ct,
+        SELECT a.step, a.rank, a.g AS i, b.g AS j, list_cosine_similarity(a.t, b.t) AS ct,
                list_dot_product(a.s, b.s)
                    / greatest(sqrt(list_dot_product(a.s, a.s)) * sqrt(list_dot_product(b.s, b.s)), 1e-12) AS cs
         FROM letter_points a JOIN letter_points b ON a.step = b.step AND a.g <> b.g""",
@@ -335,15 +349,16 @@ def expand(sql: str) -> str:
     return re.sub(r"LETTERS\((\w+)\)", lambda m: letters(m.group(1)), sql)
 
 
-def compose(sql: str) -> str:
-    """The statement preceded by every building block it needs."""
+def compose(sql: str, instead: dict[str, str] | None = None) -> str:
+    """The statement preceded by every building block it needs; ``instead`` has other texts for some."""
+    blocks = {**CTES, **(instead or {})}
     needed: set[str] = set()
     todo = [sql]
     while todo:
-        for name in set(re.findall(r"\w+", todo.pop())) & CTES.keys() - needed:
+        for name in set(re.findall(r"\w+", todo.pop())) & blocks.keys() - needed:
             needed.add(name)
-            todo.append(CTES[name])
-    parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
+            todo.append(blocks[name])
+    parts = [f"{name} AS ({blocks[name]})" for name in blocks if name in needed]
     return expand((f"WITH {', '.join(parts)} " if parts else "") + sql)
 
 
@@ -525,28 +540,36 @@ ORACLES: dict[str, str] = {
     "q_eval_lang_counts": "SELECT lang, count(*) AS n FROM ret_set GROUP BY lang",
     "q_eval_report": """
         SELECT 'student' AS model, false AS fallback, p.lang, coalesce(c.n, 0) AS n, round(c.rho, 6) AS spearman,
-               coalesce(c.n, 0) < 50 AS low_sample, m.n AS queries, round(m.recall_at_1, 6) AS recall_at_1,
+               coalesce(c.n, 0) < 50 AS low_sample, m.n AS queries,
+               (SELECT count(*) FROM ex WHERE task = 'retrieval') AS available, round(m.recall_at_1, 6) AS recall_at_1,
                round(m.mrr, 6) AS mrr,
                (SELECT string_agg(lang || '=' || k, ',' ORDER BY lang)
                 FROM (SELECT lang, count(*) AS k FROM ret_vec GROUP BY lang)) AS by_lang
         FROM (VALUES ('en'), ('fr')) p(lang) LEFT JOIN correlations c USING (lang) CROSS JOIN ret_metrics m""",
     "q_eval_job": """
-        SELECT 'student' AS model, false AS fallback, p.lang, coalesce(n, 0) AS n,
-               round(rho, 6) AS spearman, coalesce(n, 0) < 50 AS low_sample,
-               CAST(0 AS BIGINT) AS queries, CAST(NULL AS DOUBLE) AS recall_at_1, CAST(NULL AS DOUBLE) AS mrr, '' AS by_lang
-        FROM (VALUES ('en'), ('fr')) p(lang)
+        SELECT 'student' AS model, false AS fallback, p.lang, coalesce(r.n, 0) AS n,
+               round(rho, 6) AS spearman, coalesce(r.n, 0) < 50 AS low_sample,
+               m.n AS queries, m.n AS available, round(m.recall_at_1, 6) AS recall_at_1, round(m.mrr, 6) AS mrr,
+               (SELECT coalesce(string_agg(lang || '=' || k, ',' ORDER BY lang), '')
+                FROM (SELECT lang, count(*) AS k FROM job_ret GROUP BY lang)) AS by_lang
+        FROM (VALUES ('en'), ('fr')) p(lang) CROSS JOIN job_metrics m
         LEFT JOIN (SELECT lang, count(*) AS n, CASE WHEN count(*) >= 3 THEN
                    (avg(rx * ry) - avg(rx) * avg(ry)) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS rho
-                   FROM job_ranks GROUP BY lang) USING (lang)""",
+                   FROM job_ranks GROUP BY lang) r USING (lang)""",
     "q_encoder_losses": """
-        SELECT r.step, r.rank, round(d.v, 4) AS loss_disp, round(coalesce(s.v, 0), 4) AS loss_sts, n_valid
-        FROM ranks_of r JOIN valid_n USING (step)
-        JOIN (SELECT step, ln(avg(exp(2.0 * cs)) + 1e-8) AS v FROM letter_cosines GROUP BY step) d USING (step)
-        LEFT JOIN (SELECT g.step, g.rank, avg(power(c.cs - c.ct, 2)) AS v FROM graded g
-                   JOIN letter_cosines c ON c.step = g.step AND c.i = g.rank * 24 + g.i AND c.j = g.rank * 24 + g.j
-                   GROUP BY g.step, g.rank) s ON s.step = r.step AND s.rank = r.rank""",
+        SELECT step, rank, round(kl, 6) AS loss_kl, round(focal, 6) AS loss_focal, round(disp, 6) AS loss_disp,
+               round(sts, 6) AS loss_sts, n_valid FROM losses""",
+}
+
+
+#: The encoder's vectors in place of the student table's.
+INSTEAD = {
+    "q_encoder_losses": {
+        "points": CTES["letter_points"],
+        "cosines": CTES["letter_cosines"].replace("letter_points", "points"),
+    }
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: compose(sql) for name, sql in ORACLES.items()}
+    return {name: compose(sql, INSTEAD.get(name)) for name, sql in ORACLES.items()}

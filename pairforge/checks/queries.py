@@ -658,7 +658,7 @@ def retrieval_ranks(spark, sf_dir):
     ex, teacher, _ = fx.corpus(spark, sf_dir)
     vectors = evaluate.retrieval_vectors(evaluate.retrieval_set(ex, RETRIEVAL), teacher)
     ranks = evaluate.own_ranks(vectors, block=64, digits=SIM_DIGITS)
-    return ranks.select(F.col("i").cast("long").alias("i"), "rank")
+    return ranks.select("i", "rank")
 
 
 @query
@@ -681,10 +681,11 @@ def _flat_report(report: DataFrame) -> DataFrame:
         "fallback",
         F.explode("sts").alias("s"),
         F.col("retrieval.n").alias("queries"),
+        F.col("retrieval.available").alias("available"),
         r6("retrieval.recall_at_1").alias("recall_at_1"),
         r6("retrieval.mrr").alias("mrr"),
         F.array_join(counts, ",").alias("by_lang"),
-    ).select("model", "fallback", "s.lang", "s.n", r6("s.spearman").alias("spearman"), "s.low_sample", "queries", "recall_at_1", "mrr", "by_lang")
+    ).select("model", "fallback", "s.lang", "s.n", r6("s.spearman").alias("spearman"), "s.low_sample", "queries", "available", "recall_at_1", "mrr", "by_lang")
 
 
 @query
@@ -692,7 +693,8 @@ def eval_report(spark, sf_dir):
     """The nested report over all examples, written as JSON and read back."""
     ex, teacher, _ = fx.corpus(spark, sf_dir)
     report = jobs.report_for(
-        evaluate.sts_pairs(ex, LANGUAGES), evaluate.retrieval_set(ex, RETRIEVAL), teacher, LANGUAGES, "student", digits=SIM_DIGITS
+        evaluate.sts_pairs(ex, LANGUAGES), evaluate.retrieval_set(ex, RETRIEVAL), teacher, LANGUAGES, "student", digits=SIM_DIGITS,
+        available=evaluate.retrieval_available(ex),
     )
     path = scratch(spark, "report")
     tables.write_report(report, path)
@@ -701,10 +703,12 @@ def eval_report(spark, sf_dir):
 
 @query
 def eval_job(spark, sf_dir):
-    """The evaluation job on the held-out split with an encoder."""
+    """The evaluation job on the held-out split with an encoder; sources take turns, so the split holds all tasks."""
     corpus = scratch(spark, "corpus")
-    tables.write_shards(fx.staged_examples(spark, sf_dir), f"{corpus}/examples")
-    report = jobs.evaluate_model(spark, corpus, letter_encoder, scratch(spark, "report"), languages=LANGUAGES)
+    turns = F.col("row_ord") * 3 + F.col("source_seq")
+    mixed = fx.staged_examples(spark, sf_dir).withColumns({"row_ord": turns, "source_seq": F.lit(0)})
+    tables.write_shards(mixed, f"{corpus}/examples")
+    report = jobs.evaluate_model(spark, corpus, letter_encoder, scratch(spark, "report"), languages=LANGUAGES, digits=SIM_DIGITS)
     return _flat_report(report)
 
 
@@ -712,7 +716,6 @@ def eval_job(spark, sf_dir):
 def encoder_losses(spark, sf_dir):
     """Alignment of an encoder's vectors of prompted texts with the teacher."""
     ex, teacher, _ = fx.corpus(spark, sf_dir, with_texts=True)
-    losses = jobs.measure_alignment(ex, teacher, letter_encoder, parts=("disperse", "sts"), **BATCH)
-    return losses.select(
-        "step", F.col("rank").cast("long").alias("rank"), F.round("loss_disp", 4).alias("loss_disp"), F.round("loss_sts", 4).alias("loss_sts"), "n_valid"
-    )
+    losses = jobs.measure_alignment(ex, teacher, letter_encoder, **BATCH)
+    parts = [r6(c).alias(c) for c in ("loss_kl", "loss_focal", "loss_disp", "loss_sts")]
+    return losses.select("step", F.col("rank").cast("long").alias("rank"), *parts, "n_valid")

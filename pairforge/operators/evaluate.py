@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +15,15 @@ from pairforge.functions.prompts import Prompts
 from pairforge.functions.text import in_language
 from pairforge.functions.vectors import row_dot, to_matrix
 from pairforge.operators.lookup import attach_vectors
+from pairforge.operators.ordering import BUCKET_ROWS, dense_position, example_position
 from pairforge.operators.skew import hot_keys_of, skew_join
 from pairforge.schemas import ORDER_KEY
 from pairforge.session import stage
 
 # Distinct values that one task ranks; ranges a sketch is cut into at once; size of a quantile sketch (rank error 0.1 %).
 RANGE_ROWS, FAN, SKETCH = 1 << 16, 256, 4096
-# Vectors per block of the retrieval score matrix.
-BLOCK = 256
+# Passages per block of the retrieval score matrix, pivots that deal them, bytes of all blocks' centres.
+BLOCK, PIVOTS, BALL_BYTES = 256, 64, 1 << 26
 
 
 def sts_pairs(
@@ -202,21 +203,30 @@ def sts_report(scored: DataFrame, languages: Sequence[str]) -> DataFrame:
     )
 
 
+def _retrieval_usable(examples: DataFrame) -> DataFrame:
+    return examples.filter(
+        (F.col("task") == "retrieval")
+        & F.array_contains("roles", "query")
+        & F.array_contains("roles", "positive")
+    )
+
+
+def retrieval_available(examples: DataFrame) -> Column:
+    """Scalar: how many examples could be evaluated."""
+    return _retrieval_usable(examples).agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def retrieval_set(
-    examples: DataFrame, limit: int, prompts: Prompts | None = None
+    examples: DataFrame, limit: int | None = None, prompts: Prompts | None = None
 ) -> DataFrame:
-    """The first ``limit`` retrieval examples with a query and a positive, numbered ``i``.
+    """Retrieval examples with a query and a positive, numbered ``i`` in example order.
 
-    A bounded top-n by example order: ``limit`` is the size of the evaluation.
+    ``limit`` keeps the first ones (a bounded top-n); left out, all are evaluated and
+    numbered inside bounded buckets.
     """
     prompts = prompts or Prompts()
     at = lambda c, role: F.get(F.col(c), F.array_position("roles", role).cast("int") - 1)
-    usable = examples.filter(
-        (F.col("task") == "retrieval")
-        & F.array_contains("roles", "query")
-        & F.array_contains("roles", "positive")
-    )
-    picked = usable.select(
+    picked = _retrieval_usable(examples).select(
         *ORDER_KEY,
         "lang",
         at("text_ids", "query").alias("q_id"),
@@ -224,9 +234,11 @@ def retrieval_set(
         prompts.student_text(F.lit("ret"), at("texts", "query")).alias("q_text"),
         prompts.student_text(F.lit("document"), at("texts", "positive")).alias("p_text"),
     )
+    if limit is None:
+        return example_position(picked, out="i")
     top = picked.orderBy(*ORDER_KEY).limit(limit)
     # ``top`` holds at most ``limit`` rows, so numbering them in one window is bounded by it.
-    return top.select("*", (F.row_number().over(W.orderBy(*ORDER_KEY)) - 1).cast("int").alias("i"))
+    return top.select("*", (F.row_number().over(W.orderBy(*ORDER_KEY)) - 1).cast("long").alias("i"))
 
 
 def retrieval_vectors(chosen: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -246,52 +258,98 @@ def retrieval_vectors(chosen: DataFrame, embeddings: DataFrame) -> DataFrame:
     )
 
 
-def own_ranks(vectors: DataFrame, block: int = BLOCK, digits: int | None = None) -> DataFrame:
-    """Rank of each query's own passage by descending score: ``(i, rank)``.
+def _nearest(pivots: np.ndarray) -> Callable[..., Column]:
+    """Column function: number of the nearest pivot."""
+
+    def find(vectors: pa.Array) -> pa.Array:
+        points = to_matrix(vectors)
+        return pa.array(np.argmin((pivots**2).sum(1) - 2 * points @ pivots.T, axis=1).astype(np.int32) if len(points) else np.zeros(0, np.int32))
+
+    return F.arrow_udf(find, "int")
 
-    The score matrix is computed block by block: query blocks meet passage
-    blocks by equality on the block number, each task multiplies two blocks and
-    returns one count per query.  The number of blocks comes from the largest
-    index ``i`` there is.  Ties go to the smaller index.  ``digits`` rounds scores
-    before comparing.
+
+def _in_blocks(vectors: DataFrame, block: int) -> DataFrame:
+    """Passages with ``block``, a number shared by at most ``block`` passages that lie near one another.
+
+    Passages go to the nearest of a few pivots, a bounded sample by hash, and are
+    dealt inside it; the blocks only decide what can be skipped, never a rank.
     """
-    last_block = F.floor(vectors.agg(F.max("i").alias("i")).scalar() / F.lit(block)).cast("int")
-    number = lambda c: F.floor(F.col(c) / F.lit(block)).cast("int")
-    own = row_dot("q_vec", "p_vec")
-    queries = vectors.select(
-        "i",
-        F.col("q_vec").alias("vec"),
-        own.alias("own"),
-        number("i").alias("qb"),
-        F.explode(F.sequence(F.lit(0), last_block)).alias("pb"),
-    )
-    passages = vectors.select(
-        F.col("i").alias("j"),
-        F.col("p_vec").alias("vec"),
-        F.explode(F.sequence(F.lit(0), last_block)).alias("to_qb"),
-        number("i").alias("own_pb"),
-    )
+    chosen = vectors.orderBy(F.xxhash64("i")).limit(PIVOTS).select("p_vec").toArrow()
+    near = _nearest(to_matrix(chosen["p_vec"]))
+    rows = vectors.select(F.col("i").alias("j"), F.col("p_vec").alias("vec"), near("p_vec").alias("_pivot"))
+    placed = dense_position(rows, [F.floor(F.col("j") / F.lit(BUCKET_ROWS))], ["j"], within=["_pivot"], out="_at")
+    return placed.select("j", "vec", (F.floor(F.col("_at") / F.lit(block)) * PIVOTS + F.col("_pivot")).alias("block"))
+
+
+def _balls(blocks: DataFrame) -> pa.Table:
+    """Centre and radius of every block; at most ``BALL_BYTES`` reach the driver."""
+
+    def ball(table: pa.Table) -> pa.Table:
+        points = to_matrix(table.column("vec"))
+        centre = points.mean(0)
+        radius = np.sqrt(((points - centre) ** 2).sum(1)).max()
+        return pa.table({"block": table.column("block").slice(0, 1), "centre": pa.array([centre.tolist()]), "radius": pa.array([radius])})
 
-    def settle(score: np.ndarray) -> np.ndarray:
-        return score if digits is None else np.round(score, digits)
+    return blocks.groupBy("block").applyInArrow(ball, "block long, centre array<double>, radius double").toArrow()
+
+
+def own_ranks(vectors: DataFrame, block: int = BLOCK, digits: int = 12) -> DataFrame:
+    """Rank of each query's own passage by descending score: ``(i, rank, n_blocks, n_scored)``.
+
+    Passages are cut into blocks of near ones.  No passage of a block scores more
+    than the block's centre does plus its radius times the query's length, so a
+    query is scored only against blocks that may hold a better one; ranks stay
+    exact.  ``n_scored`` of ``n_blocks`` were scored.  Query groups meet blocks by
+    equality on both numbers; a task multiplies two blocks and returns one count per
+    query.  Scores are rounded to ``digits``, so that the order of a sum decides
+    nothing; ties go to the smaller index.
+    """
+    vectors = stage(vectors.select(F.col("i").cast("long").alias("i"), "q_vec", "p_vec"), "retrieval")
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("p_vec"))).first()
+    # Larger blocks where the centres would grow beyond what a driver takes.
+    block = max(block, -(-(n or 0) * (dim or 0) * 8 // BALL_BYTES))
+    blocks = stage(_in_blocks(vectors, block), "retrieval-blocks")
+    balls = _balls(blocks)
+    shared = vectors.sparkSession.sparkContext.broadcast((balls["block"].to_numpy(), to_matrix(balls["centre"]), balls["radius"].to_numpy()))
+    # Sums in another order and rounding to digits may move a score by this much.
+    slack = 10.0**-digits + 1e-9
+
+    def reach(queries: pa.Array, own: pa.Array) -> pa.Array:
+        numbers, centres, radii = shared.value
+        points = to_matrix(queries)
+        if not len(points):
+            return pa.array([], pa.list_(pa.int64()))
+        most = points @ centres.T + np.sqrt((points**2).sum(1))[:, None] * radii[None, :]
+        which, at = np.nonzero(most >= np.asarray(own)[:, None] - slack)
+        offsets = np.searchsorted(which, np.arange(len(points) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers[at]))
+
+    own = row_dot("q_vec", "p_vec")
+    asked = vectors.select("i", F.col("q_vec").alias("vec"), own.alias("own"), F.floor(F.col("i") / F.lit(block)).alias("part"))
+    asked = asked.withColumn("to", F.arrow_udf(reach, "array<long>")("vec", "own"))
+    queries = asked.select("i", "vec", "own", "part", F.explode("to").alias("block"))
+    # Each block goes to the query groups that ask for it.
+    wanted = queries.select("block", "part").distinct()
+    passages = blocks.join(wanted, "block").select("j", "vec", F.col("part").alias("to_part"), F.col("block").alias("of_block"))
 
     def ahead(left: pa.Table, right: pa.Table) -> pa.Table:
         i = left.column("i").to_numpy()
         if not left.num_rows or not right.num_rows:
-            return pa.table({"i": pa.array(i, pa.int32()), "ahead": pa.array([0] * len(i), pa.int64())})
+            return pa.table({"i": pa.array(i, pa.int64()), "ahead": pa.array([0] * len(i), pa.int64())})
         j = right.column("j").to_numpy()
-        score = settle(to_matrix(left.column("vec")) @ to_matrix(right.column("vec")).T)
-        mine = settle(left.column("own").to_numpy())[:, None]
+        score = np.round(to_matrix(left.column("vec")) @ to_matrix(right.column("vec")).T, digits)
+        mine = np.round(left.column("own").to_numpy(), digits)[:, None]
         other = j[None, :] != i[:, None]
         # The own passage is compared with itself through "other", not through rounding.
         better = other & ((score > mine) | ((score == mine) & (j[None, :] < i[:, None])))
-        return pa.table({"i": pa.array(i, pa.int32()), "ahead": pa.array(better.sum(1), pa.int64())})
+        return pa.table({"i": pa.array(i, pa.int64()), "ahead": pa.array(better.sum(1), pa.int64())})
 
-    counts = queries.groupBy("qb", "pb").cogroup(passages.groupBy("to_qb", "own_pb"))
+    counts = queries.groupBy("part", "block").cogroup(passages.groupBy("to_part", "of_block"))
+    # A query's own passage lies in a block that it reaches, so no query is left out.
     return (
-        counts.applyInArrow(ahead, "i int, ahead long")
+        counts.applyInArrow(ahead, "i long, ahead long")
         .groupBy("i")
-        .agg((F.sum("ahead") + 1).alias("rank"))
+        .agg((F.sum("ahead") + 1).alias("rank"), F.lit(len(balls)).cast("long").alias("n_blocks"), F.count(F.lit(1)).alias("n_scored"))
     )
 
 
@@ -312,10 +370,12 @@ def lang_counts(rows: DataFrame) -> DataFrame:
 
 
 def eval_report(
-    sts: DataFrame, retrieval: DataFrame, by_lang: DataFrame, model: str, fallback: bool | Column = False
+    sts: DataFrame, retrieval: DataFrame, by_lang: DataFrame, model: str, fallback: bool | Column = False, available: Column | None = None
 ) -> DataFrame:
     """One nested row: model, correlation per language, retrieval metrics with counts per language.
 
+    ``available`` is the number of examples that could be evaluated, beside ``n`` that were.
+
     Every input is already an aggregate with one row, or one row per language.
     """
     flag = fallback if isinstance(fallback, Column) else F.lit(fallback)
@@ -327,5 +387,5 @@ def eval_report(
         F.lit(model).alias("model"),
         flag.alias("fallback"),
         per_lang.alias("sts"),
-        F.struct("n", "recall_at_1", "mrr", counts.alias("by_lang")).alias("retrieval"),
+        F.struct("n", (F.col("n") if available is None else available).alias("available"), "recall_at_1", "mrr", counts.alias("by_lang")).alias("retrieval"),
     )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairforge import constants as K
 from pairforge.functions.prompts import Prompts
@@ -183,13 +183,16 @@ def evaluate_model(
     out: str,
     *,
     languages: Sequence[str] = K.ACTIVE_LANGUAGES,
-    limit: int = K.DEFAULT_RETRIEVAL_LIMIT,
+    limit: int | None = None,
     model: str = "student",
     prompts: Prompts | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Evaluation report on the held-out split, or on everything when there is none.
 
-    Every distinct prompted text is encoded once.
+    Every distinct prompted text is encoded once.  All retrieval examples are
+    evaluated unless ``limit`` says how many; the report has both numbers.
+    ``digits`` rounds similarities before they are ranked.
     """
     examples, fell_back = tables.read_shards(spark, f"{corpus}/examples", "val")
     pairs = evaluate.keyed_by_text(
@@ -205,7 +208,8 @@ def evaluate_model(
         (chosen, "p_id", "p_text"),
     )
     vectors = stage(encode(texts, factory, half=False), "eval-vectors")
-    report = report_for(pairs, chosen, vectors, languages, model, fell_back)
+    available = evaluate.retrieval_available(examples)
+    report = report_for(pairs, chosen, vectors, languages, model, fell_back, digits, available)
     tables.write_report(report, out)
     return report
 
@@ -218,17 +222,20 @@ def report_for(
     model: str,
     fell_back: bool = False,
     digits: int | None = None,
+    available: Column | None = None,
 ) -> DataFrame:
     """The report from sentence pairs, a retrieval set and unit vectors for both."""
     scored = evaluate.pair_similarity(pairs, embeddings)
     if digits is not None:
         scored = scored.withColumn("sim", F.round("sim", digits))
-    vectors = evaluate.retrieval_vectors(chosen, embeddings)
-    ranks = evaluate.own_ranks(vectors, digits=digits)
+    # Ranks and counts by language both read them.
+    vectors = stage(evaluate.retrieval_vectors(chosen, embeddings), "retrieval-vectors")
+    ranks = evaluate.own_ranks(vectors, **({} if digits is None else {"digits": digits}))
     return evaluate.eval_report(
         evaluate.sts_report(scored, languages),
         evaluate.retrieval_metrics(ranks),
         evaluate.lang_counts(vectors),
         model,
         fell_back,
+        available,
     )

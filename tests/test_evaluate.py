@@ -124,12 +124,46 @@ def test_ranks_reach_to_the_last_row(spark):
     n = 8
     q = np.tril(np.ones((n, n))) - np.eye(n) * 0.5
     rows = [(i, q[i].tolist(), np.eye(n)[i].tolist()) for i in range(n)]
-    found = spark.createDataFrame(rows, "i int, q_vec array<float>, p_vec array<float>")
+    found = spark.createDataFrame(rows, "i long, q_vec array<float>, p_vec array<float>")
     for block in (1, 3, 100):
         assert {r.i: r["rank"] for r in E.own_ranks(found, block=block).collect()} == {i: i + 1 for i in range(n)}
     assert E.own_ranks(found.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("digits", [12, 2])
+def test_blocks_out_of_reach_are_skipped(spark, digits):
+    """Passages in well-parted clusters: exact ranks, and most blocks are not scored."""
+    rng = np.random.default_rng(4)
+    n = 1500
+    centres = rng.normal(size=(30, 24))
+    p = centres[rng.integers(0, 30, n)] + 0.05 * rng.normal(size=(n, 24))
+    p[:40] = p[0]
+    q = p + 0.05 * rng.normal(size=(n, 24))
+    p, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (p, q))
+    rows = [(i, q[i].tolist(), p[i].tolist()) for i in range(n)]
+    found = spark.createDataFrame(rows, "i long, q_vec array<float>, p_vec array<float>")
+    got = {r.i: r for r in E.own_ranks(found, block=20, digits=digits).collect()}
+    s = q.astype(np.float32).astype(float) @ p.astype(np.float32).astype(float).T
+    s = np.round(s, digits)
+    own, j = np.diag(s)[:, None], np.arange(n)[None, :]
+    better = (s > own) | ((s == own) & (j < np.arange(n)[:, None]))
+    np.fill_diagonal(better, False)
+    assert len(got) == n and [got[i]["rank"] for i in range(n)] == (1 + better.sum(1)).tolist()
+    # All forty queries of one repeated passage are among them.
+    share = sum(r.n_scored for r in got.values()) / sum(r.n_blocks for r in got.values())
+    assert share < 0.3
+
+
+def test_all_examples_are_evaluated_by_default(spark):
+    rows = [example(i % 3, i, "retrieval", [f"q{i}", f"p{i}"], ["query", "positive"]) for i in range(30)]
+    ex = frame(spark, rows + [example(0, 99, "sts", ["a", "b"], ["sentence_a", "sentence_b"])])
+    every = E.retrieval_set(ex).orderBy("i").collect()
+    assert [(r.i, r.source_seq) for r in every] == [(i, i // 10) for i in range(30)]
+    assert E.retrieval_set(ex, 7).orderBy("i").collect() == every[:7]
+    m = spark.range(1).select(E.retrieval_available(ex).alias("m")).first().m
+    assert m == 30
+
+
 def test_retrieval_guard(spark):
     ranks = spark.createDataFrame([(0, 1)], "i int, rank long")
     assert E.retrieval_metrics(ranks).first().asDict() == {"n": 1, "recall_at_1": None, "mrr": None}
