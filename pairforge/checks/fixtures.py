@@ -184,15 +184,23 @@ def student(teacher_vectors: DataFrame) -> DataFrame:
     )
 
 
+def without_roles(ex: DataFrame) -> DataFrame:
+    """Every third sentence pair and parallel pair without sentence roles."""
+    bare = F.col("task").isin("sts", "bitext") & (F.col("row_ord") % 3 == 0)
+    return ex.withColumn("roles", F.when(bare, F.transform("roles", lambda r: F.lit("document"))).otherwise(F.col("roles")))
+
+
 def corpus(
-    spark: SparkSession, sf_dir: str, with_texts: bool = False
+    spark: SparkSession, sf_dir: str, with_texts: bool = False, bare: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(examples, teacher, student), the first two written once.
+    """(examples, teacher, student), the first two written once; ``bare`` takes the roles of some pairs.
 
     Queries over ids, pairs and vectors do not carry the texts: they are left
     blank once the ids are computed.
     """
     ex = examples(spark, sf_dir)
+    if bare:
+        ex = without_roles(ex)
     if not with_texts:
         ex = ex.withColumn("texts", F.array_repeat(F.lit(""), F.size("text_ids")))
     ex = stage(ex, "examples")

@@ -556,14 +556,20 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT lang, count(*) AS n, CASE WHEN count(*) >= 3 THEN
                    (avg(rx * ry) - avg(rx) * avg(ry)) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS rho
                    FROM job_ranks GROUP BY lang) r USING (lang)""",
+    "q_pairs_without_roles": """
+        SELECT step, rank, i, j, 'positive' AS kind FROM positives UNION ALL SELECT step, rank, i, j, 'graded' FROM graded""",
     "q_encoder_losses": """
         SELECT step, rank, round(kl, 6) AS loss_kl, round(focal, 6) AS loss_focal, round(disp, 6) AS loss_disp,
                round(sts, 6) AS loss_sts, n_valid FROM losses""",
 }
 
 
-#: The encoder's vectors in place of the student table's.
+#: Sentence roles taken away; the encoder's vectors in place of the student table's.
 INSTEAD = {
+    "q_pairs_without_roles": {
+        "ex": f"""SELECT * REPLACE (CASE WHEN task IN ('sts', 'bitext') AND row_ord % 3 = 0
+            THEN list_transform(roles, lambda r: 'document') ELSE roles END AS roles) FROM ({CTES['ex']})""",
+    },
     "q_encoder_losses": {
         "points": CTES["letter_points"],
         "cosines": CTES["letter_cosines"].replace("letter_points", "points"),

@@ -555,6 +555,16 @@ def sts_pairs(spark, sf_dir):
     return _pair_columns(batching.graded_pairs(capped), "step", "rank", "i", "j")
 
 
+@query
+def pairs_without_roles(spark, sf_dir):
+    """Pairs of both kinds where sentence and parallel pairs lack their roles: the first two texts, by label."""
+    ex, teacher, _ = fx.corpus(spark, sf_dir, bare=True)
+    capped = fx.stage(_capped(ex, teacher), "batches")
+    kinds = (("positive", batching.positive_pairs(capped)), ("graded", batching.graded_pairs(capped)))
+    both = [_pair_columns(pairs, "step", "rank", "i", "j").withColumn("kind", F.lit(kind)) for kind, pairs in kinds]
+    return both[0].unionByName(both[1])
+
+
 @query
 def global_pairs(spark, sf_dir):
     """Pairs of both kinds under global indices, block by block."""
