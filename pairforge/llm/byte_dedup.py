@@ -12,10 +12,13 @@ strings always meet among the contexts of one anchor.
    with one copy of each repeated context, are dealt out by anchor and go into
    run-length indexes (``run_index``) of about ``INDEX_BYTES``; matching
    statistics of at least ``WINDOW`` mark what another context has as well.
-   Anchors whose open contexts exceed ``INDEX_BYTES`` are split by a second key
-   that equal windows share, the hash of the window: windows that meet there are
-   repeats, so no task builds an index over a hot anchor.
-3. Marked strings of a document merge; their bytes are removed.
+3. Anchors whose open contexts exceed ``INDEX_BYTES`` are split by content that
+   equal windows share.  A window holds its anchor and ``WINDOW - ANCHOR`` bytes
+   around it, so at least half of these stand on one side: windows with ``SIDE``
+   bytes behind the anchor meet by anchor and those bytes, windows with so many
+   before it by these.  Contexts that meet no other are done, groups within the
+   bound are indexed like anchors; of what is larger still, single windows meet.
+4. Marked strings of a document merge; their bytes are removed.
 
 Equal contexts of one document are combined before anything is shuffled, so an
 anchor has at most one row for each document and context.  Shuffled are one row
@@ -41,24 +44,25 @@ WINDOW = 200
 ANCHOR = 100
 INDEX_BYTES = 1 << 19
 
-#: A mark holds, from the low end: windows of the run, its first byte in the text, bits of the whole text's hash.
-_COUNT_BITS, _START_BITS = 8, 40
-_TAG_AT = np.uint64(_COUNT_BITS + _START_BITS)
-
-RUN_SCHEMA = "anchor long, context long, doc_id long, marks array<long>"
-MARKS = "array<long>"
+#: Bytes beside a hot anchor by which its contexts are dealt.
+SIDE = (WINDOW - ANCHOR) // 2
 
+#: A mark holds, from the low end: windows of the run, its first byte in the text, the anchor's place in its context.
+_COUNT_BITS, _START_BITS, _PLACE_BITS = 8, 40, 8
+_PLACE_AT = np.uint64(_COUNT_BITS + _START_BITS)
 
-def _text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of each whole text, in the bits of a mark that hold it."""
-    return (S.RunHash(S.BYTE_CODES[data], S.BASE).of(offsets[:-1], offsets[1:]) >> _TAG_AT) << _TAG_AT
+#: ``own`` is a hash of the whole text: with it a row keeps its own marks where several share an id or have none.
+RUN_SCHEMA = "anchor long, context long, doc_id long, own long, marks array<long>"
+MARKS = "array<long>"
+ROW = ["doc_id", "own"]
+OPEN = "anchor long, doc_id long, own long, mark long, single boolean, bytes binary"
 
 
 def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each context of (doc_id, text) batches, with the marks of all its runs."""
+    """One row for each context of (doc_id, text, own) batches, with the marks of all its runs."""
     for batch in batches:
         data, offsets = S.text_bytes(batch.column(1))
-        ids = np.asarray(batch.column(0))
+        ids, owns = np.asarray(batch.column(0)), np.asarray(batch.column(2))
         for a, b in S.blocks(offsets):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             hashes = S.RunHash(S.BYTE_CODES[part], S.BASE)
@@ -68,14 +72,15 @@ def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = S.winnow(grams, WINDOW - ANCHOR + 1, valid)
             row = np.searchsorted(at, runs.first, "right") - 1
             start = (runs.first - at[row]).astype(np.uint64)
-            mark = _text_tags(part, at)[row] | start << np.uint64(_COUNT_BITS) | runs.count.astype(np.uint64)
+            place = (runs.anchor - runs.first).astype(np.uint64)
+            mark = place << _PLACE_AT | start << np.uint64(_COUNT_BITS) | runs.count.astype(np.uint64)
             context = hashes.of(runs.first, runs.first + runs.count + WINDOW - 1)
             anchor = grams[runs.anchor]
             order, first = S.combine(row, anchor, context)
             one = order[first[:-1]]
-            columns = [anchor[one].view(np.int64), context[one].view(np.int64), ids[a:b][row[one]]]
+            columns = [anchor[one].view(np.int64), context[one].view(np.int64), ids[a:b][row[one]], owns[a:b][row[one]]]
             marks = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(mark[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], ["anchor", "context", "doc_id", "marks"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], ["anchor", "context", "doc_id", "own", "marks"])
 
 
 def _start_count(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +89,13 @@ def _start_count(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(texts: pa.Array, marks: np.ndarray, sizes: np.ndarray):
-    """Text by text: its bytes, the marks that are its own (as flags), their starts and window counts."""
+    """Text by text: its bytes, and the starts and window counts of its marks."""
     data, offsets = S.text_bytes(texts)
     ends = np.cumsum(sizes)
-    for a, b in S.blocks(offsets):
-        tags = _text_tags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        for i in range(a, b):
-            own = marks[ends[i] - sizes[i] : ends[i]]
-            start, count = _start_count(own)
-            fits = ((own >> _TAG_AT) << _TAG_AT == tags[i - a]) & (start + count + WINDOW - 1 <= offsets[i + 1] - offsets[i])
-            yield data[offsets[i] : offsets[i + 1]], fits, start, count
+    for i in range(len(sizes)):
+        start, count = _start_count(marks[ends[i] - sizes[i] : ends[i]])
+        fits = start + count + WINDOW - 1 <= offsets[i + 1] - offsets[i]
+        yield data[offsets[i] : offsets[i + 1]], start[fits], count[fits]
 
 
 def _lengths(lists: pa.Array) -> np.ndarray:
@@ -102,24 +104,24 @@ def _lengths(lists: pa.Array) -> np.ndarray:
 
 @F.arrow_udf(ArrayType(BinaryType()))
 def contexts(texts: pa.Array, marks: pa.Array) -> pa.Array:
-    """The bytes that each marked run covers; null for marks of another text."""
+    """The bytes that each marked run covers."""
     out = []
-    for data, fits, start, count in _rows(texts, np.asarray(marks.flatten()).view(np.uint64), _lengths(marks)):
-        out.append([data[s : s + c + WINDOW - 1].tobytes() if f else None for f, s, c in zip(fits.tolist(), start.tolist(), count.tolist())])
+    for data, start, count in _rows(texts, np.asarray(marks.flatten()).view(np.uint64), _lengths(marks)):
+        out.append([data[s : s + c + WINDOW - 1].tobytes() for s, c in zip(start.tolist(), count.tolist())])
     return pa.array(out, pa.list_(pa.binary()))
 
 
 def index_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks of the windows of single contexts that another context has, from rows sorted by anchor.
 
-    Columns: anchor, doc_id, mark, single, bytes.  Rows of one anchor go into the same index.
+    Columns as in ``OPEN``.  Rows of one anchor go into the same index.
     """
 
     def indexed(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        data, starts = S.text_bytes(table.column(4).combine_chunks())
+        data, starts = S.text_bytes(table.column(5).combine_chunks())
         long = longest_matches(data, starts) >= WINDOW
-        marks = np.asarray(table.column(2)).view(np.uint64)
-        single = np.asarray(table.column(3).combine_chunks().cast(pa.int8())) > 0
+        marks = np.asarray(table.column(3)).view(np.uint64)
+        single = np.asarray(table.column(4).combine_chunks().cast(pa.int8())) > 0
         # A window needs its full length inside the context; runs of hits become marks.
         new = long.copy()
         new[1:] &= ~long[:-1]
@@ -135,14 +137,15 @@ def index_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, end, row = begin[keep], end[keep], row[keep]
         start, _ = _start_count(marks[row])
         shift = (start + begin - starts[row]).astype(np.uint64)
-        out = (marks[row] >> _TAG_AT) << _TAG_AT | shift << np.uint64(_COUNT_BITS) | (end - begin).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([table.column(1).combine_chunks().take(pa.array(row)), pa.array(out.view(np.int64))], ["doc_id", "mark"])
+        out = shift << np.uint64(_COUNT_BITS) | (end - begin).astype(np.uint64)
+        of_row = [table.column(c).combine_chunks().take(pa.array(row)) for c in (1, 2)]
+        yield pa.RecordBatch.from_arrays([*of_row, pa.array(out.view(np.int64))], ["doc_id", "own", "mark"])
 
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         anchors = np.asarray(batch.column(0))
-        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(4))))
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(5))))
         at = 0
         while at < len(anchors):
             # Up to the index size, and on to the end of the last anchor.
@@ -161,14 +164,48 @@ def index_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from indexed(pa.Table.from_batches(held))
 
 
+def beside_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts dealt by the bytes beside their anchor: up to two rows for each, with the hash of both as ``anchor``.
+
+    Each row holds the part of the context with all windows that have ``SIDE`` bytes
+    or more on that side; a context without such a window has no row.  Columns as in
+    ``OPEN``.
+    """
+    for batch in batches:
+        data, starts = S.text_bytes(batch.column(5))
+        marks = np.asarray(batch.column(3)).view(np.uint64)
+        for a, b in S.blocks(starts):
+            part, at = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+            hashes = S.RunHash(S.BYTE_CODES[part], S.BASE)
+            begin, end = at[:-1], at[1:]
+            anchor = begin + ((marks[a:b] >> _PLACE_AT) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+            first, _ = _start_count(marks[a:b])
+            sides = (
+                (anchor, anchor + ANCHOR + SIDE, np.maximum(begin, anchor - (WINDOW - ANCHOR - SIDE)), end),
+                (anchor - SIDE, anchor + ANCHOR, begin, np.minimum(end, anchor + WINDOW - SIDE)),
+            )
+            for number, (left, right, low, high) in enumerate(sides):
+                rows = np.flatnonzero((left >= begin) & (right <= end) & (high - low >= WINDOW))
+                if not len(rows):
+                    continue
+                key = S.mix(hashes.of(left[rows], right[rows]) + np.uint64(number))
+                start = (first + low - begin)[rows].astype(np.uint64)
+                count = (high - low - WINDOW + 1)[rows].astype(np.uint64)
+                pieces = [part[x:y].tobytes() for x, y in zip(low[rows].tolist(), high[rows].tolist())]
+                take = lambda c: batch.column(c).slice(a, b - a).take(pa.array(rows))  # noqa: B023, E731
+                mark = (start << np.uint64(_COUNT_BITS) | count).view(np.int64)
+                columns = [pa.array(key.view(np.int64)), take(1), take(2), pa.array(mark), take(4), pa.array(pieces, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "own", "mark", "single", "bytes"])
+
+
 def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each window of contexts: anchor, hash of the window, doc_id, mark of the window, single.
+    """One row for each window of contexts: anchor, hash of the window, doc_id, own, mark of the window, single.
 
-    Columns as those of ``index_open``.
+    Columns as in ``OPEN``.
     """
     for batch in batches:
-        data, starts = S.text_bytes(batch.column(4))
-        marks = np.asarray(batch.column(2)).view(np.uint64)
+        data, starts = S.text_bytes(batch.column(5))
+        marks = np.asarray(batch.column(3)).view(np.uint64)
         for a, b in S.blocks(starts):
             part, at = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
             size = np.maximum(np.diff(at) - WINDOW + 1, 0)
@@ -176,12 +213,11 @@ def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shift = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             begin = at[row] + shift
             window = S.RunHash(S.BYTE_CODES[part], S.BASE).of(begin, begin + WINDOW)
-            mark = marks[a:b][row]
-            start, _ = _start_count(mark)
-            mark = (mark >> _TAG_AT) << _TAG_AT | (start + shift).astype(np.uint64) << np.uint64(_COUNT_BITS) | np.uint64(1)
+            start, _ = _start_count(marks[a:b][row])
+            mark = (start + shift).astype(np.uint64) << np.uint64(_COUNT_BITS) | np.uint64(1)
             take = lambda c: batch.column(c).slice(a, b - a).take(pa.array(row))  # noqa: B023, E731
-            columns = [take(0), pa.array(window.view(np.int64)), take(1), pa.array(mark.view(np.int64)), take(3)]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "window", "doc_id", "mark", "single"])
+            columns = [take(0), pa.array(window.view(np.int64)), take(1), take(2), pa.array(mark.view(np.int64)), take(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "window", "doc_id", "own", "mark", "single"])
 
 
 def hot_anchors(met: DataFrame) -> DataFrame:
@@ -191,33 +227,40 @@ def hot_anchors(met: DataFrame) -> DataFrame:
 
 
 def _pieces(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """anchor, owner, mark, single and bytes of the contexts of ``runs``."""
-    wanted = runs.groupBy("doc_id").agg(
-        F.collect_list(F.struct("anchor", F.get("marks", F.lit(0)).alias("mark"), (~F.col("repeated")).alias("single"))).alias("runs")
+    """Contexts of ``runs`` as in ``OPEN``."""
+    wanted = runs.groupBy(*ROW).agg(
+        F.collect_set(F.struct("anchor", F.get("marks", F.lit(0)).alias("mark"), (~F.col("repeated")).alias("single"))).alias("runs")
     )
     return (
-        docs.join(wanted, "doc_id")
-        .select(F.col("doc_id").alias("owner"), F.arrays_zip("runs", contexts("text", F.col("runs.mark")).alias("bytes")).alias("z"))
-        .select("owner", F.explode("z").alias("z"))
-        .select("z.runs.anchor", "owner", "z.runs.mark", "z.runs.single", "z.bytes")
-        .filter("bytes IS NOT NULL")
+        docs.join(wanted, ROW)
+        .select(*ROW, F.arrays_zip("runs", contexts("text", F.col("runs.mark")).alias("bytes")).alias("z"))
+        .select(*ROW, F.explode("z").alias("z"))
+        .select("z.runs.anchor", *ROW, "z.runs.mark", "z.runs.single", "z.bytes")
     )
 
 
+def _indexed(pieces: DataFrame) -> DataFrame:
+    """doc_id, own and mark of what the indexes of ``pieces`` find."""
+    ordered = pieces.repartition("anchor").sortWithinPartitions("anchor")
+    return ordered.mapInArrow(index_open, "doc_id long, own long, mark long")
+
+
 def _found_in_hot(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id and mark of the windows of single contexts that another context of a hot anchor has."""
-    pieces = stage(_pieces(docs, runs), "hot_contexts")
-    windows = pieces.mapInArrow(open_windows, "anchor long, window long, doc_id long, mark long, single boolean")
-    repeated = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return windows.filter("single").join(repeated, ["anchor", "window"], "left_semi").select("doc_id", "mark")
+    """doc_id, own and mark of windows of single contexts that another context of a hot anchor has."""
+    dealt = stage(_pieces(docs, runs).mapInArrow(beside_anchor, OPEN), "hot-contexts")
+    met = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("size"))
+    told = dealt.join(met.filter("n > 1").select("anchor", (F.col("size") > INDEX_BYTES).alias("large")), "anchor")
+    windows = told.filter("large").drop("large").mapInArrow(open_windows, "anchor long, window long, doc_id long, own long, mark long, single boolean")
+    again = F.count(F.lit(1)).over(W.partitionBy("anchor", "window")) > 1
+    repeated = windows.withColumn("again", again).filter("again AND single").select(*ROW, "mark")
+    return _indexed(told.filter("NOT large").drop("large")).unionByName(repeated)
 
 
 @F.arrow_udf(StructType().add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType()).add("kept", BinaryType()))
 def cut_bytes(texts: pa.Array, marks: pa.Array) -> pa.Array:
     """Byte counts, removed runs, and the bytes that stay."""
     out: list[list] = [[], [], [], []]
-    for data, fits, start, count in _rows(texts, np.asarray(marks.flatten()).view(np.uint64), _lengths(marks)):
-        start, count = start[fits], count[fits]
+    for data, start, count in _rows(texts, np.asarray(marks.flatten()).view(np.uint64), _lengths(marks)):
         gone = S.cover(start, start + count + WINDOW - 1, len(data))
         for column, value in zip(out, (len(data), int(gone.sum()), S.count_runs(gone), data[~gone].tobytes())):
             column.append(value)
@@ -234,15 +277,15 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     cut a character, so ``kept`` is binary.  Other columns are not read, an empty
     table gives an empty result.
     """
-    docs = ids_and_texts(documents, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    docs = ids_and_texts(documents, doc_id, text).withColumns({"doc_id": F.coalesce("doc_id", F.lit(NO_ID)), "own": F.xxhash64("text")})
     of_anchor = W.partitionBy("anchor")
-    in_order = of_anchor.orderBy("context", "doc_id")
+    in_order = of_anchor.orderBy("context", *ROW)
     same = lambda other: F.coalesce(other == F.col("context"), F.lit(False))
     met = stage(
         docs.mapInArrow(seed_runs, RUN_SCHEMA)
         .select(
             "anchor",
-            "doc_id",
+            *ROW,
             "marks",
             same(F.lag("context").over(in_order)).alias("_before"),
             same(F.lead("context").over(in_order)).alias("_after"),
@@ -250,7 +293,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         )
         .select(
             "anchor",
-            "doc_id",
+            *ROW,
             "marks",
             (F.col("_before") | F.col("_after") | (F.size("marks") > 1)).alias("repeated"),
             # One copy of each context, where the anchor has others.
@@ -261,16 +304,14 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     )
     hot = stage(hot_anchors(met), "hot")
     runs = met.filter("indexed")
-    found = (
-        _pieces(docs, runs.join(F.broadcast(hot), "anchor", "left_anti"))
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
-        .mapInArrow(index_open, "doc_id long, mark long")
-    )
+    # One row for each INDEX_BYTES of open contexts: Spark sees its size and broadcasts it while it is small.
+    found = _indexed(_pieces(docs, runs.join(hot, "anchor", "left_anti")))
     if not hot.isEmpty():
-        found = found.unionByName(_found_in_hot(docs, runs.join(F.broadcast(hot), "anchor", "left_semi")))
-    marks = met.filter("repeated").select("doc_id", "marks").unionByName(found.select("doc_id", F.array("mark").alias("marks"))).groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    cut = docs.join(marks, "doc_id", "left").select("doc_id", cut_bytes("text", F.coalesce("marks", F.array().cast(MARKS))).alias("c"))
+        found = found.unionByName(_found_in_hot(docs, runs.join(hot, "anchor", "left_semi")))
+    each = met.filter("repeated").select(*ROW, "marks").unionByName(found.select(*ROW, F.array("mark").alias("marks")))
+    # Repeated rows have equal marks, so a set holds no more than one text has.
+    marks = each.groupBy(*ROW).agg(F.flatten(F.collect_set("marks")).alias("marks"))
+    cut = docs.join(marks, ROW, "left").select("doc_id", cut_bytes("text", F.coalesce("marks", F.array().cast(MARKS))).alias("c"))
     return cut.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "c.n_bytes", "c.n_removed", "c.n_spans", "c.kept")
 
 
