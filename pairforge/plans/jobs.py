@@ -17,8 +17,8 @@ from pairforge.operators.keys import assign_text_ids, cap_examples, cap_texts, f
 from pairforge.operators.lookup import attach_vectors
 from pairforge.operators.membership import Membership
 from pairforge.operators.skew import hot_keys_of
-from pairforge.operators.validate import require_valid
-from pairforge.session import stage
+from pairforge.operators.validate import annotate, require_valid
+from pairforge.session import stage, staged_in
 from pairforge.sources import tables
 from pairforge.sources.catalogue import Source, load_examples, with_fallback
 
@@ -31,29 +31,40 @@ def build_corpus(
     *,
     max_unique: int | None = None,
     per_shard: int = K.DEFAULT_EXAMPLES_PER_SHARD,
+    quarantined: bool = False,
 ) -> DataFrame:
     """Sources to example shards and unique texts; returns the summary row.
 
     Normalised examples are written once because counting, capping and
     splitting each read them again.  All unique texts are kept unless
-    ``max_unique`` says how many.
+    ``max_unique`` says how many.  An invalid example stops the job; with
+    ``quarantined`` it goes to ``rejected`` with its error instead, and the numbers
+    of examples by error to ``errors``.
     """
-    loaded = with_fallback(load_examples(spark, root, catalogue))
-    examples = stage(assign_text_ids(require_valid(loaded)), "examples")
-    if max_unique is None:
-        kept_uses, kept = text_uses(examples), examples
-    else:
-        # Counting positions and writing shards both read the kept examples; only kept texts are fetched.
-        uses = stage(text_uses(examples), "uses")
-        kept_uses = cap_texts(uses, max_unique)
-        kept = stage(cap_examples(examples, uses, max_unique), "kept")
-    tables.write_texts(fetch_texts(kept_uses, examples), f"{out}/texts")
-    tables.write_shards(kept, f"{out}/examples", per_shard)
-    summary = tables.build_summary(
-        spark.read.parquet(f"{out}/examples"), tables.read_texts(spark, f"{out}/texts")
-    )
-    tables.write_report(summary, f"{out}/summary")
-    return summary
+    with staged_in(spark, "build"):
+        loaded = with_fallback(load_examples(spark, root, catalogue))
+        if quarantined:
+            checked = stage(annotate(loaded), "checked")
+            tables.write_report(checked.groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n")), f"{out}/errors")
+            checked.filter(F.col("error").isNotNull()).write.mode("overwrite").parquet(f"{out}/rejected")
+            valid = checked.filter(F.col("error").isNull()).drop("error")
+        else:
+            valid = require_valid(loaded)
+        examples = stage(assign_text_ids(valid), "examples")
+        if max_unique is None:
+            kept_uses, kept = text_uses(examples), examples
+        else:
+            # Counting positions and writing shards both read the kept examples; only kept texts are fetched.
+            uses = stage(text_uses(examples), "uses")
+            kept_uses = cap_texts(uses, max_unique)
+            kept = stage(cap_examples(examples, uses, max_unique), "kept")
+        tables.write_texts(fetch_texts(kept_uses, examples), f"{out}/texts")
+        tables.write_shards(kept, f"{out}/examples", per_shard)
+        summary = tables.build_summary(
+            spark.read.parquet(f"{out}/examples"), tables.read_texts(spark, f"{out}/texts")
+        )
+        tables.write_report(summary, f"{out}/summary")
+        return summary
 
 
 def embed_corpus(
@@ -194,24 +205,26 @@ def evaluate_model(
     evaluated unless ``limit`` says how many; the report has both numbers.
     ``digits`` rounds similarities before they are ranked.
     """
-    examples, fell_back = tables.read_shards(spark, f"{corpus}/examples", "val")
-    pairs = evaluate.keyed_by_text(
-        evaluate.sts_pairs(examples, languages, prompts), a_id="a_text", b_id="b_text"
-    )
-    chosen = evaluate.keyed_by_text(
-        evaluate.retrieval_set(examples, limit, prompts), q_id="q_text", p_id="p_text"
-    )
-    texts = evaluate.texts_to_encode(
-        (pairs, "a_id", "a_text"),
-        (pairs, "b_id", "b_text"),
-        (chosen, "q_id", "q_text"),
-        (chosen, "p_id", "p_text"),
-    )
-    vectors = stage(encode(texts, factory, half=False), "eval-vectors")
-    available = evaluate.retrieval_available(examples)
-    report = report_for(pairs, chosen, vectors, languages, model, fell_back, digits, available)
-    tables.write_report(report, out)
-    return report
+    with staged_in(spark, "evaluate"):
+        examples, fell_back = tables.read_shards(spark, f"{corpus}/examples", "val")
+        pairs = evaluate.keyed_by_text(
+            evaluate.sts_pairs(examples, languages, prompts), a_id="a_text", b_id="b_text"
+        )
+        chosen = evaluate.keyed_by_text(
+            evaluate.retrieval_set(examples, limit, prompts), q_id="q_text", p_id="p_text"
+        )
+        texts = evaluate.texts_to_encode(
+            (pairs, "a_id", "a_text"),
+            (pairs, "b_id", "b_text"),
+            (chosen, "q_id", "q_text"),
+            (chosen, "p_id", "p_text"),
+        )
+        vectors = stage(encode(texts, factory, half=False), "eval-vectors")
+        available = evaluate.retrieval_available(examples)
+        report = report_for(pairs, chosen, vectors, languages, model, fell_back, digits, available)
+        tables.write_report(report, out)
+        # Read back, as the staged vectors go with the job.
+        return spark.read.schema(report.schema).json(out)
 
 
 def report_for(

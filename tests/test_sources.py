@@ -12,6 +12,7 @@ from helpers import example, frame, random_examples, vectors
 from pairforge import constants as K
 from pairforge.operators import lookup, registry
 from pairforge.plans import jobs
+from pairforge.plans.settings import JobSettings
 from pairforge.sources import catalogue as C
 from pairforge.session import shared_dir
 from pairforge.sources import tables
@@ -351,3 +352,52 @@ def test_whole_chain(spark, folder):
     assert losses.count() == 9 and losses.filter(F.col("n_valid") <= 40).count() == 9
     out = jobs.evaluate_model(spark, f"{folder}/corpus", _encoder(), f"{folder}/eval", languages=["en"]).first()
     assert out.sts[0].n == 1 and out.retrieval.n == 0 and not out.fallback
+
+
+def test_settings_of_all_jobs_come_from_one_mapping():
+    config = {
+        "languages": {"active": ["en"]}, "tasks": {"later": ["reranking"]}, "max_length": 128,
+        "datasets": {"sts": [{"name": "a/b", "max_examples": 3}]}, "caps": {"max_unique_texts": 9, "examples_per_shard": 4},
+        "prompts": {"student": {"ret": "find: "}}, "loss": {"temperature": 0.1, "lambda_disp": 0.5},
+        "train": {"batch_size": 7, "target_embeddings_n": 20, "seed": 1, "log_every": 5}, "embed": {"batch_size": 16},
+        "eval": {"retrieval_proxy_size": 11},
+    }
+    s = JobSettings.from_config(config)
+    assert [(c.name, c.max_examples) for c in s.catalogue] == [("a/b", 3)] and s.later_tasks == ["reranking"] and s.tasks == list(K.ACTIVE_TASKS)
+    assert s.build == {"max_unique": 9, "per_shard": 4} and s.report == {"every": 5}
+    assert {k: s.embed[k] for k in ("batch_size", "max_length")} == {"batch_size": 16, "max_length": 128}
+    assert {k: s.align[k] for k in ("batch_size", "max_texts", "seed")} == {"batch_size": 7, "max_texts": 20, "seed": 1}
+    assert (s.align["settings"].temperature, s.align["settings"].lambda_disperse) == (0.1, 0.5)
+    assert s.evaluate["limit"] == 11 and s.evaluate["languages"] == ["en"] and s.evaluate["prompts"].student["ret"] == "find: "
+    empty = JobSettings.from_config({})
+    assert empty.build == {} and empty.catalogue == [] and "batch_size" not in empty.align and "limit" not in empty.evaluate
+    with pytest.raises(TypeError):
+        JobSettings.from_config([1])
+
+
+def test_jobs_take_the_settings_and_leave_nothing_staged(spark, folder):
+    source = C.Source("sts", "pairs")
+    put(spark, folder, source, [(f"s {i % 40}", f"t {i}", float(i % 6)) for i in range(150)], "sentence1 string, sentence2 string, score double")
+    s = JobSettings.from_config({"caps": {"examples_per_shard": 40}, "train": {"batch_size": 8, "target_embeddings_n": 16}, "embed": {"batch_size": 4}})
+    before = set(Path(shared_dir(spark)).iterdir())
+    out = f"{folder}/corpus"
+    assert jobs.build_corpus(spark, folder, [source], out, **s.build).first().n_examples == 150
+    jobs.embed_corpus(spark, out, f"{folder}/teacher", _encoder(), **s.embed)
+    report = jobs.evaluate_model(spark, out, _encoder(), f"{folder}/report", **s.evaluate)
+    assert report.first().retrieval.n == 0 and report.first().retrieval.available == 0
+    assert set(Path(shared_dir(spark)).iterdir()) == before
+    train, _ = tables.read_shards(spark, f"{out}/examples", "train")
+    losses = jobs.measure_alignment(train, tables.read_embeddings(spark, f"{folder}/teacher"), _encoder(), **s.align)
+    assert losses.filter("n = 16").count() == losses.count() > 0
+
+
+def test_invalid_examples_are_set_aside(spark, folder, monkeypatch):
+    rows = [example(0, i, "sts" if i % 10 else "translation", ["a", f"b{i}"], ["sentence_a", "sentence_b"]) for i in range(60)]
+    rows += [example(0, 60, "sts", [" ", "b"], ["sentence_a", "sentence_b"])]
+    monkeypatch.setattr(jobs, "load_examples", lambda *a: frame(spark, rows, ids=False))
+    with pytest.raises(Exception, match="invalid example"):
+        jobs.build_corpus(spark, folder, [], f"{folder}/c")
+    assert jobs.build_corpus(spark, folder, [], f"{folder}/c", quarantined=True).first().n_examples == 54
+    errors = {r.error: r.n for r in spark.read.json(f"{folder}/c/errors").collect()}
+    assert errors.pop("ok") == 54 and sum(errors.values()) == 7 and len(errors) == 2
+    assert sorted(r.row_ord for r in spark.read.parquet(f"{folder}/c/rejected").collect()) == [0, 10, 20, 30, 40, 50, 60]
