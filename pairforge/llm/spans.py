@@ -2,13 +2,16 @@
 
 Texts are handled as the UTF-8 bytes that Arrow holds; no Python string is made.
 Hashes of runs are differences of prefix sums modulo 2^64, so the hash of any
-run costs the same whatever its length.
+run costs the same whatever its length.  They tell apart short runs (words of up
+to ``LONG_WORD`` bytes, runs of a few hundred bytes or words); two strings made
+for it can collide from about a thousand bytes on, so longer words go to BLAKE2.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ NON_SPACE = ~WHITE
 #: Words of ASCII letters, digits and all other characters beyond ASCII.
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 128
 #: A-Z to a-z, other bytes to themselves.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -127,7 +132,12 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower:
     end[last] = flags[last]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     codes = (BYTE_CODES[LOWER] if lower else BYTE_CODES)[data]
-    return Words(starts, ends, np.searchsorted(starts, offsets), RunHash(codes, BASE).of(starts, ends))
+    hashes = RunHash(codes, BASE).of(starts, ends)
+    # A polynomial modulo a power of two fails on long strings of a certain make, whatever its base.
+    for long in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = data[starts[long] : ends[long]]
+        hashes[long] = int.from_bytes(blake2b((LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
+    return Words(starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -37,21 +37,13 @@ WINDOW = 13
 ANCHOR = 4
 
 #: A mark holds, from the low end: windows of the run, its first window in the text, bits of the context's hash
-#: (with ``context`` 48 bits, beside the 64 of the anchor), and bits of the whole text's hash.
-_COUNT_BITS, _START_BITS, _CONTEXT_BITS = 4, 28, 16
-_TAG_AT = np.uint64(_COUNT_BITS + _START_BITS + _CONTEXT_BITS)
+#: (with ``context`` 64 bits, beside the 64 of the anchor).
+_COUNT_BITS, _START_BITS, _CONTEXT_BITS = 4, 28, 32
 
-RUN_SCHEMA = "anchor long, context int, doc_id long, marks array<long>"
+#: ``own`` is a hash of the whole text: with it a row keeps its own marks where several share an id.
+RUN_SCHEMA = "anchor long, context int, doc_id long, own long, marks array<long>"
 MARKS = "array<long>"
-
-
-def _tag(text_hash: np.ndarray) -> np.ndarray:
-    return (text_hash >> _TAG_AT) << _TAG_AT
-
-
-def _text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of each whole text, in the bits of a mark that hold it."""
-    return _tag(S.RunHash(S.BYTE_CODES[data], S.BASE).of(offsets[:-1], offsets[1:]))
+ROW = ["doc_id", "own"]
 
 
 def _windows(words: S.Words) -> tuple[np.ndarray, S.RunHash]:
@@ -62,14 +54,14 @@ def _windows(words: S.Words) -> tuple[np.ndarray, S.RunHash]:
 
 
 def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each context of (doc_id, text) batches, with the marks of all its runs.
+    """One row for each context of (doc_id, text, own) batches, with the marks of all its runs.
 
     Equal contexts of one text are combined, so text that repeats itself over
     and over makes one row for each of its anchors.
     """
     for batch in batches:
         data, offsets = S.text_bytes(batch.column(1))
-        ids = np.asarray(batch.column(0))
+        ids, owns = np.asarray(batch.column(0)), np.asarray(batch.column(2))
         for a, b in S.blocks(offsets):
             part = data[offsets[a] : offsets[b]]
             at = offsets[a : b + 1] - offsets[a]
@@ -83,18 +75,16 @@ def seed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             context = hashes.of(runs.first, runs.first + runs.count + WINDOW - 1)
             more = (context >> np.uint64(32)) & np.uint64((1 << _CONTEXT_BITS) - 1)
             mark = more << np.uint64(_COUNT_BITS + _START_BITS) | start << np.uint64(_COUNT_BITS) | runs.count.astype(np.uint64)
-            mark |= _text_tags(part, at)[row]
             anchor = grams[runs.anchor]
             order, first = S.combine(row, anchor, context)
             one = order[first[:-1]]
-            columns = [anchor[one].view(np.int64), context[one].astype(np.uint32).view(np.int32), ids[a:b][row[one]]]
+            columns = [anchor[one].view(np.int64), context[one].astype(np.uint32).view(np.int32), ids[a:b][row[one]], owns[a:b][row[one]]]
             marks = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(mark[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], ["anchor", "context", "doc_id", "marks"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], ["anchor", "context", "doc_id", "own", "marks"])
 
 
-def _unpack(marks: np.ndarray, tag: np.uint64, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and window counts of the marks that belong to this text, within its ``most`` windows."""
-    own = marks[_tag(marks) == tag]
+def _unpack(own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and window counts of the marks of a text, within its ``most`` windows."""
     start = ((own >> np.uint64(_COUNT_BITS)) & np.uint64((1 << _START_BITS) - 1)).astype(np.int64)
     count = (own & np.uint64((1 << _COUNT_BITS) - 1)).astype(np.int64)
     keep = start + count <= most
@@ -109,25 +99,25 @@ def _rows(texts: pa.Array, marks: pa.Array):
     for a, b in S.blocks(offsets):
         part = data[offsets[a] : offsets[b]]
         at = offsets[a : b + 1] - offsets[a]
-        words, tags = S.find_words(part, at, S.NON_SPACE), _text_tags(part, at)
+        words = S.find_words(part, at, S.NON_SPACE)
         for i in range(a, b):
             first, last = words.rows[i - a], words.rows[i - a + 1]
             own = values[ends[i - 1] if i else 0 : ends[i]]
-            start, count = _unpack(own, tags[i - a], max(0, last - first - WINDOW + 1))
-            yield part, words, first, last, start, count, tags[i - a]
+            start, count = _unpack(own, max(0, last - first - WINDOW + 1))
+            yield part, words, first, last, start, count
 
 
 @F.arrow_udf(ArrayType(StructType().add("window", LongType()).add("mark", LongType())))
 def open_windows(texts: pa.Array, marks: pa.Array) -> pa.Array:
     """The windows of the marked runs, one by one."""
     hashes, places, sizes, known = [], [], [], (None, None)
-    for _, words, first, _, start, count, tag in _rows(texts, marks):
+    for _, words, first, _, start, count in _rows(texts, marks):
         if known[0] is not words:
             known = words, S.RunHash(words.hashes, S.WORD_BASE)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         window = np.repeat(start, count) + step
         hashes.append(known[1].of(first + window, first + window + WINDOW))
-        places.append(tag | window.astype(np.uint64) << np.uint64(_COUNT_BITS) | np.uint64(1))
+        places.append(window.astype(np.uint64) << np.uint64(_COUNT_BITS) | np.uint64(1))
         sizes.append(len(window))
     empty = [np.zeros(0, np.uint64)]
     fields = [pa.array(np.concatenate(x + empty).view(np.int64)) for x in (hashes, places)]
@@ -140,7 +130,7 @@ def open_windows(texts: pa.Array, marks: pa.Array) -> pa.Array:
 def cut_words(texts: pa.Array, marks: pa.Array) -> pa.Array:
     """Word counts, and the words that stay, joined by one space."""
     totals, removed, kept = [], [], []
-    for part, words, first, last, start, count, _ in _rows(texts, marks):
+    for part, words, first, last, start, count in _rows(texts, marks):
         n = int(last - first)
         gone = S.cover(start, start + count + WINDOW - 1, n)
         stay = first + np.flatnonzero(~gone)
@@ -159,8 +149,8 @@ def cut_words(texts: pa.Array, marks: pa.Array) -> pa.Array:
 
 
 def _by_document(marks: DataFrame) -> DataFrame:
-    """All marks of a document in one row; there are fewer than the document has words."""
-    return marks.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    """All marks of a text in one row; there are fewer than the text has words, as repeated rows have equal ones."""
+    return marks.groupBy(*ROW).agg(F.flatten(F.collect_set("marks")).alias("marks"))
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,37 +161,37 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     repeats of each other, and each is judged by its own text.  Other columns
     are not read, an empty table gives an empty result.
     """
-    docs = ids_and_texts(documents, doc_id, text)
+    docs = ids_and_texts(documents, doc_id, text).withColumn("own", F.xxhash64("text"))
     known = docs.filter("doc_id IS NOT NULL")
     runs = known.mapInArrow(seed_runs, RUN_SCHEMA)
     of_anchor = W.partitionBy("anchor")
     whole = F.struct("context", F.shiftrightunsigned(F.get("marks", F.lit(0)), _COUNT_BITS + _START_BITS).bitwiseAND((1 << _CONTEXT_BITS) - 1))
     of_context = W.partitionBy("anchor", "whole").orderBy("doc_id")
     met = stage(
-        runs.select("anchor", "doc_id", "marks", whole.alias("whole"))
+        runs.select("anchor", *ROW, "marks", whole.alias("whole"))
         .select(
-            "doc_id",
+            *ROW,
             "marks",
             (F.first("doc_id").over(of_context) < F.col("doc_id")).alias("repeat"),
             (F.min("whole").over(of_anchor) != F.max("whole").over(of_anchor)).alias("several"),
         )
         .filter("repeat OR several")
-        .select("doc_id", "marks", "repeat"),
+        .select(*ROW, "marks", "repeat"),
         "repeats",
     )
-    still_open = _by_document(met.filter("NOT repeat").select("doc_id", "marks"))
+    still_open = _by_document(met.filter("NOT repeat").select(*ROW, "marks"))
     # The texts are shuffled once for both joins; a name of its own keeps the two sides alike.
-    seeds = known.join(still_open, "doc_id").select(
-        F.col("doc_id").alias("owner"), F.explode(open_windows("text", "marks")).alias("w")
+    seeds = known.join(still_open, ROW).select(
+        F.col("doc_id").alias("owner"), "own", F.explode(open_windows("text", "marks")).alias("w")
     )
     extended = (
-        seeds.select("owner", "w.window", "w.mark")
+        seeds.select("owner", "own", "w.window", "w.mark")
         .withColumn("repeat", F.min("owner").over(W.partitionBy("window")) < F.col("owner"))
         .filter("repeat")
-        .select(F.col("owner").alias("doc_id"), F.array("mark").alias("marks"))
+        .select(F.col("owner").alias("doc_id"), "own", F.array("mark").alias("marks"))
     )
-    marks = _by_document(met.filter("repeat").select("doc_id", "marks").unionByName(extended))
-    judged = known.join(marks, "doc_id", "left").unionByName(
+    marks = _by_document(met.filter("repeat").select(*ROW, "marks").unionByName(extended))
+    judged = known.join(marks, ROW, "left").unionByName(
         docs.filter("doc_id IS NULL").withColumn("marks", F.lit(None).cast(MARKS))
     )
     return judged.select("doc_id", cut_words("text", F.coalesce("marks", F.array().cast(MARKS))).alias("c")).select(

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairforge.llm import byte_dedup, minhash_dedup, substring_dedup
+from pairforge.llm import byte_dedup, decontaminate, minhash_dedup, substring_dedup
 from pairforge.llm.components import components
 from pairforge.llm.queries import QUERIES
 from pairforge.llm.run_index import longest_matches
@@ -79,20 +79,24 @@ def test_bytes_of_the_table(spark, texts):
     assert sorted(tuple(r) for r in got.collect()) == cut_bytes([(i, t.encode()) for i, t in texts])
 
 
-def test_hot_anchors_are_split_by_windows(spark, monkeypatch):
-    """A passage of 150 bytes in all documents, some with equal surroundings: brute force with and without a split."""
-    rng = random.Random(9)
+@pytest.mark.parametrize("length", [100, 120, 150, 199])
+def test_hot_anchors_are_split(spark, monkeypatch, length):
+    """A passage in all documents, some with equal surroundings: brute force, without and with splits.
+
+    The least bounds leave single windows of what the sides have in common.
+    """
+    rng = random.Random(length)
     line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
-    passage, near = line(150), [line(70) for _ in range(4)]
+    passage, near = line(length), [line(110) for _ in range(4)]
     docs = []
     for i in range(60):
-        before = line(60) + rng.choice(near) if i % 3 == 0 else line(130)
-        after = rng.choice(near) + line(60) if i % 5 == 0 else line(130)
+        before = line(60) + rng.choice(near) if i % 3 == 0 else line(170)
+        after = rng.choice(near) + line(60) if i % 5 == 0 else line(170)
         docs.append((i, before + passage + after))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     want = cut_bytes([(i, t.encode()) for i, t in docs])
     assert sum(r[2] for r in want) > 0
-    for size in (1 << 19, 2000):
+    for size in (1 << 19, 2000, 300):
         monkeypatch.setattr(byte_dedup, "INDEX_BYTES", size)
         got = byte_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", byte_dedup.kept_digest())
         assert sorted(tuple(r) for r in got.collect()) == want
@@ -119,6 +123,53 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     assert got == {a: 0, b: 40, f"{c} {c}": 0}
 
 
+def unlike(n, seed, size=40):
+    rng = random.Random(seed)
+    return [" ".join(f"{rng.getrandbits(32):x}" for _ in range(size)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("shared", [7, None])
+def test_many_texts_of_one_id(spark, shared):
+    """15,000 different texts under one id, or without any, and 100 that stand twice: those alone are cut."""
+    alone, twice = unlike(15_000, 1), unlike(100, 2)
+    if shared is not None:
+        rows = [(1, t) for t in twice] + [(shared, t) for t in alone + twice]
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert sorted((r.doc_id, r.kept_text) for r in got.filter("n_removed > 0").collect()) == [(shared, "")] * 100
+        assert got.count() == len(rows)
+    rows = [(shared, t) for t in alone + twice + twice]
+    got = byte_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((r.n_bytes, r.n_removed) for r in got.filter("n_removed > 0").collect()) == sorted((len(t), len(t)) for t in twice + twice)
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {shared}
+
+
+def test_one_row_repeated_many_times(spark):
+    """Marks of equal rows are one set, however many rows there are."""
+    text = unlike(1, 3)[0]
+    df = spark.range(5_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(7)
+    df = df.unionByName(spark.createDataFrame([(1, text)], df.schema))
+    assert byte_dedup.remove_repeats(df).filter("n_removed = n_bytes").count() == 5_001
+    assert substring_dedup.remove_repeats(df).groupBy("doc_id", "n_removed").count().orderBy("doc_id").collect() == [(1, 0, 1), (3, 40, 5_000)]
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+def test_long_words_made_to_collide(spark):
+    """Words of 1,024 letters and their complements have one polynomial hash modulo 2^64 for any odd base."""
+    words = [[thue_morse(1024, flip) + c for c in "abcdefghijklm"] for flip in (0, 1)]
+    df = spark.createDataFrame([(i + 1, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+    groups = minhash_dedup.near_duplicates(df).orderBy("doc_id").collect()
+    assert [(r.component_id, r.n_shingles) for r in groups] == [(1, 9), (2, 9)]
+    items = spark.createDataFrame([("x", " ".join(words[0]))], "item_id string, text string")
+    found = {r.doc_id: r.found.n_hit for r in decontaminate.find_benchmark(df, items).collect()}
+    assert found == {1: 13, 2: 0}
+    upper = spark.createDataFrame([(1, " ".join(words[0]).upper())], "doc_id long, text string")
+    assert decontaminate.find_benchmark(upper, items).first().found.n_hit == 13
+
+
 def test_odd_rows_of_bytes(odd, nothing):
     got = Counter(tuple(r) for r in byte_dedup.remove_repeats(odd).select("doc_id", "n_bytes", "n_removed").collect())
     assert got[3, 0, 0] == got[4, 0, 0] == got[None, 0, 0] == 1 and got[1, 88, 0] == 2
