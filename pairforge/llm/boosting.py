@@ -93,14 +93,13 @@ def fit(names: list[str], x: np.ndarray, n: np.ndarray, positive: np.ndarray) ->
 
 
 def least_margin(margin: np.ndarray, n: np.ndarray, positive: np.ndarray, precision: float) -> float:
-    """The lowest margin from which on held-out precision is at least ``precision``; infinite if none is.
+    """The lowest margin from which on judged precision is at least ``precision``; infinite if none is.
 
-    A lower bound of the precision (two standard errors) must reach it, so few rows select nothing.
+    Half a hit is added to the hits and one to the rows, so a few rows count for
+    less than they show, but a handful of hits without a miss is enough.
     """
     order = np.argsort(-margin, kind="stable")
     total, hits, cut = np.cumsum(n[order]), np.cumsum(positive[order]), margin[order]
     last = np.append(cut[1:] != cut[:-1], True) if len(cut) else np.zeros(0, bool)
-    share = hits / np.maximum(total, 1)
-    bound = (share + 2 / np.maximum(total, 1) - 2 * np.sqrt(share * (1 - share) / np.maximum(total, 1) + 1 / np.maximum(total, 1) ** 2)) / (1 + 4 / np.maximum(total, 1))
-    good = last & (bound >= precision) & (total > 0)
+    good = last & ((hits + 0.5) / (total + 1) >= precision)
     return float(cut[good].min()) if good.any() else math.inf

@@ -39,3 +39,8 @@ def ids_and_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         key if doc_id == "doc_id" and types[doc_id] == "bigint" else key.alias("doc_id"),
         F.col(text) if text == "text" else F.col(text).alias("text"),
     )
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once; inside a lambda a column would be worked out at every step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

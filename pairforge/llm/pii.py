@@ -9,9 +9,10 @@
 3. Boosted trees learn from weak labels: digit groups with a right check digit,
    groups inside an accepted phone, keys after a word like ``token``.  What
    defines a label is no feature.
-4. On a quarter of the documents, held out by hash, each kind gets the lowest
-   threshold that reaches ``PRECISION``; candidates above it, and over no other
-   selected span, are added.
+4. Every candidate is judged by trees fitted on the other parts of the texts (by
+   hash), and each kind gets the lowest threshold from which on the judged ones
+   reach ``PRECISION``, smoothed, so that a handful of sure ones is enough in a
+   small table; candidates above it, and over no other selected span, are added.
 
 Candidates of each text are written once; they are few.  Texts are never
 shuffled.
@@ -25,10 +26,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairforge.llm import boosting
-from pairforge.llm.inputs import fresh, or_empty
+from pairforge.llm.inputs import bound, fresh, or_empty
 from pairforge.session import stage
 
 PRECISION = 0.9
+#: Parts of the texts by hash; trees that judge one are fitted on the others.
+FOLDS = 4
+#: Matches whose offsets are summed at once.
+CHUNK = 256
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("card", "phone", "secret")
 
@@ -51,19 +56,32 @@ CARD_WORD = r"(?i)(?:card|visa|account|iban|credit)\W"
 FEATURES = ["kind", "digits", "groups", "length", "letters", "left", "right", "word"]
 
 
+def _running(steps: Column) -> Column:
+    """Running sums of an array of ints.
+
+    Appending to an array in a fold copies it, so the array is summed in chunks, then
+    the chunks: the cost is that of the chunk size, not of the array's.
+    """
+    sums = lambda values: F.slice(
+        F.aggregate(values, F.array(F.lit(0)), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n))), 2, F.greatest(F.size(values), F.lit(1))
+    )
+    numbers = lambda values: F.sequence(F.lit(0), F.floor((F.size(values) - 1) / F.lit(CHUNK)).cast("int"))
+    inside = lambda values: F.transform(numbers(values), lambda c: sums(F.slice(values, c * CHUNK + 1, F.lit(CHUNK))))
+    before = lambda parts: sums(F.concat(F.array(F.lit(0)), F.transform(parts, lambda ends: F.element_at(ends, -1))))
+    joined = lambda parts: F.flatten(
+        F.zip_with(parts, F.slice(before(parts), 1, F.size(parts)), lambda ends, n: F.transform(ends, lambda e: e + n))
+    )
+    return bound(steps, lambda values: F.when(F.size(values) <= CHUNK, sums(values)).otherwise(bound(inside(values), joined)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, value), code points, end exclusive."""
     # Pieces between matches and the matches themselves alternate; their running lengths are the offsets.
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.split(text, pattern, -1), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("n")))
-    ends = F.aggregate(
-        F.slice(steps, 1, F.size(found)),
-        F.array(F.lit(0)),
-        lambda ends, s: F.concat(ends, F.array(F.element_at(ends, -1) + s.gap + s.n)),
-    )
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, hit: F.length(gap) + F.length(hit))
     out = F.zip_with(
         found,
-        F.slice(ends, 2, F.size(found)),
+        _running(steps),
         lambda hit, end: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("value")),
     )
     empty = F.array().cast("array<struct<start: int, end: int, value: string>>")
@@ -156,24 +174,29 @@ def propose(documents: DataFrame, text: str, spans: str, candidates: str) -> Dat
     return found.withColumn(candidates, F.concat(*groups)).drop(digits)
 
 
-def fit(proposed: DataFrame, candidates: str, held_out: Column, precision: float = PRECISION) -> tuple[boosting.Trees, list[float]]:
+def fit(proposed: DataFrame, candidates: str, fold: Column, precision: float = PRECISION) -> tuple[boosting.Trees, list[float]]:
     """Trees and the threshold of each added kind; only cell counts reach the driver."""
     cells = (
-        proposed.select(F.explode(candidates).alias("c"), held_out.cast("int").alias("held"))
-        .groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
+        proposed.select(F.explode(candidates).alias("c"), fold.cast("int").alias("fold"))
+        .groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
         .agg(F.count(F.lit(1)).alias("n"), F.sum("c.label").alias("positive"))
         .collect()
     )
-    table = np.array([[r["held"], *[r[f] for f in FEATURES], r["n"], r["positive"]] for r in cells], np.int64)
+    table = np.array([[r["fold"], *[r[f] for f in FEATURES], r["n"], r["positive"]] for r in cells], np.int64)
     table = table.reshape(-1, len(FEATURES) + 3)
-    learn, judge = table[table[:, 0] == 0], table[table[:, 0] == 1]
-    model = boosting.fit(FEATURES, learn[:, 1:-2], learn[:, -2], learn[:, -1])
-    margin = model.margin(judge[:, 1:-2])
+    # Sums of gradients depend on the order of the cells in their last digits.
+    table = table[np.lexsort(table.T[::-1])]
+    fitted = lambda rows: boosting.fit(FEATURES, rows[:, 1:-2], rows[:, -2], rows[:, -1])
+    margin = np.zeros(len(table))
+    for part in range(FOLDS):
+        own = table[:, 0] == part
+        if own.any():
+            margin[own] = fitted(table[~own]).margin(table[own, 1:-2])
     least = []
     for kind in range(len(ADDED_KINDS)):
-        own = judge[:, 1] == kind
-        least.append(boosting.least_margin(margin[own], judge[own, -2], judge[own, -1], precision))
-    return model, least
+        own = table[:, 1] == kind
+        least.append(boosting.least_margin(margin[own], table[own, -2], table[own, -1], precision))
+    return fitted(table), least
 
 
 def _named(kind: str, spans: Column) -> Column:
@@ -184,9 +207,9 @@ def _of_kind(spans: Column, code: int) -> Column:
     return F.filter(spans, lambda x: x.kind == code)
 
 
-def _chosen(proposed: DataFrame, candidates: str, model: boosting.Trees, least: list[float]) -> DataFrame:
-    """Add ``spans``: those of ``base`` and the selected candidates."""
-    base_all = F.concat(*[F.col(f"base.{k}") for k in BASE_KINDS])
+def _chosen(proposed: DataFrame, base: str, candidates: str, out: str, model: boosting.Trees, least: list[float]) -> DataFrame:
+    """Add ``out``: the spans of ``base`` and the selected candidates."""
+    base_all = F.concat(*[F.col(f"{base}.{k}") for k in BASE_KINDS])
     # Margins are worked out inside the array; a candidate over a base span or an earlier better one gives way.
     scored = F.transform(
         candidates,
@@ -206,20 +229,20 @@ def _chosen(proposed: DataFrame, candidates: str, model: boosting.Trees, least:
         F.array().cast("array<struct<kind: int, start: int, end: int, margin: double>>"),
         lambda kept, x: F.when((F.size(kept) == 0) | (F.element_at(kept, -1).end <= x.start), F.concat(kept, F.array(x))).otherwise(kept),
     )
-    added = F.col("_added")
+    added = fresh(proposed, "_added")
     by_kind = []
     for kind in dict.fromkeys((*BASE_KINDS, *ADDED_KINDS)):
-        parts = [_named(kind, F.col(f"base.{kind}"))] if kind in BASE_KINDS else []
+        parts = [_named(kind, F.col(f"{base}.{kind}"))] if kind in BASE_KINDS else []
         if kind in ADDED_KINDS:
             code = ADDED_KINDS.index(kind)
-            parts.append(_named(kind, _of_kind(added, code)))
+            parts.append(_named(kind, _of_kind(F.col(added), code)))
         by_kind.append(F.array_sort(F.concat(*parts)))
-    return proposed.withColumn("_added", apart).withColumn("spans", F.concat(*by_kind)).drop("_added")
+    return proposed.withColumn(added, apart).withColumn(out, F.concat(*by_kind)).drop(added)
 
 
-def _in_test(text: str) -> Column:
-    """The quarter of the texts on which thresholds are set."""
-    return F.pmod(F.xxhash64(text), F.lit(4)) == 3
+def _fold(text: str) -> Column:
+    """The part that a text belongs to."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS))
 
 
 def redact(documents: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
@@ -228,9 +251,10 @@ def redact(documents: DataFrame, text: str = "text", precision: float = PRECISIO
     A null text stays null.  All columns are kept.  Nothing is shuffled; the
     generators run once for fitting and once for replacing.
     """
-    proposed = propose(documents, text, "base", "_candidates")
-    model, least = fit(proposed, "_candidates", _in_test(text), precision)
-    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    base, candidates, found = (fresh(documents, name) for name in ("_base", "_candidates", "_spans"))
+    proposed = propose(documents, text, base, candidates)
+    model, least = fit(proposed, candidates, _fold(text), precision)
+    spans = F.array_sort(F.transform(found, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
     whole = F.col(text)
     step = lambda acc, s: F.struct(
         F.greatest(acc.at, s.end).alias("at"),
@@ -240,8 +264,8 @@ def redact(documents: DataFrame, text: str = "text", precision: float = PRECISIO
     )
     done = lambda acc: F.concat(acc.out, F.substring(whole, acc.at + 1, F.length(whole) - acc.at))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.size("spans") > 0, F.aggregate(spans, start, step, done)).otherwise(whole)
-    return _chosen(proposed, "_candidates", model, least).withColumn(text, clean).select(documents.columns)
+    clean = F.when(F.size(found) > 0, F.aggregate(spans, start, step, done)).otherwise(whole)
+    return _chosen(proposed, base, candidates, found, model, least).withColumn(text, clean).select(documents.columns)
 
 
 def find_personal_data(documents: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
@@ -251,10 +275,11 @@ def find_personal_data(documents: DataFrame, text: str = "text", precision: floa
     of those names are replaced, others are kept; the rows are written once to
     the shared folder without ``text``.  In an empty table nothing is learned.
     """
-    plain = documents.withColumn("_held", _in_test(text))
-    proposed = stage(propose(plain, text, "base", "_candidates").drop(text), "candidates")
-    model, least = fit(proposed, "_candidates", F.col("_held"), precision)
-    return _chosen(proposed, "_candidates", model, least).drop("_candidates", "_held")
+    fold, candidates = fresh(documents, "_fold"), fresh(documents, "_candidates")
+    plain = documents.withColumn(fold, _fold(text))
+    proposed = stage(propose(plain, text, "base", candidates).drop(text), "candidates")
+    model, least = fit(proposed, candidates, F.col(fold), precision)
+    return _chosen(proposed, "base", candidates, "spans", model, least).drop(candidates, fold)
 
 
 def _join(spans: Column) -> Column:
