@@ -19,6 +19,7 @@ from pairforge.sources.catalogue import union_examples
 
 MISSING_LABEL = 9
 CONVERSATIONS = 1 << 14  # of one bucket when turns are numbered
+TURNS = 16  # of a part of a conversation
 
 # Declared, so that opening a table runs no schema-inference job.
 SCHEMAS = {
@@ -57,24 +58,28 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pairs = asked.join(replied.hint("merge"), ["conv_id", "turn"])
     block = [F.floor(F.col("conv_id") / F.lit(CONVERSATIONS))]
-    return dense_position(pairs, block, ["conv_id", "turn"], out="row_ord").select("conv_id", "row_ord", "query", "answer")
+    placed = dense_position(pairs, block, ["conv_id", "turn"], out="row_ord")
+    return placed.select("conv_id", "row_ord", "query", "answer", F.floor(F.col("turn") / F.lit(TURNS)).alias("part"))
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with a list of negatives: the replies of the next conversation."""
+    """Turns with a list of negatives: the replies of the next conversation in the same part of ``TURNS`` turns.
+
+    A part bounds the list and its copies, however long a conversation is.
+    """
     conv = table(spark, sf_dir, "conversations")
     replies = (
         conv.filter(F.col("role") == "assistant")
-        .groupBy((F.col("conv_id") - 1).alias("conv_id"))
+        .groupBy((F.col("conv_id") - 1).alias("conv_id"), F.floor(F.col("turn") / F.lit(TURNS)).alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_r"))
-        .select("conv_id", F.transform("_r", lambda r: r["text"]).alias("_replies"))
+        .select("conv_id", "part", F.transform("_r", lambda r: r["text"]).alias("_replies"))
     )
     none = F.array().cast("array<string>")
     blank = F.when(F.col("conv_id") % 3 == 0, F.array(F.lit(""))).otherwise(none)
     negatives = F.concat(blank, F.coalesce("_replies", none))
     return (
         turns(spark, sf_dir)
-        .join(replies, "conv_id", "left")
+        .join(replies, ["conv_id", "part"], "left")
         .select("conv_id", "row_ord", "query", F.col("answer").alias("positive"), negatives.alias("negative"))
     )
 

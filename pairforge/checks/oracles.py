@@ -60,17 +60,17 @@ CTES: dict[str, str] = {
         FROM documents d1 JOIN documents d2 ON d2.doc_id = d1.doc_id + 1
         LEFT JOIN labels l ON l.doc_id = d1.doc_id""",
     "fx_turns": """
-        SELECT a.conv_id, row_number() OVER (ORDER BY a.conv_id, a.turn) - 1 AS row_ord, a.text AS query, b.text AS answer
+        SELECT a.conv_id, a.turn // 16 AS part, row_number() OVER (ORDER BY a.conv_id, a.turn) - 1 AS row_ord, a.text AS query, b.text AS answer
         FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
         WHERE a.role = 'user' AND b.role = 'assistant'""",
     "fx_replies": """
-        SELECT conv_id - 1 AS conv_id, list(text ORDER BY turn) AS replies
-        FROM conversations WHERE role = 'assistant' GROUP BY 1""",
+        SELECT conv_id - 1 AS conv_id, turn // 16 AS part, list(text ORDER BY turn) AS replies
+        FROM conversations WHERE role = 'assistant' GROUP BY 1, 2""",
     "fx_triples": f"""
         SELECT t.conv_id, row_ord, query, answer AS positive,
                list_concat(CASE WHEN t.conv_id % 3 = 0 THEN [''] ELSE {EMPTY} END,
                            coalesce(replies, {EMPTY})) AS negative
-        FROM fx_turns t LEFT JOIN fx_replies r ON r.conv_id = t.conv_id""",
+        FROM fx_turns t LEFT JOIN fx_replies r ON r.conv_id = t.conv_id AND r.part = t.part""",
     "fx_bitext": """
         SELECT e.k AS row_ord, e.text AS en, f.text AS fr
         FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents WHERE lang = 'en') e
