@@ -15,7 +15,7 @@ splitter and merges with an end-of-word mark, and decodes to its token texts
 joined by one space.  Strings of special tokens in a text are those tokens.
 
 Distinct words are few beside words, so each task keeps what it has encoded in
-a table of at most ``CACHE_WORDS`` words.
+a table of at most ``CACHE_BYTES``.
 """
 
 from __future__ import annotations
@@ -36,8 +36,11 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from pairforge.llm.inputs import fresh
 
-#: Words that a task remembers; the table is emptied when it is full.
-CACHE_WORDS = 150_000
+#: Bytes of the words, with their ids, that a task remembers (about 130 more for each as an entry), and pairs of
+#: tokens; a table is emptied when it is full.
+CACHE_BYTES, ENTRY, CACHE_PAIRS = 36 << 20, 180, 150_000
+#: Bits of a token number in the number of a pair.
+PAIR_BITS, NONE = 26, -1
 #: Ids that are decoded at once.
 DECODE_BLOCK = 1 << 16
 #: Rows of a batch that are worked on at once, which bounds what a task holds beside its results.
@@ -79,27 +82,24 @@ class Vocabulary:
         symbols: dict[str, str] = {}
         for byte, letter in letters.items():
             symbols[letter], symbols[letter + mark] = chr(byte), chr(256 + byte)
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.born = {ids[s]: -1 for s in symbols if s in ids}
-        self.joined: dict[tuple[int, int], int] = {}
+        # Tables by token number; NONE where there is nothing.
+        self.left, self.right, self.born, self.length, self.shorter = ([NONE] * (max(ids.values()) + 1) for _ in range(5))
+        #: Rank of the rule for a pair of tokens, under the number of the pair.
+        self.joined: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             symbols[a + b] = symbols[a] + symbols[b]
             whole = ids[a + b]
             self.left[whole], self.right[whole], self.born[whole] = ids[a], ids[b], rank
-            self.joined[ids[a], ids[b]] = rank
+            self.joined[ids[a] << PAIR_BITS | ids[b]] = rank
         by_symbols = {s: ids[t] for t, s in symbols.items() if t in ids}
-        self.length = {i: len(s) for s, i in by_symbols.items()}
-        self.shorter = {
-            i: next((by_symbols[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_symbols), None)
-            for s, i in by_symbols.items()
-        }
         self.automaton = ahocorasick.Automaton()
         for s, i in by_symbols.items():
+            self.length[i] = len(s)
+            self.shorter[i] = next((by_symbols[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_symbols), NONE)
             self.automaton.add_word(s, i)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         texts = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         parts = [(" " + texts.get(i, "")).encode() for i in range(max(texts) + 1)]
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
@@ -108,11 +108,12 @@ class Vocabulary:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether ``a`` and ``b`` may stand side by side."""
-        known = self.compatible.get((a, b))
+        pair = a << PAIR_BITS | b
+        known = self.compatible.get(pair)
         if known is None:
-            if len(self.compatible) >= CACHE_WORDS:
+            if len(self.compatible) >= CACHE_PAIRS:
                 self.compatible.clear()
-            known = self.compatible[a, b] = self._fits(a, b)
+            known = self.compatible[pair] = self._fits(a, b)
         return known
 
     def _fits(self, x: int, y: int) -> bool:
@@ -120,7 +121,7 @@ class Vocabulary:
         # rank x_ends or y_ends takes them in.  The leftmost of equal rules goes first.
         x_ends = y_ends = NEVER
         while True:
-            rank = self.joined.get((x, y))
+            rank = self.joined.get(x << PAIR_BITS | y)
             if rank is not None and rank < x_ends and rank <= y_ends:
                 return False
             if self.born[x] < 0 and self.born[y] < 0:
@@ -138,7 +139,7 @@ class Vocabulary:
             if start not in longest or length[longest[start]] < length[token]:
                 longest[start] = token
         closed, tokens, at = set(), [], 0
-        token: int | None = longest[0]
+        token = longest[0]
         while True:
             end = at + length[token]
             if end not in closed and (not tokens or self.fits(tokens[-1], token)):
@@ -149,7 +150,7 @@ class Vocabulary:
                 token = longest[at]
                 continue
             token = self.shorter[token]
-            while token is None:
+            while token == NONE:
                 closed.add(at)
                 last = tokens.pop()
                 at -= length[last]
@@ -193,14 +194,20 @@ class _Words(dict):
     """Word to packed ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.bytes = vocabulary, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if self.bytes >= CACHE_BYTES:
             self.clear()
+            self.bytes = 0
         raw = word.encode("utf-8", "surrogatepass")
         symbols = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
-        self[word] = packed = np.asarray(self.vocabulary.encode_symbols(symbols), np.int32).tobytes()
+        packed = np.asarray(self.vocabulary.encode_symbols(symbols), np.int32).tobytes()
+        size = len(raw) + len(packed) + ENTRY
+        # A word that would take a good part of the table is not worth its place.
+        if size < CACHE_BYTES >> 6:
+            self[word] = packed
+            self.bytes += size
         return packed
 
 
@@ -216,37 +223,50 @@ class Bpe:
         with open(path, encoding="utf-8") as file:
             shared: Broadcast[str] = spark.sparkContext.broadcast(file.read())
 
-        def encode(texts: pa.Array) -> pa.Array:
+        def ids_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """Number of ids of each text, and all ids."""
             vocabulary = _vocabulary(shared.value)
             packed = [b"" if t is None else vocabulary.encode(t) for t in _values(texts)]
-            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-            return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            return np.asarray([len(p) // 4 for p in packed], np.int64), np.frombuffer(b"".join(packed), np.int32)
 
-        def decode(rows: pa.Array) -> pa.Array:
-            vocabulary = _vocabulary(shared.value)
-            counts = np.asarray(rows.value_lengths().fill_null(0), dtype=np.int64)
-            ids = np.asarray(rows.flatten(), dtype=np.int64)
+        def text_of(counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+            """Bytes of each row's text, and all texts."""
             ends = np.cumsum(counts)
             first = np.zeros(len(ids), np.int64)
             first[(ends - counts)[counts > 0]] = 1
-            out, sizes = vocabulary.decode(ids, first)
-            before = np.concatenate([[0], np.cumsum(sizes)])
-            offsets = np.concatenate([[0], before[ends]]).astype(np.int32)
-            return pa.StringArray.from_buffers(len(rows), pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(out)))
-
-        def both(texts: pa.Array) -> pa.Array:
-            ids = encode(texts)
-            return pa.StructArray.from_arrays([ids, decode(ids)], ["ids", "decoded"])
+            out, sizes = _vocabulary(shared.value).decode(ids, first)
+            before = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
+            return np.diff(before), out
 
-        def in_parts(work):
-            def run(rows: pa.Array) -> pa.Array:
-                return pa.concat_arrays([work(rows.slice(at, ROWS)) for at in range(0, max(len(rows), 1), ROWS)])
+        # Results of a batch grow in one buffer each, which Arrow then takes as it is.
+        def encode(texts: pa.Array) -> pa.Array:
+            ids = _Growing()
+            for part in _parts(texts):
+                counts, found = ids_of(part)
+                ids.add(counts, found.tobytes())
+            return ids.lists()
 
-            return run
+        def decode(rows: pa.Array) -> pa.Array:
+            text = _Growing()
+            for part in _parts(rows):
+                counts = np.asarray(part.value_lengths().fill_null(0), np.int64)
+                sizes, out = text_of(counts, np.asarray(part.flatten(), np.int64))
+                text.add(sizes, *out)
+            return text.strings()
 
-        self._encode = F.arrow_udf(in_parts(encode), ArrayType(IntegerType()))
-        self._decode = F.arrow_udf(in_parts(decode), StringType())
-        self._both = F.arrow_udf(in_parts(both), "ids array<int>, decoded string")
+        def both(texts: pa.Array) -> pa.Array:
+            ids, text = _Growing(), _Growing()
+            for part in _parts(texts):
+                counts, found = ids_of(part)
+                ids.add(counts, found.tobytes())
+                sizes, out = text_of(counts, found.astype(np.int64))
+                text.add(sizes, *out)
+            pa.default_memory_pool().release_unused()
+            return pa.StructArray.from_arrays([ids.lists(), text.strings()], ["ids", "decoded"])
+
+        self._encode = F.arrow_udf(encode, ArrayType(IntegerType()))
+        self._decode = F.arrow_udf(decode, StringType())
+        self._both = F.arrow_udf(both, "ids array<int>, decoded string")
 
     def ids(self, text: str | Column) -> Column:
         """``array<int>``; null counts as empty text and gives an empty array."""
@@ -261,6 +281,33 @@ class Bpe:
         return self._both(text)
 
 
+class _Growing:
+    """Rows of variable size that are put one after another."""
+
+    def __init__(self):
+        self.sizes, self.data = [np.zeros(0, np.int64)], bytearray()
+
+    def add(self, sizes: np.ndarray, *data: bytes) -> None:
+        self.sizes.append(sizes)
+        for part in data:
+            self.data += part
+
+    def _offsets(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))]).astype(np.int32)
+
+    def lists(self) -> pa.Array:
+        values = pa.Array.from_buffers(pa.int32(), len(self.data) // 4, [None, pa.py_buffer(self.data)])
+        return pa.ListArray.from_arrays(pa.array(self._offsets()), values)
+
+    def strings(self) -> pa.Array:
+        offsets = self._offsets()
+        return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(self.data))
+
+
+def _parts(rows: pa.Array):
+    return (rows.slice(at, ROWS) for at in range(0, len(rows), ROWS))
+
+
 def _values(texts: pa.Array):
     """The texts one by one, so that only one of them is a Python string at a time."""
     return (t.as_py() for t in texts)
