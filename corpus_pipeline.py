@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairforge.llm import bpe, decontaminate, langid, minhash_dedup, pii
-from pairforge.llm.inputs import VOCABULARY, table
+from pairforge.llm.inputs import VOCABULARY, fresh, table
 from pairforge.session import stage
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter (language ``und``); others keep all their columns as they are."""
-    labelled = docs.withColumn("_held", langid.held_out("doc_id"))
-    model = langid.fit(labelled.filter("NOT _held"))
-    found = langid.predict(docs, model, out="_lang", score="_score")
-    return found.filter(F.col("_lang") != langid.UNKNOWN).select(docs.columns)
+    """Drop documents without a letter (language ``und``); where ``lang`` is missing it becomes the predicted one."""
+    held, lang, score = (fresh(docs, name) for name in ("_held", "_lang", "_score"))
+    model = langid.fit(docs.withColumn(held, langid.held_out("doc_id")).filter(~F.col(held)))
+    found = langid.predict(docs, model, out=lang, score=score)
+    # None or one for each row; a filter would be pushed down with a second prediction of its own.
+    known = F.explode(F.filter(F.array(lang), lambda x: x != langid.UNKNOWN))
+    told = found.select(*docs.columns, known.alias(lang))
+    return told.withColumn("lang", F.coalesce("lang", lang)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
-    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), out="_found")
-    return found.filter(F.col("_found").n_hit == 0).select(docs.columns)
+    out = fresh(docs, "_found")
+    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), out=out)
+    return found.filter(F.col(out).n_hit == 0).select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
