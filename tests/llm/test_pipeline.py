@@ -44,3 +44,16 @@ def test_odd_rows(spark, odd):
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, docs.limit(0), SF).count() == 0
         assert step(spark, docs, SF).columns
+
+
+def test_a_missing_language_is_filled_and_clashing_columns_stay(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    blind = docs.withColumn("lang", F.when(F.col("doc_id") % 10 != 0, F.col("lang")))
+    wide = blind.withColumns({"_lang": F.lit(1), "_held": F.lit("h"), "_score": F.lit(2), "_found": F.lit(3)})
+    got = corpus_pipeline.language(spark, wide, SF)
+    assert got.columns == wide.columns and {tuple(r) for r in got.select("_lang", "_held", "_score", "_found").distinct().collect()} == {(1, "h", 2, 3)}
+    told = got.join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id").filter(F.col("doc_id") % 10 == 0)
+    n, right, missing = told.agg(F.count("*"), F.sum((F.col("lang") == F.col("true")).cast("int")), F.sum(F.col("lang").isNull().cast("int"))).first()
+    assert n > 80 and right >= 0.95 * n and missing == 0
+    assert corpus_pipeline.decontaminated(spark, wide, "/root/testdata/sf0.01").columns == wide.columns
+    assert corpus_pipeline.redacted(spark, wide, SF).columns == wide.columns
