@@ -5,15 +5,18 @@ tokens with the largest sum (one linear scan) is the content region: text that
 tags hardly interrupt outweighs menus, which are all tags.
 
 Weights come from labelled pages: pages that mark their main text themselves
-with ``article`` or ``main`` say for every tag and for words of each kind of
-surrounding how often they stand inside.  A weight is the logarithm of those
-odds.  Where no page is labelled the fixed ``DEFAULT_WEIGHTS`` serve.
-
-Inside the region, and only there, parts that are no main text are left out by
-their element or by the words of their class, id or role (``SKIP_TAGS``,
-``SKIP_NAMES``): menus, headers, footers, sidebars, notices, adverts, forms,
-comments.  Hidden parts, scripts, styles and markup never are text.  A page that marks
-one ``article`` or ``main`` element bounds the region with it.
+with ``article`` or ``main`` say how often every tag stands inside, which weighs
+the tag, and how many words stand inside below every kind of element (``nav`` and
+the like, words of class and id, role), which weighs the words there: below an
+element whose words are mostly no main text they score nothing and are left out of
+the region as well.  A weight is the logarithm of odds.  The marks
+are labels for fitting only; a page's text is found without them, marked or not.
+
+What labelled pages hardly show is judged as pages usually are built
+(``USUALLY_APART``): menus, headers, footers, sidebars, notices, adverts, forms,
+comments.  For adverts and the like (``NEVER_MAIN``) no label counts: they stand
+in articles, too, but are not of them.  Scripts, styles, hidden parts and markup
+never are text.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Pages that weights are learned from, in expectation; picked by a hash of the page.
-SAMPLE_PAGES = 2000
-#: Occurrences that a tag needs for a weight of its own.
+#: Pages that weights are learned from, in expectation; picked by a hash of the page.  Tags and kinds that a model keeps.
+SAMPLE_PAGES, MOST_KINDS = 2000, 4000
+#: Occurrences that a tag needs for a weight of its own, and words that a kind of element needs.
 LEAST_SEEN = 50
 WORD = "#word"
 DEFAULT_WEIGHTS = {WORD: 1.0, "": -3.0, "p": -0.5, "br": -0.5, "b": -0.2, "i": -0.2, "em": -0.2, "strong": -0.2, "a": -4.0, "li": -3.0}
+#: Below this weight of a kind of element its words are no main text; what unseen usual kinds weigh; words that count against them.
+APART, UNSEEN, DOUBT = -1.0, -4.0, 20
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,18 +52,19 @@ SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("t
 FENCES = frozenset("ul ol menu dl table article section div aside main body nav footer header form".split())
 FORMATTING = frozenset("a b big code em font i s small strike strong tt u span".split())
 
-SKIP_TAGS = frozenset(
-    "nav header footer aside form script style noscript template head button select input textarea iframe svg object dialog "
-    "title canvas audio video menu noembed noframes datalist".split()
+NO_TEXT = frozenset(
+    "script style noscript template head select input textarea iframe svg object title canvas audio video noembed noframes "
+    "datalist button".split()
 )
-SKIP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
-    r"widget|related|recommend\w*|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|share|sharing|social|comments?|disqus|replies|reply|respond|toc|pager|pagination|skip|search|toolbar|legal)"
-    r"(?=$|[\s_-])",
-    re.I,
+APART_TAGS = frozenset("nav header footer aside form dialog menu".split())
+APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
+NEVER_MAIN = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|related|recommend\w*|"
+    r"cookies?|consent|gdpr|popup|modal|newsletter|subscribe|sharing|social|comments?|disqus|replies"
+)
+USUALLY_APART = re.compile(
+    r"side|widget|footer|header|masthead|notice|overlay|signup|login|share|reply|respond|toc|pager|pagination|skip|search|toolbar|legal"
 )
-SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: A quote after an equals sign runs to its partner or to the end; other quotes mean nothing. Every "<" plus letter is a tag.
@@ -69,6 +75,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=\"'>/]+)", re.S)
 _SPACE = re.compile(r"\s+")
+_NAME_END = re.compile(r"[\s_-]+")
 _MAIN = frozenset(("article", "main"))
 
 
@@ -76,44 +83,67 @@ def _attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[3]).lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(text)}
 
 
-def _skips(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in SKIP_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if attributes.get("role", "").lower() in SKIP_ROLES or HIDDEN.search(attributes.get("style", "")):
-        return True
-    if tag in ("html", "body", *_MAIN):
-        return False
-    return any(SKIP_NAMES.search(attributes.get(k, "")) for k in ("class", "id"))
+def _kinds(tag: str, attributes: dict[str, str]) -> tuple[str, ...]:
+    """The kinds of an element: its tag where that stands for a part of a page, the words of its class and id, its role.
+
+    ``article`` and ``main`` are labels; other tags hold whatever there is.
+    """
+    kinds = [f"tag {tag}"] if tag in APART_TAGS else []
+    words = _NAME_END.split(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+    kinds += [f"name {w}" for w in dict.fromkeys(words) if w]
+    if role := attributes.get("role", "").strip().lower():
+        kinds.append(f"role {role}")
+    return tuple(kinds)
+
+
+def _usual(kind: str) -> str | None:
+    """``never`` or ``apart`` for kinds of elements that usually hold no main text."""
+    what, _, word = kind.partition(" ")
+    if what == "name":
+        return "never" if NEVER_MAIN.fullmatch(word) else "apart" if USUALLY_APART.fullmatch(word) else None
+    return "apart" if word in (APART_TAGS if what == "tag" else APART_ROLES) else None
+
 
+def _invisible(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in NO_TEXT or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, skipped, main): kind ``tag`` with its name, ``text`` with its text, ``end`` with its name.
 
-    ``skipped``: inside a part that is no main text; ``main``: inside ``article`` or ``main``.
+def _weight_of(kind: str, weights: dict[str, float]) -> float:
+    usual = _usual(kind)
+    return UNSEEN if usual == "never" else weights.get(kind, UNSEEN if usual else 0.0)
+
+
+def tokens(page: str, weights: dict[str, float]) -> Iterator[tuple[str, str, float, bool, list]]:
+    """(kind, value, weight, main, open): kind ``tag`` with its name, ``text`` with its text, ``end`` with its name.
+
+    ``weight``: the least one of the elements around it, minus infinity where nothing
+    is text; ``main``: inside ``article`` or ``main``; ``open``: the kinds of the open
+    elements, as the list stands at that moment.
     """
-    stack: list[tuple[str, bool]] = []
-    skipping = inside = 0
+    stack: list[tuple[str, tuple[str, ...], float]] = []
+    known: dict[tuple[str, str], tuple[tuple[str, ...], float]] = {}
+    low, inside = 0.0, 0
     at, size = 0, len(page)
 
-    def pop(n: int) -> Iterator[tuple[str, str, bool, bool]]:
-        nonlocal skipping, inside
+    def pop(n: int) -> Iterator[tuple[str, str, float, bool, list]]:
+        nonlocal low, inside
         while len(stack) > n:
-            name, skip = stack.pop()
-            yield "end", name, skipping > 0, inside > 0
-            skipping -= skip
+            yield "end", stack[-1][0], low, inside > 0, stack
+            name, _, _ = stack.pop()
+            low = stack[-1][2] if stack else 0.0
             inside -= name in _MAIN
 
     while at < size:
         m = _TOKEN.search(page, at)
         start = m.start() if m else size
         if start > at:
-            yield "text", html.unescape(page[at:start]), skipping > 0, inside > 0
+            yield "text", html.unescape(page[at:start]), low, inside > 0, stack
         if not m:
             break
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                yield "text", m[0][9:].removesuffix("]]>"), skipping > 0, inside > 0
+                yield "text", m[0][9:].removesuffix("]]>"), low, inside > 0, stack
             continue
         tag = m[2].lower()
         if m[1]:
@@ -121,7 +151,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             if depth is not None and not (tag in FORMATTING and any(s[0] in FENCES for s in stack[depth:])):
                 yield from pop(depth)
             elif tag in BLOCKS:
-                yield "end", tag, skipping > 0, inside > 0
+                yield "end", tag, low, inside > 0, stack
             continue
         if tag in CLOSES_P:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", *FENCES)), None)
@@ -131,18 +161,22 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in SELF_CLOSING[tag] or stack[i][0] in FENCES), None)
             if depth is not None and stack[depth][0] in SELF_CLOSING[tag]:
                 yield from pop(depth)
-        skip = _skips(tag, _attributes(m[3])) if m[3].strip() or tag in SKIP_TAGS else False
-        skipping += skip
+        if (tag, m[3]) not in known:
+            attributes = _attributes(m[3]) if m[3].strip() else {}
+            kinds = _kinds(tag, attributes)
+            known[tag, m[3]] = kinds, -math.inf if _invisible(tag, attributes) else min((_weight_of(k, weights) for k in kinds), default=0.0)
+        kinds, weight = known[tag, m[3]]
+        before, low = low, min(low, weight)
         inside += tag in _MAIN
-        yield "tag", tag, skipping > 0, inside > 0
+        yield "tag", tag, low, inside > 0, stack
         if tag in RAW:
             close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             at = close.end() if close else size
         if tag in VOID or tag in RAW:
-            skipping -= skip
+            low = before
             inside -= tag in _MAIN
         else:
-            stack.append((tag, skip))
+            stack.append((tag, kinds, low))
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -160,24 +194,22 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """Main text of one page, blocks joined by a line feed; empty for null and for pages without text."""
-    parts = list(tokens(page or ""))
+    parts = [(kind, value, low) for kind, value, low, _, _ in tokens(page or "", weights)]
     other = weights.get("", DEFAULT_WEIGHTS[""])
-    marked = any(kind == "text" and main and not skipped and not value.isspace() for kind, value, skipped, main in parts)
     scores = []
-    for kind, value, skipped, main in parts:
-        if kind == "text":
-            words = len(value.split())
-            # Text outside the marked region or in a skipped part cannot be main text.
-            scores.append(words * weights[WORD] if not skipped and (main or not marked) else -words * weights[WORD] * (not skipped))
-        elif kind == "tag":
-            scores.append(0.0 if skipped or (marked and main) else weights.get(value, other))
-        else:
+    for kind, value, low in parts:
+        # A part that is left out, an advert between two paragraphs, say, does not end the run either.
+        if low < APART or kind == "end":
             scores.append(0.0)
-    low, high = best_run(scores)
+        elif kind == "text":
+            scores.append(len(value.split()) * weights[WORD])
+        else:
+            scores.append(weights.get(value, other))
+    first, last = best_run(scores)
     blocks: list[list[str]] = [[]]
-    for kind, value, skipped, main in parts[low:high]:
+    for kind, value, low in parts[first:last]:
         if kind == "text":
-            if not skipped and (main or not marked):
+            if low >= APART:
                 blocks[-1].append(value)
         elif value in BLOCKS:
             blocks.append([])
@@ -186,18 +218,25 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pages that mark their main text: how often tags and words stand inside and outside of it."""
+    """Of pages that mark their main text: how often tags, and words below kinds of elements, stand inside and outside of it."""
     counts: Counter = Counter()
     for batch in batches:
         for page in batch.column(0):
-            parts = list(tokens(page.as_py() or ""))
-            if any(main for *_, main in parts):
-                for kind, value, skipped, main in parts:
-                    good = main and not skipped
-                    if kind == "text":
-                        counts[WORD, good] += len(value.split())
-                    elif kind == "tag":
-                        counts[value, good] += 1
+            own: Counter = Counter()
+            marked = False
+            for kind, value, low, main, around in tokens(page.as_py() or "", {}):
+                marked = marked or main
+                if low == -math.inf:
+                    continue
+                if kind == "text":
+                    n = len(value.split())
+                    own[WORD, main] += n
+                    for k in {k for _, kinds, _ in around for k in kinds}:
+                        own[k, main] += n
+                elif kind == "tag":
+                    own[value, main] += 1
+            if marked:
+                counts.update(own)
     keys = list(counts)
     yield pa.RecordBatch.from_arrays(
         [pa.array([k for k, _ in keys], pa.string()), pa.array([g for _, g in keys], pa.bool_()), pa.array([counts[k] for k in keys], pa.int64())],
@@ -205,24 +244,30 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def learn_weights(pages: DataFrame, text: str = "html", sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Log odds of standing in the main text, shifted so that words score above and tags below zero.
+def weights_from(seen: Counter) -> dict[str, float]:
+    """Log odds of standing in the main text: of tags, shifted so that words score above and tags below zero, and
+    of the words below kinds of elements, against those of all words."""
+    if not seen[WORD, True]:
+        return dict(DEFAULT_WEIGHTS)
+    odds = lambda t, doubt=1: math.log((seen[t, True] + 1) / (seen[t, False] + doubt))
+    word = max(odds(WORD), 1.0)
+    enough = {t for t, _ in seen if t != WORD and seen[t, True] + seen[t, False] >= LEAST_SEEN}
+    tags = {t: max(-8.0, min(-0.1, odds(t) - word)) for t in enough if " " not in t}
+    kinds = {t: max(-8.0, min(8.0, odds(t, DOUBT if _usual(t) else 1) - odds(WORD))) for t in enough if " " in t}
+    return {**DEFAULT_WEIGHTS, **tags, **kinds, WORD: 1.0}
 
-    Fitted on a bounded sample of pages; only counts of tags reach the driver.
-    """
+
+def learn_weights(pages: DataFrame, text: str = "html", sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
+    """Weights of tags and kinds of elements, fitted on a bounded sample of pages; only counts reach the driver."""
     rows = pages.select(F.col(text).alias("html")).filter("html IS NOT NULL")
     total = rows.count()
     if not total:
         return dict(DEFAULT_WEIGHTS)
     sample = rows.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(min(1.0, sample_pages / total) * (1 << 30)))
     counts = sample.mapInArrow(count_tokens, "token string, good boolean, n long").groupBy("token", "good").agg(F.sum("n").alias("n"))
-    seen = Counter({(r["token"], r["good"]): r["n"] for r in counts.filter(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n")).limit(1000).collect()})
-    if not seen[WORD, True]:
-        return dict(DEFAULT_WEIGHTS)
-    odds = lambda t: math.log((seen[t, True] + 1) / (seen[t, False] + 1))
-    word = max(odds(WORD), 1.0)
-    weights = {t: max(-8.0, min(-0.1, odds(t) - word)) for t, _ in seen if t != WORD}
-    return {**DEFAULT_WEIGHTS, **weights, WORD: 1.0}
+    # Kinds seen on the sampled pages; names made up for one page are too rare to be kept.
+    told = counts.filter(F.col("n") >= LEAST_SEEN // 2).orderBy(F.desc("n"), "token", "good").limit(MOST_KINDS).collect()
+    return weights_from(Counter({(r["token"], r["good"]): r["n"] for r in told}))
 
 
 def extract_pages(pages: DataFrame, html_column: str = "html", out: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
