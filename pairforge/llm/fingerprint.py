@@ -1,23 +1,27 @@
 """Document fingerprints: a Merkle tree over clauses, paragraphs and sections, in DataFrame functions only.
 
 * A leaf is a clause: a piece of a line that ends behind a mark of punctuation
-  before a space.  Lines are paragraphs; a paragraph's node is its leaves.
-* Sections are groups of paragraphs.  A section ends behind a paragraph whose
-  hash is divisible by ``SECTION``, so an edit moves no border but its own.
-* The root hashes the sections and the text's length.
-
-A fingerprint is the root and all leaves with their borders, as text:
-``root/section;section``, a section being ``paragraph,paragraph`` and a
-paragraph ``leaf.leaf`` (leaves in hexadecimal).  Equal texts have equal roots.
-Differing branches locate an edit, see ``changed``; likeness is the weight of
-leaves that two trees share.
+  before a space; its node is the hash of its text.
+* A paragraph is a line; its node is the hash of its leaves' nodes.
+* A section is a group of paragraphs and ends behind one whose node is divisible
+  by ``SECTION``, so an edit moves no border but its own.  Its node is the hash of
+  its paragraphs' nodes.
+* The root is the hash of the sections' nodes and the text's length.
+
+A fingerprint is the tree as text: ``root/section;section``, a section being
+``node:paragraph,paragraph`` and a paragraph ``node:leaf.leaf`` (nodes in
+hexadecimal, shortened where they are only compared between two documents).
+Equal texts have equal trees.  Two trees are compared from the top: equal roots end
+it, equal sections and then equal paragraphs are passed over, and only leaves of
+paragraphs that differ are looked at.  ``changed`` names these paragraphs,
+``likeness`` is the weight of the leaves that are shared.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pairforge.llm.inputs import ids_and_texts, or_empty
+from pairforge.llm.inputs import bound, ids_and_texts, or_empty
 
 SECTION = 4
 #: Documents of one task when neighbours are looked up, in expectation.
@@ -25,41 +29,89 @@ BUCKET_ROWS = 512
 #: Buckets of one task when the buckets themselves are put in order.
 GROUP = 1 << 16
 
-#: Hexadecimal digits of a leaf; leaves are only compared between two documents.
-LEAF_DIGITS = 12
+#: Hexadecimal digits that are kept of a leaf's node, and of other nodes below the root.
+LEAF_DIGITS, NODE_DIGITS = 12, 16
 
 _CLAUSE = r"(?<=[^\p{L}\p{N}]) "
 
 
-def _leaves(line: Column) -> Column:
-    return F.transform(F.split(line, _CLAUSE), lambda s: F.substring(F.lower(F.lpad(F.hex(F.xxhash64(s)), 16, "0")), 1, LEAF_DIGITS))
+def _hex64(value: Column) -> Column:
+    return F.lower(F.lpad(F.hex(F.xxhash64(value)), 16, "0"))
+
+
+def _node(below: Column) -> Column:
+    return F.substring(F.sha2(below, 256), 1, NODE_DIGITS)
+
+
+def _paragraph(leaves: Column) -> Column:
+    """``node:leaf.leaf`` from the whole nodes of the leaves; the paragraph's node is that of the whole ones."""
+    kept = F.regexp_replace(leaves, f"([0-9a-f]{{{LEAF_DIGITS}}})[0-9a-f]{{{16 - LEAF_DIGITS}}}", "$1.")
+    return F.concat(_node(leaves), F.lit(":"), F.rtrim(kept, F.lit(".")))
+
+
+def _section(paragraphs: Column) -> Column:
+    """``node:paragraph,paragraph``; the node is that of the paragraphs' nodes."""
+    return F.concat(_node(F.regexp_replace(paragraphs, ":[0-9a-f.]*,?", "")), F.lit(":"), F.rtrim(paragraphs, F.lit(",")))
 
 
 def fingerprint(text: Column) -> Column:
     """The tree of a text as a string; null counts as empty text."""
     lines = F.split(or_empty(text), "\n")
-    paragraphs = F.transform(lines, lambda line: F.array_join(_leaves(line), "."))
-    # A border follows each paragraph whose hash is a multiple of SECTION; the others are joined by a comma.
-    marked = F.transform(paragraphs, lambda p: F.concat(p, F.when(F.pmod(F.xxhash64(p), F.lit(SECTION)) == 0, ";").otherwise(",")))
-    tree = F.array_join(marked, "")
-    sections = F.transform(F.split(tree, ";"), lambda s: F.sha2(s, 256))
-    root = F.sha2(F.concat(F.length(or_empty(text)).cast("string"), F.lit(":"), F.sha2(or_empty(text), 256), F.array_join(sections, "")), 256)
-    return F.concat(F.substring(root, 1, 32), F.lit("/"), tree)
+    paragraphs = F.transform(F.transform(lines, lambda line: F.array_join(F.transform(F.split(line, _CLAUSE), _hex64), "")), _paragraph)
+    # A border follows each paragraph whose node is a multiple of SECTION; the others are joined by a comma.
+    marked = F.transform(paragraphs, lambda p: F.concat(p, F.when(F.substring(p, NODE_DIGITS, 1).isin(*_BORDERS), ";").otherwise(",")))
+    sections = F.transform(F.filter(F.split(F.array_join(marked, ""), ";"), lambda s: s != ""), _section)
+    size = F.length(or_empty(text)).cast("string")
+
+    def tree(parts: Column) -> Column:
+        nodes = F.array_join(F.transform(parts, lambda s: F.substring(s, 1, NODE_DIGITS)), "")
+        return F.concat(F.substring(F.sha2(F.concat(size, F.lit(":"), nodes), 256), 1, 32), F.lit("/"), F.array_join(parts, ";"))
+
+    return bound(sections, tree)
+
+
+#: Last digits of nodes that are multiples of SECTION.
+_BORDERS = [f"{d:x}" for d in range(0, 16, SECTION)]
 
 
 def root(print_: Column) -> Column:
     return F.substring_index(print_, "/", 1)
 
 
-def _leaf_set(print_: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.substring_index(print_, "/", -1), "[.,;]"), lambda x: x != ""))
+def _sections(print_: Column) -> Column:
+    return F.split(F.substring_index(print_, "/", -1), ";")
+
+
+def _below(nodes: Column, mark: str) -> Column:
+    """What lies below nodes, one after the other."""
+    return F.flatten(F.transform(nodes, lambda n: F.split(F.substring(n, F.lit(NODE_DIGITS + 2), F.length(n)), mark)))
+
+
+def _n_leaves(print_: Column) -> Column:
+    """Leaves of a tree: dots and the ends of paragraphs."""
+    tree = F.substring_index(print_, "/", -1)
+    return F.length(tree) - F.length(F.translate(tree, ".,;", "")) + 1
+
+
+def _apart(x: Column, y: Column, then) -> Column:
+    """``then`` of what only ``x`` has and what only ``y`` has."""
+    both = F.struct(F.array_except(x, y).alias("a"), F.array_except(y, x).alias("b"))
+    return bound(both, lambda only: then(only.a, only.b))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else the Dice coefficient of the distinct leaves (0 if nothing is shared)."""
-    x, y = _leaf_set(a), _leaf_set(b)
-    shared = F.size(F.array_intersect(x, y))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(2.0 * shared / F.greatest(F.size(x) + F.size(y), F.lit(1)))
+    """1 for equal roots, else the share of leaves of both trees that do not differ.
+
+    Leaves below an equal section, or an equal paragraph of sections that differ,
+    are shared; of the others those that stand below a differing paragraph of the
+    other tree, too.  A branch that repeats inside a tree counts once where it differs.
+    """
+
+    def below(mark: str, then):
+        return lambda x, y: _apart(_below(x, mark), _below(y, mark), then)
+
+    n_apart = _apart(_sections(a), _sections(b), below(",", below("[.]", lambda x, y: F.size(x) + F.size(y))))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(1.0 - n_apart / (_n_leaves(a) + _n_leaves(b)))
 
 
 def changed(a: Column, b: Column) -> Column:
@@ -67,16 +119,11 @@ def changed(a: Column, b: Column) -> Column:
 
     Sections that both trees have are passed over without a look at their paragraphs.
     """
-    sections = lambda p: F.split(F.substring_index(p, "/", -1), "(?<=;)")
-    known = sections(b)
-    paragraphs = F.split(F.substring_index(b, "/", -1), "[,;]")
+    known, paragraphs = _sections(b), _below(_sections(b), ",")
     flagged = F.flatten(
         F.transform(
-            sections(a),
-            lambda s: F.transform(
-                F.filter(F.split(s, "[,;]"), lambda p: p != ""),
-                lambda p: ~F.array_contains(known, s) & ~F.array_contains(paragraphs, p),
-            ),
+            _sections(a),
+            lambda s: F.transform(_below(F.array(s), ","), lambda p: ~F.array_contains(known, s) & ~F.array_contains(paragraphs, p)),
         )
     )
     at = F.filter(F.transform(flagged, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
@@ -90,9 +137,15 @@ def edit(text: Column, other: Column) -> Column:
 
 
 def _bucket_width(docs: DataFrame) -> int:
-    """Ids of one bucket, so that it holds about ``BUCKET_ROWS`` documents. Reads only the ids."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    return min(max(1, (high - low + 1) * BUCKET_ROWS // n), 1 << 62) if n else 1
+    """Ids of one bucket, so that it holds about ``BUCKET_ROWS`` documents where ids lie closest. Reads only the ids.
+
+    Percentiles tell how close they lie; far ids or thin regions make buckets of
+    fewer documents, never larger ones.
+    """
+    shares = F.array(*[F.lit(i / 100) for i in range(101)])
+    at, n = docs.agg(F.percentile_approx("doc_id", shares, F.lit(10_000)), F.count("doc_id")).first()
+    gaps = [high - low for low, high in zip(at or [], (at or [])[1:]) if high > low]
+    return min(max(1, min(gaps) * 100 * BUCKET_ROWS // n), 1 << 62) if gaps else 1
 
 
 def _next_bucket(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -166,6 +169,31 @@ def test_redaction(spark, odd, nothing):
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(nothing).count() == 0
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    text = "mail user@mail.example.com now"
+    rows = spark.createDataFrame([(1, text, "e", 7, 8, 9, 10)], "doc_id long, text string, base string, spans int, _base int, _candidates int, _spans int")
+    assert [tuple(r) for r in pii.redact(rows).collect()] == [(1, "mail <email> now", "e", 7, 8, 9, 10)]
+    got = pii.find_personal_data(rows.drop("base", "spans").withColumns({"_held": F.lit(1), "_fold": F.lit(2), "_added": F.lit(3)}))
+    assert [tuple(r) for r in got.select("_base", "_candidates", "_spans", "_held", "_fold", "_added").collect()] == [(8, 9, 10, 1, 2, 3)]
+
+
+def test_keys_after_key_words_are_learned(spark):
+    """No rule takes them; the trees do, from labels that are no feature."""
+    found = pii.find_personal_data(documents(spark, "/root/testdata/sf0.01").withColumn("whole", F.col("text")))
+    keyed = found.filter("whole rlike 'token = \"[0-9a-f]{40}'")
+    assert keyed.count() >= 10 and keyed.filter("exists(spans, s -> s.kind = 'secret')").count() == keyed.count()
+    assert found.filter("exists(spans, s -> s.kind = 'secret') AND NOT whole rlike '[A-Za-z0-9]{20}'").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 512, 1000, 300_000])
+def test_offsets_of_many_matches(spark, n):
+    text = "12 é3 𝔘 " * n
+    got = spark.createDataFrame([(text,)], "text string").select(pii.matches(F.col("text"), pii.DIGITS).alias("m"))
+    got = got.select(F.size("m"), F.expr("element_at(m, 1)"), F.expr("element_at(m, -1)"), F.expr("aggregate(m, 0L, (a, x) -> a + x.start)")).first()
+    starts = [8 * i + k for i in range(n) for k in (0, 4)]
+    assert (got[0], tuple(got[1]), tuple(got[2]), got[3]) == (2 * n, (0, 2, "12"), (8 * n - 4, 8 * n - 3, "3"), sum(starts))
+
+
 def test_boosting_learns_and_its_column_agrees(spark):
     x = np.array([[a, b] for a in range(6) for b in range(4)])
     n = np.full(len(x), 50)
@@ -178,6 +206,45 @@ def test_boosting_learns_and_its_column_agrees(spark):
     assert boosting.least_margin(margin, n, positive, 0.9) > 0 and boosting.least_margin(margin, n, 0 * n, 0.9) == float("inf")
 
 
+def tree_of(print_):
+    """Root, and sections as (node, [(node, [leaf])])."""
+    root, _, tree = print_.partition("/")
+    sections = []
+    for section in tree.split(";"):
+        node, _, below = section.partition(":")
+        sections.append((node, [(p.partition(":")[0], p.partition(":")[2].split(".")) for p in below.split(",")]))
+    return root, sections
+
+
+def tree_likeness(a, b):
+    (root_a, in_a), (root_b, in_b) = tree_of(a), tree_of(b)
+    if root_a == root_b:
+        return 1.0
+
+    def differing(x, y):
+        out = {}
+        for node, below in x:
+            if node not in {n for n, _ in y}:
+                out[node] = below
+        return [p for below in out.values() for p in below]
+
+    pa, pb = differing(in_a, in_b), differing(in_b, in_a)
+    la, lb = set(differing(pa, pb)), set(differing(pb, pa))
+    total = sum(len(leaves) for sections in (in_a, in_b) for _, ps in sections for _, leaves in ps)
+    return 1 - (len(la - lb) + len(lb - la)) / total
+
+
+def check_tree(print_, text):
+    """Every node is the hash of the nodes below; borders follow from the nodes; lines and clauses are all there."""
+    root, sections = tree_of(print_)
+    paragraphs = [p for _, ps in sections for p in ps]
+    assert [len(leaves) for _, leaves in paragraphs] == [len(regex.split(r"(?<=[^\p{L}\p{N}]) ", line)) for line in text.split("\n")]
+    for node, ps in sections:
+        assert node == sha("".join(n for n, _ in ps))[:16] and all(int(n, 16) % fingerprint.SECTION for n, _ in ps[:-1])
+    assert all(int(ps[-1][0], 16) % fingerprint.SECTION == 0 for _, ps in sections[:-1])
+    assert root == sha(f"{len(text)}:" + "".join(n for n, _ in sections))[:32]
+
+
 def test_fingerprints_of_the_table(spark, texts):
     got = {r.doc_id: r for r in QUERIES["op3_fingerprint"](spark, SF).collect()}
     prints = {}
@@ -191,6 +258,11 @@ def test_fingerprints_of_the_table(spark, texts):
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
         assert (r.fingerprint == r.edited_fingerprint) == (t == edited)
     assert len(set(prints.values())) == len(prints)
+    for k, (i, t) in enumerate(texts):
+        r, after = got[i], got[texts[(k + 1) % len(texts)][0]]
+        assert r.near_edited == pytest.approx(tree_likeness(r.fingerprint, r.edited_fingerprint), abs=1e-12)
+        assert r.near_next == pytest.approx(tree_likeness(r.fingerprint, after.fingerprint), abs=1e-12)
+        check_tree(r.fingerprint, t)
     near = [r.near_edited for r in got.values()]
     assert 0.35 < sum(near) / len(near) < 0.65 and sum(r.near_next for r in got.values()) / len(got) < 0.1
 
@@ -211,6 +283,18 @@ def test_odd_rows_of_fingerprints(spark, odd, nothing):
     assert got == {-(10**15): sha("ac"), 5: sha("cd"), 10**17: sha("")}
 
 
+@pytest.mark.parametrize("far", [[2**60], [2**60 + i for i in range(5_000)], [-(2**60)], [i * 2**40 for i in range(1, 9_000)]])
+def test_buckets_of_ids_are_bounded_for_any_ids(spark, far):
+    """Dense ids with one or many far ones: no bucket takes much more than its share, and neighbours are found."""
+    ids = sorted([*range(20_000), *far])
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    width = fingerprint._bucket_width(df)
+    largest = df.groupBy(F.floor(F.col("doc_id") / width)).count().agg(F.max("count")).first()[0]
+    assert largest <= 4 * fingerprint.BUCKET_ROWS
+    got = {r.text: r.next_text for r in fingerprint.with_next(df).select("text", "next_text").collect()}
+    assert got == {f"text {i}": f"text {j}" for i, j in zip(ids, [*ids[1:], ids[0]])}
+
+
 def test_licences_with_edits_and_odd_rows(spark, odd, nothing):
     notice = license_scan.TEMPLATES["mit-permission"]
     words = notice.split()
@@ -267,3 +351,50 @@ def test_bands_order_shingles_independently(spark):
     bands = df.select("a", license_scan._bands(F.array("a", "b")).alias("least")).collect()
     first = {tuple(x == r.least[0] for x in r.least) for r in bands}
     assert len(first) > 30 and all(set(r.least) <= {x for row in rows for x in row} for r in bands)
+
+
+def learned(pages):
+    batch = pa.RecordBatch.from_arrays([pa.array(pages)], ["html"])
+    counts = next(html_extract.count_tokens(iter([batch])))
+    return html_extract.weights_from(Counter({(t, g): n for t, g, n in zip(*(c.to_pylist() for c in counts.columns))}))
+
+
+@pytest.fixture(scope="module")
+def marked_pages(spark):
+    return [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
+
+
+def test_pages_are_read_without_their_marks(marked_pages):
+    """Whole texts with ``article`` taken away equal the article of the marked page."""
+    weights = learned(marked_pages[:100])
+    for page in marked_pages:
+        inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        want = html_extract.extract(inside, {**html_extract.DEFAULT_WEIGHTS, "": -0.1, "p": -0.1})
+        assert want and html_extract.extract(page, weights) == want
+        assert html_extract.extract(re.sub(r"<(/?)article>", r"<\1div>", page), weights) == want
+
+
+def test_weights_decide(marked_pages):
+    """An advert under a class of no known name is text for fixed weights and none for learned ones."""
+    pages = [p.replace('class="ad"', 'class="zzz"') for p in marked_pages]
+    weights = learned(pages[:100])
+    fixed = dict(html_extract.DEFAULT_WEIGHTS)
+    assert weights["name zzz"] < html_extract.APART
+    assert all(html_extract.extract(p, weights) == html_extract.extract(q, weights) for p, q in zip(pages, marked_pages))
+    assert sum(html_extract.extract(p, fixed) != html_extract.extract(p, weights) for p in pages) > len(pages) // 3
+
+
+def test_kinds_of_parts_are_learned_from_labels():
+    """Legal notes that stand in articles stay there; adverts in articles go whatever labels say."""
+    words = "many plain words of a story that goes on " * 4
+    page = f'<body><nav><a href=1>x</a></nav><article><p>{words}</p><div class="legal"><p>{words}</p></div><div class="ad">buy {words}</div></article></body>'
+    fixed = dict(html_extract.DEFAULT_WEIGHTS)
+    assert html_extract.extract(page, fixed) == words.strip()
+    assert html_extract.extract(page, learned([page] * 50)) == f"{words.strip()}\n{words.strip()}"
+
+
+def test_teasers_in_articles_are_no_main_text():
+    story = "A long story goes on and on with many words. " * 8
+    cards = "".join(f'<article class="card"><a href="{i}">Other story teaser {i}</a></article>' for i in range(2))
+    page = f"<html><body><div><h1>Title</h1><p>{story}</p></div>{cards}</body></html>"
+    assert html_extract.extract(page, dict(html_extract.DEFAULT_WEIGHTS)) == f"Title\n{story.strip()}"
