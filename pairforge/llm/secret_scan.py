@@ -21,7 +21,6 @@ import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -96,7 +95,6 @@ HEX_CLASS = bytes.maketrans(b"0123456789abcdef", b"0" * 16)
 LOWER_TABLE = LOWER.tobytes()
 
 
-@lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for number, rule in enumerate(RULES):
@@ -106,7 +104,7 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
-def _scan(data: bytes, offsets: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+def _scan(data: bytes, offsets: np.ndarray, automaton: ahocorasick.Automaton) -> tuple[list[int], list[int], list[int], list[int]]:
     """Row, kind, start and end (bytes of ``data``) of every accepted match of texts that lie side by side."""
     rows, kinds, starts, ends = [], [], [], []
 
@@ -116,7 +114,7 @@ def _scan(data: bytes, offsets: np.ndarray) -> tuple[list[int], list[int], list[
         starts.append(start)
         ends.append(end)
 
-    hits = [(end + 1 - size, number) for end, (number, size) in _automaton().iter(data.translate(LOWER_TABLE).decode("latin-1"))]
+    hits = [(end + 1 - size, number) for end, (number, size) in automaton.iter(data.translate(LOWER_TABLE).decode("latin-1"))]
     row_of = np.searchsorted(offsets, [at for at, _ in hits], "right") - 1
     # A hit over the end of a text fails, as the expression may not look beyond it.
     used = [0] * len(RULES)
@@ -149,9 +147,10 @@ def _spans_of(texts: pa.Array) -> pa.Array:
     raw, offsets = text_bytes(texts)
     counts = np.zeros(len(texts), np.int64)
     all_kinds, all_starts, all_ends = [], [], []
+    automaton = _automaton()
     for first, last in blocks(offsets):
         data, local = raw[offsets[first] : offsets[last]].tobytes(), offsets[first : last + 1] - offsets[first]
-        row, kind, start, end = (np.asarray(x, np.int64) for x in _scan(data, local))
+        row, kind, start, end = (np.asarray(x, np.int64) for x in _scan(data, local, automaton))
         order = np.lexsort((end, kind, start))
         row, kind, start, end = row[order], kind[order], start[order], end[order]
         counts[first:last] = np.bincount(row, minlength=last - first)
