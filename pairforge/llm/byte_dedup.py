@@ -141,27 +141,42 @@ def index_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_row = [table.column(c).combine_chunks().take(pa.array(row)) for c in (1, 2)]
         yield pa.RecordBatch.from_arrays([*of_row, pa.array(out.view(np.int64))], ["doc_id", "own", "mark"])
 
-    held: list[pa.RecordBatch] = []
-    size = 0
+    def settled(parts: list[list]) -> pa.Table:
+        return pa.Table.from_batches([batch.slice(first, stop - first) for batch, first, stop in parts])
+
+    # Parts (batch, first row, row behind) of whole anchors, and of the last anchor, whose rows may go on in the next batch.
+    held: list[list] = []
+    tail: list[list] = []
+    size = own = 0
+    key = None
     for batch in batches:
+        if not len(batch):
+            continue
         anchors = np.asarray(batch.column(0))
-        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(5))))
-        at = 0
-        while at < len(anchors):
-            # Up to the index size, and on to the end of the last anchor.
-            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + INDEX_BYTES - size, "right"))
-            stop = max(stop, at)
-            if stop < len(anchors):
-                edge = anchors[stop - 1] if stop > at else (held[-1].column(0)[-1].as_py() if held else anchors[at])
-                stop = max(stop, int(np.searchsorted(anchors, edge, "right")))
-            held.append(batch.slice(at, stop - at))
-            size += int(ends[stop - 1] - (ends[at - 1] if at else 0)) if stop > at else 0
-            at = stop
-            if at < len(anchors):
-                yield from indexed(pa.Table.from_batches(held))
+        edges = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, [len(anchors)]])
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch.column(5)), dtype=np.int64))])
+        weights = np.diff(ends[edges]).tolist()
+        for anchor, first, stop, weight in zip(anchors[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), weights):
+            if anchor == key:
+                tail.append([batch, first, stop])
+                own += weight
+                continue
+            # The last anchor is complete: it joins the others if the index stays within its bound.
+            if held and size + own > INDEX_BYTES:
+                yield from indexed(settled(held))
                 held, size = [], 0
-    if any(len(h) for h in held):
-        yield from indexed(pa.Table.from_batches(held))
+            if held and tail[0][0] is held[-1][0]:
+                held[-1][2] = tail[0][2]
+                held += tail[1:]
+            else:
+                held += tail
+            size += own
+            tail, own, key = [[batch, first, stop]], weight, anchor
+    if held and size + own > INDEX_BYTES:
+        yield from indexed(settled(held))
+        held = []
+    if held + tail:
+        yield from indexed(settled(held + tail))
 
 
 def beside_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
