@@ -262,7 +262,8 @@ def _indexed(pieces: DataFrame) -> DataFrame:
 
 def _found_in_hot(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """doc_id, own and mark of windows of single contexts that another context of a hot anchor has."""
-    dealt = stage(_pieces(docs, runs).mapInArrow(beside_anchor, OPEN), "hot-contexts")
+    # Not staged: within one query the texts that are shuffled for other contexts and for the cuts serve here as well.
+    dealt = _pieces(docs, runs).mapInArrow(beside_anchor, OPEN)
     met = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("size"))
     told = dealt.join(met.filter("n > 1").select("anchor", (F.col("size") > INDEX_BYTES).alias("large")), "anchor")
     windows = told.filter("large").drop("large").mapInArrow(open_windows, "anchor long, window long, doc_id long, own long, mark long, single boolean")

@@ -1,5 +1,6 @@
-"""What one task of op6 holds for its indexes."""
+"""What one task of op6 holds for its indexes, and what is staged."""
 
+import random
 import tracemalloc
 
 import numpy as np
@@ -40,3 +41,16 @@ def test_an_index_takes_less_than_64_bytes_for_each_of_its_own():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 * n
+
+
+def test_contexts_of_hot_anchors_are_not_staged(spark, monkeypatch):
+    """What is staged apart shuffles the texts once more; in one query the shuffle for the other contexts and the cuts serves."""
+    rng, staged, stage, found, calls = random.Random(5), {}, byte_dedup.stage, byte_dedup._found_in_hot, []
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = line(150)
+    df = spark.createDataFrame([(i, line(170) + passage + line(170)) for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(byte_dedup, "stage", lambda df, name="stage", **options: (staged.update({name: df.columns}), stage(df, name, **options))[1])
+    monkeypatch.setattr(byte_dedup, "_found_in_hot", lambda *args: (calls.append(1), found(*args))[1])
+    monkeypatch.setattr(byte_dedup, "INDEX_BYTES", 2000)
+    assert byte_dedup.remove_repeats(df).count() == 60 and calls
+    assert not any({"bytes", "text"} & set(columns) for columns in staged.values())
