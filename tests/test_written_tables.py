@@ -3,8 +3,10 @@
 import hashlib
 import re
 import tempfile
+from pathlib import Path
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ import __spark_entry__ as spark_entry
 from compare import compare
 from helpers import example, frame
 from pairforge import constants as K
-from pairforge.checks import fixtures as fx, oracles
+from pairforge.checks import fixtures as fx, oracles, queries
 from pairforge.operators import batching
 from pairforge.plans import jobs
 from pairforge.sources import tables
@@ -56,6 +58,17 @@ def test_checksums_where_a_task_writes_several_shards(spark, sf_dir, con, monkey
     assert compare(spark, con, QUERIES["q_checksums"], ORACLES["q_checksums"], sf_dir) is None
 
 
+@pytest.mark.parametrize("name", ["q_eval_job", "q_texts_roundtrip", "q_example_at"])
+def test_written_tables_hold_long_texts_once(spark, sf_dir, con, name, monkeypatch):
+    """Shards and texts are written in a codec that reaches over a long text."""
+    seen, scratch = [], queries.scratch
+    monkeypatch.setattr(queries, "scratch", lambda *args: (seen.append(scratch(*args)), seen[-1])[1])
+    assert compare(spark, con, QUERIES[name], ORACLES[name], sf_dir) is None
+    files = [f for path in seen for f in Path(path.removeprefix("file:")).rglob("*.parquet")]
+    codecs = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files}
+    assert codecs == {"ZSTD"}
+
+
 # ------------------------------------------------------------ how often texts move
 
 
